@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import kpi
+from ..operators import breakdowns, kpi, overview, reasons, segments
 from .context import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +29,82 @@ def q_kpis(ws: Workspace) -> DataFrame:
 @register("churn_rate")
 def q_churn_rate(ws: Workspace) -> DataFrame:
     return kpi.churn_rate(ws.subs)
+
+
+@register("churn_by_tenure")
+def q_churn_by_tenure(ws: Workspace) -> DataFrame:
+    return breakdowns.churn_by_tenure(ws.subs)
+
+
+@register("revenue_by_band")
+def q_revenue_by_band(ws: Workspace) -> DataFrame:
+    return breakdowns.revenue_by_band(ws.subs)
+
+
+@register("retention_by_offer")
+def q_retention_by_offer(ws: Workspace) -> DataFrame:
+    return breakdowns.retention_by_offer(ws.subs)
+
+
+@register("churn_reasons")
+def q_churn_reasons(ws: Workspace) -> DataFrame:
+    return reasons.churn_reasons(ws.subs, k=10)
+
+
+@register("churn_reasons_top5")
+def q_churn_reasons_top5(ws: Workspace) -> DataFrame:
+    return reasons.churn_reasons(ws.subs, k=5)
+
+
+def _flat_segments(df: DataFrame) -> DataFrame:
+    return df.withColumns({
+        "characteristics": F.array_join("characteristics", " | "),
+        "actions": F.array_join("actions", " | "),
+    })
+
+
+@register("segments")
+def q_segments(ws: Workspace) -> DataFrame:
+    return _flat_segments(segments.segment_counts(ws.subs))
+
+
+@register("segment_members")
+def q_segment_members(ws: Workspace) -> DataFrame:
+    return segments.segment_members(ws.subs)
+
+
+@register("overview")
+def q_overview(ws: Workspace) -> DataFrame:
+    return overview.overview(ws.subs)
+
+
+@register("overview_active")
+def q_overview_active(ws: Workspace) -> DataFrame:
+    return overview.overview(ws.subs, customer_type="active")
+
+
+@register("overview_churned")
+def q_overview_churned(ws: Workspace) -> DataFrame:
+    return overview.overview(ws.subs, customer_type="churned")
+
+
+# Parameters of the filtered overview (region name and signup date range).
+FILTER_REGION = "EUROPE"
+FILTER_START = "1995-03-01"
+FILTER_END = "1995-12-31"
+
+
+@register("overview_filtered")
+def q_overview_filtered(ws: Workspace) -> DataFrame:
+    return overview.overview(ws.subs_with_region, region=FILTER_REGION,
+                             date_start=FILTER_START, date_end=FILTER_END)
+
+
+@register("distributions")
+def q_distributions(ws: Workspace) -> DataFrame:
+    return overview.value_distributions(ws.subs)
+
+
+@register("contract_counts")
+def q_contract_counts(ws: Workspace) -> DataFrame:
+    return overview.contract_counts(ws.subs)

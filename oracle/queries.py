@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixture import mean_money, rr, with_fixture
+from .fixture import mean_money, rr, sum_money, with_fixture
 
 BODIES: dict[str, str] = {}
 
@@ -23,5 +23,147 @@ FROM subs
 """
 
 
+BODIES["churn_by_tenure"] = f"""
+, b AS (
+  SELECT CASE WHEN tenure > 0 AND tenure <= 6 THEN 1 WHEN tenure > 6 AND tenure <= 12 THEN 2
+              WHEN tenure > 12 AND tenure <= 24 THEN 3 WHEN tenure > 24 AND tenure <= 36 THEN 4
+              WHEN tenure > 36 AND tenure <= 48 THEN 5 WHEN tenure > 48 AND tenure <= 60 THEN 6
+              WHEN tenure > 60 AND tenure <= 72 THEN 7 END AS ordinal, Churn, customerID
+  FROM subs)
+SELECT (['0-6','7-12','13-24','25-36','37-48','49-60','61-72'])[ordinal] AS tenure_band,
+  CAST(ordinal AS INTEGER) AS ordinal,
+  {rr("sum(Churn) * 100", "count(Churn)", 2)} AS churn_rate,
+  CAST(count(customerID) AS BIGINT) AS customers
+FROM b WHERE ordinal IS NOT NULL GROUP BY ordinal
+"""
+
+BODIES["revenue_by_band"] = f"""
+, b AS (
+  SELECT CASE WHEN MonthlyCharges > 0 AND MonthlyCharges <= 30 THEN 1
+              WHEN MonthlyCharges > 30 AND MonthlyCharges <= 50 THEN 2
+              WHEN MonthlyCharges > 50 AND MonthlyCharges <= 70 THEN 3
+              WHEN MonthlyCharges > 70 AND MonthlyCharges <= 90 THEN 4
+              WHEN MonthlyCharges > 90 AND MonthlyCharges <= 120 THEN 5 END AS ordinal,
+         TotalCharges, customerID
+  FROM subs)
+SELECT (['Basic','Standard','Plus','Premium','Enterprise'])[ordinal] AS segment,
+  CAST(ordinal AS INTEGER) AS ordinal,
+  {sum_money("TotalCharges")} AS revenue,
+  CAST(count(customerID) AS BIGINT) AS customers
+FROM b WHERE ordinal IS NOT NULL GROUP BY ordinal
+"""
+
+BODIES["retention_by_offer"] = f"""
+SELECT Contract AS offer,
+  {rr("(count(Churn) - sum(Churn)) * 100", "count(Churn)", 2)} AS retention_rate,
+  CAST(count(customerID) AS BIGINT) AS customers
+FROM subs WHERE Contract IS NOT NULL GROUP BY Contract
+"""
+
+_REASONS = f"""
+, churned AS (SELECT Contract, InternetService FROM subs WHERE Churn = 1),
+cnt AS (
+  SELECT 'Contract' AS category, Contract AS value, count(*) AS n FROM churned
+  WHERE Contract IS NOT NULL GROUP BY Contract
+  UNION ALL
+  SELECT 'Service' AS category, InternetService AS value, count(*) AS n FROM churned
+  WHERE InternetService IS NOT NULL GROUP BY InternetService),
+tot AS (SELECT category, sum(n) AS t FROM cnt GROUP BY category),
+sh AS (SELECT cnt.category, value, n, {rr("n * 100", "t", 1)} AS percentage
+       FROM cnt JOIN tot ON cnt.category = tot.category),
+kept AS (
+  SELECT CASE WHEN category = 'Contract' THEN 'Contrat ' ELSE 'Internet ' END || value AS reason,
+         category, percentage, n
+  FROM sh WHERE NOT (category = 'Service' AND value = 'No')),
+ranked AS (
+  SELECT CAST(row_number() OVER (ORDER BY percentage DESC,
+           CASE WHEN category = 'Contract' THEN 0 ELSE 1 END, n DESC, reason) AS INTEGER) AS rank,
+         reason, category, percentage, CAST(n AS BIGINT) AS customers
+  FROM kept)
+SELECT * FROM ranked WHERE rank <= {{k}}
+"""
+BODIES["churn_reasons"] = _REASONS.replace("{k}", "10")
+BODIES["churn_reasons_top5"] = _REASONS.replace("{k}", "5")
+
+BODIES["segments"] = f"""
+, c AS (
+  SELECT count(*) AS total,
+    count_if(MonthlyCharges > 90 AND tenure > 24) AS c1,
+    count_if(InternetService = 'Fiber optic') AS c2,
+    count_if(InternetService = 'No' AND PhoneService = 'Yes') AS c3,
+    count_if(MonthlyCharges < 40) AS c4,
+    count_if(Contract = 'Month-to-month' AND tenure < 12) AS c5,
+    count_if(Contract IN ('One year', 'Two year') AND tenure > 36) AS c6
+  FROM subs),
+seg AS (SELECT * FROM (VALUES
+  (1, 'Premium Users', '#2563eb', 'ARPU > 90€ | Ancienneté > 24 mois | Services multiples | Faible taux de churn',
+      'Programme VIP exclusif | Offres early access | Support prioritaire'),
+  (2, 'Heavy Data Users', '#10b981', 'Abonnement Fibre | Streaming actif | Usage data élevé | Sensible à la vitesse',
+      'Upgrade vers fibre premium | Bundle streaming | Garantie de débit'),
+  (3, 'Voice Only', '#f59e0b', 'Téléphone uniquement | Pas d''internet | Usage traditionnel | Profil senior',
+      'Offre internet simplifiée | Formation digitale | Tarifs voix avantageux'),
+  (4, 'Low ARPU', '#8b5cf6', 'ARPU < 40€ | Services basiques | Sensible au prix | Potentiel d''upsell',
+      'Offres bundle attractives | Promotions ciblées | Montée en gamme progressive'),
+  (5, 'At-Risk', '#ef4444', 'Contrat mensuel | Ancienneté < 12 mois | Pas d''engagement | Risque de churn élevé',
+      'Programme de rétention | Offre d''engagement | Appel proactif | Remise fidélité'),
+  (6, 'Loyal Base', '#06b6d4', 'Contrat long terme | Ancienneté > 3 ans | Faible churn | Ambassadeurs potentiels',
+      'Programme parrainage | Récompenses fidélité | Renouvellement anticipé')
+  ) t(ordinal, name, color, characteristics, actions)),
+j AS (
+  SELECT seg.*, total,
+    CAST(CASE ordinal WHEN 1 THEN c1 WHEN 2 THEN c2 WHEN 3 THEN c3 WHEN 4 THEN c4
+                      WHEN 5 THEN c5 ELSE c6 END AS BIGINT) AS count
+  FROM seg CROSS JOIN c)
+SELECT CAST(ordinal AS INTEGER) AS ordinal, name, count, {rr("count * 100", "total", 1)} AS percentage,
+  color, characteristics, actions
+FROM j
+"""
+
+BODIES["segment_members"] = """
+SELECT customerID, 1 AS ordinal, 'Premium Users' AS segment FROM subs WHERE MonthlyCharges > 90 AND tenure > 24
+UNION ALL SELECT customerID, 2, 'Heavy Data Users' FROM subs WHERE InternetService = 'Fiber optic'
+UNION ALL SELECT customerID, 3, 'Voice Only' FROM subs WHERE InternetService = 'No' AND PhoneService = 'Yes'
+UNION ALL SELECT customerID, 4, 'Low ARPU' FROM subs WHERE MonthlyCharges < 40
+UNION ALL SELECT customerID, 5, 'At-Risk' FROM subs WHERE Contract = 'Month-to-month' AND tenure < 12
+UNION ALL SELECT customerID, 6, 'Loyal Base' FROM subs WHERE Contract IN ('One year', 'Two year') AND tenure > 36
+"""
+
+_OVERVIEW = f"""
+SELECT CAST(count(*) AS BIGINT) AS total_customers,
+  CAST(coalesce(sum(Churn), 0) AS BIGINT) AS churned_customers,
+  CAST(count(*) - coalesce(sum(Churn), 0) AS BIGINT) AS active_customers,
+  coalesce({rr("coalesce(sum(Churn), 0) * 100", "count(*)", 2)}, 0.0) AS churn_rate,
+  {rr("sum(tenure)", "count(tenure)", 1)} AS average_tenure,
+  {mean_money("MonthlyCharges")} AS average_monthly_charges,
+  {sum_money("TotalCharges")} AS total_revenue
+FROM {{src}}
+"""
+BODIES["overview"] = _OVERVIEW.replace("{src}", "subs")
+BODIES["overview_active"] = _OVERVIEW.replace("{src}", "subs WHERE Churn = 0")
+BODIES["overview_churned"] = _OVERVIEW.replace("{src}", "subs WHERE Churn = 1")
+BODIES["overview_filtered"] = _OVERVIEW.replace(
+    "{src}", "subs JOIN subs_dim USING (customerID) WHERE region = 'EUROPE' "
+             "AND signup_date BETWEEN DATE '1995-03-01' AND DATE '1995-12-31'")
+
+BODIES["distributions"] = """
+, vc AS (
+  SELECT 'Contract' AS dimension, Contract AS key, count(*) AS n FROM subs WHERE Contract IS NOT NULL GROUP BY Contract
+  UNION ALL
+  SELECT 'InternetService', InternetService, count(*) FROM subs WHERE InternetService IS NOT NULL GROUP BY InternetService
+  UNION ALL
+  SELECT 'PaymentMethod', PaymentMethod, count(*) FROM subs WHERE PaymentMethod IS NOT NULL GROUP BY PaymentMethod)
+SELECT dimension, key, CAST(n AS BIGINT) AS customers,
+  CAST(row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS INTEGER) AS rank
+FROM vc
+"""
+
+BODIES["contract_counts"] = """
+, vc AS (SELECT Contract, count(*) AS n FROM subs WHERE Contract IS NOT NULL GROUP BY Contract)
+SELECT Contract AS contract, CAST(n AS BIGINT) AS customers,
+  CAST(row_number() OVER (ORDER BY n DESC, Contract) AS INTEGER) AS rank
+FROM vc
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_fixture(body) for name, body in BODIES.items()}
