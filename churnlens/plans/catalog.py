@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import breakdowns, kpi, overview, reasons, segments
+from ..operators import (breakdowns, clean, density, kpi, overview, profile, reasons, scoring,
+                         segments)
 from .context import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +109,72 @@ def q_distributions(ws: Workspace) -> DataFrame:
 @register("contract_counts")
 def q_contract_counts(ws: Workspace) -> DataFrame:
     return overview.contract_counts(ws.subs)
+
+
+@register("score_requests")
+def q_score_requests(ws: Workspace) -> DataFrame:
+    return ws.requests
+
+
+def _scored(ws: Workspace) -> DataFrame:
+    return scoring.score(scoring.valid_requests(ws.requests))
+
+
+@register("score_batch")
+def q_score_batch(ws: Workspace) -> DataFrame:
+    return _scored(ws).select("customerID", "raw_score", "score", "probability", "risk_level")
+
+
+@register("score_factors")
+def q_score_factors(ws: Workspace) -> DataFrame:
+    return scoring.factor_rows(_scored(ws))
+
+
+@register("score_recommendations")
+def q_score_recommendations(ws: Workspace) -> DataFrame:
+    return scoring.recommendation_rows(_scored(ws))
+
+
+@register("score_rejects")
+def q_score_rejects(ws: Workspace) -> DataFrame:
+    return scoring.rejected_requests(ws.requests)
+
+
+@register("clean_zero")
+def q_clean_zero(ws: Workspace) -> DataFrame:
+    return ws.subs
+
+
+@register("clean_median")
+def q_clean_median(ws: Workspace) -> DataFrame:
+    return clean.warehouse_rows(ws.raw)
+
+
+@register("head")
+def q_head(ws: Workspace) -> DataFrame:
+    return profile.head(ws.subs, 5)
+
+
+@register("structure_profile")
+def q_structure_profile(ws: Workspace) -> DataFrame:
+    return profile.structure_profile(ws.raw)
+
+
+@register("null_profile")
+def q_null_profile(ws: Workspace) -> DataFrame:
+    return profile.null_profile(ws.raw)
+
+
+@register("churned_customers")
+def q_churned_customers(ws: Workspace) -> DataFrame:
+    return clean.warehouse_rows(ws.raw).where(F.col("Churn") == 1)
+
+
+@register("charge_histogram")
+def q_charge_histogram(ws: Workspace) -> DataFrame:
+    return density.histogram(ws.subs, "MonthlyCharges", bins=30)
+
+
+@register("charge_kde")
+def q_charge_kde(ws: Workspace) -> DataFrame:
+    return density.kde(ws.subs, "MonthlyCharges", grid=200, hist_bins=30)

@@ -165,5 +165,170 @@ FROM vc
 """
 
 
+BODIES["score_requests"] = "SELECT * FROM score_requests"
+
+_VALID = """
+, v AS (
+  SELECT * FROM score_requests
+  WHERE tenure IS NOT NULL AND voice_usage IS NOT NULL AND NOT isnan(voice_usage) AND voice_usage > 0
+    AND data_usage IS NOT NULL AND NOT isnan(data_usage) AND data_usage > 0
+    AND complaints IS NOT NULL AND complaints >= 0 AND contract_type IS NOT NULL),
+p AS (
+  SELECT customerID, tenure, complaints, contract_type, data_usage,
+    coalesce(monthly_charges, 50.0) AS mc, coalesce(internet_service, 'Fiber optic') AS inet,
+    coalesce(online_security, 'No') AS sec, coalesce(tech_support, 'No') AS sup,
+    CASE WHEN tenure < 6 THEN 30 WHEN tenure < 12 THEN 20 WHEN tenure < 24 THEN 10 ELSE 0 END
+    + CASE WHEN complaints >= 3 THEN 25 WHEN complaints >= 1 THEN 15 ELSE 0 END
+    + CASE WHEN lower(contract_type) = 'prepaid' THEN 20 ELSE 5 END
+    + CASE WHEN coalesce(monthly_charges, 50.0) > 80 THEN 10 ELSE 0 END
+    + CASE WHEN data_usage < 2.0 THEN 15 ELSE 0 END
+    + CASE WHEN coalesce(internet_service, 'Fiber optic') = 'Fiber optic' THEN 10 ELSE 0 END
+    + CASE WHEN coalesce(online_security, 'No') = 'No' AND coalesce(tech_support, 'No') = 'No'
+           THEN 10 ELSE 0 END AS raw_score
+  FROM v)
+"""
+
+BODIES["score_batch"] = _VALID + """
+SELECT customerID, CAST(raw_score AS INTEGER) AS raw_score, CAST(least(raw_score, 100) AS INTEGER) AS score,
+  CAST(least(raw_score, 100) AS DOUBLE) / 100 AS probability,
+  CASE WHEN least(raw_score, 100) >= 70 THEN 'Élevé' WHEN least(raw_score, 100) >= 40 THEN 'Moyen'
+       ELSE 'Faible' END AS risk_level
+FROM p
+"""
+
+BODIES["score_factors"] = _VALID + """
+, f AS (
+  SELECT customerID, 1 AS o, 'tenure' AS factor, CAST(tenure AS VARCHAR) AS value,
+    CASE WHEN tenure < 6 THEN 'high' WHEN tenure < 12 THEN 'medium' WHEN tenure < 24 THEN 'low' ELSE 'positive' END AS impact,
+    CASE WHEN tenure < 6 THEN 'Client nouveau (< 6 mois)' WHEN tenure < 12 THEN 'Client récent (6-12 mois)'
+         WHEN tenure < 24 THEN 'Client établi (1-2 ans)' ELSE 'Client fidèle (> 2 ans)' END AS message,
+    CASE WHEN tenure < 6 THEN 30 WHEN tenure < 12 THEN 20 WHEN tenure < 24 THEN 10 ELSE 0 END AS points
+  FROM p
+  UNION ALL
+  SELECT customerID, 2, 'complaints', CAST(complaints AS VARCHAR),
+    CASE WHEN complaints >= 3 THEN 'high' WHEN complaints >= 1 THEN 'medium' ELSE 'positive' END,
+    CASE WHEN complaints >= 3 THEN 'Nombreuses réclamations' WHEN complaints >= 1 THEN 'Quelques réclamations'
+         ELSE 'Aucune réclamation' END,
+    CASE WHEN complaints >= 3 THEN 25 WHEN complaints >= 1 THEN 15 ELSE 0 END
+  FROM p
+  UNION ALL
+  SELECT customerID, 3, 'contract', contract_type,
+    CASE WHEN lower(contract_type) = 'prepaid' THEN 'high' ELSE 'low' END,
+    CASE WHEN lower(contract_type) = 'prepaid' THEN 'Contrat prépayé (sans engagement)' ELSE 'Contrat postpayé' END,
+    CASE WHEN lower(contract_type) = 'prepaid' THEN 20 ELSE 5 END
+  FROM p
+  UNION ALL
+  SELECT customerID, 4, 'charges', printf('%.2f', mc), 'medium', 'Facture élevée', 10 FROM p WHERE mc > 80
+  UNION ALL
+  SELECT customerID, 5, 'data_usage', printf('%.2f', data_usage), 'medium', 'Faible consommation data', 15
+  FROM p WHERE data_usage < 2.0
+  UNION ALL
+  SELECT customerID, 6, 'internet', inet, 'medium', 'Fibre optique (plus volatile)', 10 FROM p WHERE inet = 'Fiber optic'
+  UNION ALL
+  SELECT customerID, 7, 'services', 'Aucun service additionnel', 'medium', 'Pas de services de sécurité', 10
+  FROM p WHERE sec = 'No' AND sup = 'No')
+SELECT customerID, CAST(row_number() OVER (PARTITION BY customerID ORDER BY o) AS INTEGER) AS position,
+  factor, value, impact, message, CAST(points AS INTEGER) AS points
+FROM f
+"""
+
+BODIES["score_recommendations"] = _VALID + """
+, r AS (
+  SELECT customerID, 1 AS o, 'Programme d''onboarding personnalisé pour les nouveaux clients' AS text FROM p WHERE tenure < 12
+  UNION ALL SELECT customerID, 2, 'Contacter le client pour résoudre les problèmes signalés' FROM p WHERE complaints >= 1
+  UNION ALL SELECT customerID, 3, 'Proposer une offre d''engagement avec avantages' FROM p WHERE lower(contract_type) = 'prepaid'
+  UNION ALL SELECT customerID, 4, 'Offrir une réduction ou un upgrade de services' FROM p WHERE mc > 80
+  UNION ALL SELECT customerID, 5, 'Proposer des forfaits adaptés à l''usage' FROM p WHERE data_usage < 2.0
+  UNION ALL SELECT customerID, 6, 'Offrir un essai gratuit des services premium' FROM p WHERE sec = 'No' AND sup = 'No'),
+none AS (SELECT customerID FROM p WHERE customerID NOT IN (SELECT customerID FROM r)),
+allr AS (
+  SELECT * FROM r
+  UNION ALL SELECT customerID, 7, 'Maintenir la relation client avec des communications régulières' FROM none
+  UNION ALL SELECT customerID, 8, 'Proposer le programme de fidélité' FROM none)
+SELECT customerID, CAST(row_number() OVER (PARTITION BY customerID ORDER BY o) AS INTEGER) AS position, text
+FROM allr
+"""
+
+BODIES["score_rejects"] = """
+SELECT customerID,
+  CASE WHEN tenure IS NULL THEN 'tenure: missing'
+       WHEN voice_usage IS NULL THEN 'voice_usage: missing'
+       WHEN isnan(voice_usage) OR NOT voice_usage > 0 THEN 'voice_usage: must be > 0'
+       WHEN data_usage IS NULL THEN 'data_usage: missing'
+       WHEN isnan(data_usage) OR NOT data_usage > 0 THEN 'data_usage: must be > 0'
+       WHEN complaints IS NULL THEN 'complaints: missing'
+       WHEN NOT complaints >= 0 THEN 'complaints: must be >= 0'
+       WHEN contract_type IS NULL THEN 'contract_type: missing' END AS reason
+FROM score_requests
+WHERE tenure IS NULL OR voice_usage IS NULL OR isnan(voice_usage) OR NOT voice_usage > 0
+   OR data_usage IS NULL OR isnan(data_usage) OR NOT data_usage > 0
+   OR complaints IS NULL OR NOT complaints >= 0 OR contract_type IS NULL
+"""
+
+
+_COLS = ["customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "PhoneService",
+         "MultipleLines", "InternetService", "OnlineSecurity", "OnlineBackup", "DeviceProtection",
+         "TechSupport", "StreamingTV", "StreamingMovies", "Contract", "PaperlessBilling",
+         "PaymentMethod", "MonthlyCharges", "TotalCharges", "Churn"]
+_TYPES = {"SeniorCitizen": "int", "tenure": "int", "MonthlyCharges": "double"}
+
+BODIES["clean_zero"] = "SELECT * FROM subs"
+
+_MEDIAN = """
+, parsed AS (SELECT *, try_cast(TotalCharges AS DOUBLE) AS tc FROM raw),
+med AS (SELECT median(CAST(round(tc * 100) AS BIGINT)) / 100 AS m FROM parsed),
+wh AS (
+  SELECT gender, SeniorCitizen, Partner, Dependents, tenure, PhoneService, MultipleLines, InternetService,
+    OnlineSecurity, OnlineBackup, DeviceProtection, TechSupport, StreamingTV, StreamingMovies, Contract,
+    PaperlessBilling, PaymentMethod, MonthlyCharges, coalesce(tc, m) AS TotalCharges,
+    CAST(CASE Churn WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS INT) AS Churn
+  FROM parsed CROSS JOIN med)
+"""
+BODIES["clean_median"] = _MEDIAN + "SELECT * FROM wh"
+BODIES["churned_customers"] = _MEDIAN + "SELECT * FROM wh WHERE Churn = 1"
+
+BODIES["head"] = "SELECT * FROM subs ORDER BY customerID LIMIT 5"
+
+BODIES["structure_profile"] = "\nUNION ALL\n".join(
+    f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column_name, '{_TYPES.get(c, 'string')}' AS data_type, "
+    f"CAST(count({c}) AS BIGINT) AS non_null_count, CAST(count(*) AS BIGINT) AS total_rows FROM raw"
+    for i, c in enumerate(_COLS, start=1))
+
+BODIES["null_profile"] = "\nUNION ALL\n".join(
+    f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS column_name, '{_TYPES.get(c, 'string')}' AS data_type, "
+    f"CAST(count_if({c} IS NULL) AS BIGINT) AS null_count FROM raw"
+    for i, c in enumerate(_COLS, start=1))
+
+BODIES["charge_histogram"] = """
+, st AS (
+  SELECT CASE WHEN min(MonthlyCharges) = max(MonthlyCharges) THEN min(MonthlyCharges) - 0.5 ELSE min(MonthlyCharges) END AS lo,
+         CASE WHEN min(MonthlyCharges) = max(MonthlyCharges) THEN max(MonthlyCharges) + 0.5 ELSE max(MonthlyCharges) END AS hi
+  FROM subs),
+c AS (
+  SELECT least(CAST(floor((MonthlyCharges - lo) * 30 / (hi - lo)) AS INTEGER), 29) AS bin, count(*) AS n
+  FROM subs CROSS JOIN st WHERE MonthlyCharges IS NOT NULL GROUP BY 1),
+g AS (SELECT CAST(range AS INTEGER) AS bin FROM range(30))
+SELECT g.bin, lo + g.bin * (hi - lo) / 30 AS bin_start, lo + (g.bin + 1) * (hi - lo) / 30 AS bin_end,
+  CAST(coalesce(n, 0) AS BIGINT) AS count
+FROM g CROSS JOIN st LEFT JOIN c ON g.bin = c.bin
+"""
+
+BODIES["charge_kde"] = """
+, st AS (
+  SELECT count(MonthlyCharges) AS n, min(MonthlyCharges) AS lo, max(MonthlyCharges) AS hi,
+         stddev_samp(MonthlyCharges) * pow(CAST(count(MonthlyCharges) AS DOUBLE), -0.2) AS h
+  FROM subs),
+g AS (SELECT CAST(range AS INTEGER) AS point FROM range(200)),
+s AS (
+  SELECT g.point, sum(exp(-0.5 * ((st.lo + g.point * ((st.hi - st.lo) / 199) - MonthlyCharges) / st.h)
+                        * ((st.lo + g.point * ((st.hi - st.lo) / 199) - MonthlyCharges) / st.h))) AS s
+  FROM subs CROSS JOIN st CROSS JOIN g WHERE MonthlyCharges IS NOT NULL GROUP BY g.point)
+SELECT s.point, lo + s.point * ((hi - lo) / 199) AS x,
+  CAST(round(CAST(s / (n * h * sqrt(2 * pi())) AS DECIMAL(38,18)), 10) AS DOUBLE) AS density,
+  CAST(round(CAST(s / (n * h * sqrt(2 * pi())) * n * (hi - lo) / 30 AS DECIMAL(38,18)), 6) AS DOUBLE) AS count_density
+FROM s CROSS JOIN st
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_fixture(body) for name, body in BODIES.items()}
