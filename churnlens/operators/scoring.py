@@ -50,6 +50,7 @@ REC_FALLBACK = ("Maintenir la relation client avec des communications régulièr
                 "Proposer le programme de fidélité")
 
 SCORE_CAP = 100
+REJECT_COLUMN = "reject_reason"
 
 
 def _factor(name: str, value: Column, impact: str, message: str, points: int) -> Column:
@@ -57,7 +58,7 @@ def _factor(name: str, value: Column, impact: str, message: str, points: int) ->
                     F.lit(message).alias("message"), F.lit(points).alias("points"))
 
 
-def reject_reason(req: DataFrame | None = None) -> Column:
+def reject_reason() -> Column:
     """First failing check in field order, or NULL for a valid request."""
     def bad_positive(c: Column) -> Column:
         return F.isnan(c) | ~(c > 0)
@@ -74,16 +75,16 @@ def reject_reason(req: DataFrame | None = None) -> Column:
 
 
 def tag_requests(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("reject_reason", reject_reason())
+    return requests.withColumn(REJECT_COLUMN, reject_reason())
 
 
 def valid_requests(requests: DataFrame) -> DataFrame:
-    return tag_requests(requests).where(F.col("reject_reason").isNull()).drop("reject_reason")
+    return tag_requests(requests).where(F.col(REJECT_COLUMN).isNull()).drop(REJECT_COLUMN)
 
 
 def rejected_requests(requests: DataFrame) -> DataFrame:
-    return (tag_requests(requests).where(F.col("reject_reason").isNotNull())
-            .select("customerID", F.col("reject_reason").alias("reason")))
+    return (tag_requests(requests).where(F.col(REJECT_COLUMN).isNotNull())
+            .select("customerID", F.col(REJECT_COLUMN).alias("reason")))
 
 
 def score(requests: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import (breakdowns, clean, density, kpi, overview, profile, reasons, scoring,
                          segments)
+from ..session import scratch_path
+from ..sources import io, sample
+from ..streaming import scoring_stream
+from . import report, trends
 from .context import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,3 +182,67 @@ def q_charge_histogram(ws: Workspace) -> DataFrame:
 @register("charge_kde")
 def q_charge_kde(ws: Workspace) -> DataFrame:
     return density.kde(ws.subs, "MonthlyCharges", grid=200, hist_bins=30)
+
+
+@register("monthly_trends")
+def q_monthly_trends(ws: Workspace) -> DataFrame:
+    return trends.monthly_trends(ws.orders)
+
+
+@register("kpi_monthly_delta")
+def q_kpi_monthly_delta(ws: Workspace) -> DataFrame:
+    return trends.monthly_deltas(trends.monthly_trends(ws.orders))
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(ws: Workspace) -> DataFrame:
+    """Raw table -> CSV files -> schema'd CSV read -> cleaning."""
+    path = scratch_path(ws.spark, "csv")
+    io.write_csv(ws.raw, path)
+    return clean.clean_subscribers(io.read_csv(ws.spark, path), fill="zero")
+
+
+@register("store_roundtrip")
+def q_store_roundtrip(ws: Workspace) -> DataFrame:
+    """Read-through load on an empty store: derive + clean, write, read back; the second
+    load is served by the store."""
+    path = scratch_path(ws.spark, "store")
+    io.load_subscribers(ws.spark, path, lambda: ws.subs)
+    return io.load_subscribers(ws.spark, path, lambda: ws.subs)
+
+
+@register("warehouse_append")
+def q_warehouse_append(ws: Workspace) -> DataFrame:
+    """CREATE TABLE IF NOT EXISTS, append the batch-pipeline rows, full scan."""
+    location = scratch_path(ws.spark, "warehouse")
+    name = "customer_data_" + location.rsplit("-", 1)[-1]
+    io.create_warehouse_table(ws.spark, name, location)
+    io.append_to_warehouse(clean.warehouse_rows(ws.raw), name)
+    return io.scan_warehouse(ws.spark, name)
+
+
+@register("score_stream")
+def q_score_stream(ws: Workspace) -> DataFrame:
+    """Requests written as files, scored by a Structured Streaming query (availableNow)."""
+    root = scratch_path(ws.spark, "stream")
+    ws.requests.write.mode("overwrite").parquet(f"{root}/requests")
+    query = scoring_stream.start_scoring_stream(ws.spark, f"{root}/requests", f"{root}/out",
+                                                f"{root}/checkpoint")
+    query.awaitTermination()
+    return scoring_stream.read_scored(ws.spark, f"{root}/out").select(
+        "customerID", "raw_score", "score", "probability", "risk_level")
+
+
+@register("report_sections")
+def q_report_sections(ws: Workspace) -> DataFrame:
+    return report.report_sections(ws.subs, ws.orders)
+
+
+@register("report_summary")
+def q_report_summary(ws: Workspace) -> DataFrame:
+    return report.report_summary(ws.subs)
+
+
+@register("sample_subscribers")
+def q_sample_subscribers(ws: Workspace) -> DataFrame:
+    return sample.sample_subscribers(ws.tables.customer.select("c_custkey"))

@@ -1,0 +1,83 @@
+"""Synthetic subscribers with the domains and weights of a typical telecom table.
+
+One synthetic subscriber per input key (e.g. every ``customer`` row), so the
+output grows with the input and needs no driver-side randomness: every
+attribute is an integer hash of the key, reproducible by any SQL engine and
+identical on a task retry.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+PRIME = 1000000007
+
+# Category domains and their weights (in 1/10000).
+GENDERS = ("Male", "Female")
+YES_NO = ("Yes", "No")
+LINES = ("Yes", "No", "No phone service")
+ADDON = ("Yes", "No", "No internet service")
+PAYMENT_METHODS = ("Electronic check", "Mailed check", "Bank transfer (automatic)",
+                   "Credit card (automatic)")
+SENIOR_WEIGHTS = ((0, 8400), (1, 1600))
+PHONE_WEIGHTS = (("Yes", 9000), ("No", 1000))
+INTERNET_WEIGHTS = (("DSL", 3400), ("Fiber optic", 4400), ("No", 2200))
+CONTRACT_WEIGHTS = (("Month-to-month", 5500), ("One year", 2100), ("Two year", 2400))
+CHURN_WEIGHTS = ((0, 7300), (1, 2700))
+TENURE_MAX = 72
+MONTHLY_RANGE = (18.0, 120.0)
+TOTAL_RANGE = (20.0, 8700.0)
+
+ADDON_COLUMNS = ("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport",
+                 "StreamingTV", "StreamingMovies")
+
+
+def draw(key: Column, stream: int) -> Column:
+    """Deterministic integer in [0, PRIME) for (key, stream); BIGINT-safe for any key."""
+    return ((key % PRIME) * (48271 + 7919 * stream) + 12345 * stream + 1) % PRIME
+
+
+def uniform_choice(key: Column, stream: int, values) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]),
+                        (draw(key, stream) % len(values) + 1).cast("int"))
+
+
+def weighted_choice(key: Column, stream: int, weighted) -> Column:
+    u = draw(key, stream) % 10000
+    expr, acc = None, 0
+    for value, weight in weighted[:-1]:
+        acc += weight
+        expr = F.when(u < acc, F.lit(value)) if expr is None else expr.when(u < acc, F.lit(value))
+    return expr.otherwise(F.lit(weighted[-1][0]))
+
+
+def uniform_cents(key: Column, stream: int, lo: float, hi: float) -> Column:
+    span = int(round((hi - lo) * 100)) + 1
+    return (F.lit(int(round(lo * 100))) + draw(key, stream) % span).cast("double") / 100
+
+
+def sample_subscribers(keys: DataFrame, key_col: str = "c_custkey") -> DataFrame:
+    """Clean-schema subscribers, one per row of ``keys``."""
+    k = F.col(key_col)
+    cols = [
+        F.format_string("CUST-%05d", k).alias("customerID"),
+        uniform_choice(k, 1, GENDERS).alias("gender"),
+        weighted_choice(k, 2, SENIOR_WEIGHTS).cast("int").alias("SeniorCitizen"),
+        uniform_choice(k, 3, YES_NO).alias("Partner"),
+        uniform_choice(k, 4, YES_NO).alias("Dependents"),
+        (draw(k, 5) % (TENURE_MAX + 1)).cast("int").alias("tenure"),
+        weighted_choice(k, 6, PHONE_WEIGHTS).alias("PhoneService"),
+        uniform_choice(k, 7, LINES).alias("MultipleLines"),
+        weighted_choice(k, 8, INTERNET_WEIGHTS).alias("InternetService"),
+    ]
+    cols += [uniform_choice(k, 9 + i, ADDON).alias(c) for i, c in enumerate(ADDON_COLUMNS)]
+    cols += [
+        weighted_choice(k, 15, CONTRACT_WEIGHTS).alias("Contract"),
+        uniform_choice(k, 16, YES_NO).alias("PaperlessBilling"),
+        uniform_choice(k, 17, PAYMENT_METHODS).alias("PaymentMethod"),
+        uniform_cents(k, 18, *MONTHLY_RANGE).alias("MonthlyCharges"),
+        uniform_cents(k, 19, *TOTAL_RANGE).alias("TotalCharges"),
+        weighted_choice(k, 20, CHURN_WEIGHTS).cast("int").alias("Churn"),
+    ]
+    return keys.select(*cols)
