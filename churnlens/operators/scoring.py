@@ -53,9 +53,17 @@ SCORE_CAP = 100
 REJECT_COLUMN = "reject_reason"
 
 
-def _factor(name: str, value: Column, impact: str, message: str, points: int) -> Column:
-    return F.struct(F.lit(name).alias("factor"), value.alias("value"), F.lit(impact).alias("impact"),
-                    F.lit(message).alias("message"), F.lit(points).alias("points"))
+def _q(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_FMT2 = "'%.2f'"  # factor values of money/usage: two decimals
+
+
+def _factor(name: str, value: str, impact: str, message: str, points: int) -> str:
+    return (f"named_struct('factor', {_q(name)}, 'value', {value}, 'impact', {_q(impact)}, "
+            f"'message', {_q(message)}, 'points', {points})")
 
 
 def reject_reason() -> Column:
@@ -91,73 +99,63 @@ def score(requests: DataFrame) -> DataFrame:
     """Add raw_score, score (capped at 100), probability, risk_level, factors (ordered array),
     factor_map (MAP factor -> value/impact/message) and recommendations (ordered array).
 
-    Expects validated rows (see :func:`valid_requests`).
+    Expects validated rows (see :func:`valid_requests`).  Optional inputs that are
+    NULL take their defaults.
     """
-    t = F.col("tenure")
-    comp = F.col("complaints")
-    contract = F.col("contract_type")
-    charges = F.coalesce(F.col("monthly_charges"), F.lit(DEFAULT_MONTHLY_CHARGES))
-    data = F.col("data_usage")
-    inet = F.coalesce(F.col("internet_service"), F.lit(DEFAULT_INTERNET_SERVICE))
-    security = F.coalesce(F.col("online_security"), F.lit(DEFAULT_ONLINE_SECURITY))
-    support = F.coalesce(F.col("tech_support"), F.lit(DEFAULT_TECH_SUPPORT))
-
-    tv = t.cast("string")
-    cv = comp.cast("string")
+    cols = requests.columns
+    mc = f"coalesce(monthly_charges, {DEFAULT_MONTHLY_CHARGES}D)"
+    inet = f"coalesce(internet_service, {_q(DEFAULT_INTERNET_SERVICE)})"
+    security = f"coalesce(online_security, {_q(DEFAULT_ONLINE_SECURITY)})"
+    support = f"coalesce(tech_support, {_q(DEFAULT_TECH_SUPPORT)})"
+    tv, cv = "CAST(tenure AS STRING)", "CAST(complaints AS STRING)"
     factors = {
-        "_f_tenure": (F.when(t < 6, _factor("tenure", tv, "high", MSG_TENURE_NEW, 30))
-                      .when(t < 12, _factor("tenure", tv, "medium", MSG_TENURE_RECENT, 20))
-                      .when(t < 24, _factor("tenure", tv, "low", MSG_TENURE_ESTABLISHED, 10))
-                      .otherwise(_factor("tenure", tv, "positive", MSG_TENURE_LOYAL, 0))),
-        "_f_complaints": (F.when(comp >= 3, _factor("complaints", cv, "high", MSG_COMPLAINTS_MANY, 25))
-                          .when(comp >= 1, _factor("complaints", cv, "medium", MSG_COMPLAINTS_SOME, 15))
-                          .otherwise(_factor("complaints", cv, "positive", MSG_COMPLAINTS_NONE, 0))),
-        "_f_contract": (F.when(F.lower(contract) == "prepaid",
-                               _factor("contract", contract, "high", MSG_CONTRACT_PREPAID, 20))
-                        .otherwise(_factor("contract", contract, "low", MSG_CONTRACT_POSTPAID, 5))),
-        "_f_charges": F.when(charges > 80, _factor("charges", F.format_string("%.2f", charges),
-                                                   "medium", MSG_CHARGES_HIGH, 10)),
-        "_f_data": F.when(data < 2.0, _factor("data_usage", F.format_string("%.2f", data),
-                                              "medium", MSG_DATA_LOW, 15)),
-        "_f_internet": F.when(inet == "Fiber optic", _factor("internet", inet, "medium", MSG_FIBER, 10)),
-        "_f_services": F.when((security == "No") & (support == "No"),
-                              _factor("services", F.lit(VALUE_NO_SERVICES), "medium", MSG_NO_SERVICES, 10)),
+        "_f_tenure": f"CASE WHEN tenure < 6 THEN {_factor('tenure', tv, 'high', MSG_TENURE_NEW, 30)} "
+                     f"WHEN tenure < 12 THEN {_factor('tenure', tv, 'medium', MSG_TENURE_RECENT, 20)} "
+                     f"WHEN tenure < 24 THEN {_factor('tenure', tv, 'low', MSG_TENURE_ESTABLISHED, 10)} "
+                     f"ELSE {_factor('tenure', tv, 'positive', MSG_TENURE_LOYAL, 0)} END",
+        "_f_complaints":
+            f"CASE WHEN complaints >= 3 THEN {_factor('complaints', cv, 'high', MSG_COMPLAINTS_MANY, 25)} "
+            f"WHEN complaints >= 1 THEN {_factor('complaints', cv, 'medium', MSG_COMPLAINTS_SOME, 15)} "
+            f"ELSE {_factor('complaints', cv, 'positive', MSG_COMPLAINTS_NONE, 0)} END",
+        "_f_contract":
+            f"CASE WHEN lower(contract_type) = 'prepaid' "
+            f"THEN {_factor('contract', 'contract_type', 'high', MSG_CONTRACT_PREPAID, 20)} "
+            f"ELSE {_factor('contract', 'contract_type', 'low', MSG_CONTRACT_POSTPAID, 5)} END",
+        "_f_charges": f"CASE WHEN {mc} > 80 THEN "
+                      f"{_factor('charges', f'format_string({_FMT2}, {mc})', 'medium', MSG_CHARGES_HIGH, 10)} END",
+        "_f_data": f"CASE WHEN data_usage < 2.0D THEN "
+                   f"{_factor('data_usage', f'format_string({_FMT2}, data_usage)', 'medium', MSG_DATA_LOW, 15)} END",
+        "_f_internet": f"CASE WHEN {inet} = 'Fiber optic' THEN "
+                       f"{_factor('internet', inet, 'medium', MSG_FIBER, 10)} END",
+        "_f_services": f"CASE WHEN {security} = 'No' AND {support} = 'No' THEN "
+                       f"{_factor('services', _q(VALUE_NO_SERVICES), 'medium', MSG_NO_SERVICES, 10)} END",
     }
-    staged = requests.withColumns(factors)
-    f = {k: F.col(k) for k in factors}
-    raw = sum((F.coalesce(f[k].getField("points"), F.lit(0)) for k in factors), F.lit(0))
-    capped = F.least(F.col("raw_score"), F.lit(SCORE_CAP))
-    listed = F.array_compact(F.array(*f.values()))
-
-    def impact(k: str) -> Column:
-        return f[k].getField("impact")
-
-    fired = F.array_compact(F.array(
-        F.when(impact("_f_tenure").isin("high", "medium"), F.lit(REC_ONBOARDING)),
-        F.when(impact("_f_complaints").isin("high", "medium"), F.lit(REC_CONTACT)),
-        F.when(impact("_f_contract") == "high", F.lit(REC_COMMITMENT)),
-        F.when(impact("_f_charges") == "medium", F.lit(REC_DISCOUNT)),
-        F.when(impact("_f_data") == "medium", F.lit(REC_PLANS)),
-        F.when(impact("_f_services") == "medium", F.lit(REC_TRIAL)),
-    ))
-    fallback = F.array(*[F.lit(x) for x in REC_FALLBACK])
-
-    scored = staged.withColumn("raw_score", raw.cast("int")).withColumns({
-        "score": capped.cast("int"),
-        "factors": listed,
-        "recommendations": F.when(F.size(fired) == 0, fallback).otherwise(fired),
-    })
-    scored = scored.withColumns({
-        "probability": F.col("score").cast("double") / 100,
-        "risk_level": (F.when(F.col("score") >= 70, LEVEL_HIGH)
-                       .when(F.col("score") >= 40, LEVEL_MEDIUM).otherwise(LEVEL_LOW)),
-        "factor_map": F.map_from_entries(F.transform(
-            "factors", lambda x: F.struct(x.getField("factor"),
-                                          F.struct(x.getField("value").alias("value"),
-                                                   x.getField("impact").alias("impact"),
-                                                   x.getField("message").alias("message"))))),
-    })
-    return scored.drop(*factors)
+    staged = requests.selectExpr("*", *[f"{e} AS {k}" for k, e in factors.items()])
+
+    points = " + ".join(f"coalesce({k}.points, 0)" for k in factors)
+    fired = ", ".join([
+        f"CASE WHEN _f_tenure.impact IN ('high', 'medium') THEN {_q(REC_ONBOARDING)} END",
+        f"CASE WHEN _f_complaints.impact IN ('high', 'medium') THEN {_q(REC_CONTACT)} END",
+        f"CASE WHEN _f_contract.impact = 'high' THEN {_q(REC_COMMITMENT)} END",
+        f"CASE WHEN _f_charges.impact = 'medium' THEN {_q(REC_DISCOUNT)} END",
+        f"CASE WHEN _f_data.impact = 'medium' THEN {_q(REC_PLANS)} END",
+        f"CASE WHEN _f_services.impact = 'medium' THEN {_q(REC_TRIAL)} END",
+    ])
+    summed = staged.selectExpr(
+        *cols, f"CAST({points} AS INT) AS raw_score",
+        f"array_compact(array({', '.join(factors)})) AS factors",
+        f"array_compact(array({fired})) AS _fired")
+    capped = f"LEAST(raw_score, {SCORE_CAP})"
+    fallback = ", ".join(_q(x) for x in REC_FALLBACK)
+    return summed.selectExpr(
+        *cols, "raw_score", f"CAST({capped} AS INT) AS score",
+        f"CAST({capped} AS DOUBLE) / 100 AS probability",
+        f"CASE WHEN {capped} >= 70 THEN {_q(LEVEL_HIGH)} WHEN {capped} >= 40 THEN {_q(LEVEL_MEDIUM)} "
+        f"ELSE {_q(LEVEL_LOW)} END AS risk_level",
+        "factors",
+        "map_from_entries(transform(factors, x -> struct(x.factor, named_struct("
+        "'value', x.value, 'impact', x.impact, 'message', x.message)))) AS factor_map",
+        f"CASE WHEN size(_fired) = 0 THEN array({fallback}) ELSE _fired END AS recommendations")
 
 
 def factor_rows(scored: DataFrame, key: str = "customerID") -> DataFrame:

@@ -21,7 +21,7 @@ QUERIES: dict[str, Query] = {}
 
 def register(name: str):
     def deco(fn: Callable[[Workspace], DataFrame]) -> Callable[[Workspace], DataFrame]:
-        QUERIES[name] = lambda spark, data_dir: fn(Workspace(spark, data_dir))
+        QUERIES[name] = lambda spark, data_dir: fn(Workspace.get(spark, data_dir))
         return fn
     return deco
 
@@ -186,12 +186,12 @@ def q_charge_kde(ws: Workspace) -> DataFrame:
 
 @register("monthly_trends")
 def q_monthly_trends(ws: Workspace) -> DataFrame:
-    return trends.monthly_trends(ws.orders)
+    return trends.monthly_trends(ws.orders, ws.base)
 
 
 @register("kpi_monthly_delta")
 def q_kpi_monthly_delta(ws: Workspace) -> DataFrame:
-    return trends.monthly_deltas(trends.monthly_trends(ws.orders))
+    return trends.monthly_deltas(trends.monthly_trends(ws.orders, ws.base))
 
 
 @register("csv_roundtrip")
@@ -235,7 +235,7 @@ def q_score_stream(ws: Workspace) -> DataFrame:
 
 @register("report_sections")
 def q_report_sections(ws: Workspace) -> DataFrame:
-    return report.report_sections(ws.subs, ws.orders)
+    return report.report_sections(ws.subs, ws.orders, activity=ws.base)
 
 
 @register("report_summary")

@@ -8,9 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean_subscribers
 from ..schema import SUBSCRIBER_COLUMNS
-from ..sources import fixture
+from ..session import fingerprint, shared_dir
+from ..sources import fixture, io
 from ..sources.tables import Tables
 
+# Session setting: "false" keeps every query a single lazy plan over the source tables.
+MATERIALIZE_CONF = "churnlens.materialize"
+# Bump when the derivation's semantics change without a schema change.
+BASE_VERSION = "2"
+
+
+_CACHE: dict[tuple, "Workspace"] = {}
+
 
 class Workspace:
     """Builds (lazily) the derived subscriber tables from the source tables.
@@ -19,6 +28,16 @@ class Workspace:
     optimises together with whatever query consumes it.
     """
 
+    @classmethod
+    def get(cls, spark: SparkSession, data_dir: str) -> "Workspace":
+        """One workspace per (application, data directory): the derived plans are built once
+        per session and shared by every query (DataFrames are immutable)."""
+        key = (spark.sparkContext.applicationId, id(spark), data_dir.rstrip("/"))
+        ws = _CACHE.get(key)
+        if ws is None:
+            ws = _CACHE[key] = cls(spark, data_dir)
+        return ws
+
     def __init__(self, spark: SparkSession, data_dir: str):
         self.spark = spark
         self.data_dir = data_dir
@@ -26,7 +45,21 @@ class Workspace:
 
     @cached_property
     def base(self) -> DataFrame:
-        return fixture.subscriber_base(self.tables.customer, self.tables.orders)
+        """Raw subscriber rows plus keys, derived from customer and orders.
+
+        By default the derivation (an aggregate of all orders and a join) runs once
+        and is stored under the shared folder, keyed by a fingerprint of its inputs;
+        every query then scans the stored table with column pruning and pushdown.
+        """
+        derived = fixture.subscriber_base(self.tables.customer, self.tables.orders)
+        if self.spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
+            return derived
+        inputs = [f"{self.data_dir.rstrip('/')}/{t}.parquet" for t in ("customer", "orders")]
+        import hashlib
+        shape = hashlib.sha1((BASE_VERSION + derived.schema.json()).encode()).hexdigest()[:8]
+        key = f"{fingerprint(self.spark, inputs)}-{shape}"
+        path = f"{shared_dir(self.spark)}/churnlens/subscriber_base/{key}"
+        return io.materialize(self.spark, path, lambda: derived)
 
     @cached_property
     def raw(self) -> DataFrame:

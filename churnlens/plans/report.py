@@ -63,7 +63,8 @@ def _kpi_section(subs: DataFrame) -> DataFrame:
 
 
 def report_sections(subs: DataFrame, orders: DataFrame,
-                    include_sections: Iterable[str] = DEFAULT_SECTIONS) -> DataFrame:
+                    include_sections: Iterable[str] = DEFAULT_SECTIONS,
+                    activity: DataFrame | None = None) -> DataFrame:
     wanted = set(include_sections) | set(ALWAYS_SECTIONS)
     parts: list[DataFrame] = []
     if "kpis" in wanted:
@@ -80,7 +81,7 @@ def report_sections(subs: DataFrame, orders: DataFrame,
         parts.append(_rows(seg, "segments", F.col("ordinal"), F.col("name"),
                            F.col("percentage"), F.col("count")))
     if "trends" in wanted:
-        tr = monthly_trends(orders)
+        tr = monthly_trends(orders, activity)
         parts.append(_rows(tr, "trends", F.year("month") * 100 + F.month("month"),
                            F.date_format("month", "yyyy-MM"), F.col("churn_rate")))
     if "contracts" in wanted:

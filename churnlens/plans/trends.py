@@ -25,14 +25,21 @@ def _month(col) -> F.Column:
     return F.trunc(col.cast("date"), "month")
 
 
-def monthly_trends(orders: DataFrame, churn_gap_days: int = CHURN_GAP_DAYS) -> DataFrame:
-    """month, new_customers, churned_customers, base_customers, revenue, churn_rate (2 dp)."""
+def monthly_trends(orders: DataFrame, activity: DataFrame | None = None,
+                   churn_gap_days: int = CHURN_GAP_DAYS) -> DataFrame:
+    """month, new_customers, churned_customers, base_customers, revenue, churn_rate (2 dp).
+
+    ``activity``: per-customer ``first_order``/``last_order`` already at hand (for
+    example the stored subscriber table); computed from ``orders`` when omitted.
+    """
     snap = orders.select(F.max("o_orderdate")).scalar()
     revenue = (orders.groupBy(_month(F.col("o_orderdate")).alias("month"))
                .agg(F.sum(cents(F.col("o_totalprice"))).alias("revenue_cents"))
                .select("month", "revenue_cents", F.lit(0).cast("bigint").alias("new"),
                        F.lit(0).cast("bigint").alias("churned")))
-    activity = customer_activity(orders)
+    if activity is None:
+        activity = customer_activity(orders)
+    activity = activity.where(F.col("first_order").isNotNull()).select("first_order", "last_order")
     churned = F.col("last_order") < snap - F.expr(f"INTERVAL {int(churn_gap_days)} DAYS")
     events = activity.select(F.inline(F.array_compact(F.array(
         F.struct(_month(F.col("first_order")).alias("month"), F.lit(1).alias("new"),

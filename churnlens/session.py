@@ -71,5 +71,31 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Short hash of the size, file count and modification time of input paths, so a
+    materialized derivation is rebuilt when its inputs change."""
+    import hashlib
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    h = hashlib.sha1()
+    for p in paths:
+        hpath = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hpath.getFileSystem(conf)
+        summary = fs.getContentSummary(hpath)
+        status = fs.getFileStatus(hpath)
+        h.update(f"{p}|{summary.getLength()}|{summary.getFileCount()}|{status.getModificationTime()};"
+                 .encode())
+    return h.hexdigest()[:16]
+
+
+def rename_path(spark: SparkSession, src: str, dst: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    s = jvm.org.apache.hadoop.fs.Path(src)
+    d = jvm.org.apache.hadoop.fs.Path(dst)
+    fs = s.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(d.getParent())
+    return bool(fs.rename(s, d))
+
+
 def env_cpus(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))

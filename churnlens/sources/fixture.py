@@ -35,75 +35,71 @@ def customer_activity(orders: DataFrame) -> DataFrame:
     )
 
 
-def _hash(key: Column, mult: int) -> Column:
-    return (key * mult + 12345) % 10007
-
-
-def _yes_no(key: Column, mult: int, pct_yes: int) -> Column:
-    return F.when(_hash(key, mult) % 100 < pct_yes, "Yes").otherwise("No")
-
-
-def _addon(key: Column, inet: Column, mult: int) -> Column:
-    return (F.when(inet == "No", "No internet service")
-            .when(_hash(key, mult) % 100 < 45, "Yes").otherwise("No"))
+def _hash(mult: int) -> str:
+    return f"((c_custkey * {mult} + 12345) % 10007)"
+
+
+def _yes_no(mult: int, pct_yes: int) -> str:
+    return f"CASE WHEN {_hash(mult)} % 100 < {pct_yes} THEN 'Yes' ELSE 'No' END"
+
+
+def _addon(mult: int) -> str:
+    return (f"CASE WHEN inet = 'No' THEN 'No internet service' "
+            f"WHEN {_hash(mult)} % 100 < 45 THEN 'Yes' ELSE 'No' END")
+
+
+# Attribute derivations as SQL expressions (one JVM call each when the plan is built).
+_STAGE = [
+    "c_custkey", "c_name", "c_nationkey", "n_orders", "first_order", "last_order",
+    "CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'Fiber optic' "
+    "WHEN c_mktsegment IN ('FURNITURE', 'HOUSEHOLD') THEN 'DSL' ELSE 'No' END AS inet",
+    f"{_yes_no(7919, 90)} AS phone",
+    "1800 + CAST(floor((CAST(round(c_acctbal * 100) AS BIGINT) + 100000) * 10200 / 1100000) AS BIGINT)"
+    " AS monthly_cents",
+    f"CAST({_hash(503)} % 73 AS INT) AS tenure",
+]
+_ATTRS = [
+    "c_name AS customerID",
+    f"CASE WHEN {_hash(101)} % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender",
+    f"CAST(CASE WHEN {_hash(211)} % 100 < 16 THEN 1 ELSE 0 END AS INT) AS SeniorCitizen",
+    f"{_yes_no(307, 50)} AS Partner",
+    f"{_yes_no(401, 30)} AS Dependents",
+    "tenure",
+    "phone AS PhoneService",
+    f"CASE WHEN phone = 'No' THEN 'No phone service' WHEN {_hash(601)} % 100 < 45 THEN 'Yes' ELSE 'No' END"
+    " AS MultipleLines",
+    "inet AS InternetService",
+    f"{_addon(701)} AS OnlineSecurity",
+    f"{_addon(809)} AS OnlineBackup",
+    f"{_addon(907)} AS DeviceProtection",
+    f"{_addon(1009)} AS TechSupport",
+    f"{_addon(1103)} AS StreamingTV",
+    f"{_addon(1201)} AS StreamingMovies",
+    "CASE WHEN coalesce(n_orders, 0) <= 10 THEN 'Month-to-month' WHEN n_orders <= 12 THEN 'One year'"
+    " ELSE 'Two year' END AS Contract",
+    f"{_yes_no(1301, 60)} AS PaperlessBilling",
+    f"element_at(array('Electronic check', 'Mailed check', 'Bank transfer (automatic)',"
+    f" 'Credit card (automatic)'), CAST({_hash(1409)} % 4 + 1 AS INT)) AS PaymentMethod",
+    "CAST(monthly_cents AS DOUBLE) / 100 AS MonthlyCharges",
+    "CASE WHEN tenure = 0 THEN ' ' ELSE CAST(CAST(CAST(monthly_cents * tenure AS DECIMAL(20,0)) / 100"
+    " AS DECIMAL(18,2)) AS STRING) END AS TotalCharges",
+]
 
 
 def subscriber_base(customer: DataFrame, orders: DataFrame,
                     churn_gap_days: int = CHURN_GAP_DAYS) -> DataFrame:
-    """Raw subscriber columns plus ``c_custkey``, ``c_nationkey`` and ``signup_date``."""
+    """Raw subscriber columns plus ``c_custkey``, ``c_nationkey``, ``signup_date`` and the
+    first/last order times (NULL for subscribers without orders)."""
     snap = orders.select(F.max("o_orderdate")).scalar()
     activity = customer_activity(orders)
     joined = customer.join(activity, customer.c_custkey == activity.o_custkey, "left")
-
-    key = F.col("c_custkey")
-    seg = F.col("c_mktsegment")
-    inet = (F.when(seg.isin("AUTOMOBILE", "BUILDING"), "Fiber optic")
-            .when(seg.isin("FURNITURE", "HOUSEHOLD"), "DSL").otherwise("No"))
-    phone = _yes_no(key, 7919, 90)
-    monthly_cents = 1800 + F.floor(
-        (F.round(F.col("c_acctbal") * 100).cast("bigint") + 100000) * 10200 / 1100000).cast("bigint")
-    tenure = (_hash(key, 503) % 73).cast("int")
-
-    staged = joined.select(
-        "c_custkey", "c_name", "c_nationkey", "n_orders", "first_order", "last_order",
-        inet.alias("inet"), phone.alias("phone"),
-        monthly_cents.alias("monthly_cents"), tenure.alias("tenure"))
-
-    n_orders = F.col("n_orders")
-    inet_c, phone_c = F.col("inet"), F.col("phone")
-    total_text = (F.col("monthly_cents") * F.col("tenure")).cast("decimal(20,0)") / 100
+    staged = joined.selectExpr(*_STAGE)
     last = F.col("last_order")
+    churn = F.when(last.isNull() | (last < snap - _days(churn_gap_days)), "Yes").otherwise("No")
     return staged.select(
-        F.col("c_name").alias("customerID"),
-        F.when(_hash(key, 101) % 2 == 0, "Male").otherwise("Female").alias("gender"),
-        F.when(_hash(key, 211) % 100 < 16, 1).otherwise(0).cast("int").alias("SeniorCitizen"),
-        _yes_no(key, 307, 50).alias("Partner"),
-        _yes_no(key, 401, 30).alias("Dependents"),
-        F.col("tenure"),
-        phone_c.alias("PhoneService"),
-        F.when(phone_c == "No", "No phone service")
-         .when(_hash(key, 601) % 100 < 45, "Yes").otherwise("No").alias("MultipleLines"),
-        inet_c.alias("InternetService"),
-        _addon(key, inet_c, 701).alias("OnlineSecurity"),
-        _addon(key, inet_c, 809).alias("OnlineBackup"),
-        _addon(key, inet_c, 907).alias("DeviceProtection"),
-        _addon(key, inet_c, 1009).alias("TechSupport"),
-        _addon(key, inet_c, 1103).alias("StreamingTV"),
-        _addon(key, inet_c, 1201).alias("StreamingMovies"),
-        F.when(F.coalesce(n_orders, F.lit(0)) <= 10, "Month-to-month")
-         .when(n_orders <= 12, "One year").otherwise("Two year").alias("Contract"),
-        _yes_no(key, 1301, 60).alias("PaperlessBilling"),
-        F.element_at(F.array(F.lit("Electronic check"), F.lit("Mailed check"),
-                             F.lit("Bank transfer (automatic)"), F.lit("Credit card (automatic)")),
-                     (_hash(key, 1409) % 4 + 1).cast("int")).alias("PaymentMethod"),
-        (F.col("monthly_cents").cast("double") / 100).alias("MonthlyCharges"),
-        F.when(F.col("tenure") == 0, F.lit(" "))
-         .otherwise(total_text.cast("decimal(18,2)").cast("string")).alias("TotalCharges"),
-        F.when(last.isNull() | (last < snap - _days(churn_gap_days)), "Yes")
-         .otherwise("No").alias("Churn"),
-        key, F.col("c_nationkey"),
-        F.col("first_order").cast("date").alias("signup_date"),
-    )
+        *[F.expr(e) for e in _ATTRS], churn.alias("Churn"),
+        "c_custkey", "c_nationkey", F.expr("CAST(first_order AS DATE) AS signup_date"),
+        "first_order", "last_order")
 
 
 def raw_subscribers(customer: DataFrame, orders: DataFrame) -> DataFrame:

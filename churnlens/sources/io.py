@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..schema import RAW_SCHEMA, SUBSCRIBER_COLUMNS, WAREHOUSE_COLUMNS
-from ..session import path_exists
+from ..session import path_exists, rename_path
 
 # Keep blanks as they are: a blank TotalCharges is data (a new subscriber).
 _CSV_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false",
@@ -51,6 +51,22 @@ def load_subscribers(spark: SparkSession, store_path: str,
     return read_store(spark, store_path)
 
 
+def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Read ``path`` if a complete copy exists, else write ``build()`` there and read it back.
+
+    The write goes to a private sibling directory that is renamed into place only
+    after the job committed (``_SUCCESS``), so readers never see a partial table and
+    a failed or concurrent build leaves no half-written copy behind.
+    """
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        import uuid
+        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+        build().write.mode("overwrite").parquet(tmp)
+        if not rename_path(spark, tmp, path) and not path_exists(spark, f"{path}/_SUCCESS"):
+            raise RuntimeError(f"could not publish materialized table at {path}")
+    return spark.read.parquet(path)
+
+
 WAREHOUSE_DDL = """CREATE TABLE IF NOT EXISTS {name} (
   gender STRING, SeniorCitizen INT, Partner STRING, Dependents STRING, tenure INT,
   PhoneService STRING, MultipleLines STRING, InternetService STRING, OnlineSecurity STRING,
