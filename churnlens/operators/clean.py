@@ -7,7 +7,7 @@ scalar subquery, so no join or driver round trip is involved).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import WAREHOUSE_COLUMNS
@@ -23,15 +23,43 @@ def yes_no_flag(col: Column) -> Column:
     return F.when(col == "Yes", 1).when(col == "No", 0).cast("int")
 
 
-def exact_median(df: DataFrame, col: str) -> DataFrame:
-    """One-row DataFrame with the interpolated median of a money column.
+def exact_median(df: DataFrame, col: str, coarse_buckets: int = 65536) -> DataFrame:
+    """One-row DataFrame ``median``: the interpolated median of a money column, exactly.
 
-    The median is taken over integer cents, so the middle pair averages exactly;
-    the result is divided by 100 once.  NULLs are skipped; no rows -> NULL.
+    Values are taken in integer cents.  No task ever holds all distinct values:
+    1. count, min and max (scalar subqueries, one merged job);
+    2. counts per coarse bucket of width ``(max-min) div coarse_buckets + 1``
+       (at most ``coarse_buckets + 1`` rows) and their running totals;
+    3. exact value counts only inside the one or two buckets holding the two
+       middle ranks, whose running totals give the middle values.
+    The middle pair averages exactly in cents; NULLs are skipped; no rows -> NULL.
     """
-    c = F.round(F.col(col) * 100).cast("bigint")
-    return df.select(c.alias("_c")).agg(
-        (F.percentile(F.col("_c"), F.lit(0.5)) / 100).alias("median"))
+    vals = df.select(F.round(F.col(col) * 100).cast("bigint").alias("v")).where("v IS NOT NULL")
+    n = vals.select(F.count("v")).scalar()
+    lo = vals.select(F.min("v")).scalar()
+    hi = vals.select(F.max("v")).scalar()
+    width = F.call_function("div", hi - lo, F.lit(coarse_buckets)) + 1
+    k1 = F.call_function("div", n - 1, F.lit(2))
+    k2 = F.call_function("div", n, F.lit(2))
+
+    def covers(start, count, k):
+        return (start <= k) & (k < start + count)
+
+    bucketed = vals.select(F.call_function("div", F.col("v") - lo, width).alias("b"), "v")
+    coarse = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    # running totals over bucket counts only (bounded by coarse_buckets + 1 rows)
+    coarse = coarse.select("b", (F.sum("c").over(Window.orderBy("b")) - F.col("c")).alias("before"),
+                           "c")
+    targets = coarse.where(covers(F.col("before"), F.col("c"), k1)
+                           | covers(F.col("before"), F.col("c"), k2)).select("b", "before")
+    # at most two target buckets: a broadcast of a proven two-row table
+    fine = (bucketed.join(F.broadcast(targets), "b")
+            .groupBy("b", "before", "v").agg(F.count(F.lit(1)).alias("c")))
+    in_bucket = Window.partitionBy("b").orderBy("v")
+    fine = fine.select("v", "c", (F.col("before") + F.sum("c").over(in_bucket) - F.col("c")).alias("start"))
+    v1 = F.max(F.when(covers(F.col("start"), F.col("c"), k1), F.col("v")))
+    v2 = F.max(F.when(covers(F.col("start"), F.col("c"), k2), F.col("v")))
+    return fine.agg(((v1 + v2).cast("double") / 200).alias("median"))
 
 
 def clean_subscribers(raw: DataFrame, fill: str = "zero") -> DataFrame:

@@ -154,3 +154,20 @@ def test_round_ratio_half_up(spark):
         want = float(q.quantize(decimal.Decimal(1).scaleb(-k), rounding=decimal.ROUND_HALF_UP))
         assert r == want, (n, d, k, r, want)
     assert spark.range(1).select(round_ratio(F.lit(1), F.lit(0), 2).alias("r")).first().r is None
+
+
+def test_exact_median_bounded_buckets(spark):
+    import random
+    import statistics
+    rnd = random.Random(11)
+    for n, buckets in [(1, 4), (2, 4), (101, 3), (400, 7), (999, 64)]:
+        vals = [round(rnd.uniform(-50, 500), 2) for _ in range(n)]
+        vals += [123.45] * (n // 3)          # one value holds a third of the rows
+        df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
+        got = clean.exact_median(df, "x", coarse_buckets=buckets).first().median
+        cents = sorted(round(v * 100) for v in vals)
+        want = (cents[(len(cents) - 1) // 2] + cents[len(cents) // 2]) / 200
+        assert got == want, (n, buckets)
+        assert abs(got - statistics.median(vals)) < 1e-9
+    empty = spark.createDataFrame([(None,)], "x double")
+    assert clean.exact_median(empty, "x").first().median is None
