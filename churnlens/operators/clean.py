@@ -35,30 +35,32 @@ def exact_median(df: DataFrame, col: str, coarse_buckets: int = 65536) -> DataFr
     The middle pair averages exactly in cents; NULLs are skipped; no rows -> NULL.
     """
     vals = df.select(F.round(F.col(col) * 100).cast("bigint").alias("v")).where("v IS NOT NULL")
-    n = vals.select(F.count("v")).scalar()
-    lo = vals.select(F.min("v")).scalar()
-    hi = vals.select(F.max("v")).scalar()
-    width = F.call_function("div", hi - lo, F.lit(coarse_buckets)) + 1
-    k1 = F.call_function("div", n - 1, F.lit(2))
-    k2 = F.call_function("div", n, F.lit(2))
-
-    def covers(start, count, k):
-        return (start <= k) & (k < start + count)
-
-    bucketed = vals.select(F.call_function("div", F.col("v") - lo, width).alias("b"), "v")
-    coarse = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    # running totals over bucket counts only (bounded by coarse_buckets + 1 rows)
-    coarse = coarse.select("b", (F.sum("c").over(Window.orderBy("b")) - F.col("c")).alias("before"),
-                           "c")
-    targets = coarse.where(covers(F.col("before"), F.col("c"), k1)
-                           | covers(F.col("before"), F.col("c"), k2)).select("b", "before")
+    stats = vals.select(F.struct(F.count("v").alias("n"), F.min("v").alias("lo"),
+                                 F.max("v").alias("hi")).alias("s")).scalar()
+    div = lambda a, b: F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+    # the statistics are bound once; k1/k2 (0-based middle ranks) travel as constant columns
+    bucketed = vals.withColumn("_s", stats).select(
+        div(F.col("v") - F.col("_s.lo"), div(F.col("_s.hi") - F.col("_s.lo"), coarse_buckets) + 1)
+        .alias("b"),
+        "v", div(F.col("_s.n") - 1, 2).alias("k1"), div(F.col("_s.n"), 2).alias("k2"))
+
+    def covers(start: Column, count: Column) -> Column:
+        k1, k2 = F.col("k1"), F.col("k2")
+        return ((start <= k1) & (k1 < start + count)) | ((start <= k2) & (k2 < start + count))
+
+    coarse = bucketed.groupBy("b", "k1", "k2").agg(F.count(F.lit(1)).alias("c"))
+    # running totals over bucket counts only (at most coarse_buckets + 1 rows)
+    coarse = coarse.select("b", "k1", "k2", "c",
+                           (F.sum("c").over(Window.orderBy("b")) - F.col("c")).alias("before"))
+    targets = coarse.where(covers(F.col("before"), F.col("c"))).select("b", "before")
     # at most two target buckets: a broadcast of a proven two-row table
     fine = (bucketed.join(F.broadcast(targets), "b")
-            .groupBy("b", "before", "v").agg(F.count(F.lit(1)).alias("c")))
-    in_bucket = Window.partitionBy("b").orderBy("v")
-    fine = fine.select("v", "c", (F.col("before") + F.sum("c").over(in_bucket) - F.col("c")).alias("start"))
-    v1 = F.max(F.when(covers(F.col("start"), F.col("c"), k1), F.col("v")))
-    v2 = F.max(F.when(covers(F.col("start"), F.col("c"), k2), F.col("v")))
+            .groupBy("b", "before", "k1", "k2", "v").agg(F.count(F.lit(1)).alias("c")))
+    start = F.col("before") + F.sum("c").over(Window.partitionBy("b").orderBy("v")) - F.col("c")
+    fine = fine.select("v", "c", "k1", "k2", start.alias("start"))
+    hit = lambda k: (F.col("start") <= F.col(k)) & (F.col(k) < F.col("start") + F.col("c"))
+    v1 = F.max(F.when(hit("k1"), F.col("v")))
+    v2 = F.max(F.when(hit("k2"), F.col("v")))
     return fine.agg(((v1 + v2).cast("double") / 200).alias("median"))
 
 

@@ -1,49 +1,53 @@
 """Equal-width histogram and Gaussian kernel density of a numeric column.
 
-Both read the column's statistics (count, min, max, sample std) through scalar
-subqueries, which Spark merges into one job and inlines as constants: no join
-with a statistics row and no driver round trip.  The histogram is one partial
-aggregate over ``bins`` groups.  The KDE first counts distinct values (for a
-money column with two decimals this is bounded by the value range, at any row
-count), then expands each distinct value against the fixed grid inside the
-task and sums per grid point, so the shuffle carries at most ``grid`` rows per
-task.
+Column statistics (count, min, max, sample std) are ONE scalar subquery: a single
+job whose one-row result Spark inlines as a constant.  It is bound as a struct
+column ``_s`` where it is needed, so expressions reference an attribute rather
+than re-planning the subquery; no join with a statistics row, no driver round
+trip.  The histogram is one partial aggregate over ``bins`` groups (empty bins
+come from a union with a zero-count grid, not a join).  The KDE first counts
+distinct values (for a money column this is bounded by the value range, at any
+row count), expands each distinct value against the fixed grid inside the task,
+and sums per grid point, so the shuffle carries at most ``grid`` rows per task.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_double
 
 
-def _range(df: DataFrame, col: str):
-    x = F.col(col)
-    lo = df.select(F.min(x)).scalar()
-    hi = df.select(F.max(x)).scalar()
-    # a constant column gets the unit range around its value, as numpy does
-    lo_adj = F.when(lo == hi, lo - 0.5).otherwise(lo)
-    hi_adj = F.when(lo == hi, hi + 0.5).otherwise(hi)
-    return lo_adj, hi_adj
+def _values_and_stats(df: DataFrame, col: str, *aggs: Column) -> tuple[DataFrame, Column]:
+    """Non-null values of ``col`` as column ``x``, and a scalar subquery struct of ``aggs`` on them."""
+    vals = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull())
+    return vals, vals.select(F.struct(*aggs).alias("s")).scalar()
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
-    """bin (0-based), bin_start, bin_end, count; every bin present, bins ``[a, b)``, last closed."""
-    x = F.col(col)
-    lo, hi = _range(df, col)
-    width = hi - lo
-    idx = F.least(F.floor((x - lo) * bins / width).cast("int"), F.lit(bins - 1))
-    counts = df.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    out = grid.join(counts, "bin", "left")
-    return out.select(
+    """bin (0-based), bin_start, bin_end, count; every bin present; bins ``[a, b)``, last closed.
+
+    A constant column gets the unit range around its value, as numpy does.
+    """
+    lo0, hi0 = F.min("x"), F.max("x")
+    vals, stats = _values_and_stats(
+        df, col, F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0).alias("lo"),
+        F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0).alias("hi"))
+    lo, hi = F.col("_s.lo"), F.col("_s.hi")
+    idx = F.least(F.floor((F.col("x") - lo) * bins / (hi - lo)).cast("int"), F.lit(bins - 1))
+    hits = vals.withColumn("_s", stats).select(idx.alias("bin"), F.lit(1).alias("n"))
+    grid = (df.sparkSession.range(bins)
+            .select(F.col("id").cast("int").alias("bin"), F.lit(0).alias("n")))
+    counts = (hits.unionByName(grid).groupBy("bin")
+              .agg(F.sum("n").cast("bigint").alias("count")))
+    return counts.withColumn("_s", stats).select(
         "bin",
-        (lo + F.col("bin") * width / bins).alias("bin_start"),
-        (lo + (F.col("bin") + 1) * width / bins).alias("bin_end"),
-        F.coalesce(F.col("count"), F.lit(0)).alias("count"),
+        (lo + F.col("bin") * (hi - lo) / bins).alias("bin_start"),
+        (lo + (F.col("bin") + 1) * (hi - lo) / bins).alias("bin_end"),
+        "count",
     )
 
 
@@ -55,20 +59,20 @@ def kde(df: DataFrame, col: str, grid: int = 200, hist_bins: int = 30,
     density (probability density) and count_density (density * n * histogram
     bin width, i.e. on the scale of the ``hist_bins`` histogram).
     """
-    x = F.col(col)
-    n = df.select(F.count(x)).scalar()
-    lo = df.select(F.min(x)).scalar()
-    hi = df.select(F.max(x)).scalar()
-    sd = df.select(F.stddev_samp(x)).scalar()
-    h = sd * F.pow(n.cast("double"), F.lit(-0.2))
+    vals, stats = _values_and_stats(
+        df, col, F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.stddev_samp("x").alias("sd"))
+    n, lo, hi = F.col("_s.n"), F.col("_s.lo"), F.col("_s.hi")
+    h = F.col("_s.sd") * F.pow(n.cast("double"), F.lit(-0.2))
     step = (hi - lo) / (grid - 1)
 
-    distinct = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    expanded = distinct.select("v", "w", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
-    z = (lo + F.col("point") * step - F.col("v")) / h
+    distinct = vals.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
+    expanded = distinct.withColumn("_s", stats).select(
+        "x", "w", "_s", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+    z = (lo + F.col("point") * step - F.col("x")) / h
     sums = expanded.groupBy("point").agg(F.sum(F.col("w") * F.exp(z * z * -0.5)).alias("s"))
     density = F.col("s") / (n * h * math.sqrt(2 * math.pi))
-    return sums.select(
+    return sums.withColumn("_s", stats).select(
         F.col("point").cast("int").alias("point"),
         (lo + F.col("point") * step).alias("x"),
         round_double(density, density_digits).alias("density"),

@@ -125,11 +125,13 @@ def with_region(base: DataFrame, nation: DataFrame, region: DataFrame) -> DataFr
 
 def usage_summary(events: DataFrame) -> DataFrame:
     """Per user: recent complaints (errors, 4 days), voice (clicks, 10 days) and data (views, 10 days)."""
-    snap = events.select(F.max("ts")).scalar()
+    snap = F.col("_snap")
     ts, kind = F.col("ts"), F.col("event_type")
     recent10 = ts > snap - _days(10)
     view_cents = F.round(F.col("value") * 100).cast("bigint")
-    return events.groupBy("user_id").agg(
+    # the snapshot is one scalar subquery, bound once as a column
+    stamped = events.withColumn("_snap", events.select(F.max("ts")).scalar())
+    return stamped.groupBy("user_id").agg(
         F.sum(F.when((kind == "error") & (ts > snap - _days(4)), 1).otherwise(0))
          .cast("int").alias("complaints"),
         F.sum(F.when((kind == "click") & recent10, 10).otherwise(0))
