@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import mean_money, round_ratio, sum_money
+from ..functions.rounding import cents, mean_money, round_ratio, sum_money
 
 DISTRIBUTION_COLUMNS = ("Contract", "InternetService", "PaymentMethod")
 
@@ -50,7 +50,8 @@ def attach_dimension(subs: DataFrame, dim: DataFrame) -> DataFrame:
 
 def overview_summary(df: DataFrame) -> DataFrame:
     """total, churned, active, churn_rate (2 dp; 0 when empty), mean tenure (1 dp),
-    mean monthly charge (2 dp) and total revenue (sum of TotalCharges, exact)."""
+    mean monthly charge (2 dp), total revenue (sum of TotalCharges, exact) and the
+    same in millions (1 dp)."""
     total = F.count(F.lit(1))
     churned = F.coalesce(F.sum("Churn"), F.lit(0)).cast("bigint")
     return df.agg(
@@ -61,6 +62,9 @@ def overview_summary(df: DataFrame) -> DataFrame:
         round_ratio(F.sum("tenure"), F.count("tenure"), 1).alias("average_tenure"),
         mean_money(F.col("MonthlyCharges")).alias("average_monthly_charges"),
         sum_money(F.col("TotalCharges")).alias("total_revenue"),
+        # display figure: millions, 1 dp (from exact cents: 1e6 currency units = 1e8 cents)
+        F.coalesce(round_ratio(F.sum(cents(F.col("TotalCharges"))), F.lit(100_000_000), 1),
+                   F.lit(0.0)).alias("total_revenue_millions"),
     )
 
 

@@ -135,7 +135,8 @@ SELECT CAST(count(*) AS BIGINT) AS total_customers,
   coalesce({rr("coalesce(sum(Churn), 0) * 100", "count(*)", 2)}, 0.0) AS churn_rate,
   {rr("sum(tenure)", "count(tenure)", 1)} AS average_tenure,
   {mean_money("MonthlyCharges")} AS average_monthly_charges,
-  {sum_money("TotalCharges")} AS total_revenue
+  {sum_money("TotalCharges")} AS total_revenue,
+  coalesce({rr("sum(CAST(round(TotalCharges * 100) AS BIGINT))", "100000000", 1)}, 0.0) AS total_revenue_millions
 FROM {{src}}
 """
 BODIES["overview"] = _OVERVIEW.replace("{src}", "subs")
