@@ -88,6 +88,13 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return h.hexdigest()[:16]
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a directory this process created itself (a private temporary copy)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def rename_path(spark: SparkSession, src: str, dst: str) -> bool:
     jvm = spark.sparkContext._jvm
     s = jvm.org.apache.hadoop.fs.Path(src)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..schema import RAW_SCHEMA, SUBSCRIBER_COLUMNS, WAREHOUSE_COLUMNS
-from ..session import path_exists, rename_path
+from ..session import delete_path, path_exists, rename_path
 
 # Keep blanks as they are: a blank TotalCharges is data (a new subscriber).
 _CSV_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false",
@@ -62,8 +62,14 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame])
         import uuid
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
         build().write.mode("overwrite").parquet(tmp)
-        if not rename_path(spark, tmp, path) and not path_exists(spark, f"{path}/_SUCCESS"):
+        if path_exists(spark, path):
+            # another job published first (a rename onto an existing directory would
+            # nest the copy inside it): keep theirs, drop our private copy
+            delete_path(spark, tmp)
+        elif not rename_path(spark, tmp, path):
             raise RuntimeError(f"could not publish materialized table at {path}")
+        if not path_exists(spark, f"{path}/_SUCCESS"):
+            raise RuntimeError(f"materialized table at {path} is incomplete")
     return spark.read.parquet(path)
 
 

@@ -141,3 +141,14 @@ def test_sample_weights(spark):
     assert agg.ids == n
     again = sample.sample_subscribers(keys).exceptAll(s).count()
     assert again == 0  # deterministic: a retried task produces the same rows
+
+
+def test_materialize_concurrent_publisher(spark):
+    path = scratch_path(spark, "t-race")
+
+    def build():
+        spark.range(3).write.parquet(path)      # another job publishes while we build
+        return spark.range(7)
+
+    assert io.materialize(spark, path, build).count() == 3
+    assert spark.read.parquet(path).count() == 3  # theirs kept, no nested copy
