@@ -52,13 +52,14 @@ class Workspace:
         every query then scans the stored table with column pruning and pushdown.
         """
         derived = fixture.subscriber_base(self.tables.customer, self.tables.orders)
-        if self.spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
+        shared = shared_dir(self.spark, required=False)
+        if shared is None or self.spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
             return derived
         inputs = [f"{self.data_dir.rstrip('/')}/{t}.parquet" for t in ("customer", "orders")]
         import hashlib
         shape = hashlib.sha1((BASE_VERSION + derived.schema.json()).encode()).hexdigest()[:8]
         key = f"{fingerprint(self.spark, inputs)}-{shape}"
-        path = f"{shared_dir(self.spark)}/churnlens/subscriber_base/{key}"
+        path = f"{shared}/churnlens/subscriber_base/{key}"
         return io.materialize(self.spark, path, lambda: derived)
 
     @cached_property

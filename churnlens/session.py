@@ -41,12 +41,23 @@ def get_session(master: str | None = None, app: str = "churnlens",
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); set a private one only if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
+def shared_dir(spark: SparkSession, required: bool = True) -> str | None:
+    """The cluster's shared folder (``spark.checkpoint.dir``, read from the session).
+
+    Only in local mode (tests) is a private folder created when the setting is
+    unset; on a cluster a machine-local folder would be invisible to executors, so
+    the setting is required (``required=False`` returns None instead of raising).
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not is_local(spark):
+            if required:
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+            return None
         base = tempfile.mkdtemp(prefix="churnlens-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
