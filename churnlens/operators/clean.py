@@ -23,11 +23,21 @@ def yes_no_flag(col: Column) -> Column:
     return F.when(col == "Yes", 1).when(col == "No", 0).cast("int")
 
 
+def _div(a: Column, b: Column | int) -> Column:
+    """Integral division (SQL ``div``)."""
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
+def _holds(start: Column, count: Column, rank: Column) -> Column:
+    """The run of ``count`` equal values starting at 0-based ``start`` contains ``rank``."""
+    return (start <= rank) & (rank < start + count)
+
+
 def exact_median(df: DataFrame, col: str, coarse_buckets: int = 65536) -> DataFrame:
     """One-row DataFrame ``median``: the interpolated median of a money column, exactly.
 
     Values are taken in integer cents.  No task ever holds all distinct values:
-    1. count, min and max (scalar subqueries, one merged job);
+    1. count, min and max (one scalar subquery, bound once as a column);
     2. counts per coarse bucket of width ``(max-min) div coarse_buckets + 1``
        (at most ``coarse_buckets + 1`` rows) and their running totals;
     3. exact value counts only inside the one or two buckets holding the two
@@ -37,30 +47,27 @@ def exact_median(df: DataFrame, col: str, coarse_buckets: int = 65536) -> DataFr
     vals = df.select(F.round(F.col(col) * 100).cast("bigint").alias("v")).where("v IS NOT NULL")
     stats = vals.select(F.struct(F.count("v").alias("n"), F.min("v").alias("lo"),
                                  F.max("v").alias("hi")).alias("s")).scalar()
-    div = lambda a, b: F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
-    # the statistics are bound once; k1/k2 (0-based middle ranks) travel as constant columns
+    lo, hi, n = F.col("_s.lo"), F.col("_s.hi"), F.col("_s.n")
+    # k1/k2: 0-based ranks of the middle pair, carried as constant columns
     bucketed = vals.withColumn("_s", stats).select(
-        div(F.col("v") - F.col("_s.lo"), div(F.col("_s.hi") - F.col("_s.lo"), coarse_buckets) + 1)
-        .alias("b"),
-        "v", div(F.col("_s.n") - 1, 2).alias("k1"), div(F.col("_s.n"), 2).alias("k2"))
-
-    def covers(start: Column, count: Column) -> Column:
-        k1, k2 = F.col("k1"), F.col("k2")
-        return ((start <= k1) & (k1 < start + count)) | ((start <= k2) & (k2 < start + count))
+        _div(F.col("v") - lo, _div(hi - lo, coarse_buckets) + 1).alias("b"), "v",
+        _div(n - 1, 2).alias("k1"), _div(n, 2).alias("k2"))
+    k1, k2 = F.col("k1"), F.col("k2")
 
     coarse = bucketed.groupBy("b", "k1", "k2").agg(F.count(F.lit(1)).alias("c"))
     # running totals over bucket counts only (at most coarse_buckets + 1 rows)
-    coarse = coarse.select("b", "k1", "k2", "c",
-                           (F.sum("c").over(Window.orderBy("b")) - F.col("c")).alias("before"))
-    targets = coarse.where(covers(F.col("before"), F.col("c"))).select("b", "before")
+    before = F.sum("c").over(Window.orderBy("b")) - F.col("c")
+    coarse = coarse.select("b", "k1", "k2", "c", before.alias("before"))
+    c, b0 = F.col("c"), F.col("before")
+    targets = coarse.where(_holds(b0, c, k1) | _holds(b0, c, k2)).select("b", "before")
     # at most two target buckets: a broadcast of a proven two-row table
     fine = (bucketed.join(F.broadcast(targets), "b")
             .groupBy("b", "before", "k1", "k2", "v").agg(F.count(F.lit(1)).alias("c")))
-    start = F.col("before") + F.sum("c").over(Window.partitionBy("b").orderBy("v")) - F.col("c")
+    start = b0 + F.sum("c").over(Window.partitionBy("b").orderBy("v")) - c
     fine = fine.select("v", "c", "k1", "k2", start.alias("start"))
-    hit = lambda k: (F.col("start") <= F.col(k)) & (F.col(k) < F.col("start") + F.col("c"))
-    v1 = F.max(F.when(hit("k1"), F.col("v")))
-    v2 = F.max(F.when(hit("k2"), F.col("v")))
+    s0 = F.col("start")
+    v1 = F.max(F.when(_holds(s0, c, k1), F.col("v")))
+    v2 = F.max(F.when(_holds(s0, c, k2), F.col("v")))
     return fine.agg(((v1 + v2).cast("double") / 200).alias("median"))
 
 
