@@ -15,35 +15,27 @@ def head(df: DataFrame, n: int = 5, order_by: str = "customerID") -> DataFrame:
     return df.orderBy(order_by).limit(n)
 
 
-def _long(df: DataFrame, aggs, value_name: str) -> DataFrame:
+def _per_column(df: DataFrame, agg, value_name: str) -> DataFrame:
+    """One aggregate pass computing ``agg(column)`` for every column, then one row per
+    column: position, column_name, data_type, <value_name>, total_rows."""
     fields = df.schema.fields
-    wide = df.agg(*aggs)
+    aggs = [agg(F.col(f"`{f.name}`")).alias(f"_v{i}") for i, f in enumerate(fields, start=1)]
+    wide = df.agg(F.count(F.lit(1)).alias("_total"), *aggs)
     parts = []
     for i, f in enumerate(fields, start=1):
-        name = f.name.replace("'", "''")
+        name = f.name.replace("'", "\\'")
         parts.append(f"{i}, '{name}', '{f.dataType.simpleString()}', `_v{i}`")
-    stacked = wide.selectExpr(
-        f"stack({len(fields)}, {', '.join(parts)}) AS (position, column_name, data_type, {value_name})")
-    return stacked.withColumn("position", F.col("position").cast("int"))
+    return (wide.selectExpr(
+        f"stack({len(fields)}, {', '.join(parts)}) AS (position, column_name, data_type, {value_name})",
+        "_total AS total_rows")
+        .withColumn("position", F.col("position").cast("int")))
 
 
 def structure_profile(df: DataFrame) -> DataFrame:
     """position, column_name, data_type, non_null_count, total_rows."""
-    cols = df.columns
-    aggs = [F.count(F.col(f"`{c}`")).alias(f"_v{i}") for i, c in enumerate(cols, start=1)]
-    aggs.append(F.count(F.lit(1)).alias("_total"))
-    fields = df.schema.fields
-    wide = df.agg(*aggs)
-    parts = [f"{i}, '{f.name}', '{f.dataType.simpleString()}', `_v{i}`"
-             for i, f in enumerate(fields, start=1)]
-    return (wide.selectExpr(
-        f"stack({len(fields)}, {', '.join(parts)}) AS (position, column_name, data_type, non_null_count)",
-        "_total AS total_rows")
-        .withColumn("position", F.col("position").cast("int")))
+    return _per_column(df, F.count, "non_null_count")
 
 
 def null_profile(df: DataFrame) -> DataFrame:
     """position, column_name, data_type, null_count."""
-    aggs = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"_v{i}")
-            for i, c in enumerate(df.columns, start=1)]
-    return _long(df, aggs, "null_count")
+    return _per_column(df, lambda c: F.count_if(c.isNull()), "null_count").drop("total_rows")
