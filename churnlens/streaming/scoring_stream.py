@@ -34,10 +34,15 @@ def _write_batch(sink_dir: str):
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                         available_now: bool = True,
-                         processing_time: str | None = None) -> StreamingQuery:
-    """Score request files arriving in ``source_dir`` (Parquet, ``REQUEST_SCHEMA``)."""
-    requests = spark.readStream.schema(REQUEST_SCHEMA).parquet(source_dir)
+                         available_now: bool = True, processing_time: str | None = None,
+                         source_format: str = "parquet",
+                         max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Score request files arriving in ``source_dir`` (``source_format`` parquet or json,
+    schema ``REQUEST_SCHEMA``).  ``max_files_per_trigger`` bounds each micro-batch."""
+    reader = spark.readStream.schema(REQUEST_SCHEMA).format(source_format)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    requests = reader.load(source_dir)
     writer = (requests.writeStream.foreachBatch(_write_batch(sink_dir))
               .option("checkpointLocation", checkpoint_dir))
     if available_now:
