@@ -12,6 +12,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def round_ratio_sql(num: str, den: str, digits: int) -> str:
+    """SQL text of :func:`round_ratio` for SQL operands (one expression, one JVM call)."""
+    scale = 10 ** digits
+    n, d = f"CAST(({num}) AS BIGINT)", f"CAST(({den}) AS BIGINT)"
+    q = f"((abs({n}) * {2 * scale} + {d}) div ({d} * 2))"
+    return (f"CASE WHEN {d} > 0 THEN CAST(CASE WHEN {n} < 0 THEN -{q} ELSE {q} END AS DOUBLE)"
+            f" / {scale} END")
+
+
+def cents_sql(col: str) -> str:
+    return f"CAST(round(({col}) * 100) AS BIGINT)"
+
+
+def mean_money_sql(col: str, digits: int = 2) -> str:
+    """Aggregate SQL: mean of a money column (NULLs skipped), rounded exactly."""
+    return round_ratio_sql(f"sum({cents_sql(col)})", f"count({col}) * 100", digits)
+
+
+def sum_money_sql(col: str) -> str:
+    """Aggregate SQL: sum of a money column, exact to the cent; 0.0 for no rows."""
+    return f"CAST(coalesce(sum({cents_sql(col)}), 0) AS DOUBLE) / 100"
+
+
 def cents(col: Column) -> Column:
     """Money value in integer cents (values carry two decimals)."""
     return F.round(col * 100).cast("bigint")
@@ -21,12 +44,15 @@ def from_cents(col: Column) -> Column:
     return col.cast("double") / 100
 
 
-def round_ratio(num: Column, den: Column, digits: int) -> Column:
+def round_ratio(num: Column | str, den: Column | str, digits: int) -> Column:
     """``num / den`` rounded half away from zero to ``digits`` decimals, as DOUBLE.
 
     ``num`` and ``den`` are integral; ``den`` must be positive, otherwise NULL
-    (this also keeps ANSI mode from raising on an empty group).
+    (this also keeps ANSI mode from raising on an empty group).  SQL-text operands
+    give a single parsed expression.
     """
+    if isinstance(num, str) and isinstance(den, str):
+        return F.expr(round_ratio_sql(num, den, digits))
     scale = 10 ** digits
     n = num.cast("bigint")
     d = den.cast("bigint")
@@ -35,14 +61,14 @@ def round_ratio(num: Column, den: Column, digits: int) -> Column:
     return F.when(d > 0, signed.cast("double") / scale)
 
 
-def mean_money(col: Column, digits: int = 2) -> Column:
+def mean_money(col: str, digits: int = 2) -> Column:
     """Mean of a money column (nulls skipped), rounded exactly.  Aggregate expression."""
-    return round_ratio(F.sum(cents(col)), F.count(col) * 100, digits)
+    return F.expr(mean_money_sql(col, digits))
 
 
-def sum_money(col: Column) -> Column:
+def sum_money(col: str) -> Column:
     """Sum of a money column, exact to the cent; 0.0 for no rows.  Aggregate expression."""
-    return from_cents(F.coalesce(F.sum(cents(col)), F.lit(0)))
+    return F.expr(sum_money_sql(col))
 
 
 def round_double(col: Column, digits: int) -> Column:

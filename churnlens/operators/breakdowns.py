@@ -18,7 +18,7 @@ def churn_by_tenure(subs: DataFrame) -> DataFrame:
     label, ordinal = cut(F.col("tenure"), TENURE_EDGES, TENURE_LABELS)
     banded = subs.select(ordinal.alias("ordinal"), "Churn", "customerID").where("ordinal IS NOT NULL")
     out = banded.groupBy("ordinal").agg(
-        round_ratio(F.sum("Churn") * 100, F.count("Churn"), 2).alias("churn_rate"),
+        round_ratio("sum(Churn) * 100", "count(Churn)", 2).alias("churn_rate"),
         F.count("customerID").alias("customers"),
     )
     return out.select(label_of("ordinal", TENURE_LABELS).alias("tenure_band"), "ordinal",
@@ -30,7 +30,7 @@ def revenue_by_band(subs: DataFrame) -> DataFrame:
     _, ordinal = cut(F.col("MonthlyCharges"), CHARGE_EDGES, CHARGE_LABELS)
     banded = subs.select(ordinal.alias("ordinal"), "TotalCharges", "customerID").where("ordinal IS NOT NULL")
     out = banded.groupBy("ordinal").agg(
-        sum_money(F.col("TotalCharges")).alias("revenue"),
+        sum_money("TotalCharges").alias("revenue"),
         F.count("customerID").alias("customers"),
     )
     return out.select(label_of("ordinal", CHARGE_LABELS).alias("segment"), "ordinal",
@@ -39,10 +39,10 @@ def revenue_by_band(subs: DataFrame) -> DataFrame:
 
 def retention_by_offer(subs: DataFrame) -> DataFrame:
     """Per contract: retention rate ((1 - mean Churn) * 100, 2 dp) and subscriber count."""
-    kept = F.count("Churn") - F.sum("Churn")
-    return (subs.where(F.col("Contract").isNotNull())
+    return (subs.where("Contract IS NOT NULL")
             .groupBy(F.col("Contract").alias("offer"))
-            .agg(round_ratio(kept * 100, F.count("Churn"), 2).alias("retention_rate"),
+            .agg(round_ratio("(count(Churn) - sum(Churn)) * 100", "count(Churn)", 2)
+                 .alias("retention_rate"),
                  F.count("customerID").alias("customers")))
 
 

@@ -19,17 +19,15 @@ def kpis(subs: DataFrame) -> DataFrame:
         total.alias("total_customers"),
         churned.alias("churn_count"),
         round_ratio(churned * 100, total, 2).alias("churn_rate"),
-        mean_money(F.col("MonthlyCharges")).alias("arpu"),
-        mean_money(F.col("TotalCharges")).alias("clv"),
+        mean_money("MonthlyCharges").alias("arpu"),
+        mean_money("TotalCharges").alias("clv"),
         (total - churned).alias("active_customers"),
     )
 
 
 def churn_rate(subs: DataFrame) -> DataFrame:
     """Mean of Churn (NULLs skipped) in percent: unrounded and exactly rounded to 2 dp."""
-    s = F.sum("Churn")
-    n = F.count("Churn")
     return subs.agg(
-        (F.try_divide(s.cast("double"), n.cast("double")) * 100).alias("churn_rate"),
-        round_ratio(s * 100, n, 2).alias("churn_rate_2dp"),
+        F.expr("try_divide(CAST(sum(Churn) AS DOUBLE), CAST(count(Churn) AS DOUBLE)) * 100 AS churn_rate"),
+        round_ratio("sum(Churn) * 100", "count(Churn)", 2).alias("churn_rate_2dp"),
     )

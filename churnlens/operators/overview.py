@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import cents, mean_money, round_ratio, sum_money
+from ..functions.rounding import cents_sql, mean_money, round_ratio, round_ratio_sql, sum_money
 
 DISTRIBUTION_COLUMNS = ("Contract", "InternetService", "PaymentMethod")
 
@@ -52,19 +52,19 @@ def overview_summary(df: DataFrame) -> DataFrame:
     """total, churned, active, churn_rate (2 dp; 0 when empty), mean tenure (1 dp),
     mean monthly charge (2 dp), total revenue (sum of TotalCharges, exact) and the
     same in millions (1 dp)."""
-    total = F.count(F.lit(1))
-    churned = F.coalesce(F.sum("Churn"), F.lit(0)).cast("bigint")
+    churned = "CAST(coalesce(sum(Churn), 0) AS BIGINT)"
+    revenue_cents = f"sum({cents_sql('TotalCharges')})"
     return df.agg(
-        total.alias("total_customers"),
-        churned.alias("churned_customers"),
-        (total - churned).alias("active_customers"),
-        F.coalesce(round_ratio(churned * 100, total, 2), F.lit(0.0)).alias("churn_rate"),
-        round_ratio(F.sum("tenure"), F.count("tenure"), 1).alias("average_tenure"),
-        mean_money(F.col("MonthlyCharges")).alias("average_monthly_charges"),
-        sum_money(F.col("TotalCharges")).alias("total_revenue"),
+        F.expr("count(1) AS total_customers"),
+        F.expr(f"{churned} AS churned_customers"),
+        F.expr(f"count(1) - {churned} AS active_customers"),
+        F.expr(f"coalesce({round_ratio_sql(f'{churned} * 100', 'count(1)', 2)}, 0.0) AS churn_rate"),
+        round_ratio("sum(tenure)", "count(tenure)", 1).alias("average_tenure"),
+        mean_money("MonthlyCharges").alias("average_monthly_charges"),
+        sum_money("TotalCharges").alias("total_revenue"),
         # display figure: millions, 1 dp (from exact cents: 1e6 currency units = 1e8 cents)
-        F.coalesce(round_ratio(F.sum(cents(F.col("TotalCharges"))), F.lit(100_000_000), 1),
-                   F.lit(0.0)).alias("total_revenue_millions"),
+        F.expr(f"coalesce({round_ratio_sql(revenue_cents, '100000000', 1)}, 0.0)"
+               " AS total_revenue_millions"),
     )
 
 

@@ -40,17 +40,20 @@ SUMMARY_PARTS = (
     "€.",
 )
 
+def _q(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 KPI_ORDER = ("total_customers", "churn_rate", "arpu", "clv", "churn_count", "active_customers")
 
 
-def _rows(df: DataFrame, section: str, position, label, value, text=None) -> DataFrame:
-    return df.select(
-        F.lit(section).alias("section"),
-        position.cast("int").alias("position"),
-        label.cast("string").alias("label"),
-        value.cast("double").alias("value"),
-        (text if text is not None else F.lit(None)).cast("string").alias("text"),
-    )
+def _rows(df: DataFrame, section: str, position: str, label: str, value: str,
+          text: str = "NULL") -> DataFrame:
+    """Project a section's rows onto (section, position, label, value, text); SQL operands."""
+    return df.selectExpr(
+        f"'{section}' AS section", f"CAST({position} AS INT) AS position",
+        f"CAST({label} AS STRING) AS label", f"CAST({value} AS DOUBLE) AS value",
+        f"CAST({text} AS STRING) AS text")
 
 
 def _kpi_section(subs: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def _kpi_section(subs: DataFrame) -> DataFrame:
                                F.col(name).cast("double").alias("value"))
                       for i, name in enumerate(KPI_ORDER, start=1)])
     flat = k.select(F.inline(items))
-    return _rows(flat, "kpis", F.col("position"), F.col("label"), F.col("value"))
+    return _rows(flat, "kpis", "position", "label", "value")
 
 
 def report_sections(subs: DataFrame, orders: DataFrame,
@@ -71,30 +74,24 @@ def report_sections(subs: DataFrame, orders: DataFrame,
         parts.append(_kpi_section(subs))
     if "churn" in wanted:
         bands = churn_by_tenure(subs)
-        parts.append(_rows(bands, "churn", F.col("ordinal"), F.col("tenure_band"),
-                           F.col("churn_rate"), F.col("customers")))
+        parts.append(_rows(bands, "churn", "ordinal", "tenure_band", "churn_rate", "customers"))
         top = churn_reasons(subs, k=10)
-        parts.append(_rows(top, "churn", F.col("rank") + 100, F.col("reason"),
-                           F.col("percentage"), F.col("category")))
+        parts.append(_rows(top, "churn", "rank + 100", "reason", "percentage", "category"))
     if "segments" in wanted:
         seg = segment_counts(subs)
-        parts.append(_rows(seg, "segments", F.col("ordinal"), F.col("name"),
-                           F.col("percentage"), F.col("count")))
+        parts.append(_rows(seg, "segments", "ordinal", "name", "percentage", "`count`"))
     if "trends" in wanted:
         tr = monthly_trends(orders, activity)
-        parts.append(_rows(tr, "trends", F.year("month") * 100 + F.month("month"),
-                           F.date_format("month", "yyyy-MM"), F.col("churn_rate")))
+        parts.append(_rows(tr, "trends", "year(month) * 100 + month(month)",
+                           "date_format(month, 'yyyy-MM')", "churn_rate"))
     if "contracts" in wanted:
         cc = contract_counts(subs)
-        parts.append(_rows(cc, "contracts", F.col("rank"), F.col("contract"), F.col("customers")))
+        parts.append(_rows(cc, "contracts", "rank", "contract", "customers"))
     if "recommendations" in wanted:
-        spark = subs.sparkSession
-        rec = spark.createDataFrame(
-            [(i, action, priority, impact) for i, (priority, action, impact) in
-             enumerate(RECOMMENDATIONS, start=1)],
-            "position INT, action STRING, priority STRING, impact STRING")
-        parts.append(_rows(rec, "recommendations", F.col("position"), F.col("action"),
-                           F.lit(None), F.concat_ws(" | ", "priority", "impact")))
+        values = ", ".join(f"({i}, {_q(action)}, {_q(priority + ' | ' + impact)})"
+                           for i, (priority, action, impact) in enumerate(RECOMMENDATIONS, start=1))
+        rec = subs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(position, action, text)")
+        parts.append(_rows(rec, "recommendations", "position", "action", "NULL", "text"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -26,8 +26,11 @@ class Tables:
     def __init__(self, spark: SparkSession, data_dir: str):
         self.spark = spark
         self.data_dir = data_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return table(self.spark, self.data_dir, name)
+        if name not in self._frames:  # one file listing per table and workspace
+            self._frames[name] = table(self.spark, self.data_dir, name)
+        return self._frames[name]
