@@ -87,3 +87,12 @@ class Workspace:
     @property
     def orders(self) -> DataFrame:
         return self.tables.orders
+
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Expose the derived tables to SQL as temporary views: raw, subs, subs_dim,
+        score_requests (names optionally prefixed).  Returns the view names."""
+        views = {"raw": self.raw, "subs": self.subs, "subs_dim": self.dim,
+                 "score_requests": self.requests}
+        for name, df in views.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + n for n in views]

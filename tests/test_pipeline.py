@@ -152,3 +152,20 @@ def test_materialize_concurrent_publisher(spark):
 
     assert io.materialize(spark, path, build).count() == 3
     assert spark.read.parquet(path).count() == 3  # theirs kept, no nested copy
+
+
+def test_views_and_batch_job(spark):
+    from churnlens.plans import jobs
+    from churnlens.plans.context import Workspace
+    from conftest import SF_SMALL
+    ws = Workspace.get(spark, SF_SMALL)
+    names = ws.register_views(prefix="t_")
+    assert names == ["t_raw", "t_subs", "t_subs_dim", "t_score_requests"]
+    churned = spark.sql("SELECT * FROM t_subs WHERE Churn = 1").count()
+    assert churned == ws.subs.where("Churn = 1").count() > 0
+    out = scratch_path(spark, "t-job")
+    loc = out.rsplit("-", 1)[-1]
+    paths = jobs.run_batch(spark, SF_SMALL, out, table=f"customer_data_{loc}")
+    assert spark.read.parquet(paths["kpis"]).count() == 1
+    assert spark.read.parquet(paths["report"]).select("section").distinct().count() == 6
+    assert spark.table(f"customer_data_{loc}").count() == ws.raw.count()
