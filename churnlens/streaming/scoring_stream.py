@@ -23,13 +23,17 @@ SCORED_COLUMNS = ["customerID", "tenure", "voice_usage", "data_usage", "complain
 
 def _write_batch(sink_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        tagged = tag_requests(batch)
-        valid = tagged.where(F.col(REJECT_COLUMN).isNull()).drop(REJECT_COLUMN)
-        score(valid).select(*SCORED_COLUMNS).write.mode("overwrite") \
-            .parquet(f"{sink_dir}/scored/batch={batch_id}")
-        tagged.where(F.col(REJECT_COLUMN).isNotNull()) \
-            .select("customerID", F.col(REJECT_COLUMN).alias("reason")) \
-            .write.mode("overwrite").parquet(f"{sink_dir}/rejected/batch={batch_id}")
+        # two outputs from one micro-batch: read the batch's files once
+        tagged = tag_requests(batch).persist()
+        try:
+            valid = tagged.where(F.col(REJECT_COLUMN).isNull()).drop(REJECT_COLUMN)
+            score(valid).select(*SCORED_COLUMNS).write.mode("overwrite") \
+                .parquet(f"{sink_dir}/scored/batch={batch_id}")
+            tagged.where(F.col(REJECT_COLUMN).isNotNull()) \
+                .select("customerID", F.col(REJECT_COLUMN).alias("reason")) \
+                .write.mode("overwrite").parquet(f"{sink_dir}/rejected/batch={batch_id}")
+        finally:
+            tagged.unpersist()
     return write
 
 
