@@ -43,6 +43,19 @@ class Workspace:
         self.data_dir = data_dir
         self.tables = Tables(spark, data_dir)
 
+    def _stored(self, name: str, inputs: tuple[str, ...], derived: DataFrame) -> DataFrame:
+        """``derived`` computed once and read back from the shared folder, keyed by a
+        fingerprint of its input tables and of its schema; the lazy plan itself when
+        materialisation is off or no shared folder exists."""
+        shared = shared_dir(self.spark, required=False)
+        if shared is None or self.spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
+            return derived
+        import hashlib
+        paths = [f"{self.data_dir.rstrip('/')}/{t}.parquet" for t in inputs]
+        shape = hashlib.sha1((BASE_VERSION + derived.schema.json()).encode()).hexdigest()[:8]
+        key = f"{fingerprint(self.spark, paths)}-{shape}"
+        return io.materialize(self.spark, f"{shared}/churnlens/{name}/{key}", lambda: derived)
+
     @cached_property
     def base(self) -> DataFrame:
         """Raw subscriber rows plus keys, derived from customer and orders.
@@ -52,15 +65,7 @@ class Workspace:
         every query then scans the stored table with column pruning and pushdown.
         """
         derived = fixture.subscriber_base(self.tables.customer, self.tables.orders)
-        shared = shared_dir(self.spark, required=False)
-        if shared is None or self.spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
-            return derived
-        inputs = [f"{self.data_dir.rstrip('/')}/{t}.parquet" for t in ("customer", "orders")]
-        import hashlib
-        shape = hashlib.sha1((BASE_VERSION + derived.schema.json()).encode()).hexdigest()[:8]
-        key = f"{fingerprint(self.spark, inputs)}-{shape}"
-        path = f"{shared}/churnlens/subscriber_base/{key}"
-        return io.materialize(self.spark, path, lambda: derived)
+        return self._stored("subscriber_base", ("customer", "orders"), derived)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -82,7 +87,10 @@ class Workspace:
 
     @cached_property
     def requests(self) -> DataFrame:
-        return fixture.score_requests(self.base, self.tables.events)
+        """Scoring requests (events aggregated per user, joined to the subscriber base);
+        stored like the base, so every scoring query is a shuffle-free projection."""
+        derived = fixture.score_requests(self.base, self.tables.events)
+        return self._stored("score_requests", ("customer", "orders", "events"), derived)
 
     @property
     def orders(self) -> DataFrame:
