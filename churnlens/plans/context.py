@@ -45,14 +45,17 @@ class Workspace:
 
     def _stored(self, name: str, inputs: tuple[str, ...], derived: DataFrame) -> DataFrame:
         """``derived`` computed once and read back from the shared folder, keyed by a
-        fingerprint of its input tables and of its schema; the lazy plan itself when
-        materialisation is off or no shared folder exists."""
+        fingerprint of its input tables, of the derivation code and of its schema; the
+        lazy plan itself when materialisation is off or no shared folder exists."""
         shared = shared_dir(self.spark, required=False)
         if shared is None or self.spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
             return derived
         import hashlib
+        import inspect
         paths = [f"{self.data_dir.rstrip('/')}/{t}.parquet" for t in inputs]
-        shape = hashlib.sha1((BASE_VERSION + derived.schema.json()).encode()).hexdigest()[:8]
+        # any change to the derivation code or its output schema gives a new key
+        logic = inspect.getsource(fixture) + inspect.getsource(clean_subscribers)
+        shape = hashlib.sha1((BASE_VERSION + logic + derived.schema.json()).encode()).hexdigest()[:8]
         key = f"{fingerprint(self.spark, paths)}-{shape}"
         return io.materialize(self.spark, f"{shared}/churnlens/{name}/{key}", lambda: derived)
 
