@@ -76,7 +76,9 @@ def overview(subs: DataFrame, customer_type: str | None = None, region: str | No
 def value_distributions(df: DataFrame, columns: Sequence[str] = DISTRIBUTION_COLUMNS) -> DataFrame:
     """(dimension, key, customers, rank) value counts of several columns in one scan.
 
-    NULL keys are dropped; rank orders by count desc, then key.
+    NULL keys are dropped; rank orders by count desc, then key.  Meant for
+    categorical columns: the rank window sorts each dimension's distinct values in
+    one task, which is small for categories but not for ids.
     """
     cols = list(columns)
     grouped = (df.groupingSets([[c] for c in cols], *cols)

@@ -169,3 +169,17 @@ def test_views_and_batch_job(spark):
     assert spark.read.parquet(paths["kpis"]).count() == 1
     assert spark.read.parquet(paths["report"]).select("section").distinct().count() == 6
     assert spark.table(f"customer_data_{loc}").count() == ws.raw.count()
+
+
+def test_attach_dimension_matches_single_pass(spark):
+    from churnlens.operators import overview
+    from churnlens.plans.context import Workspace
+    from conftest import SF_SMALL
+    ws = Workspace.get(spark, SF_SMALL)
+    args = dict(region="EUROPE", date_start="1995-03-01", date_end="1995-12-31")
+    joined = overview.overview(overview.attach_dimension(ws.subs, ws.dim), **args).first()
+    single = overview.overview(ws.subs_with_region, **args).first()
+    assert joined == single and joined.total_customers > 0
+    import pytest
+    with pytest.raises(ValueError):
+        overview.overview(ws.subs, region="EUROPE")
