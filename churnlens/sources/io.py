@@ -96,3 +96,29 @@ def scan_warehouse(spark: SparkSession, name: str, where: str | None = None) ->
     """``SELECT * FROM name [WHERE ...]``; the predicate is pushed into the Parquet scan."""
     sql = f"SELECT * FROM {name}" + (f" WHERE {where}" if where else "")
     return spark.sql(sql)
+
+
+def append_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
+                batch_size: int = 10000, num_partitions: int | None = None) -> None:
+    """Append rows to an external SQL table over JDBC (the warehouse sink's external form).
+
+    Rows go in batches of ``batch_size`` per statement from every task in parallel
+    (at most ``num_partitions`` connections).  The driver jar must be on the classpath.
+    Not exercised by the tests: no database server runs in the test environment.
+    """
+    out = df.select(*WAREHOUSE_COLUMNS) if set(WAREHOUSE_COLUMNS) <= set(df.columns) else df
+    if num_partitions:
+        out = out.coalesce(num_partitions)
+    out.write.option("batchsize", str(batch_size)).jdbc(url, table, mode="append",
+                                                       properties=properties)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str],
+              partition_column: str | None = None, lower: int | None = None,
+              upper: int | None = None, num_partitions: int = 1) -> DataFrame:
+    """Read an external SQL table over JDBC; with a numeric ``partition_column`` and bounds
+    the read is split into ``num_partitions`` parallel range queries."""
+    if partition_column is None:
+        return spark.read.jdbc(url, table, properties=properties)
+    return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower,
+                           upperBound=upper, numPartitions=num_partitions, properties=properties)
