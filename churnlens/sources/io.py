@@ -107,10 +107,10 @@ def append_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
     Not exercised by the tests: no database server runs in the test environment.
     """
     out = df.select(*WAREHOUSE_COLUMNS) if set(WAREHOUSE_COLUMNS) <= set(df.columns) else df
+    writer = out.write.option("batchsize", str(batch_size))
     if num_partitions:
-        out = out.coalesce(num_partitions)
-    out.write.option("batchsize", str(batch_size)).jdbc(url, table, mode="append",
-                                                       properties=properties)
+        writer = writer.option("numPartitions", str(num_partitions))
+    writer.jdbc(url, table, mode="append", properties=properties)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, str],
