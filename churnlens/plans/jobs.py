@@ -2,6 +2,7 @@
 analyses and write every result as a table under one output folder.
 
     python -m churnlens.plans.jobs --data-dir DIR --out OUT [--sections kpis,churn,...]
+    python -m churnlens.plans.jobs --requests FILE_OR_DIR --format json --out OUT
 
 Each result is a distributed write (Parquet); the report dataset is partitioned
 by section.  Nothing is collected to the driver.
@@ -58,16 +59,39 @@ def run_batch(spark: SparkSession, data_dir: str, out: str,
     return paths
 
 
+def score_file(spark: SparkSession, path: str, out: str, fmt: str = "json") -> dict[str, str]:
+    """Score a file (or folder) of requests with ``REQUEST_SCHEMA`` columns; write the
+    scored rows (arrays and maps kept) and the rejected rows with their reason."""
+    from ..schema import REQUEST_SCHEMA
+    reader = spark.read.schema(REQUEST_SCHEMA)
+    if fmt == "csv":
+        reader = reader.option("header", "true")
+    requests = reader.format(fmt).load(path)
+    out = out.rstrip("/")
+    paths = {"scored": f"{out}/scored", "rejected": f"{out}/rejected"}
+    scoring.score(scoring.valid_requests(requests)).write.mode("overwrite").parquet(paths["scored"])
+    scoring.rejected_requests(requests).write.mode("overwrite").parquet(paths["rejected"])
+    return paths
+
+
 def main(argv: list[str] | None = None) -> None:
     from ..session import get_session
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    ap.add_argument("--data-dir", required=True)
+    ap.add_argument("--data-dir", help="folder of source tables (customer, orders, events, ...)")
+    ap.add_argument("--requests", help="score this file or folder of requests instead")
+    ap.add_argument("--format", default="json", help="format of --requests: json, parquet, csv")
     ap.add_argument("--out", required=True)
     ap.add_argument("--sections", default=",".join(report.DEFAULT_SECTIONS))
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
+    if not (args.data_dir or args.requests):
+        ap.error("give --data-dir or --requests")
     spark = get_session(args.master)
-    for name, path in run_batch(spark, args.data_dir, args.out, args.sections.split(",")).items():
+    if args.requests:
+        paths = score_file(spark, args.requests, args.out, args.format)
+    else:
+        paths = run_batch(spark, args.data_dir, args.out, args.sections.split(","))
+    for name, path in paths.items():
         print(f"{name}\t{path}")
 
 

@@ -129,3 +129,20 @@ def test_stream_restart_does_not_duplicate(spark):
     req.limit(3).write.mode("append").parquet(f"{root}/in")  # new file: only it is scored
     scoring_stream.start_scoring_stream(spark, f"{root}/in", f"{root}/out", f"{root}/ck").awaitTermination()
     assert scoring_stream.read_scored(spark, f"{root}/out").count() == 13
+
+
+def test_score_file_json(spark):
+    import json
+    import os
+    from churnlens.plans import jobs
+    root = scratch_path(spark, "test-score-file")
+    local = root[5:] if root.startswith("file:") else root
+    os.makedirs(local, exist_ok=True)
+    payload = dict(GOLDEN, customerID="api-1")
+    with open(f"{local}/requests.json", "w") as f:
+        f.write(json.dumps(payload) + "\n")
+        f.write(json.dumps(dict(GOLDEN, customerID="api-2", voice_usage=0)) + "\n")
+    paths = jobs.score_file(spark, f"{root}/requests.json", f"{root}/out", "json")
+    scored = spark.read.parquet(paths["scored"]).collect()
+    assert [(r.customerID, r.score, r.risk_level) for r in scored] == [("api-1", 40, "Moyen")]
+    assert spark.read.parquet(paths["rejected"]).first().reason == "voice_usage: must be > 0"
