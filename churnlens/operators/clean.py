@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from ..schema import WAREHOUSE_COLUMNS
 
 
+def nan_to_null(col: Column) -> Column:
+    """NaN -> NULL: a missing number, as in pandas (skipped by aggregates, false in
+    comparisons); Spark would otherwise order NaN above every value."""
+    return F.nanvl(col, F.lit(None).cast("double"))
+
+
 def coerce_double(col: Column) -> Column:
-    """Text to DOUBLE, unparseable values (blank, junk) to NULL; never raises under ANSI."""
-    return col.try_cast("double")
+    """Text to DOUBLE; unparseable values (blank, junk) and NaN to NULL; never raises."""
+    return nan_to_null(col.try_cast("double"))
 
 
 def yes_no_flag(col: Column) -> Column:
@@ -86,6 +92,7 @@ def clean_subscribers(raw: DataFrame, fill: str = "zero") -> DataFrame:
     else:
         raise ValueError(f"unknown fill rule {fill!r}")
     return raw.withColumns({
+        "MonthlyCharges": nan_to_null(F.col("MonthlyCharges").cast("double")),
         "TotalCharges": F.coalesce(total, filler),
         "Churn": yes_no_flag(F.col("Churn")),
     })

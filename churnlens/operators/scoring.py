@@ -103,7 +103,7 @@ def score(requests: DataFrame) -> DataFrame:
     NULL take their defaults.
     """
     cols = requests.columns
-    mc = f"coalesce(monthly_charges, {DEFAULT_MONTHLY_CHARGES}D)"
+    mc = f"coalesce(nanvl(monthly_charges, CAST(NULL AS DOUBLE)), {DEFAULT_MONTHLY_CHARGES}D)"
     inet = f"coalesce(internet_service, {_q(DEFAULT_INTERNET_SERVICE)})"
     security = f"coalesce(online_security, {_q(DEFAULT_ONLINE_SECURITY)})"
     support = f"coalesce(tech_support, {_q(DEFAULT_TECH_SUPPORT)})"

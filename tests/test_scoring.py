@@ -146,3 +146,8 @@ def test_score_file_json(spark):
     scored = spark.read.parquet(paths["scored"]).collect()
     assert [(r.customerID, r.score, r.risk_level) for r in scored] == [("api-1", 40, "Moyen")]
     assert spark.read.parquet(paths["rejected"]).first().reason == "voice_usage: must be > 0"
+
+
+def test_nan_charge_is_missing(spark):
+    r = _score(spark, [dict(monthly_charges=float("nan"))])["R0000"]
+    assert r.raw_score == 5 and "charges" not in r.factor_map

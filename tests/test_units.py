@@ -171,3 +171,21 @@ def test_exact_median_bounded_buckets(spark):
         assert abs(got - statistics.median(vals)) < 1e-9
     empty = spark.createDataFrame([(None,)], "x double")
     assert clean.exact_median(empty, "x").first().median is None
+
+
+def test_nan_is_missing(spark):
+    rows = []
+    for i, (mc, tc) in enumerate([(float("nan"), "NaN"), (95.0, "10.00"), (float("nan"), " ")]):
+        d = {c: None for c in SUBSCRIBER_COLUMNS}
+        d.update(customerID=f"N{i}", MonthlyCharges=mc, TotalCharges=tc, tenure=30, Churn="No",
+                 Contract="One year", InternetService="DSL", PhoneService="Yes")
+        rows.append(tuple(d[c] for c in SUBSCRIBER_COLUMNS))
+    subs = clean.clean_subscribers(spark.createDataFrame(rows, RAW_SCHEMA))
+    got = subs.orderBy("customerID").collect()
+    assert [r.TotalCharges for r in got] == [0.0, 10.0, 0.0]
+    assert got[0].MonthlyCharges is None
+    assert kpi.kpis(subs).first().arpu == 95.0
+    seg = {r.name: r["count"] for r in segments.segment_counts(subs).collect()}
+    assert seg["Premium Users"] == 1  # NaN charges are not "> 90"
+    med = clean.clean_subscribers(spark.createDataFrame(rows, RAW_SCHEMA), "median")
+    assert [r.TotalCharges for r in med.orderBy("customerID").collect()] == [10.0, 10.0, 10.0]
