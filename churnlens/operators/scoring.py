@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sql import quote
+
 # Defaults of the optional request fields.
 DEFAULT_MONTHLY_CHARGES = 50.0
 DEFAULT_INTERNET_SERVICE = "Fiber optic"
@@ -53,17 +55,12 @@ SCORE_CAP = 100
 REJECT_COLUMN = "reject_reason"
 
 
-def _q(text: str) -> str:
-    """SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 _FMT2 = "'%.2f'"  # factor values of money/usage: two decimals
 
 
 def _factor(name: str, value: str, impact: str, message: str, points: int) -> str:
-    return (f"named_struct('factor', {_q(name)}, 'value', {value}, 'impact', {_q(impact)}, "
-            f"'message', {_q(message)}, 'points', {points})")
+    return (f"named_struct('factor', {quote(name)}, 'value', {value}, 'impact', {quote(impact)}, "
+            f"'message', {quote(message)}, 'points', {points})")
 
 
 def reject_reason() -> Column:
@@ -104,9 +101,9 @@ def score(requests: DataFrame) -> DataFrame:
     """
     cols = requests.columns
     mc = f"coalesce(nanvl(monthly_charges, CAST(NULL AS DOUBLE)), {DEFAULT_MONTHLY_CHARGES}D)"
-    inet = f"coalesce(internet_service, {_q(DEFAULT_INTERNET_SERVICE)})"
-    security = f"coalesce(online_security, {_q(DEFAULT_ONLINE_SECURITY)})"
-    support = f"coalesce(tech_support, {_q(DEFAULT_TECH_SUPPORT)})"
+    inet = f"coalesce(internet_service, {quote(DEFAULT_INTERNET_SERVICE)})"
+    security = f"coalesce(online_security, {quote(DEFAULT_ONLINE_SECURITY)})"
+    support = f"coalesce(tech_support, {quote(DEFAULT_TECH_SUPPORT)})"
     tv, cv = "CAST(tenure AS STRING)", "CAST(complaints AS STRING)"
     factors = {
         "_f_tenure": f"CASE WHEN tenure < 6 THEN {_factor('tenure', tv, 'high', MSG_TENURE_NEW, 30)} "
@@ -128,30 +125,30 @@ def score(requests: DataFrame) -> DataFrame:
         "_f_internet": f"CASE WHEN {inet} = 'Fiber optic' THEN "
                        f"{_factor('internet', inet, 'medium', MSG_FIBER, 10)} END",
         "_f_services": f"CASE WHEN {security} = 'No' AND {support} = 'No' THEN "
-                       f"{_factor('services', _q(VALUE_NO_SERVICES), 'medium', MSG_NO_SERVICES, 10)} END",
+                       f"{_factor('services', quote(VALUE_NO_SERVICES), 'medium', MSG_NO_SERVICES, 10)} END",
     }
     staged = requests.selectExpr("*", *[f"{e} AS {k}" for k, e in factors.items()])
 
     points = " + ".join(f"coalesce({k}.points, 0)" for k in factors)
     fired = ", ".join([
-        f"CASE WHEN _f_tenure.impact IN ('high', 'medium') THEN {_q(REC_ONBOARDING)} END",
-        f"CASE WHEN _f_complaints.impact IN ('high', 'medium') THEN {_q(REC_CONTACT)} END",
-        f"CASE WHEN _f_contract.impact = 'high' THEN {_q(REC_COMMITMENT)} END",
-        f"CASE WHEN _f_charges.impact = 'medium' THEN {_q(REC_DISCOUNT)} END",
-        f"CASE WHEN _f_data.impact = 'medium' THEN {_q(REC_PLANS)} END",
-        f"CASE WHEN _f_services.impact = 'medium' THEN {_q(REC_TRIAL)} END",
+        f"CASE WHEN _f_tenure.impact IN ('high', 'medium') THEN {quote(REC_ONBOARDING)} END",
+        f"CASE WHEN _f_complaints.impact IN ('high', 'medium') THEN {quote(REC_CONTACT)} END",
+        f"CASE WHEN _f_contract.impact = 'high' THEN {quote(REC_COMMITMENT)} END",
+        f"CASE WHEN _f_charges.impact = 'medium' THEN {quote(REC_DISCOUNT)} END",
+        f"CASE WHEN _f_data.impact = 'medium' THEN {quote(REC_PLANS)} END",
+        f"CASE WHEN _f_services.impact = 'medium' THEN {quote(REC_TRIAL)} END",
     ])
     summed = staged.selectExpr(
         *cols, f"CAST({points} AS INT) AS raw_score",
         f"array_compact(array({', '.join(factors)})) AS factors",
         f"array_compact(array({fired})) AS _fired")
     capped = f"LEAST(raw_score, {SCORE_CAP})"
-    fallback = ", ".join(_q(x) for x in REC_FALLBACK)
+    fallback = ", ".join(quote(x) for x in REC_FALLBACK)
     return summed.selectExpr(
         *cols, "raw_score", f"CAST({capped} AS INT) AS score",
         f"CAST({capped} AS DOUBLE) / 100 AS probability",
-        f"CASE WHEN {capped} >= 70 THEN {_q(LEVEL_HIGH)} WHEN {capped} >= 40 THEN {_q(LEVEL_MEDIUM)} "
-        f"ELSE {_q(LEVEL_LOW)} END AS risk_level",
+        f"CASE WHEN {capped} >= 70 THEN {quote(LEVEL_HIGH)} WHEN {capped} >= 40 THEN {quote(LEVEL_MEDIUM)} "
+        f"ELSE {quote(LEVEL_LOW)} END AS risk_level",
         "factors",
         "map_from_entries(transform(factors, x -> struct(x.factor, named_struct("
         "'value', x.value, 'impact', x.impact, 'message', x.message)))) AS factor_map",

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import round_ratio
+from ..functions.rounding import round_ratio_sql
+from ..functions.sql import quote, string_array
 
 
 @dataclass(frozen=True)
@@ -52,33 +53,29 @@ SEGMENTS = (
 )
 
 
-def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def segment_counts(subs: DataFrame, name: str | None = None) -> DataFrame:
     """ordinal, name, count, percentage (1 dp of all rows), color, characteristics, actions.
 
     ``name`` selects one segment (lookup by name).
     """
-    wide = subs.agg(F.count(F.lit(1)).alias("total"),
-                    *[F.count_if(s.condition()).alias(f"_c{s.ordinal}") for s in SEGMENTS])
-    items = F.array(*[
-        F.struct(F.lit(s.ordinal).alias("ordinal"), F.lit(s.name).alias("name"),
-                 F.col(f"_c{s.ordinal}").alias("count"), F.lit(s.color).alias("color"),
-                 _strings(s.characteristics).alias("characteristics"),
-                 _strings(s.actions).alias("actions"))
-        for s in SEGMENTS])
-    long = wide.select("total", F.inline(items))
-    out = long.select("ordinal", "name", "count",
-                      round_ratio(F.col("count") * 100, F.col("total"), 1).alias("percentage"),
-                      "color", "characteristics", "actions")
+    wide = subs.agg(
+        F.expr("count(1) AS total"),
+        *[F.expr(f"count_if({s.predicate}) AS _c{s.ordinal}") for s in SEGMENTS])
+    items = ", ".join(
+        f"named_struct('ordinal', {s.ordinal}, 'name', {quote(s.name)}, 'count', _c{s.ordinal}, "
+        f"'color', {quote(s.color)}, 'characteristics', {string_array(s.characteristics)}, "
+        f"'actions', {string_array(s.actions)})"
+        for s in SEGMENTS)
+    long = wide.selectExpr("total", f"inline(array({items}))")
+    out = long.selectExpr("ordinal", "name", "count",
+                          f"{round_ratio_sql('count * 100', 'total', 1)} AS percentage",
+                          "color", "characteristics", "actions")
     return out.where(F.col("name") == name) if name is not None else out
 
 
 def segment_members(subs: DataFrame) -> DataFrame:
     """Long form subscriber x segment: customerID, ordinal, segment (a row may be in several)."""
-    tags = F.array_compact(F.array(*[
-        F.when(s.condition(), F.struct(F.lit(s.ordinal).alias("ordinal"), F.lit(s.name).alias("segment")))
-        for s in SEGMENTS]))
-    return subs.select("customerID", F.inline(tags))
+    tags = ", ".join(
+        f"CASE WHEN {s.predicate} THEN named_struct('ordinal', {s.ordinal}, 'segment', {quote(s.name)}) END"
+        for s in SEGMENTS)
+    return subs.selectExpr("customerID", f"inline(array_compact(array({tags})))")

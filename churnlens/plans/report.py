@@ -14,6 +14,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sql import quote
+
 from ..operators.breakdowns import churn_by_tenure
 from ..operators.kpi import kpis
 from ..operators.overview import contract_counts
@@ -40,10 +42,6 @@ SUMMARY_PARTS = (
     "€.",
 )
 
-def _q(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 KPI_ORDER = ("total_customers", "churn_rate", "arpu", "clv", "churn_count", "active_customers")
 
 
@@ -88,7 +86,7 @@ def report_sections(subs: DataFrame, orders: DataFrame,
         cc = contract_counts(subs)
         parts.append(_rows(cc, "contracts", "rank", "contract", "customers"))
     if "recommendations" in wanted:
-        values = ", ".join(f"({i}, {_q(action)}, {_q(priority + ' | ' + impact)})"
+        values = ", ".join(f"({i}, {quote(action)}, {quote(priority + ' | ' + impact)})"
                            for i, (priority, action, impact) in enumerate(RECOMMENDATIONS, start=1))
         rec = subs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(position, action, text)")
         parts.append(_rows(rec, "recommendations", "position", "action", "NULL", "text"))

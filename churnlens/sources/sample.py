@@ -8,8 +8,7 @@ identical on a task retry.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 PRIME = 1000000007
 
@@ -33,51 +32,55 @@ ADDON_COLUMNS = ("OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupp
                  "StreamingTV", "StreamingMovies")
 
 
-def draw(key: Column, stream: int) -> Column:
-    """Deterministic integer in [0, PRIME) for (key, stream); BIGINT-safe for any key."""
-    return ((key % PRIME) * (48271 + 7919 * stream) + 12345 * stream + 1) % PRIME
+def _lit(v) -> str:
+    return f"'{v}'" if isinstance(v, str) else str(v)
 
 
-def uniform_choice(key: Column, stream: int, values) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]),
-                        (draw(key, stream) % len(values) + 1).cast("int"))
+def draw(key: str, stream: int) -> str:
+    """SQL: deterministic integer in [0, PRIME) for (key, stream); BIGINT-safe for any key."""
+    return f"((({key} % {PRIME}) * {48271 + 7919 * stream} + {12345 * stream + 1}) % {PRIME})"
 
 
-def weighted_choice(key: Column, stream: int, weighted) -> Column:
-    u = draw(key, stream) % 10000
-    expr, acc = None, 0
+def uniform_choice(key: str, stream: int, values) -> str:
+    arr = ", ".join(_lit(v) for v in values)
+    return f"element_at(array({arr}), CAST({draw(key, stream)} % {len(values)} + 1 AS INT))"
+
+
+def weighted_choice(key: str, stream: int, weighted) -> str:
+    u = f"{draw(key, stream)} % 10000"
+    arms, acc = [], 0
     for value, weight in weighted[:-1]:
         acc += weight
-        expr = F.when(u < acc, F.lit(value)) if expr is None else expr.when(u < acc, F.lit(value))
-    return expr.otherwise(F.lit(weighted[-1][0]))
+        arms.append(f"WHEN {u} < {acc} THEN {_lit(value)}")
+    return f"CASE {' '.join(arms)} ELSE {_lit(weighted[-1][0])} END"
 
 
-def uniform_cents(key: Column, stream: int, lo: float, hi: float) -> Column:
+def uniform_cents(key: str, stream: int, lo: float, hi: float) -> str:
     span = int(round((hi - lo) * 100)) + 1
-    return (F.lit(int(round(lo * 100))) + draw(key, stream) % span).cast("double") / 100
+    return f"CAST({int(round(lo * 100))} + {draw(key, stream)} % {span} AS DOUBLE) / 100"
 
 
 def sample_subscribers(keys: DataFrame, key_col: str = "c_custkey") -> DataFrame:
-    """Clean-schema subscribers, one per row of ``keys``."""
-    k = F.col(key_col)
+    """Clean-schema subscribers, one per row of ``keys`` (one SQL projection)."""
+    k = f"`{key_col}`"
     cols = [
-        F.format_string("CUST-%05d", k).alias("customerID"),
-        uniform_choice(k, 1, GENDERS).alias("gender"),
-        weighted_choice(k, 2, SENIOR_WEIGHTS).cast("int").alias("SeniorCitizen"),
-        uniform_choice(k, 3, YES_NO).alias("Partner"),
-        uniform_choice(k, 4, YES_NO).alias("Dependents"),
-        (draw(k, 5) % (TENURE_MAX + 1)).cast("int").alias("tenure"),
-        weighted_choice(k, 6, PHONE_WEIGHTS).alias("PhoneService"),
-        uniform_choice(k, 7, LINES).alias("MultipleLines"),
-        weighted_choice(k, 8, INTERNET_WEIGHTS).alias("InternetService"),
+        f"format_string('CUST-%05d', {k}) AS customerID",
+        f"{uniform_choice(k, 1, GENDERS)} AS gender",
+        f"CAST({weighted_choice(k, 2, SENIOR_WEIGHTS)} AS INT) AS SeniorCitizen",
+        f"{uniform_choice(k, 3, YES_NO)} AS Partner",
+        f"{uniform_choice(k, 4, YES_NO)} AS Dependents",
+        f"CAST({draw(k, 5)} % {TENURE_MAX + 1} AS INT) AS tenure",
+        f"{weighted_choice(k, 6, PHONE_WEIGHTS)} AS PhoneService",
+        f"{uniform_choice(k, 7, LINES)} AS MultipleLines",
+        f"{weighted_choice(k, 8, INTERNET_WEIGHTS)} AS InternetService",
     ]
-    cols += [uniform_choice(k, 9 + i, ADDON).alias(c) for i, c in enumerate(ADDON_COLUMNS)]
+    cols += [f"{uniform_choice(k, 9 + i, ADDON)} AS {c}" for i, c in enumerate(ADDON_COLUMNS)]
     cols += [
-        weighted_choice(k, 15, CONTRACT_WEIGHTS).alias("Contract"),
-        uniform_choice(k, 16, YES_NO).alias("PaperlessBilling"),
-        uniform_choice(k, 17, PAYMENT_METHODS).alias("PaymentMethod"),
-        uniform_cents(k, 18, *MONTHLY_RANGE).alias("MonthlyCharges"),
-        uniform_cents(k, 19, *TOTAL_RANGE).alias("TotalCharges"),
-        weighted_choice(k, 20, CHURN_WEIGHTS).cast("int").alias("Churn"),
+        f"{weighted_choice(k, 15, CONTRACT_WEIGHTS)} AS Contract",
+        f"{uniform_choice(k, 16, YES_NO)} AS PaperlessBilling",
+        f"{uniform_choice(k, 17, PAYMENT_METHODS)} AS PaymentMethod",
+        f"{uniform_cents(k, 18, *MONTHLY_RANGE)} AS MonthlyCharges",
+        f"{uniform_cents(k, 19, *TOTAL_RANGE)} AS TotalCharges",
+        f"CAST({weighted_choice(k, 20, CHURN_WEIGHTS)} AS INT) AS Churn",
     ]
-    return keys.select(*cols)
+    return keys.selectExpr(*cols)
