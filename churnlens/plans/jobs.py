@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 from ..operators import breakdowns, clean, density, kpi, overview, reasons, scoring, segments
@@ -30,18 +31,28 @@ def run_batch(spark: SparkSession, data_dir: str, out: str,
     """
     ws = Workspace.get(spark, data_dir)
     out = out.rstrip("/")
+    # a dozen aggregations read the same clean table: scan the stored base once, keep
+    # the clean rows on the executors (spilling to disk; lost blocks are recomputed)
+    subs = ws.subs.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _write_all(spark, ws, subs, out, sections, table)
+    finally:
+        subs.unpersist()
+
+
+def _write_all(spark: SparkSession, ws: Workspace, subs, out: str, sections, table: str) -> dict[str, str]:
     results = {
-        "kpis": kpi.kpis(ws.subs),
-        "churn_rate": kpi.churn_rate(ws.subs),
-        "churn_by_tenure": breakdowns.churn_by_tenure(ws.subs),
-        "revenue_by_band": breakdowns.revenue_by_band(ws.subs),
-        "retention_by_offer": breakdowns.retention_by_offer(ws.subs),
-        "churn_reasons": reasons.churn_reasons(ws.subs),
-        "segments": segments.segment_counts(ws.subs),
-        "overview": overview.overview(ws.subs),
-        "distributions": overview.value_distributions(ws.subs),
-        "charge_histogram": density.histogram(ws.subs, "MonthlyCharges"),
-        "charge_kde": density.kde(ws.subs, "MonthlyCharges"),
+        "kpis": kpi.kpis(subs),
+        "churn_rate": kpi.churn_rate(subs),
+        "churn_by_tenure": breakdowns.churn_by_tenure(subs),
+        "revenue_by_band": breakdowns.revenue_by_band(subs),
+        "retention_by_offer": breakdowns.retention_by_offer(subs),
+        "churn_reasons": reasons.churn_reasons(subs),
+        "segments": segments.segment_counts(subs),
+        "overview": overview.overview(subs),
+        "distributions": overview.value_distributions(subs),
+        "charge_histogram": density.histogram(subs, "MonthlyCharges"),
+        "charge_kde": density.kde(subs, "MonthlyCharges"),
         "monthly_trends": trends.monthly_trends(ws.orders, ws.base),
         "scored_requests": scoring.score(scoring.valid_requests(ws.requests)),
         "rejected_requests": scoring.rejected_requests(ws.requests),
@@ -51,7 +62,7 @@ def run_batch(spark: SparkSession, data_dir: str, out: str,
         paths[name] = f"{out}/{name}"
         df.write.mode("overwrite").parquet(paths[name])
     paths["report"] = f"{out}/report"
-    report.write_report(report.report_sections(ws.subs, ws.orders, sections, ws.base), paths["report"])
+    report.write_report(report.report_sections(subs, ws.orders, sections, ws.base), paths["report"])
     # warehouse copy: batch-pipeline cleaning (median fill, no id), appended to a table
     paths[table] = f"{out}/{table}"
     io.create_warehouse_table(spark, table, paths[table])
