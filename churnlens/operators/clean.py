@@ -43,11 +43,12 @@ def exact_median(df: DataFrame, col: str, coarse_buckets: int = 65536) -> DataFr
     """One-row DataFrame ``median``: the interpolated median of a money column, exactly.
 
     Values are taken in integer cents.  No task ever holds all distinct values:
-    1. count, min and max (one scalar subquery, bound once as a column);
+    1. count, min and max: one scalar subquery, bound once as a column;
     2. counts per coarse bucket of width ``(max-min) div coarse_buckets + 1``
-       (at most ``coarse_buckets + 1`` rows) and their running totals;
-    3. exact value counts only inside the one or two buckets holding the two
-       middle ranks, whose running totals give the middle values.
+       (at most ``coarse_buckets + 1`` rows) and their running totals locate the
+       one or two buckets holding the middle ranks: a second scalar subquery;
+    3. exact value counts only inside those buckets (a range filter), whose running
+       totals give the middle values.
     The middle pair averages exactly in cents; NULLs are skipped; no rows -> NULL.
     """
     vals = df.select(F.round(F.col(col) * 100).cast("bigint").alias("v")).where("v IS NOT NULL")
@@ -58,18 +59,23 @@ def exact_median(df: DataFrame, col: str, coarse_buckets: int = 65536) -> DataFr
     bucketed = vals.withColumn("_s", stats).select(
         _div(F.col("v") - lo, _div(hi - lo, coarse_buckets) + 1).alias("b"), "v",
         _div(n - 1, 2).alias("k1"), _div(n, 2).alias("k2"))
-    k1, k2 = F.col("k1"), F.col("k2")
+    k1, k2, c = F.col("k1"), F.col("k2"), F.col("c")
 
-    coarse = bucketed.groupBy("b", "k1", "k2").agg(F.count(F.lit(1)).alias("c"))
     # running totals over bucket counts only (at most coarse_buckets + 1 rows)
-    before = F.sum("c").over(Window.orderBy("b")) - F.col("c")
+    coarse = bucketed.groupBy("b", "k1", "k2").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.orderBy("b")) - c
     coarse = coarse.select("b", "k1", "k2", "c", before.alias("before"))
-    c, b0 = F.col("c"), F.col("before")
-    targets = coarse.where(_holds(b0, c, k1) | _holds(b0, c, k2)).select("b", "before")
-    # at most two target buckets: a broadcast of a proven two-row table
-    fine = (bucketed.join(F.broadcast(targets), "b")
-            .groupBy("b", "before", "k1", "k2", "v").agg(F.count(F.lit(1)).alias("c")))
-    start = b0 + F.sum("c").over(Window.partitionBy("b").orderBy("v")) - c
+    b0 = F.col("before")
+    # the target buckets hold consecutive ranks, so every bucket between them is empty
+    target = (coarse.where(_holds(b0, c, k1) | _holds(b0, c, k2))
+              .select(F.struct(F.min("b").alias("first"), F.max("b").alias("last"),
+                               F.min("before").alias("before")).alias("t")).scalar())
+    fine = (bucketed.withColumn("_t", target)
+            .where(F.col("b").between(F.col("_t.first"), F.col("_t.last")))
+            .groupBy("v", "k1", "k2", F.col("_t.before").alias("before"))
+            .agg(F.count(F.lit(1)).alias("c")))
+    # distinct values of at most two buckets, in order
+    start = b0 + F.sum("c").over(Window.orderBy("v")) - c
     fine = fine.select("v", "c", "k1", "k2", start.alias("start"))
     s0 = F.col("start")
     v1 = F.max(F.when(_holds(s0, c, k1), F.col("v")))
