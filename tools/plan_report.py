@@ -31,8 +31,11 @@ def main() -> None:
     qs = E.queries()
     lines = ["# Physical plans of the registered queries", "",
              f"Generated by `tools/plan_report.py` on `{sf_dir}` (AQE on; shapes before AQE's "
-             "runtime re-planning).  Counts are occurrences in the executed plan, subqueries "
-             "included.  No query has a nested-loop or cartesian join or a Python UDF.", ""]
+             "runtime re-planning).  Counts are occurrences in the executed plan text, subqueries "
+             "included; a nested scalar subquery is printed at every reference, so queries built "
+             "on scalar statistics (median, histogram, KDE) show inflated counts although each "
+             "subquery runs once.  No query has a nested-loop or cartesian join or a Python UDF.",
+             ""]
     for name in sorted(qs):
         df = qs[name](spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString()
