@@ -8,10 +8,11 @@ Windows run on the aggregated rows only (a handful per category).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import round_ratio
+from ..functions.rounding import round_ratio_sql
+from ..functions.sql import quote
 
 # Reason prefixes and category names.
 CONTRACT_PREFIX = "Contrat "
@@ -23,18 +24,18 @@ EXCLUDED_SERVICE = "No"
 
 def reason_shares(subs: DataFrame) -> DataFrame:
     """(category, value, customers, percentage) for every reason candidate, before top-k."""
-    churned = subs.where(F.col("Churn") == 1).select("Contract", "InternetService")
+    churned = subs.where("Churn = 1").select("Contract", "InternetService")
     counts = (churned.groupingSets([["Contract"], ["InternetService"]], "Contract", "InternetService")
-              .agg(F.count(F.lit(1)).alias("customers"), F.grouping("Contract").alias("_g")))
-    is_contract = F.col("_g") == 0
-    rows = counts.select(
-        F.when(is_contract, CONTRACT_CATEGORY).otherwise(SERVICE_CATEGORY).alias("category"),
-        F.when(is_contract, F.col("Contract")).otherwise(F.col("InternetService")).alias("value"),
-        "customers",
-    ).where(F.col("value").isNotNull())
-    per_category = Window.partitionBy("category")
-    return rows.withColumn(
-        "percentage", round_ratio(F.col("customers") * 100, F.sum("customers").over(per_category), 1))
+              .agg(F.expr("count(1) AS customers"), F.expr("grouping(Contract) AS _g")))
+    rows = counts.selectExpr(
+        f"CASE WHEN _g = 0 THEN {quote(CONTRACT_CATEGORY)} ELSE {quote(SERVICE_CATEGORY)} END AS category",
+        "CASE WHEN _g = 0 THEN Contract ELSE InternetService END AS value",
+        "customers").where("value IS NOT NULL")
+    # per-category totals over the aggregated rows (a handful per category)
+    return rows.selectExpr(
+        "category", "value", "customers",
+        f"{round_ratio_sql('customers * 100', 'sum(customers) OVER (PARTITION BY category)', 1)}"
+        " AS percentage")
 
 
 def churn_reasons(subs: DataFrame, k: int = 10) -> DataFrame:
@@ -42,15 +43,17 @@ def churn_reasons(subs: DataFrame, k: int = 10) -> DataFrame:
 
     Order: rounded percentage desc, then Contract before Service, count desc, name.
     """
-    shares = reason_shares(subs)
-    kept = shares.where(~((F.col("category") == SERVICE_CATEGORY) & (F.col("value") == EXCLUDED_SERVICE)))
-    reason = F.concat(F.when(F.col("category") == CONTRACT_CATEGORY, CONTRACT_PREFIX)
-                      .otherwise(SERVICE_PREFIX), F.col("value"))
-    order = [F.col("percentage").desc(),
-             F.when(F.col("category") == CONTRACT_CATEGORY, 0).otherwise(1),
-             F.col("customers").desc(), F.col("reason")]
-    top = (kept.select(reason.alias("reason"), "category", "percentage", "customers")
-           .orderBy(*order).limit(k))
+    kept = reason_shares(subs).where(
+        f"NOT (category = {quote(SERVICE_CATEGORY)} AND value = {quote(EXCLUDED_SERVICE)})")
+    named = kept.selectExpr(
+        f"concat(CASE WHEN category = {quote(CONTRACT_CATEGORY)} THEN {quote(CONTRACT_PREFIX)}"
+        f" ELSE {quote(SERVICE_PREFIX)} END, value) AS reason",
+        "category", "percentage", "customers")
+    order = (f"percentage DESC, CASE WHEN category = {quote(CONTRACT_CATEGORY)} THEN 0 ELSE 1 END,"
+             " customers DESC, reason")
+    top = named.orderBy(F.col("percentage").desc(),
+                        F.expr(f"CASE WHEN category = {quote(CONTRACT_CATEGORY)} THEN 0 ELSE 1 END"),
+                        F.col("customers").desc(), F.col("reason")).limit(k)
     # the window sees at most k rows
-    return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"),
-                      "reason", "category", "percentage", "customers")
+    return top.selectExpr(f"row_number() OVER (ORDER BY {order}) AS rank",
+                          "reason", "category", "percentage", "customers")

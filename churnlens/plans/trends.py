@@ -14,15 +14,15 @@ history, independent of data volume) reach the running-sum windows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import cents, from_cents, round_ratio
+from ..functions.rounding import cents_sql, round_ratio, round_ratio_sql
 from ..sources.fixture import CHURN_GAP_DAYS, customer_activity
 
 
-def _month(col) -> F.Column:
-    return F.trunc(col.cast("date"), "month")
+def _month(col: str) -> str:
+    return f"trunc(CAST({col} AS DATE), 'MM')"
 
 
 def monthly_trends(orders: DataFrame, activity: DataFrame | None = None,
@@ -32,51 +32,46 @@ def monthly_trends(orders: DataFrame, activity: DataFrame | None = None,
     ``activity``: per-customer ``first_order``/``last_order`` already at hand (for
     example the stored subscriber table); computed from ``orders`` when omitted.
     """
-    snap = orders.select(F.max("o_orderdate")).scalar()
-    revenue = (orders.groupBy(_month(F.col("o_orderdate")).alias("month"))
-               .agg(F.sum(cents(F.col("o_totalprice"))).alias("revenue_cents"))
-               .select("month", "revenue_cents", F.lit(0).cast("bigint").alias("new"),
-                       F.lit(0).cast("bigint").alias("churned")))
+    zero = "CAST(0 AS BIGINT)"
+    revenue = (orders.groupBy(F.expr(f"{_month('o_orderdate')} AS month"))
+               .agg(F.expr(f"sum({cents_sql('o_totalprice')}) AS revenue_cents"))
+               .selectExpr("month", "revenue_cents", f"{zero} AS new", f"{zero} AS churned"))
     if activity is None:
         activity = customer_activity(orders)
-    activity = activity.where(F.col("first_order").isNotNull()).select("first_order", "last_order")
-    churned = F.col("last_order") < snap - F.expr(f"INTERVAL {int(churn_gap_days)} DAYS")
-    events = activity.select(F.inline(F.array_compact(F.array(
-        F.struct(_month(F.col("first_order")).alias("month"), F.lit(1).alias("new"),
-                 F.lit(0).alias("churned")),
-        F.when(churned, F.struct(_month(F.col("last_order")).alias("month"), F.lit(0).alias("new"),
-                                 F.lit(1).alias("churned")))))))
-    per_month = (events.groupBy("month")
-                 .agg(F.sum("new").alias("new"), F.sum("churned").alias("churned"))
-                 .select("month", F.lit(0).cast("bigint").alias("revenue_cents"), "new", "churned"))
+    # the snapshot (latest order) is one scalar subquery, bound once as a column
+    stamped = (activity.where("first_order IS NOT NULL").select("first_order", "last_order")
+               .withColumn("_snap", orders.select(F.max("o_orderdate")).scalar()))
+    events = stamped.selectExpr(
+        "inline(array_compact(array("
+        f"named_struct('month', {_month('first_order')}, 'new', 1, 'churned', 0), "
+        f"CASE WHEN last_order < _snap - INTERVAL {int(churn_gap_days)} DAYS "
+        f"THEN named_struct('month', {_month('last_order')}, 'new', 0, 'churned', 1) END)))")
+    per_month = (events.groupBy("month").agg(F.expr("sum(new) AS new"), F.expr("sum(churned) AS churned"))
+                 .selectExpr("month", f"{zero} AS revenue_cents", "new", "churned"))
     monthly = (revenue.unionByName(per_month).groupBy("month")
-               .agg(F.sum("revenue_cents").alias("revenue_cents"), F.sum("new").alias("new"),
-                    F.sum("churned").alias("churned")))
-    upto = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.sum("new").over(upto) - F.coalesce(F.sum("churned").over(before), F.lit(0))
-    return monthly.select(
-        "month",
-        F.col("new").cast("bigint").alias("new_customers"),
-        F.col("churned").cast("bigint").alias("churned_customers"),
-        base.cast("bigint").alias("base_customers"),
-        from_cents(F.col("revenue_cents")).alias("revenue"),
-    ).withColumn("churn_rate", round_ratio(F.col("churned_customers") * 100, F.col("base_customers"), 2))
+               .agg(F.expr("sum(revenue_cents) AS revenue_cents"), F.expr("sum(new) AS new"),
+                    F.expr("sum(churned) AS churned")))
+    # running sums over month rows only (one per month of history)
+    return monthly.selectExpr(
+        "month", "CAST(new AS BIGINT) AS new_customers", "CAST(churned AS BIGINT) AS churned_customers",
+        "CAST(sum(new) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        " - coalesce(sum(churned) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        " AS BIGINT) AS base_customers",
+        "CAST(revenue_cents AS DOUBLE) / 100 AS revenue",
+    ).withColumn("churn_rate", round_ratio("churned_customers * 100", "base_customers", 2))
 
 
 def monthly_deltas(trends: DataFrame) -> DataFrame:
     """Month-on-month changes: revenue % change (1 dp), new-customer difference,
     churn-rate difference in points (2 dp); NULL in the first month."""
-    w = Window.orderBy("month")
-    rev = cents(F.col("revenue"))
-    rate = F.round(F.col("churn_rate") * 100).cast("bigint")
-    prev_rev = F.lag(rev).over(w)
-    prev_rate = F.lag(rate).over(w)
-    return trends.select(
+    lagged = trends.selectExpr(
+        "month", "revenue", "new_customers", "churn_rate",
+        f"{cents_sql('revenue')} AS rc", f"lag({cents_sql('revenue')}) OVER (ORDER BY month) AS prev_rc",
+        "lag(new_customers) OVER (ORDER BY month) AS prev_new",
+        "CAST(round(churn_rate * 100) AS BIGINT) AS rate",
+        "lag(CAST(round(churn_rate * 100) AS BIGINT)) OVER (ORDER BY month) AS prev_rate")
+    return lagged.selectExpr(
         "month", "revenue",
-        round_ratio((rev - prev_rev) * 100, prev_rev, 1).alias("revenue_change_pct"),
-        "new_customers",
-        (F.col("new_customers") - F.lag("new_customers").over(w)).alias("new_customers_delta"),
-        "churn_rate",
-        ((rate - prev_rate).cast("double") / 100).alias("churn_rate_delta"),
-    )
+        f"{round_ratio_sql('(rc - prev_rc) * 100', 'prev_rc', 1)} AS revenue_change_pct",
+        "new_customers", "new_customers - prev_new AS new_customers_delta", "churn_rate",
+        "CAST(rate - prev_rate AS DOUBLE) / 100 AS churn_rate_delta")

@@ -189,3 +189,13 @@ def test_nan_is_missing(spark):
     assert seg["Premium Users"] == 1  # NaN charges are not "> 90"
     med = clean.clean_subscribers(spark.createDataFrame(rows, RAW_SCHEMA), "median")
     assert [r.TotalCharges for r in med.orderBy("customerID").collect()] == [10.0, 10.0, 10.0]
+
+
+def test_reasons_topk_keeps_largest(spark):
+    # 12 contract values with distinct shares: the top 3 must be the 3 largest
+    rows = []
+    for i in range(12):
+        rows += [{"Churn": 1, "Contract": f"c{i:02d}", "InternetService": "No"}] * (i + 1)
+    out = reasons.churn_reasons(make_subs(spark, rows), k=3).collect()
+    assert [r.reason for r in out] == ["Contrat c11", "Contrat c10", "Contrat c09"]
+    assert [r.rank for r in out] == [1, 2, 3]
