@@ -87,7 +87,7 @@ def score_file(spark: SparkSession, path: str, out: str, fmt: str = "json") -> d
 
 def main(argv: list[str] | None = None) -> None:
     from ..session import get_session
-    ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
+    ap = argparse.ArgumentParser(description=__doc__.split("\n\n")[0].replace("\n", " "))
     ap.add_argument("--data-dir", help="folder of source tables (customer, orders, events, ...)")
     ap.add_argument("--requests", help="score this file or folder of requests instead")
     ap.add_argument("--format", default="json", help="format of --requests: json, parquet, csv")
