@@ -151,3 +151,14 @@ def test_score_file_json(spark):
 def test_nan_charge_is_missing(spark):
     r = _score(spark, [dict(monthly_charges=float("nan"))])["R0000"]
     assert r.raw_score == 5 and "charges" not in r.factor_map
+
+
+def test_level_boundaries(spark):
+    # points are multiples of 5, so the level edges are 35|40 and 65|70
+    rows = [
+        dict(tenure=20, internet_service="Fiber optic", online_security="No", tech_support="No"),  # 10+5+10+10
+        dict(tenure=3, complaints=3, monthly_charges=90.0),                                         # 30+25+5+10
+    ]
+    got = _score(spark, rows)
+    assert (got["R0000"].score, got["R0000"].risk_level) == (35, "Faible")
+    assert (got["R0001"].score, got["R0001"].risk_level, got["R0001"].probability) == (70, "Élevé", 0.7)
