@@ -27,28 +27,45 @@ def _values_and_stats(df: DataFrame, col: str, *aggs: Column) -> tuple[DataFrame
     return vals, vals.select(F.struct(*aggs).alias("s")).scalar()
 
 
-def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 30, decimals: int | None = 2) -> DataFrame:
     """bin (0-based), bin_start, bin_end, count; every bin present; bins ``[a, b)``, last closed.
 
-    A constant column gets the unit range around its value, as numpy does.
+    With ``decimals`` (money: 2) values are binned in exact integer units of
+    10^-decimals, so a value lying on an edge always opens the upper bin, as it
+    does mathematically; ``decimals=None`` bins the doubles directly.  A constant
+    column gets the unit range around its value, as numpy does.
     """
-    lo0, hi0 = F.min("x"), F.max("x")
-    vals, stats = _values_and_stats(
-        df, col, F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0).alias("lo"),
-        F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0).alias("hi"))
-    lo, hi = F.col("_s.lo"), F.col("_s.hi")
-    idx = F.least(F.floor((F.col("x") - lo) * bins / (hi - lo)).cast("int"), F.lit(bins - 1))
-    hits = vals.withColumn("_s", stats).select(idx.alias("bin"), F.lit(1).alias("n"))
     grid = (df.sparkSession.range(bins)
-            .select(F.col("id").cast("int").alias("bin"), F.lit(0).alias("n")))
-    counts = (hits.unionByName(grid).groupBy("bin")
-              .agg(F.sum("n").cast("bigint").alias("count")))
+            .selectExpr("CAST(id AS INT) AS bin", "CAST(0 AS BIGINT) AS n"))
+    if decimals is None:
+        lo0, hi0 = F.min("x"), F.max("x")
+        vals, stats = _values_and_stats(
+            df, col, F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0).alias("lo"),
+            F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0).alias("hi"))
+        lo, hi = F.col("_s.lo"), F.col("_s.hi")
+        idx = F.least(F.floor((F.col("x") - lo) * bins / (hi - lo)).cast("int"), F.lit(bins - 1))
+
+        def edge(i: Column) -> Column:
+            return lo + i * (hi - lo) / bins
+    else:
+        unit = 10 ** decimals
+        half = unit // 2
+        scaled = df.select(F.round(F.col(col) * unit).cast("bigint").alias("_v"))
+        lo0, hi0 = F.min("x"), F.max("x")
+        vals, stats = _values_and_stats(
+            scaled, "_v", F.when(lo0 == hi0, lo0 - half).otherwise(lo0).alias("lo"),
+            F.when(lo0 == hi0, hi0 + half).otherwise(hi0).alias("hi"))
+        lo, hi = F.col("_s.lo"), F.col("_s.hi")
+        idx = F.least(F.call_function("div", (F.col("x") - lo) * bins, hi - lo).cast("int"),
+                      F.lit(bins - 1))
+
+        def edge(i: Column) -> Column:
+            # exact edge lo + i*(hi-lo)/bins, rounded once to a double
+            return (lo * bins + i * (hi - lo)).cast("double") / (bins * unit)
+    hits = vals.withColumn("_s", stats).select(idx.alias("bin"), F.lit(1).cast("bigint").alias("n"))
+    counts = hits.unionByName(grid).groupBy("bin").agg(F.sum("n").alias("count"))
     return counts.withColumn("_s", stats).select(
-        "bin",
-        (lo + F.col("bin") * (hi - lo) / bins).alias("bin_start"),
-        (lo + (F.col("bin") + 1) * (hi - lo) / bins).alias("bin_end"),
-        "count",
-    )
+        "bin", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"), "count")
 
 
 def kde(df: DataFrame, col: str, grid: int = 200, hist_bins: int = 30,

@@ -301,17 +301,19 @@ BODIES["null_profile"] = "\nUNION ALL\n".join(
     for i, c in enumerate(_COLS, start=1))
 
 BODIES["charge_histogram"] = """
-, st AS (
-  SELECT CASE WHEN min(MonthlyCharges) = max(MonthlyCharges) THEN min(MonthlyCharges) - 0.5 ELSE min(MonthlyCharges) END AS lo,
-         CASE WHEN min(MonthlyCharges) = max(MonthlyCharges) THEN max(MonthlyCharges) + 0.5 ELSE max(MonthlyCharges) END AS hi
-  FROM subs),
-c AS (
-  SELECT least(CAST(floor((MonthlyCharges - lo) * 30 / (hi - lo)) AS INTEGER), 29) AS bin, count(*) AS n
-  FROM subs CROSS JOIN st WHERE MonthlyCharges IS NOT NULL GROUP BY 1),
+, v AS (SELECT CAST(round(MonthlyCharges * 100) AS BIGINT) AS c FROM subs WHERE MonthlyCharges IS NOT NULL),
+st AS (
+  SELECT CASE WHEN min(c) = max(c) THEN min(c) - 50 ELSE min(c) END AS lo,
+         CASE WHEN min(c) = max(c) THEN max(c) + 50 ELSE max(c) END AS hi
+  FROM v),
+cnt AS (
+  SELECT CAST(least((c - lo) * 30 // (hi - lo), 29) AS INTEGER) AS bin, count(*) AS n
+  FROM v CROSS JOIN st GROUP BY 1),
 g AS (SELECT CAST(range AS INTEGER) AS bin FROM range(30))
-SELECT g.bin, lo + g.bin * (hi - lo) / 30 AS bin_start, lo + (g.bin + 1) * (hi - lo) / 30 AS bin_end,
+SELECT g.bin, CAST(lo * 30 + g.bin * (hi - lo) AS DOUBLE) / 3000 AS bin_start,
+  CAST(lo * 30 + (g.bin + 1) * (hi - lo) AS DOUBLE) / 3000 AS bin_end,
   CAST(coalesce(n, 0) AS BIGINT) AS count
-FROM g CROSS JOIN st LEFT JOIN c ON g.bin = c.bin
+FROM g CROSS JOIN st LEFT JOIN cnt ON g.bin = cnt.bin
 """
 
 BODIES["charge_kde"] = """

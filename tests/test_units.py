@@ -199,3 +199,18 @@ def test_reasons_topk_keeps_largest(spark):
     out = reasons.churn_reasons(make_subs(spark, rows), k=3).collect()
     assert [r.reason for r in out] == ["Contrat c11", "Contrat c10", "Contrat c09"]
     assert [r.rank for r in out] == [1, 2, 3]
+
+
+def test_histogram_edges_match_numpy(spark):
+    import numpy as np
+    from churnlens.operators import density
+    vals = [18.0, 21.4, 24.8, 30.0, 55.55, 119.99, 120.0, 21.39]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r["count"] for r in density.histogram(df, "x").orderBy("bin").collect()]
+    want, _ = np.histogram(vals, bins=30)
+    assert got == list(want)  # 21.4 and 24.8 sit exactly on edges 1 and 2
+    const = spark.createDataFrame([(5.0,), (5.0,)], "x double")
+    rows = density.histogram(const, "x").orderBy("bin").collect()
+    want_c, edges_c = np.histogram([5.0, 5.0], bins=30)
+    assert [r["count"] for r in rows] == list(want_c)
+    assert rows[0].bin_start == edges_c[0] and rows[-1].bin_end == edges_c[-1]
