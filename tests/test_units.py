@@ -214,3 +214,21 @@ def test_histogram_edges_match_numpy(spark):
     want_c, edges_c = np.histogram([5.0, 5.0], bins=30)
     assert [r["count"] for r in rows] == list(want_c)
     assert rows[0].bin_start == edges_c[0] and rows[-1].bin_end == edges_c[-1]
+
+
+def test_kde_matches_numpy_brute_force(spark):
+    import numpy as np
+    from churnlens.operators import density
+    from churnlens.plans.context import Workspace
+    subs = Workspace.get(spark, "/root/testdata/sf0.001").subs
+    x = np.array([r.MonthlyCharges for r in subs.select("MonthlyCharges").collect()])
+    n = len(x)
+    h = x.std(ddof=1) * n ** (-0.2)
+    grid = np.linspace(x.min(), x.max(), 200)
+    dens = np.exp(-0.5 * ((grid[:, None] - x[None, :]) / h) ** 2).sum(axis=1) / (n * h * np.sqrt(2 * np.pi))
+    got = sorted((r.point, r.x, r.density, r.count_density) for r in density.kde(subs, "MonthlyCharges").collect())
+    assert len(got) == 200
+    width = (x.max() - x.min()) / 30
+    for (p, gx, gd, gc), wx, wd in zip(got, grid, dens):
+        assert abs(gx - wx) < 1e-9 and abs(gd - wd) < 1e-9
+        assert abs(gc - wd * n * width) < 1e-5
