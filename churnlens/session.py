@@ -115,5 +115,29 @@ def rename_path(spark: SparkSession, src: str, dst: str) -> bool:
     return bool(fs.rename(s, d))
 
 
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the files under ``paths`` (one listing per path)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        hpath = jvm.org.apache.hadoop.fs.Path(p)
+        total += int(hpath.getFileSystem(conf).getContentSummary(hpath).getLength())
+    return total
+
+
+def tune_for_input(spark: SparkSession, paths: list[str], target_bytes: int = 128 << 20) -> int:
+    """Opt-in sizing for a job over ``paths``: initial shuffle partitions so each holds
+    about ``target_bytes`` of input (at least two per core), AQE coalescing small ones
+    back to the same advisory size, and scan splits of the same size.  Returns the
+    shuffle-partition count set."""
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(2 * cores, -(-input_bytes(spark, paths) // target_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    return parts
+
+
 def env_cpus(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))

@@ -183,3 +183,16 @@ def test_attach_dimension_matches_single_pass(spark):
     import pytest
     with pytest.raises(ValueError):
         overview.overview(ws.subs, region="EUROPE")
+
+
+def test_tune_for_input(spark):
+    from churnlens.session import tune_for_input
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        parts = tune_for_input(spark, ["/root/testdata/sf0.01/orders.parquet"], target_bytes=64 << 10)
+        assert parts >= 2 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(parts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
