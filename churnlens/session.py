@@ -127,12 +127,14 @@ def input_bytes(spark: SparkSession, paths: list[str]) -> int:
 
 
 def tune_for_input(spark: SparkSession, paths: list[str], target_bytes: int = 128 << 20) -> int:
-    """Opt-in sizing for a job over ``paths``: initial shuffle partitions so each holds
-    about ``target_bytes`` of input (at least two per core), AQE coalescing small ones
-    back to the same advisory size, and scan splits of the same size.  Returns the
-    shuffle-partition count set."""
+    """Opt-in sizing for a job over ``paths``: initial shuffle partitions of about
+    ``target_bytes`` of input each, at least two and at most four per core (shuffles
+    here carry pre-aggregated rows, far less than the input, and every extra reducer
+    costs every map task); AQE coalesces small partitions back to the advisory size;
+    scan splits use the same size.  Returns the shuffle-partition count set."""
     cores = spark.sparkContext.defaultParallelism
-    parts = max(2 * cores, -(-input_bytes(spark, paths) // target_bytes))
+    wanted = -(-input_bytes(spark, paths) // target_bytes)
+    parts = min(max(2 * cores, wanted), 4 * cores)
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
