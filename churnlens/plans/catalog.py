@@ -246,3 +246,15 @@ def q_report_summary(ws: Workspace) -> DataFrame:
 @register("sample_subscribers")
 def q_sample_subscribers(ws: Workspace) -> DataFrame:
     return sample.sample_subscribers(ws.tables.customer.select("c_custkey"))
+
+
+@register("distributions_churned")
+def q_distributions_churned(ws: Workspace) -> DataFrame:
+    """Value distributions of the churned population (overview with customer_type=churned)."""
+    return overview.value_distributions(overview.filter_subscribers(ws.subs, customer_type="churned"))
+
+
+@register("segment_lookup")
+def q_segment_lookup(ws: Workspace) -> DataFrame:
+    """One segment by name (the detail view of a single segment)."""
+    return _flat_segments(segments.segment_counts(ws.subs, name="At-Risk"))

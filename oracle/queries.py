@@ -465,5 +465,10 @@ FROM customer
 """
 
 
+BODIES["distributions_churned"] = BODIES["distributions"].replace(
+    "FROM subs WHERE", "FROM subs WHERE Churn = 1 AND")
+BODIES["segment_lookup"] = BODIES["segments"].strip() + "\nWHERE name = 'At-Risk'"
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_fixture(body) for name, body in BODIES.items()}
