@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.sql import quote
 
-from ..operators.breakdowns import churn_by_tenure
+from ..functions.bands import TENURE_EDGES, TENURE_LABELS, band_ordinal
+from ..functions.rounding import cents_sql, round_ratio_sql
 from ..operators.kpi import kpis
-from ..operators.overview import contract_counts
-from ..operators.reasons import churn_reasons
-from ..operators.segments import segment_counts
+from ..operators.reasons import (CONTRACT_CATEGORY, CONTRACT_PREFIX, EXCLUDED_SERVICE, SERVICE_CATEGORY,
+                                 SERVICE_PREFIX)
+from ..operators.segments import SEGMENTS
 from .trends import monthly_trends
 
 DEFAULT_SECTIONS = ("kpis", "churn", "segments", "trends")
@@ -54,37 +55,115 @@ def _rows(df: DataFrame, section: str, position: str, label: str, value: str,
         f"CAST({text} AS STRING) AS text")
 
 
-def _kpi_section(subs: DataFrame) -> DataFrame:
-    k = kpis(subs)
-    items = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(name).alias("label"),
-                               F.col(name).cast("double").alias("value"))
-                      for i, name in enumerate(KPI_ORDER, start=1)])
-    flat = k.select(F.inline(items))
+def _report_counts(subs: DataFrame) -> DataFrame:
+    """ONE aggregate over the subscriber table feeding the kpis, churn, segments and
+    contracts sections: GROUPING SETS ((), (tenure band), (Contract), (InternetService))
+    with every counter those sections need (a few dozen rows); each section selects
+    its grouping set's rows."""
+    counters = [
+        "count(1) AS n", "sum(Churn) AS churn_sum", "count(Churn) AS churn_n",
+        "count(customerID) AS ids", f"sum({cents_sql('MonthlyCharges')}) AS mc_sum",
+        "count(MonthlyCharges) AS mc_n", f"sum({cents_sql('TotalCharges')}) AS tc_sum",
+        "count(TotalCharges) AS tc_n", "count_if(Churn = 1) AS churned",
+    ] + [f"count_if({seg.predicate}) AS seg{seg.ordinal}" for seg in SEGMENTS]
+    banded = subs.select(band_ordinal(F.col("tenure"), TENURE_EDGES).alias("tb"), "*")
+    return (banded.groupingSets([[], ["tb"], ["Contract"], ["InternetService"]],
+                                "tb", "Contract", "InternetService")
+            .agg(*[F.expr(c) for c in counters],
+                 F.expr("CASE WHEN grouping(tb) = 0 THEN 'band' WHEN grouping(Contract) = 0 THEN "
+                        "'contract' WHEN grouping(InternetService) = 0 THEN 'service' ELSE 'all' END"
+                        " AS gset")))
+
+
+def _kpi_section(counts: DataFrame) -> DataFrame:
+    churned = "coalesce(churn_sum, 0)"
+    values = {
+        "total_customers": "n",
+        "churn_rate": round_ratio_sql(f"{churned} * 100", "n", 2),
+        "arpu": round_ratio_sql("mc_sum", "mc_n * 100", 2),
+        "clv": round_ratio_sql("tc_sum", "tc_n * 100", 2),
+        "churn_count": churned,
+        "active_customers": f"n - {churned}",
+    }
+    items = ", ".join(f"named_struct('position', {i}, 'label', {quote(k)}, 'value', CAST({values[k]} AS DOUBLE))"
+                      for i, k in enumerate(KPI_ORDER, start=1))
+    flat = counts.where("gset = 'all'").selectExpr(f"inline(array({items}))")
     return _rows(flat, "kpis", "position", "label", "value")
 
 
+def _band_section(counts: DataFrame) -> DataFrame:
+    labels = ", ".join(quote(x) for x in TENURE_LABELS)
+    bands = counts.where("gset = 'band' AND tb IS NOT NULL")
+    return _rows(bands, "churn", "tb", f"element_at(array({labels}), tb)",
+                 round_ratio_sql("churn_sum * 100", "churn_n", 2), "ids")
+
+
+def _reason_section(counts: DataFrame, k: int = 10) -> DataFrame:
+    # value counts among churned rows: keys with no churned row do not appear
+    rows = counts.where("gset IN ('contract', 'service') AND churned > 0").selectExpr(
+        f"CASE WHEN gset = 'contract' THEN {quote(CONTRACT_CATEGORY)} ELSE {quote(SERVICE_CATEGORY)} END"
+        " AS category",
+        "CASE WHEN gset = 'contract' THEN Contract ELSE InternetService END AS value",
+        "churned AS customers").where("value IS NOT NULL")
+    shares = rows.selectExpr(
+        "category", "value", "customers",
+        f"{round_ratio_sql('customers * 100', 'sum(customers) OVER (PARTITION BY category)', 1)}"
+        " AS percentage")
+    named = shares.where(
+        f"NOT (category = {quote(SERVICE_CATEGORY)} AND value = {quote(EXCLUDED_SERVICE)})").selectExpr(
+        f"concat(CASE WHEN category = {quote(CONTRACT_CATEGORY)} THEN {quote(CONTRACT_PREFIX)}"
+        f" ELSE {quote(SERVICE_PREFIX)} END, value) AS reason", "category", "percentage", "customers")
+    category_order = F.expr(f"CASE WHEN category = {quote(CONTRACT_CATEGORY)} THEN 0 ELSE 1 END")
+    top = named.orderBy(F.col("percentage").desc(), category_order, F.col("customers").desc(),
+                        F.col("reason")).limit(k)
+    ranked = top.selectExpr(
+        f"row_number() OVER (ORDER BY percentage DESC, CASE WHEN category = {quote(CONTRACT_CATEGORY)}"
+        " THEN 0 ELSE 1 END, customers DESC, reason) AS rank", "reason", "category", "percentage")
+    return _rows(ranked, "churn", "rank + 100", "reason", "percentage", "category")
+
+
+def _segment_section(counts: DataFrame) -> DataFrame:
+    items = ", ".join(f"named_struct('ordinal', {seg.ordinal}, 'name', {quote(seg.name)}, "
+                      f"'cnt', seg{seg.ordinal})" for seg in SEGMENTS)
+    flat = counts.where("gset = 'all'").selectExpr("n", f"inline(array({items}))")
+    return _rows(flat, "segments", "ordinal", "name", round_ratio_sql("cnt * 100", "n", 1), "cnt")
+
+
+def _contract_section(counts: DataFrame) -> DataFrame:
+    rows = counts.where("gset = 'contract' AND Contract IS NOT NULL").selectExpr(
+        "row_number() OVER (ORDER BY n DESC, Contract) AS rank", "Contract", "n")
+    return _rows(rows, "contracts", "rank", "Contract", "n")
+
+
 def report_sections(subs: DataFrame, orders: DataFrame,
                     include_sections: Iterable[str] = DEFAULT_SECTIONS,
                     activity: DataFrame | None = None) -> DataFrame:
+    """The report's rows for ``include_sections`` (contracts and recommendations always).
+
+    Every section over subscribers comes from one shared aggregate (one scan of the
+    table, checkpointed when a checkpoint folder is set); trends come from ``orders``
+    (and the per-customer ``activity`` when given)."""
     wanted = set(include_sections) | set(ALWAYS_SECTIONS)
+    counts = _report_counts(subs)
+    if subs.sparkSession.sparkContext.getCheckpointDir():
+        # Catalyst would prune the shared aggregate differently in every section and scan
+        # the table once per section; a reliable checkpoint of its few rows (in the shared
+        # checkpoint folder) computes it once
+        counts = counts.checkpoint(eager=True)
     parts: list[DataFrame] = []
     if "kpis" in wanted:
-        parts.append(_kpi_section(subs))
+        parts.append(_kpi_section(counts))
     if "churn" in wanted:
-        bands = churn_by_tenure(subs)
-        parts.append(_rows(bands, "churn", "ordinal", "tenure_band", "churn_rate", "customers"))
-        top = churn_reasons(subs, k=10)
-        parts.append(_rows(top, "churn", "rank + 100", "reason", "percentage", "category"))
+        parts.append(_band_section(counts))
+        parts.append(_reason_section(counts))
     if "segments" in wanted:
-        seg = segment_counts(subs)
-        parts.append(_rows(seg, "segments", "ordinal", "name", "percentage", "`count`"))
+        parts.append(_segment_section(counts))
     if "trends" in wanted:
         tr = monthly_trends(orders, activity)
         parts.append(_rows(tr, "trends", "year(month) * 100 + month(month)",
                            "date_format(month, 'yyyy-MM')", "churn_rate"))
     if "contracts" in wanted:
-        cc = contract_counts(subs)
-        parts.append(_rows(cc, "contracts", "rank", "contract", "customers"))
+        parts.append(_contract_section(counts))
     if "recommendations" in wanted:
         values = ", ".join(f"({i}, {quote(action)}, {quote(priority + ' | ' + impact)})"
                            for i, (priority, action, impact) in enumerate(RECOMMENDATIONS, start=1))
