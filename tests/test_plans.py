@@ -56,3 +56,11 @@ def test_single_scan_for_multi_output_aggregates(spark):
     for name in ("segments", "distributions"):
         plan = _plan(E.queries()[name](spark, SF_SMALL))
         assert plan.count("FileScan") == 1 and "Join" not in plan, name
+
+
+def test_report_scans_subscribers_once(spark):
+    # the subscriber sections come from one checkpointed aggregate: the returned plan
+    # reads only what the trends need (orders and the per-customer first/last order)
+    plan = _plan(E.queries()["report_sections"](spark, SF_SMALL))
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and not any("Churn" in line or "Contract" in line for line in scans)
