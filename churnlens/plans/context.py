@@ -1,7 +1,9 @@
-"""Lazy handles on the subscriber tables of one data directory."""
+"""The derived subscriber tables of one data directory."""
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from ..sources.tables import Tables
 
 # Session setting: "false" keeps every query a single lazy plan over the source tables.
 MATERIALIZE_CONF = "churnlens.materialize"
-# Bump when the derivation's semantics change without a schema change.
+# Part of the store key, next to the derivation code and schema: bump to force a rebuild.
 BASE_VERSION = "2"
 
 
@@ -22,10 +24,12 @@ _CACHE: dict[tuple, "Workspace"] = {}
 
 
 class Workspace:
-    """Builds (lazily) the derived subscriber tables from the source tables.
+    """The derived subscriber tables of one data directory.
 
-    Nothing is computed here: each property is a logical plan that Catalyst
-    optimises together with whatever query consumes it.
+    ``base`` (subscribers from customer + orders) and ``requests`` (scoring requests
+    from events) are computed once and stored in the shared folder; everything else
+    (raw, clean, region-attached rows, the dimension) is a lazy projection of them
+    that Catalyst optimises together with the query consuming it.
     """
 
     @classmethod
@@ -50,8 +54,6 @@ class Workspace:
         shared = shared_dir(self.spark, required=False)
         if shared is None or self.spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
             return derived
-        import hashlib
-        import inspect
         paths = [f"{self.data_dir.rstrip('/')}/{t}.parquet" for t in inputs]
         # any change to the derivation code or its output schema gives a new key
         logic = inspect.getsource(fixture) + inspect.getsource(clean_subscribers)
