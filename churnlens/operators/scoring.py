@@ -99,7 +99,7 @@ def score(requests: DataFrame) -> DataFrame:
     Expects validated rows (see :func:`valid_requests`).  Optional inputs that are
     NULL take their defaults.
     """
-    cols = requests.columns
+    cols = [f"`{c}`" for c in requests.columns]
     mc = f"coalesce(nanvl(monthly_charges, CAST(NULL AS DOUBLE)), {DEFAULT_MONTHLY_CHARGES}D)"
     inet = f"coalesce(internet_service, {quote(DEFAULT_INTERNET_SERVICE)})"
     security = f"coalesce(online_security, {quote(DEFAULT_ONLINE_SECURITY)})"
