@@ -151,7 +151,7 @@ def q_clean_zero(ws: Workspace) -> DataFrame:
 
 @register("clean_median")
 def q_clean_median(ws: Workspace) -> DataFrame:
-    return clean.warehouse_rows(ws.raw)
+    return ws.warehouse
 
 
 @register("head")
@@ -171,7 +171,8 @@ def q_null_profile(ws: Workspace) -> DataFrame:
 
 @register("churned_customers")
 def q_churned_customers(ws: Workspace) -> DataFrame:
-    return clean.warehouse_rows(ws.raw).where(F.col("Churn") == 1)
+    """SELECT * FROM the warehouse rows WHERE Churn = 1 (pushed into the Parquet scan)."""
+    return ws.warehouse.where("Churn = 1")
 
 
 @register("charge_histogram")
@@ -217,7 +218,7 @@ def q_warehouse_append(ws: Workspace) -> DataFrame:
     location = scratch_path(ws.spark, "warehouse")
     name = "customer_data_" + location.rsplit("-", 1)[-1]
     io.create_warehouse_table(ws.spark, name, location)
-    io.append_to_warehouse(clean.warehouse_rows(ws.raw), name)
+    io.append_to_warehouse(ws.warehouse, name)
     return io.scan_warehouse(ws.spark, name)
 
 

@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import clean
 from ..operators.clean import clean_subscribers
 from ..schema import SUBSCRIBER_COLUMNS
 from ..session import fingerprint, shared_dir
@@ -26,8 +27,9 @@ _CACHE: dict[tuple, "Workspace"] = {}
 class Workspace:
     """The derived subscriber tables of one data directory.
 
-    ``base`` (subscribers from customer + orders) and ``requests`` (scoring requests
-    from events) are computed once and stored in the shared folder; everything else
+    ``base`` (subscribers from customer + orders), ``warehouse`` (median-cleaned rows)
+    and ``requests`` (scoring requests from events) are computed once and stored in the
+    shared folder; everything else
     (raw, clean, region-attached rows, the dimension) is a lazy projection of them
     that Catalyst optimises together with the query consuming it.
     """
@@ -56,7 +58,7 @@ class Workspace:
             return derived
         paths = [f"{self.data_dir.rstrip('/')}/{t}.parquet" for t in inputs]
         # any change to the derivation code or its output schema gives a new key
-        logic = inspect.getsource(fixture) + inspect.getsource(clean_subscribers)
+        logic = inspect.getsource(fixture) + inspect.getsource(clean)
         shape = hashlib.sha1((BASE_VERSION + logic + derived.schema.json()).encode()).hexdigest()[:8]
         key = f"{fingerprint(self.spark, paths)}-{shape}"
         return io.materialize(self.spark, f"{shared}/churnlens/{name}/{key}", lambda: derived)
@@ -86,6 +88,13 @@ class Workspace:
         wide = fixture.with_region(self.base, self.tables.nation, self.tables.region)
         return clean_subscribers(wide, fill="zero")
 
+    @cached_property
+    def warehouse(self) -> DataFrame:
+        """The warehouse rows (batch cleaning: median fill, no id), stored like the base:
+        the exact median is computed once, and readers scan a table with pushdown."""
+        derived = clean.warehouse_rows(self.raw)
+        return self._stored("warehouse_rows", ("customer", "orders"), derived)
+
     @cached_property
     def dim(self) -> DataFrame:
         return fixture.subscriber_dim(self.base, self.tables.nation, self.tables.region)

@@ -64,3 +64,9 @@ def test_report_scans_subscribers_once(spark):
     plan = _plan(E.queries()["report_sections"](spark, SF_SMALL))
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert scans and not any("Churn" in line or "Contract" in line for line in scans)
+
+
+def test_churned_scan_pushes_the_filter(spark):
+    # S9: SELECT * FROM the warehouse rows WHERE Churn = 1, filtered inside the Parquet scan
+    plan = _plan(E.queries()["churned_customers"](spark, SF_SMALL))
+    assert "EqualTo(Churn,1)" in plan and "Exchange" not in plan
