@@ -24,6 +24,21 @@ BASE_VERSION = "2"
 _CACHE: dict[tuple, "Workspace"] = {}
 
 
+def _code_key(*modules) -> str:
+    """Text identifying the derivation code: the modules' source, or (when the package
+    ships without sources, e.g. zipped bytecode) their functions' bytecode."""
+    try:
+        return "".join(inspect.getsource(m) for m in modules)
+    except (OSError, TypeError):
+        parts = []
+        for m in modules:
+            for name, obj in sorted(vars(m).items()):
+                code = getattr(obj, "__code__", None)
+                if code is not None and getattr(obj, "__module__", None) == m.__name__:
+                    parts.append(f"{name}:{code.co_code.hex()}:{code.co_consts!r}")
+        return "|".join(parts)
+
+
 class Workspace:
     """The derived subscriber tables of one data directory.
 
@@ -58,7 +73,7 @@ class Workspace:
             return derived
         paths = [f"{self.data_dir.rstrip('/')}/{t}.parquet" for t in inputs]
         # any change to the derivation code or its output schema gives a new key
-        logic = inspect.getsource(fixture) + inspect.getsource(clean)
+        logic = _code_key(fixture, clean)
         shape = hashlib.sha1((BASE_VERSION + logic + derived.schema.json()).encode()).hexdigest()[:8]
         key = f"{fingerprint(self.spark, paths)}-{shape}"
         return io.materialize(self.spark, f"{shared}/churnlens/{name}/{key}", lambda: derived)
