@@ -196,3 +196,19 @@ def test_tune_for_input(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_code_key_without_sources(monkeypatch):
+    import inspect
+    from churnlens.operators import clean
+    from churnlens.plans import context
+    from churnlens.sources import fixture
+    with_src = context._code_key(fixture, clean)
+
+    def no_source(_):
+        raise OSError("zipped bytecode")
+
+    monkeypatch.setattr(inspect, "getsource", no_source)
+    without = context._code_key(fixture, clean)
+    assert without and without != with_src
+    assert without == context._code_key(fixture, clean)  # stable
