@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import cents_sql, mean_money, round_ratio, round_ratio_sql, sum_money
+from ..functions.sql import quote
 
 DISTRIBUTION_COLUMNS = ("Contract", "InternetService", "PaymentMethod")
 
@@ -82,17 +83,15 @@ def value_distributions(df: DataFrame, columns: Sequence[str] = DISTRIBUTION_COL
     """
     cols = list(columns)
     grouped = (df.groupingSets([[c] for c in cols], *cols)
-               .agg(F.count(F.lit(1)).alias("customers"),
-                    *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(cols)]))
-    dimension = key = None
-    for i, c in enumerate(cols):
-        hit = F.col(f"_g{i}") == 0
-        dimension = F.when(hit, F.lit(c)) if dimension is None else dimension.when(hit, F.lit(c))
-        key = F.when(hit, F.col(c)) if key is None else key.when(hit, F.col(c))
-    rows = grouped.select(dimension.alias("dimension"), key.alias("key"), "customers") \
-        .where(F.col("key").isNotNull())
-    by_dim = Window.partitionBy("dimension").orderBy(F.col("customers").desc(), F.col("key"))
-    return rows.withColumn("rank", F.row_number().over(by_dim))
+               .agg(F.expr("count(1) AS customers"),
+                    *[F.expr(f"grouping(`{c}`) AS _g{i}") for i, c in enumerate(cols)]))
+    dimension = " ".join(f"WHEN _g{i} = 0 THEN {quote(c)}" for i, c in enumerate(cols))
+    key = " ".join(f"WHEN _g{i} = 0 THEN `{c}`" for i, c in enumerate(cols))
+    rows = grouped.selectExpr(f"CASE {dimension} END AS dimension", f"CASE {key} END AS key",
+                              "customers").where("key IS NOT NULL")
+    return rows.selectExpr(
+        "dimension", "key", "customers",
+        "row_number() OVER (PARTITION BY dimension ORDER BY customers DESC, key) AS rank")
 
 
 def contract_counts(df: DataFrame) -> DataFrame:
