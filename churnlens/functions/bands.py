@@ -33,6 +33,17 @@ def band_ordinal(col: Column, edges: Sequence[float]) -> Column:
     return F.when(col > F.lit(edges[0]), expr)
 
 
+def band_ordinal_sql(col: str, edges: Sequence[float]) -> str:
+    """SQL text of :func:`band_ordinal` for a column name (one parsed expression)."""
+    arms = " ".join(f"WHEN `{col}` <= {upper} THEN {i}" for i, upper in enumerate(edges[1:], start=1))
+    return f"CASE WHEN `{col}` > {edges[0]} THEN CASE {arms} END END"
+
+
+def band_label_sql(ordinal: str, labels: Sequence[str]) -> str:
+    items = ", ".join("'" + x.replace("'", "\\'") + "'" for x in labels)
+    return f"element_at(array({items}), {ordinal})"
+
+
 def band_label(ordinal: Column, labels: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), ordinal)
 

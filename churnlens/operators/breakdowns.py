@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bands import CHARGE_EDGES, CHARGE_LABELS, TENURE_EDGES, TENURE_LABELS, cut
+from ..functions.bands import (CHARGE_EDGES, CHARGE_LABELS, TENURE_EDGES, TENURE_LABELS,
+                              band_label_sql, band_ordinal_sql)
 from ..functions.rounding import round_ratio, sum_money
 
 
@@ -15,26 +16,23 @@ def churn_by_tenure(subs: DataFrame) -> DataFrame:
     Bands are right-closed; tenure 0, tenure above 72 and NULL are left out;
     empty bands do not appear.
     """
-    label, ordinal = cut(F.col("tenure"), TENURE_EDGES, TENURE_LABELS)
-    banded = subs.select(ordinal.alias("ordinal"), "Churn", "customerID").where("ordinal IS NOT NULL")
+    banded = subs.selectExpr(f"{band_ordinal_sql('tenure', TENURE_EDGES)} AS ordinal", "Churn",
+                             "customerID").where("ordinal IS NOT NULL")
     out = banded.groupBy("ordinal").agg(
         round_ratio("sum(Churn) * 100", "count(Churn)", 2).alias("churn_rate"),
-        F.count("customerID").alias("customers"),
-    )
-    return out.select(label_of("ordinal", TENURE_LABELS).alias("tenure_band"), "ordinal",
-                      "churn_rate", "customers")
+        F.expr("count(customerID) AS customers"))
+    return out.selectExpr(f"{band_label_sql('ordinal', TENURE_LABELS)} AS tenure_band", "ordinal",
+                          "churn_rate", "customers")
 
 
 def revenue_by_band(subs: DataFrame) -> DataFrame:
     """Per monthly-charge band: revenue (sum of TotalCharges, exact to the cent) and count."""
-    _, ordinal = cut(F.col("MonthlyCharges"), CHARGE_EDGES, CHARGE_LABELS)
-    banded = subs.select(ordinal.alias("ordinal"), "TotalCharges", "customerID").where("ordinal IS NOT NULL")
+    banded = subs.selectExpr(f"{band_ordinal_sql('MonthlyCharges', CHARGE_EDGES)} AS ordinal",
+                             "TotalCharges", "customerID").where("ordinal IS NOT NULL")
     out = banded.groupBy("ordinal").agg(
-        sum_money("TotalCharges").alias("revenue"),
-        F.count("customerID").alias("customers"),
-    )
-    return out.select(label_of("ordinal", CHARGE_LABELS).alias("segment"), "ordinal",
-                      "revenue", "customers")
+        sum_money("TotalCharges").alias("revenue"), F.expr("count(customerID) AS customers"))
+    return out.selectExpr(f"{band_label_sql('ordinal', CHARGE_LABELS)} AS segment", "ordinal",
+                          "revenue", "customers")
 
 
 def retention_by_offer(subs: DataFrame) -> DataFrame:
@@ -44,7 +42,3 @@ def retention_by_offer(subs: DataFrame) -> DataFrame:
             .agg(round_ratio("(count(Churn) - sum(Churn)) * 100", "count(Churn)", 2)
                  .alias("retention_rate"),
                  F.count("customerID").alias("customers")))
-
-
-def label_of(ordinal: str, labels) -> F.Column:
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), F.col(ordinal))

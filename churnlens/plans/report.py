@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sql import quote
 
-from ..functions.bands import TENURE_EDGES, TENURE_LABELS, band_ordinal
+from ..functions.bands import TENURE_EDGES, TENURE_LABELS, band_ordinal_sql
 from ..functions.rounding import cents_sql, round_ratio_sql
 from ..operators.kpi import kpis
 from ..operators.reasons import (CONTRACT_CATEGORY, CONTRACT_PREFIX, EXCLUDED_SERVICE, SERVICE_CATEGORY,
@@ -66,7 +66,7 @@ def _report_counts(subs: DataFrame) -> DataFrame:
         "count(MonthlyCharges) AS mc_n", f"sum({cents_sql('TotalCharges')}) AS tc_sum",
         "count(TotalCharges) AS tc_n", "count_if(Churn = 1) AS churned",
     ] + [f"count_if({seg.predicate}) AS seg{seg.ordinal}" for seg in SEGMENTS]
-    banded = subs.select(band_ordinal(F.col("tenure"), TENURE_EDGES).alias("tb"), "*")
+    banded = subs.selectExpr(f"{band_ordinal_sql('tenure', TENURE_EDGES)} AS tb", "*")
     return (banded.groupingSets([[], ["tb"], ["Contract"], ["InternetService"]],
                                 "tb", "Contract", "InternetService")
             .agg(*[F.expr(c) for c in counters],
