@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, token_counts
+from . import bpe_replay, jaccard_join, mixing, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,26 @@ def op2_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id", "n_links")
+
+
+def op8_longest_first_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"),
                                      public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_replay, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op2_bpe_replay, op4_fair_mixing, op6_jaccard_join, op8_longest_first_shards, op9_token_counts)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE: dict[str, str] = {}
