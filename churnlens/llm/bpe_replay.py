@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,12 +202,16 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
         told = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def work(batch):
-        bytes_of = token_bytes(told.value)
+        flat, starts, sizes = token_bytes(told.value)
         column = batch.column("ids")
         for a in range(0, len(column), 256):
             part = column.slice(a, 256)
-            yield {"_id": batch.column("_id").slice(a, 256), "ids": part,
-                   "decoded": [b"".join(map(bytes_of.__getitem__, x or ())) for x in part.to_pylist()]}
+            ids = part.flatten().to_numpy()
+            ends = np.append(0, np.cumsum(sizes[ids]))  # bytes up to each id
+            cut = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy()))
+            texts = pa.Array.from_buffers(pa.binary(), len(part), [
+                None, pa.py_buffer(ends[cut].astype(np.int32)), pa.py_buffer(ragged(flat, starts, sizes, ids))])
+            yield {"_id": batch.column("_id").slice(a, 256), "ids": part, "decoded": texts}
 
     kind = encoded.schema[id_col].dataType.simpleString()
     slim = encoded.select(encoded[id_col].alias("_id"), encoded["ids"])
@@ -214,13 +219,18 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
     return out.withColumnRenamed("_id", id_col)
 
 
-_BYTES: dict[int, dict[int, bytes]] = {}
+_BYTES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def token_bytes(raw: bytes) -> dict[int, bytes]:
+def token_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens by rank in one array, with the start and the size of each."""
     if hash(raw) not in _BYTES:
+        ranks = parse_ranks(raw)
+        sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        sizes[list(ranks.values())] = [len(t) for t in ranks]
+        flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
         _BYTES.clear()
-        _BYTES[hash(raw)] = {r: t for t, r in parse_ranks(raw).items()}
+        _BYTES[hash(raw)] = flat, np.cumsum(sizes) - sizes, sizes
     return _BYTES[hash(raw)]
 
 

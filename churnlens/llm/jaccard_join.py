@@ -5,7 +5,8 @@ Documents with one shingle set are one class.  Two classes that link (Jaccard di
 frequent first last, so that the classes at such a shingle (a cell) are few.  Each cell names its
 smallest class as pivot; the classes of all cells of a pivot form its region, cut into rings by
 set size (the distance from the empty set seen from the pivot's scale) with replicated
-boundaries.  A region that is still large takes further pivots among its members: each member
+boundaries.  Within a ring, bits of filled hash buckets bound the overlap of two sets and drop the
+members that cannot link there.  A region that is still large takes further pivots among its members: each member
 goes to its nearest pivot's region and to every region that the triangle inequality leaves
 possible (d(x, p) <= d(x, home) + 2(1 - t)), and regions join recursively.  A region in which the
 inequality separates nothing is joined block against block.  Every pair is verified on whole
@@ -87,21 +88,33 @@ def _cell_rows(docs, id_col, text_col, width, percent, frequent):
     return map_batches(docs.select(docs[text_col].alias("_text")), "h long, c long, n int", work)
 
 
-def _sets_of(docs, id_col, text_col, width, sketch):
-    """(id, c, s): set id and shingles (8 bytes each) of the documents that the sketch names."""
+def _buckets(s: np.ndarray) -> bytes:
+    """One bit for each bucket that holds a shingle, of at least four buckets a shingle."""
+    bits = np.zeros(max(64, 1 << int(4 * s.size - 1).bit_length()), np.uint8)
+    bits[(s & np.uint64(bits.size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _of_wanted(docs, id_col, text_col, width, wanted, form, name):
+    """(c, name): ``form`` of the shingle set of each wanted class, from the text of its least id."""
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(wanted))
+
     def work(batch):
-        i, c, s = [], [], []
+        i, c, out = [], [], []
         bits, places = sketch.value, batch.column("_place").to_numpy()
         for k in np.flatnonzero(bits[places >> 3] >> (places & 7) & 1).tolist():
             found = shingle_set(words(batch.column("_text")[k].as_py()), width)
             if found.size:
                 i.append(batch.column("_id")[k].as_py())
                 c.append(_set_id(found))
-                s.append(found.tobytes())
-        yield {"id": pa.array(i, pa.int64()), "c": pa.array(c, pa.int64()), "s": pa.array(s, pa.binary())}
+                out.append(form(found))
+        yield {"id": pa.array(i, pa.int64()), "c": pa.array(c, pa.int64()), name: pa.array(out, pa.binary())}
+
     slim = docs.select(docs[text_col].alias("_text"), docs[id_col].cast("long").alias("_id"))
     slim = slim.withColumn("_place", F.expr(f"pmod(xxhash64(_id), {SKETCH_BITS})"))
-    return map_batches(slim, "id long, c long, s binary", work)
+    found = map_batches(slim, f"id long, c long, {name} binary", work)
+    # the sketch lets a few others through, and an id may have several rows
+    return stored(found.join(wanted.select("c", "id"), ["c", "id"]).dropDuplicates(["c"]).drop("id"))
 
 
 def _sketch(ids: DataFrame) -> np.ndarray:
@@ -176,6 +189,42 @@ def _links_within(part: list[dict], percent: int) -> dict | None:
     return {"c": c, "links": [links[k] for k in hit], "root": [forest.root(x) for x in c]} if hit else None
 
 
+def _may_link(part: list[dict], percent: int) -> list[int]:
+    """Classes that may link with another of the group.  A bucket that only one of two sets fills
+    holds a shingle that the other lacks, which bounds their common shingles from above."""
+    part.sort(key=lambda r: (r["n"], r["c"]))
+    n = np.array([r["n"] for r in part], np.int64)
+    ends = np.searchsorted(n, n * 100 // percent, side="right")
+    least = min(len(r["bits"]) for r in part)
+    rows = np.stack([np.bitwise_or.reduce(np.frombuffer(r["bits"], "<u8").reshape(-1, least // 8), axis=0) for r in part])
+    full = np.bitwise_count(rows).sum(1, dtype=np.int64)
+    sides, block = {part[0]["lo"], part[0]["hi"]}, np.array([r["block"] for r in part])
+    live = np.zeros(n.size, bool)
+    for i, end in enumerate(ends.tolist()):
+        if end > i + 1:
+            j = np.arange(i + 1, end)
+            both = np.bitwise_count(rows[i] & rows[j]).sum(1, dtype=np.int64)
+            most = np.minimum(n[i] - (full[i] - both), n[j] - (full[j] - both))
+            near = 100 * most >= percent * (n[i] + n[j] - most)
+            if len(sides) == 2:
+                near &= block[j] != block[i]
+            live[i] |= near.any()
+            live[j[near]] = True
+    return np.flatnonzero(live).tolist()
+
+
+def _survivors(member: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(g0, c): the members of each group that may link within it, found on bucket bits alone."""
+    def run(batches):
+        for part in _grouped(batches, ["g"]):
+            if len(part) > 1 and (live := _may_link(part, percent)):
+                yield pa.RecordBatch.from_pydict({k: pa.array([part[x][k] for x in live], pa.int64()) for k in ("g0", "c")})
+    slim = _counted(member.withColumn("g0", F.col("g"))).select("g", "g0", "c", "n", "cnt", "block", "lo", "hi")
+    groups = slim.where(f"cnt <= {REGION}").unionByName(_in_blocks(slim.where(f"cnt > {REGION}")))
+    rows = groups.join(bits, "c").repartition("g").sortWithinPartitions("g")
+    return rows.mapInArrow(run, "g0 long, c long").distinct()
+
+
 def _joined(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of all groups (each of bounded size), tasks working group by group."""
     def run(batches):
@@ -298,10 +347,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             "block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)}))
     member = stored(_counted(member).drop("cnt"))
     classes = stored(base.where("n > 0").groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")))
-    wanted = stored(classes.join(member.select("c").distinct(), "c", "left_semi").where("id IS NOT NULL"))
-    sketch = spark.sparkContext.broadcast(_sketch(wanted))
-    sets = stored(_sets_of(docs, id_col, text_col, width, sketch).join(wanted.select("c", "id"), ["c", "id"])
-                  .select("c", "s").dropDuplicates(["c"]))
+
+    def wanted(rows):
+        return stored(classes.join(rows.select("c").distinct(), "c", "left_semi").where("id IS NOT NULL"))
+
+    bits = _of_wanted(docs, id_col, text_col, width, wanted(member), _buckets, "bits")
+    live = stored(_survivors(member, bits, percent))
+    member = stored(member.join(live.withColumnRenamed("g0", "g"), ["g", "c"], "left_semi"))
+    sets = _of_wanted(docs, id_col, text_col, width, wanted(member), np.ndarray.tobytes, "s")
     found = stored(_joined(_groups(member, classes, sets, percent), sets, percent))
     return _labelled(base, classes, found, id_col)
 

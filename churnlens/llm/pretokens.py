@@ -22,7 +22,7 @@ _PIECE = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 #: Pieces of one text handled at once, so that a very long text needs no more memory than this.
 PIECES_AT_ONCE = 1 << 18
 #: Distinct pieces a worker remembers; beyond it, it forgets them all and goes on.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 
 
 def pieces(text: str) -> Iterator[list[str]]:
@@ -102,7 +102,7 @@ class Remembered:
 
 
 #: Characters handled at once: bounds a worker's lists of pieces whatever the texts' lengths.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 21
 
 
 def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:

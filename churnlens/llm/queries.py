@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, jaccard_join, mixing, sharding, token_counts
+from . import bpe_replay, jaccard_join, langid_ecoc, mixing, quality_gam, sharding, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,20 @@ def op2_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid_ecoc.identify(docs, langid_ecoc.train(docs))
+
+
 def op4_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "class_id", "n_links")
@@ -35,8 +45,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_gam.score(docs, quality_gam.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_bpe_replay, op4_fair_mixing, op6_jaccard_join, op8_longest_first_shards, op9_token_counts)}
+    op2_bpe_replay, op3_ecoc_language, op4_fair_mixing, op5_segment_toxicity, op6_jaccard_join,
+    op8_longest_first_shards, op9_token_counts, op10_quality_gam)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE: dict[str, str] = {}
