@@ -24,6 +24,16 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def rows_where(df: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text ``keep`` accepts."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(place).to_pylist()), pa.bool_()))
+    return df.mapInArrow(run, df.schema)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t if t is not None else "" for t in batch.column(column).to_pylist()]

@@ -359,6 +359,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _labelled(base, classes, found, id_col)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without all but the least id of each component, all columns as they are.
+
+    Rows without a shingle or an id stay.  Of rows that repeat id and text one stays."""
+    found = jaccard_join(docs, id_col, text_col, **options)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    out = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("k")).where(F.col(id_col).isNotNull() & (F.col("k") > 1))
+    return out if repeated.isEmpty() else out.dropDuplicates([id_col, text_col])
+
+
 def _labelled(base: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     root = components(found.selectExpr("c AS u", "root AS v"))
     named = (classes.join(root.withColumnRenamed("node", "c"), "c", "left")

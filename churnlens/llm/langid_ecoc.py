@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches
+from .frames import map_batches, rows_where
 from .samples import chosen, rates, remainder
 
 #: Lengths of the n-grams in bytes, and buckets of each length.
@@ -171,6 +171,25 @@ def train(docs: DataFrame, bound: int = 3000, id_col: str = "doc_id", text_col:
     return Model(languages, code, table, slope, shift, weight / weight.mean())
 
 
+def predicted(texts: list[str | None], model: Model | None, least_lead: float,
+              ) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and whether it is ambiguous of each text."""
+    known = [t is not None and model is not None and any(map(str.isalpha, t)) for t in texts]
+    langs, scores, unsure = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
+    at = [k for k, x in enumerate(known) if x]
+    if at:
+        best, share, lead = model.decode(bit_means([texts[k] for k in at], model.table))
+        for k, b, s, l in zip(at, best.tolist(), share.tolist(), lead.tolist()):
+            langs[k], scores[k], unsure[k] = model.languages[b], min(1.0, s), l < least_lead
+    return langs, scores, unsure
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", least_lead: float = 0.2) -> DataFrame:
+    """The documents of an unambiguous language, all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows_where(docs, text_col, lambda texts: [not x for x in predicted(texts, shared.value, least_lead)[2]])
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text",
              modulus: int = 3, kept_out: int = 1, least_lead: float = 0.2) -> DataFrame:
     """One row per document: id, ``held_out``, ``lang_pred``, ``score`` (0 to 1), ``ambiguous`` (the next
@@ -182,16 +201,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch):
-        own, texts = shared.value, batch.column("_text").to_pylist()
-        known = [t is not None and own is not None and any(map(str.isalpha, t)) for t in texts]
-        langs, scores, unsure = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        at = [k for k, x in enumerate(known) if x]
-        if at:
-            best, share, lead = own.decode(bit_means([texts[k] for k in at], own.table))
-            for k, b, s, l in zip(at, best.tolist(), share.tolist(), lead.tolist()):
-                langs[k], scores[k], unsure[k] = own.languages[b], min(1.0, s), l < least_lead
-        yield {"_id": batch.column("_id"), "held_out": batch.column("held_out"), "lang_pred": langs,
-               "score": scores, "ambiguous": unsure}
+        lang, sure, unsure = predicted(batch.column("_text").to_pylist(), shared.value, least_lead)
+        yield {"_id": batch.column("_id"), "held_out": batch.column("held_out"), "lang_pred": lang,
+               "score": sure, "ambiguous": unsure}
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = F.coalesce(remainder(docs[id_col], modulus) == kept_out, F.lit(False))

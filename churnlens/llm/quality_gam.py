@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches
+from .frames import map_batches, rows_where
 from .samples import chosen, rates, remainder
 
 FEATURES = (
@@ -212,3 +212,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     slim = docs.select(docs[id_col].alias("_id"), out.alias("held_out"), docs[text_col].alias("_text"))
     done = map_batches(slim, f"_id {kind}, held_out boolean, score double, predicted int", work)
     return done.withColumnRenamed("_id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents with a score of at least 0.5, all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts):
+        x = np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES))
+        return (shared.value.score(x) >= 0.5).tolist()
+    return rows_where(docs, text_col, keep)

@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, jaccard_join, langid_ecoc, mixing, quality_gam, sharding, token_counts, toxicity
+from . import (bpe_replay, fingerprints, hnsw_dedup, jaccard_join, langid_ecoc, mixing, quality_gam, sharding,
+               token_counts, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_hnsw_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.digests(_table(spark, sf_dir, "documents"),
                               public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -36,6 +41,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
+def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op8_longest_first_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -51,8 +60,8 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_bpe_replay, op3_ecoc_language, op4_fair_mixing, op5_segment_toxicity, op6_jaccard_join,
-    op8_longest_first_shards, op9_token_counts, op10_quality_gam)}
+    op1_hnsw_duplicates, op2_bpe_replay, op3_ecoc_language, op4_fair_mixing, op5_segment_toxicity, op6_jaccard_join,
+    op7_weighted_sampling, op8_longest_first_shards, op9_token_counts, op10_quality_gam)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE: dict[str, str] = {}

@@ -1,12 +1,51 @@
-"""Corpus pipeline: stages over ``documents``, each reading what the one before wrote."""
+"""Corpus pipeline: stages over ``documents``, each reading what the one before wrote.
+
+The stages keep the columns of documents, but for the last: it encodes what is left.  SQL cannot
+express them (trained classifiers, byte-pair merges), so the tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from churnlens.llm import bpe_replay, jaccard_join, langid_ecoc, mixing, quality_gam
 from churnlens.llm.frames import stored
 
-STAGES: list = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality_gam.accepted(docs, quality_gam.train(docs, labels))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one language without doubt."""
+    return langid_ecoc.accepted(docs, langid_ecoc.train(docs))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.one_of_each(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of the ids and of the decoded bytes of each document."""
+    return bpe_replay.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("language", known_language),
+    ("near copies", without_near_copies),
+    ("mix", mixed_sources),
+    ("encode", encoded),
+]
 
 ORACLE_SQL = None
 
