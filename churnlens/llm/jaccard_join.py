@@ -2,15 +2,15 @@
 
 Documents with one shingle set are one class.  Two classes that link (Jaccard distance at most
 1 - t) share one of their first shingles in any common order; the order puts shingles found
-frequent first last, so that the classes at such a shingle (a cell) are few.  Each cell names its
-smallest class as pivot; the classes of all cells of a pivot form its region, cut into rings by
-set size (the distance from the empty set seen from the pivot's scale) with replicated
-boundaries.  Within a ring, bits of filled hash buckets bound the overlap of two sets and drop the
-members that cannot link there.  A region that is still large takes further pivots among its members: each member
-goes to its nearest pivot's region and to every region that the triangle inequality leaves
-possible (d(x, p) <= d(x, home) + 2(1 - t)), and regions join recursively.  A region in which the
-inequality separates nothing is joined block against block.  Every pair is verified on whole
-sets, and exactly one region counts it.
+frequent last, so that the classes at such a shingle (a cell) are few.  Each cell names one of its
+classes as pivot, the same for all cells that have it; the classes of all cells of a pivot form its
+region, cut into rings by set size (the distance from the empty set, seen from the pivot's scale)
+with replicated boundaries.  Within a ring, bits of filled hash buckets bound the overlap of two
+sets and drop the members that cannot link there.  A region that is still large takes further
+pivots among its members: each member goes to its nearest pivot's region and to every region that
+the triangle inequality leaves possible (d(x, p) <= d(x, home) + 2(1 - t)), and regions join
+recursively.  A region in which the inequality separates nothing is joined block against block.
+Every pair is verified on whole sets, and exactly one region counts it.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int, frequent_
 
 def _cell_rows(docs, id_col, text_col, width, percent, frequent):
     def work(batch):
-        h, c, n = [], [], []
+        h, c = [], []
         seen = set()  # of copies in one batch the first stands for all
         for text in batch.column("_text").to_pylist():
             s = shingle_set(words(text), width)
@@ -81,16 +81,14 @@ def _cell_rows(docs, id_col, text_col, width, percent, frequent):
                 p = _prefix(s, frequent.value, percent)
                 h.append(p)
                 c.append(np.full(p.size, name, np.int64))
-                n.append(np.full(p.size, s.size, np.int32))
         if h:
-            yield {"h": pa.array(np.concatenate(h).view(np.int64)), "c": pa.array(np.concatenate(c)),
-                   "n": pa.array(np.concatenate(n))}
-    return map_batches(docs.select(docs[text_col].alias("_text")), "h long, c long, n int", work)
+            yield {"h": pa.array(np.concatenate(h).view(np.int64)), "c": pa.array(np.concatenate(c))}
+    return map_batches(docs.select(docs[text_col].alias("_text")), "h long, c long", work)
 
 
 def _buckets(s: np.ndarray) -> bytes:
-    """One bit for each bucket that holds a shingle, of at least four buckets a shingle."""
-    bits = np.zeros(max(64, 1 << int(4 * s.size - 1).bit_length()), np.uint8)
+    """One bit for each bucket that holds a shingle, of at least two buckets a shingle."""
+    bits = np.zeros(max(64, 1 << int(2 * s.size - 1).bit_length()), np.uint8)
     bits[(s & np.uint64(bits.size - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -114,7 +112,8 @@ def _of_wanted(docs, id_col, text_col, width, wanted, form, name):
     slim = slim.withColumn("_place", F.expr(f"pmod(xxhash64(_id), {SKETCH_BITS})"))
     found = map_batches(slim, f"id long, c long, {name} binary", work)
     # the sketch lets a few others through, and an id may have several rows
-    return stored(found.join(wanted.select("c", "id"), ["c", "id"]).dropDuplicates(["c"]).drop("id"))
+    found = found.join(wanted.selectExpr("c", "id AS least"), "c").where("id = least")
+    return stored(found.select("c", name).dropDuplicates(["c"]))
 
 
 def _sketch(ids: DataFrame) -> np.ndarray:
@@ -317,45 +316,48 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Two documents link when 100 * |A and B| >= percent * |A or B| of their word shingles.  A text
     of fewer than ``width`` words is one shingle; a null, empty or blank text has none and links
-    with nothing.  A null id stays null and names no class.  Repeated rows are documents of their
+    with nothing.  A null id stays null and names no class; a set that only rows with null ids have is
+    not compared with others.  Repeated rows are documents of their
     own.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    raw = stored(described(docs, id_col, text_col, width, frequent_from=3))
+    raw = stored(described(docs, id_col, text_col, width, frequent_from=2))
     base = raw.where("kind = 0").select("id", "c", "n")
-    shared = raw.where("kind = 1").groupBy("c").agg(F.sum("n").alias("k")).where("k >= 8")
+    shared = raw.where("kind = 1").groupBy("c").agg(F.sum("n").alias("k"))
     levels = {r["l"]: r["cnt"] for r in shared.groupBy(F.expr("CAST(floor(log2(k)) AS INT)").alias("l"))
               .agg(F.count(F.lit(1)).alias("cnt")).collect()}
-    least = next(x for x in range(3, 65) if sum(v for k, v in levels.items() if k >= x) <= FREQUENT)
+    least = next(x for x in range(1, 65) if sum(v for k, v in levels.items() if k >= x) <= FREQUENT)
     hot = shared.where(f"k >= {2 ** least}").select("c").toPandas()["c"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
 
     at = Window.partitionBy("h")
     cells = _cell_rows(docs, id_col, text_col, width, percent, frequent)
-    cells = (cells.withColumn("low", F.min(F.struct("n", "c")).over(at))
-             .withColumn("high", F.max(F.struct("n", "c")).over(at)).where("low <> high"))
-    member = stored(cells.select(F.col("low.c").alias("region"), "c", "n").distinct())
+    cells = cells.withColumn("low", F.min("c").over(at)).withColumn("high", F.max("c").over(at)).where("low <> high")
+    member = stored(cells.select(F.col("low").alias("region"), "c").distinct())
+    classes = stored(base.where("n > 0").groupBy("c").agg(
+        F.count(F.lit(1)).alias("m"), F.min("id").alias("id"), F.first("n").cast("int").alias("n")))
     ratio = (100 / percent) ** 2
-    member = (member.join(member.groupBy("c").agg(F.collect_list("region").alias("regions")), "c")
+    placed = (member.join(classes.select("c", "n"), "c")
               .withColumn("own_ring", F.expr(f"CAST(floor(ln(n) / ln({ratio}D)) AS INT)"))
               .withColumn("ring", F.explode(F.expr(
                   f"CASE WHEN n * {100 / percent}D * 1.000001D >= power({ratio}D, own_ring + 1) "
                   "THEN array(own_ring, own_ring + 1) ELSE array(own_ring) END")))
               .withColumn("g", F.expr("xxhash64(region, ring)"))
-              .withColumns({"path": F.expr("CAST(array() AS array<bigint>)"),
-                            "homes": F.expr("CAST(array() AS array<bigint>)"),
-                            "block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)}))
-    member = stored(_counted(member).drop("cnt"))
-    classes = stored(base.where("n > 0").groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")))
+              .withColumns({"block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)}))
+    placed = stored(_counted(placed).drop("cnt"))
 
     def wanted(rows):
         return stored(classes.join(rows.select("c").distinct(), "c", "left_semi").where("id IS NOT NULL"))
 
-    bits = _of_wanted(docs, id_col, text_col, width, wanted(member), _buckets, "bits")
-    live = stored(_survivors(member, bits, percent))
-    member = stored(member.join(live.withColumnRenamed("g0", "g"), ["g", "c"], "left_semi"))
-    sets = _of_wanted(docs, id_col, text_col, width, wanted(member), np.ndarray.tobytes, "s")
-    found = stored(_joined(_groups(member, classes, sets, percent), sets, percent))
+    bits = _of_wanted(docs, id_col, text_col, width, wanted(placed), _buckets, "bits")
+    live = stored(_survivors(placed, bits, percent))
+    placed = stored(placed.join(live.withColumnRenamed("g0", "g"), ["g", "c"], "left_semi"))
+    # a linked pair survives wherever both are, so the regions left to each hold all that they share
+    regions = placed.groupBy("c").agg(F.collect_set("region").alias("regions"))
+    none = F.expr("CAST(array() AS array<bigint>)")
+    placed = placed.join(regions, "c").withColumns({"path": none, "homes": none})
+    sets = _of_wanted(docs, id_col, text_col, width, wanted(placed), np.ndarray.tobytes, "s")
+    found = stored(_joined(_groups(placed, classes, sets, percent), sets, percent))
     return _labelled(base, classes, found, id_col)
 
 
