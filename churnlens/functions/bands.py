@@ -9,9 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Tenure bands (months) and their labels.
 TENURE_EDGES = [0, 6, 12, 24, 36, 48, 60, 72]
 TENURE_LABELS = ["0-6", "7-12", "13-24", "25-36", "37-48", "49-60", "61-72"]
@@ -21,20 +18,8 @@ CHARGE_EDGES = [0, 30, 50, 70, 90, 120]
 CHARGE_LABELS = ["Basic", "Standard", "Plus", "Premium", "Enterprise"]
 
 
-def band_ordinal(col: Column, edges: Sequence[float]) -> Column:
-    """1-based index of the ``(edges[i-1], edges[i]]`` bin holding ``col``; NULL outside."""
-    expr = None
-    for i, upper in enumerate(edges[1:], start=1):
-        cond = col <= F.lit(upper)
-        if i == 1:
-            cond = (col > F.lit(edges[0])) & cond
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    # values above the last edge fall through every branch to NULL
-    return F.when(col > F.lit(edges[0]), expr)
-
-
 def band_ordinal_sql(col: str, edges: Sequence[float]) -> str:
-    """SQL text of :func:`band_ordinal` for a column name (one parsed expression)."""
+    """SQL: 1-based index of the ``(edges[i-1], edges[i]]`` bin holding ``col``; NULL outside."""
     arms = " ".join(f"WHEN `{col}` <= {upper} THEN {i}" for i, upper in enumerate(edges[1:], start=1))
     return f"CASE WHEN `{col}` > {edges[0]} THEN CASE {arms} END END"
 
@@ -42,15 +27,3 @@ def band_ordinal_sql(col: str, edges: Sequence[float]) -> str:
 def band_label_sql(ordinal: str, labels: Sequence[str]) -> str:
     items = ", ".join("'" + x.replace("'", "\\'") + "'" for x in labels)
     return f"element_at(array({items}), {ordinal})"
-
-
-def band_label(ordinal: Column, labels: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), ordinal)
-
-
-def cut(col: Column, edges: Sequence[float], labels: Sequence[str]) -> tuple[Column, Column]:
-    """(label, ordinal) of the right-closed bin of ``col``."""
-    if len(labels) != len(edges) - 1:
-        raise ValueError("need one label per bin")
-    ordinal = band_ordinal(col, edges)
-    return band_label(ordinal, labels), ordinal

@@ -1,9 +1,9 @@
 """Exact decimal rounding and money helpers.
 
-Spark rounds doubles HALF_UP on their binary value, DuckDB and Python differ on
-ties, and double sums depend on task order.  Every rounded figure here is
-therefore computed in BIGINT: money is summed in cents and ratios are rounded
-half away from zero with integer division, then divided by 10^k once.
+Spark rounds doubles HALF_UP on their binary value, other engines differ on ties,
+and double sums depend on task order.  Rounded figures are therefore computed in
+DECIMAL: money is summed unrounded to ten decimals, and each figure is rounded once,
+half away from zero.
 """
 
 from __future__ import annotations
@@ -11,63 +11,57 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Unrounded money: 18 digits before the point, 10 after.
+MONEY = "DECIMAL(28,10)"
+
 
 def round_ratio_sql(num: str, den: str, digits: int) -> str:
-    """SQL text of :func:`round_ratio` for SQL operands (one expression, one JVM call)."""
+    """SQL: ``num / den`` rounded half away from zero to ``digits`` decimals, as DOUBLE; NULL where
+    ``den`` is NULL or not positive (which also keeps ANSI mode from raising on an empty group).
+
+    ``num`` may have up to ten decimals and 20 digits before the point, ``den`` is integral.
+    The remainder is taken off before dividing, so the division is exact."""
     scale = 10 ** digits
-    n, d = f"CAST(({num}) AS BIGINT)", f"CAST(({den}) AS BIGINT)"
-    q = f"((abs({n}) * {2 * scale} + {d}) div ({d} * 2))"
+    n, d = f"CAST(({num}) AS DECIMAL(30,10))", f"CAST(({den}) AS DECIMAL(20,0))"
+    doubled = f"(abs({n}) * {2 * scale} + {d})"
+    q = f"(({doubled} - {doubled} % ({d} * 2)) / ({d} * 2))"
     return (f"CASE WHEN {d} > 0 THEN CAST(CASE WHEN {n} < 0 THEN -{q} ELSE {q} END AS DOUBLE)"
             f" / {scale} END")
 
 
-def cents_sql(col: str) -> str:
-    return f"CAST(round(({col}) * 100) AS BIGINT)"
+def money_sql(col: str) -> str:
+    """SQL: a DOUBLE money column, exact to ten decimals."""
+    return f"CAST(({col}) AS {MONEY})"
 
 
 def mean_money_sql(col: str, digits: int = 2) -> str:
-    """Aggregate SQL: mean of a money column (NULLs skipped), rounded exactly."""
-    return round_ratio_sql(f"sum({cents_sql(col)})", f"count({col}) * 100", digits)
+    """Aggregate SQL: mean of a money column (NULLs skipped), summed unrounded, rounded once."""
+    return round_ratio_sql(f"sum({money_sql(col)})", f"count({col})", digits)
 
 
 def sum_money_sql(col: str) -> str:
-    """Aggregate SQL: sum of a money column, exact to the cent; 0.0 for no rows."""
-    return f"CAST(coalesce(sum({cents_sql(col)}), 0) AS DOUBLE) / 100"
-
-
-def cents(col: Column) -> Column:
-    """Money value in integer cents (values carry two decimals)."""
-    return F.round(col * 100).cast("bigint")
-
-
-def from_cents(col: Column) -> Column:
-    return col.cast("double") / 100
+    """Aggregate SQL: sum of a money column, rounded once to the cent; 0.0 for no rows."""
+    return f"coalesce({round_ratio_sql(f'sum({money_sql(col)})', '1', 2)}, 0.0D)"
 
 
 def round_ratio(num: Column | str, den: Column | str, digits: int) -> Column:
-    """``num / den`` rounded half away from zero to ``digits`` decimals, as DOUBLE.
-
-    ``num`` and ``den`` are integral; ``den`` must be positive, otherwise NULL
-    (this also keeps ANSI mode from raising on an empty group).  SQL-text operands
-    give a single parsed expression.
-    """
+    """Column form of :func:`round_ratio_sql`; SQL-text operands give one parsed expression."""
     if isinstance(num, str) and isinstance(den, str):
         return F.expr(round_ratio_sql(num, den, digits))
     scale = 10 ** digits
-    n = num.cast("bigint")
-    d = den.cast("bigint")
-    q = F.call_function("div", F.abs(n) * (2 * scale) + d, d * 2)
-    signed = F.when(n < 0, -q).otherwise(q)
-    return F.when(d > 0, signed.cast("double") / scale)
+    n, d = num.cast("decimal(30,10)"), den.cast("decimal(20,0)")
+    doubled = F.abs(n) * (2 * scale) + d
+    q = (doubled - doubled % (d * 2)) / (d * 2)
+    return F.when(d > 0, F.when(n < 0, -q).otherwise(q).cast("double") / scale)
 
 
 def mean_money(col: str, digits: int = 2) -> Column:
-    """Mean of a money column (nulls skipped), rounded exactly.  Aggregate expression."""
+    """Aggregate expression: :func:`mean_money_sql`."""
     return F.expr(mean_money_sql(col, digits))
 
 
 def sum_money(col: str) -> Column:
-    """Sum of a money column, exact to the cent; 0.0 for no rows.  Aggregate expression."""
+    """Aggregate expression: :func:`sum_money_sql`."""
     return F.expr(sum_money_sql(col))
 
 

@@ -10,18 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import MONEY
 from ..schema import WAREHOUSE_COLUMNS
 
 
-def nan_to_null(col: Column) -> Column:
-    """NaN -> NULL: a missing number, as in pandas (skipped by aggregates, false in
-    comparisons); Spark would otherwise order NaN above every value."""
-    return F.nanvl(col, F.lit(None).cast("double"))
+def finite(col: Column) -> Column:
+    """NaN and the infinities -> NULL: not a number one can add up (skipped by aggregates, false
+    in comparisons); Spark would otherwise order NaN above every value."""
+    return F.when(F.abs(col) < F.lit(float("inf")), col)
 
 
 def coerce_double(col: Column) -> Column:
-    """Text to DOUBLE; unparseable values (blank, junk) and NaN to NULL; never raises."""
-    return nan_to_null(col.try_cast("double"))
+    """Text to DOUBLE; unparseable values (blank, junk), NaN and infinities to NULL; never raises."""
+    return finite(col.try_cast("double"))
 
 
 def yes_no_flag(col: Column) -> Column:
@@ -29,58 +30,46 @@ def yes_no_flag(col: Column) -> Column:
     return F.when(col == "Yes", 1).when(col == "No", 0).cast("int")
 
 
-def _div(a: Column, b: Column | int) -> Column:
-    """Integral division (SQL ``div``)."""
-    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
-
-
 def _holds(start: Column, count: Column, rank: Column) -> Column:
     """The run of ``count`` equal values starting at 0-based ``start`` contains ``rank``."""
     return (start <= rank) & (rank < start + count)
 
 
-def exact_median(df: DataFrame, col: str, coarse_buckets: int = 65536) -> DataFrame:
-    """One-row DataFrame ``median``: the interpolated median of a money column, exactly.
+def exact_median(df: DataFrame, col: str, buckets: int = 65536, levels: int = 4) -> DataFrame:
+    """One-row DataFrame ``median``: the interpolated median of a numeric column, exactly.
 
-    Values are taken in integer cents.  No task ever holds all distinct values:
-    1. count, min and max: one scalar subquery, bound once as a column;
-    2. counts per coarse bucket of width ``(max-min) div coarse_buckets + 1``
-       (at most ``coarse_buckets + 1`` rows) and their running totals locate the
-       one or two buckets holding the middle ranks: a second scalar subquery;
-    3. exact value counts only inside those buckets (a range filter), whose running
-       totals give the middle values.
-    The middle pair averages exactly in cents; NULLs are skipped; no rows -> NULL.
+    Distinct values are counted first (one shuffle, which the later steps reuse).  Each of
+    ``levels`` steps is a scalar subquery that cuts the present range of values into at most
+    ``buckets`` + 1 buckets, finds those that hold the middle ranks by running totals of the bucket
+    counts, and goes on with the least and largest value in them.  A step narrows the range by the
+    factor ``buckets`` however the values lie (an outlier costs one step), so the last step orders
+    the few values left.  NULLs are skipped; no rows -> NULL.
     """
-    vals = df.select(F.round(F.col(col) * 100).cast("bigint").alias("v")).where("v IS NOT NULL")
-    stats = vals.select(F.struct(F.count("v").alias("n"), F.min("v").alias("lo"),
-                                 F.max("v").alias("hi")).alias("s")).scalar()
-    lo, hi, n = F.col("_s.lo"), F.col("_s.hi"), F.col("_s.n")
-    # k1/k2: 0-based ranks of the middle pair, carried as constant columns
-    bucketed = vals.withColumn("_s", stats).select(
-        _div(F.col("v") - lo, _div(hi - lo, coarse_buckets) + 1).alias("b"), "v",
-        _div(n - 1, 2).alias("k1"), _div(n, 2).alias("k2"))
-    k1, k2, c = F.col("k1"), F.col("k2"), F.col("c")
-
-    # running totals over bucket counts only (at most coarse_buckets + 1 rows)
-    coarse = bucketed.groupBy("b", "k1", "k2").agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.orderBy("b")) - c
-    coarse = coarse.select("b", "k1", "k2", "c", before.alias("before"))
-    b0 = F.col("before")
-    # the target buckets hold consecutive ranks, so every bucket between them is empty
-    target = (coarse.where(_holds(b0, c, k1) | _holds(b0, c, k2))
-              .select(F.struct(F.min("b").alias("first"), F.max("b").alias("last"),
-                               F.min("before").alias("before")).alias("t")).scalar())
-    fine = (bucketed.withColumn("_t", target)
-            .where(F.col("b").between(F.col("_t.first"), F.col("_t.last")))
-            .groupBy("v", "k1", "k2", F.col("_t.before").alias("before"))
-            .agg(F.count(F.lit(1)).alias("c")))
-    # distinct values of at most two buckets, in order
-    start = b0 + F.sum("c").over(Window.orderBy("v")) - c
-    fine = fine.select("v", "c", "k1", "k2", start.alias("start"))
-    s0 = F.col("start")
-    v1 = F.max(F.when(_holds(s0, c, k1), F.col("v")))
-    v2 = F.max(F.when(_holds(s0, c, k2), F.col("v")))
-    return fine.agg(((v1 + v2).cast("double") / 200).alias("median"))
+    values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL")
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    state = counted.select(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.lit(0).cast("bigint").alias("before"),
+                                    F.sum("c").alias("n")).alias("s")).scalar()
+    k1, k2 = F.expr("(n - 1) div 2"), F.expr("n div 2")  # 0-based ranks of the middle pair
+
+    def inside(state):
+        return (counted.withColumn("_s", state).where(F.col("v").between(F.col("_s.lo"), F.col("_s.hi")))
+                .select("v", "c", "_s.lo", "_s.hi", F.col("_s.before").alias("base"), "_s.n"))
+
+    for _ in range(levels):
+        place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets))
+        parts = inside(state).groupBy(F.coalesce(place, F.lit(0)).alias("b"), "base", "n").agg(
+            F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        # running totals of bucket counts only
+        start = F.col("base") + F.sum("c").over(Window.orderBy("b")) - F.col("c")
+        parts = parts.withColumn("before", start)
+        hit = _holds(F.col("before"), F.col("c"), k1) | _holds(F.col("before"), F.col("c"), k2)
+        # the two middle ranks follow each other, so buckets between theirs are empty
+        state = parts.where(hit).select(F.struct(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("before"),
+            F.first("n").alias("n")).alias("s")).scalar()
+    last = inside(state).withColumn("start", F.col("base") + F.sum("c").over(Window.orderBy("v")) - F.col("c"))
+    middle = [F.max(F.when(_holds(F.col("start"), F.col("c"), k), F.col("v"))).cast(MONEY) for k in (k1, k2)]
+    return last.agg(((middle[0] + middle[1]) / 2).cast("double").alias("median"))
 
 
 def clean_subscribers(raw: DataFrame, fill: str = "zero") -> DataFrame:
@@ -98,7 +87,7 @@ def clean_subscribers(raw: DataFrame, fill: str = "zero") -> DataFrame:
     else:
         raise ValueError(f"unknown fill rule {fill!r}")
     return raw.withColumns({
-        "MonthlyCharges": nan_to_null(F.col("MonthlyCharges").cast("double")),
+        "MonthlyCharges": finite(F.col("MonthlyCharges").cast("double")),
         "TotalCharges": F.coalesce(total, filler),
         "Churn": yes_no_flag(F.col("Churn")),
     })

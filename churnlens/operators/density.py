@@ -1,71 +1,60 @@
 """Equal-width histogram and Gaussian kernel density of a numeric column.
 
-Column statistics (count, min, max, sample std) are ONE scalar subquery: a single
-job whose one-row result Spark inlines as a constant.  It is bound as a struct
-column ``_s`` where it is needed, so expressions reference an attribute rather
-than re-planning the subquery; no join with a statistics row, no driver round
-trip.  The histogram is one partial aggregate over ``bins`` groups (empty bins
-come from a union with a zero-count grid, not a join).  The KDE first counts
-distinct values (for a money column this is bounded by the value range, at any
-row count), expands each distinct value against the fixed grid inside the task,
-and sums per grid point, so the shuffle carries at most ``grid`` rows per task.
+Both count the distinct values first (one scan and one shuffle; for a money column the counts
+are bounded by the value range, at any row count).  The column's statistics are scalar
+subqueries over those counts, which reuse the shuffle, and are bound as a struct column.
+The histogram is one partial aggregate over ``bins`` groups (empty bins come from a union with a
+zero-count grid, not a join).  The KDE expands each distinct value against the fixed grid inside
+the task and sums per grid point, so the shuffle carries at most ``grid`` rows per task.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import round_double
+from ..functions.rounding import MONEY, round_double
 
 
-def _values_and_stats(df: DataFrame, col: str, *aggs: Column) -> tuple[DataFrame, Column]:
-    """Non-null values of ``col`` as column ``x``, and a scalar subquery struct of ``aggs`` on them."""
-    vals = df.select(F.col(col).alias("x")).where(F.col("x").isNotNull())
-    return vals, vals.select(F.struct(*aggs).alias("s")).scalar()
+def _counted(df: DataFrame, col: str, kind: str) -> DataFrame:
+    """Distinct non-null values ``x`` of ``col`` and how many rows have them (``w``)."""
+    vals = df.select(F.col(col).cast(kind).alias("x")).where(F.col("x").isNotNull())
+    return vals.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30, decimals: int | None = 2) -> DataFrame:
     """bin (0-based), bin_start, bin_end, count; every bin present; bins ``[a, b)``, last closed.
 
-    With ``decimals`` (money: 2) values are binned in exact integer units of
-    10^-decimals, so a value lying on an edge always opens the upper bin, as it
-    does mathematically; ``decimals=None`` bins the doubles directly.  A constant
+    With ``decimals`` (money: 2) values are binned as exact decimals, unrounded, so a value
+    lying on an edge always opens the upper bin, as it does mathematically, and edges are
+    computed in units of 10^-decimals; ``decimals=None`` bins the doubles directly.  A constant
     column gets the unit range around its value, as numpy does.
     """
     grid = (df.sparkSession.range(bins)
             .selectExpr("CAST(id AS INT) AS bin", "CAST(0 AS BIGINT) AS n"))
+    kind = "double" if decimals is None else MONEY
+    counted = _counted(df, col, kind)
+    lo0, hi0, half = F.min("x"), F.max("x"), F.lit(0.5).cast("double" if decimals is None else "decimal(2,1)")
+    stats = counted.select(F.struct(
+        F.when(lo0 == hi0, lo0 - half).otherwise(lo0).cast(kind).alias("lo"),
+        F.when(lo0 == hi0, hi0 + half).otherwise(hi0).cast(kind).alias("hi")).alias("s")).scalar()
     if decimals is None:
-        lo0, hi0 = F.min("x"), F.max("x")
-        vals, stats = _values_and_stats(
-            df, col, F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0).alias("lo"),
-            F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0).alias("hi"))
-        lo, hi = F.col("_s.lo"), F.col("_s.hi")
-        idx = F.least(F.floor((F.col("x") - lo) * bins / (hi - lo)).cast("int"), F.lit(bins - 1))
-
-        def edge(i: Column) -> Column:
-            return lo + i * (hi - lo) / bins
+        index = "CAST(least(floor((x - _s.lo) * {0} / (_s.hi - _s.lo)), {0} - 1) AS INT)"
+        edge = "_s.lo + ({1}) * (_s.hi - _s.lo) / {0}"
     else:
-        unit = 10 ** decimals
-        half = unit // 2
-        scaled = df.select(F.round(F.col(col) * unit).cast("bigint").alias("_v"))
-        lo0, hi0 = F.min("x"), F.max("x")
-        vals, stats = _values_and_stats(
-            scaled, "_v", F.when(lo0 == hi0, lo0 - half).otherwise(lo0).alias("lo"),
-            F.when(lo0 == hi0, hi0 + half).otherwise(hi0).alias("hi"))
-        lo, hi = F.col("_s.lo"), F.col("_s.hi")
-        idx = F.least(F.call_function("div", (F.col("x") - lo) * bins, hi - lo).cast("int"),
-                      F.lit(bins - 1))
-
-        def edge(i: Column) -> Column:
-            # exact edge lo + i*(hi-lo)/bins, rounded once to a double
-            return (lo * bins + i * (hi - lo)).cast("double") / (bins * unit)
-    hits = vals.withColumn("_s", stats).select(idx.alias("bin"), F.lit(1).cast("bigint").alias("n"))
+        offset = "CAST((x - _s.lo) * {0} AS DECIMAL(30,10))"
+        width = "CAST(_s.hi - _s.lo AS DECIMAL(28,10))"
+        # the remainder is taken off first, so the division is exact
+        index = f"CAST(least(({offset} - {offset} % {width}) / {width}, {{0}} - 1) AS INT)"
+        edge = (f"CAST((_s.lo * {{0}} + ({{1}}) * (_s.hi - _s.lo)) * {10 ** decimals} AS DOUBLE)"
+                f" / ({{0}} * {10 ** decimals})")
+    hits = counted.withColumn("_s", stats).select(F.expr(index.format(bins)).alias("bin"), F.col("w").alias("n"))
     counts = hits.unionByName(grid).groupBy("bin").agg(F.sum("n").alias("count"))
     return counts.withColumn("_s", stats).select(
-        "bin", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"), "count")
+        "bin", F.expr(edge.format(bins, "bin")).alias("bin_start"),
+        F.expr(edge.format(bins, "bin + 1")).alias("bin_end"), "count")
 
 
 def kde(df: DataFrame, col: str, grid: int = 200, hist_bins: int = 30,
@@ -74,17 +63,22 @@ def kde(df: DataFrame, col: str, grid: int = 200, hist_bins: int = 30,
 
     Bandwidth is Scott's rule: sample std * n^(-1/5).  Columns: point, x,
     density (probability density) and count_density (density * n * histogram
-    bin width, i.e. on the scale of the ``hist_bins`` histogram).
+    bin width, i.e. on the scale of the ``hist_bins`` histogram).  A constant column (or one
+    value) has no bandwidth: its points have NULL densities.
     """
-    vals, stats = _values_and_stats(
-        df, col, F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-        F.stddev_samp("x").alias("sd"))
+    counted = _counted(df, col, "double")
+    n = F.sum("w")
+    rough = counted.select(F.struct(n.alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                    (F.sum(F.col("x") * F.col("w")) / n).alias("mean")).alias("s")).scalar()
+    spread = F.sum(F.pow(F.col("x") - F.col("_r.mean"), F.lit(2)) * F.col("w"))
+    stats = counted.withColumn("_r", rough).groupBy("_r").agg(spread.alias("ss")).select(
+        F.struct("_r.n", "_r.lo", "_r.hi", F.expr("CASE WHEN _r.n > 1 AND ss > 0 THEN sqrt(ss / (_r.n - 1)) END")
+                 .alias("sd")).alias("s")).scalar()
     n, lo, hi = F.col("_s.n"), F.col("_s.lo"), F.col("_s.hi")
     h = F.col("_s.sd") * F.pow(n.cast("double"), F.lit(-0.2))
     step = (hi - lo) / (grid - 1)
 
-    distinct = vals.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
-    expanded = distinct.withColumn("_s", stats).select(
+    expanded = counted.withColumn("_s", stats).select(
         "x", "w", "_s", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     z = (lo + F.col("point") * step - F.col("x")) / h
     sums = expanded.groupBy("point").agg(F.sum(F.col("w") * F.exp(z * z * -0.5)).alias("s"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import cents_sql, mean_money, round_ratio, round_ratio_sql, sum_money
+from ..functions.rounding import mean_money, money_sql, round_ratio, round_ratio_sql, sum_money
 from ..functions.sql import quote
 
 DISTRIBUTION_COLUMNS = ("Contract", "InternetService", "PaymentMethod")
@@ -54,7 +54,7 @@ def overview_summary(df: DataFrame) -> DataFrame:
     mean monthly charge (2 dp), total revenue (sum of TotalCharges, exact) and the
     same in millions (1 dp)."""
     churned = "CAST(coalesce(sum(Churn), 0) AS BIGINT)"
-    revenue_cents = f"sum({cents_sql('TotalCharges')})"
+    revenue = f"sum({money_sql('TotalCharges')})"
     return df.agg(
         F.expr("count(1) AS total_customers"),
         F.expr(f"{churned} AS churned_customers"),
@@ -63,8 +63,8 @@ def overview_summary(df: DataFrame) -> DataFrame:
         round_ratio("sum(tenure)", "count(tenure)", 1).alias("average_tenure"),
         mean_money("MonthlyCharges").alias("average_monthly_charges"),
         sum_money("TotalCharges").alias("total_revenue"),
-        # display figure: millions, 1 dp (from exact cents: 1e6 currency units = 1e8 cents)
-        F.expr(f"coalesce({round_ratio_sql(revenue_cents, '100000000', 1)}, 0.0)"
+        # display figure: millions, 1 dp
+        F.expr(f"coalesce({round_ratio_sql(revenue, '1000000', 1)}, 0.0)"
                " AS total_revenue_millions"),
     )
 

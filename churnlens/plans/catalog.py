@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import (breakdowns, clean, density, kpi, overview, profile, reasons, scoring,
                          segments)
 from ..session import scratch_path
-from ..sources import io, sample
+from ..sources import io
 from ..streaming import scoring_stream
 from . import report, trends
 from .context import Workspace
@@ -21,7 +21,7 @@ QUERIES: dict[str, Query] = {}
 
 def register(name: str):
     def deco(fn: Callable[[Workspace], DataFrame]) -> Callable[[Workspace], DataFrame]:
-        QUERIES[name] = lambda spark, data_dir: fn(Workspace.get(spark, data_dir))
+        QUERIES[name] = lambda spark, data_dir: fn(Workspace(spark, data_dir))
         return fn
     return deco
 
@@ -171,8 +171,10 @@ def q_null_profile(ws: Workspace) -> DataFrame:
 
 @register("churned_customers")
 def q_churned_customers(ws: Workspace) -> DataFrame:
-    """SELECT * FROM the warehouse rows WHERE Churn = 1 (pushed into the Parquet scan)."""
-    return ws.warehouse.where("Churn = 1")
+    """SELECT * FROM the warehouse table WHERE Churn = 1: the table is created and loaded first, and
+    the predicate is pushed into the scan of its files."""
+    name, location = _loaded_warehouse(ws)
+    return io.scan_then_drop(ws.spark, name, location, "Churn = 1")
 
 
 @register("charge_histogram")
@@ -187,12 +189,12 @@ def q_charge_kde(ws: Workspace) -> DataFrame:
 
 @register("monthly_trends")
 def q_monthly_trends(ws: Workspace) -> DataFrame:
-    return trends.monthly_trends(ws.orders, ws.base)
+    return trends.monthly_trends(ws.orders)
 
 
 @register("kpi_monthly_delta")
 def q_kpi_monthly_delta(ws: Workspace) -> DataFrame:
-    return trends.monthly_deltas(trends.monthly_trends(ws.orders, ws.base))
+    return trends.monthly_deltas(ws.orders)
 
 
 @register("csv_roundtrip")
@@ -212,14 +214,20 @@ def q_store_roundtrip(ws: Workspace) -> DataFrame:
     return io.load_subscribers(ws.spark, path, lambda: ws.subs)
 
 
-@register("warehouse_append")
-def q_warehouse_append(ws: Workspace) -> DataFrame:
-    """CREATE TABLE IF NOT EXISTS, append the batch-pipeline rows, full scan."""
+def _loaded_warehouse(ws: Workspace) -> tuple[str, str]:
+    """A warehouse table of its own with the batch-pipeline rows: (table, location)."""
     location = scratch_path(ws.spark, "warehouse")
     name = "customer_data_" + location.rsplit("-", 1)[-1]
     io.create_warehouse_table(ws.spark, name, location)
     io.append_to_warehouse(ws.warehouse, name)
-    return io.scan_warehouse(ws.spark, name)
+    return name, location
+
+
+@register("warehouse_append")
+def q_warehouse_append(ws: Workspace) -> DataFrame:
+    """CREATE TABLE IF NOT EXISTS, append the batch-pipeline rows, full scan."""
+    name, location = _loaded_warehouse(ws)
+    return io.scan_then_drop(ws.spark, name, location)
 
 
 @register("score_stream")
@@ -234,9 +242,13 @@ def q_score_stream(ws: Workspace) -> DataFrame:
         "customerID", "raw_score", "score", "probability", "risk_level")
 
 
+# The report's generation date (passed in, so that results repeat).
+REPORT_DATE = "1998-12-31"
+
+
 @register("report_sections")
 def q_report_sections(ws: Workspace) -> DataFrame:
-    return report.report_sections(ws.subs, ws.orders, activity=ws.base)
+    return report.report_sections(ws.subs, ws.orders, report_date=REPORT_DATE)
 
 
 @register("report_summary")
@@ -244,11 +256,6 @@ def q_report_summary(ws: Workspace) -> DataFrame:
     return report.report_summary(ws.subs)
 
 
-@register("sample_subscribers")
-def q_sample_subscribers(ws: Workspace) -> DataFrame:
-    return sample.sample_subscribers(ws.tables.customer.select("c_custkey"))
-
-
 @register("distributions_churned")
 def q_distributions_churned(ws: Workspace) -> DataFrame:
     """Value distributions of the churned population (overview with customer_type=churned)."""

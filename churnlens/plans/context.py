@@ -1,9 +1,7 @@
-"""The derived subscriber tables of one data directory."""
+"""The subscriber tables of one input: derived from order-entry tables, or read from a CSV."""
 
 from __future__ import annotations
 
-import hashlib
-import inspect
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,83 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import clean
 from ..operators.clean import clean_subscribers
 from ..schema import SUBSCRIBER_COLUMNS
-from ..session import fingerprint, shared_dir
-from ..sources import fixture, io
+from ..sources import fixture
 from ..sources.tables import Tables
 
-# Session setting: "false" keeps every query a single lazy plan over the source tables.
-MATERIALIZE_CONF = "churnlens.materialize"
-# Part of the store key, next to the derivation code and schema: bump to force a rebuild.
-BASE_VERSION = "2"
-
-
-_CACHE: dict[tuple, "Workspace"] = {}
-
-
-def _code_key(*modules) -> str:
-    """Text identifying the derivation code: the modules' source, or (when the package
-    ships without sources, e.g. zipped bytecode) their functions' bytecode."""
-    try:
-        return "".join(inspect.getsource(m) for m in modules)
-    except (OSError, TypeError):
-        parts = []
-        for m in modules:
-            for name, obj in sorted(vars(m).items()):
-                code = getattr(obj, "__code__", None)
-                if code is not None and getattr(obj, "__module__", None) == m.__name__:
-                    parts.append(f"{name}:{code.co_code.hex()}:{code.co_consts!r}")
-        return "|".join(parts)
-
 
 class Workspace:
-    """The derived subscriber tables of one data directory.
+    """Lazy plans over one data directory: subscribers (``base``, ``raw``, ``subs``), their
+    batch-cleaned rows (``warehouse``) and the scoring requests (``requests``).
 
-    ``base`` (subscribers from customer + orders), ``warehouse`` (median-cleaned rows)
-    and ``requests`` (scoring requests from events) are computed once and stored in the
-    shared folder; everything else
-    (raw, clean, region-attached rows, the dimension) is a lazy projection of them
-    that Catalyst optimises together with the query consuming it.
+    Nothing is stored or remembered between workspaces: every query that is built from a
+    workspace is one plan over the source tables as they are when it runs, and Catalyst
+    prunes it to what the query needs.
     """
 
-    @classmethod
-    def get(cls, spark: SparkSession, data_dir: str) -> "Workspace":
-        """One workspace per (application, data directory): the derived plans are built once
-        per session and shared by every query (DataFrames are immutable)."""
-        key = (spark.sparkContext.applicationId, id(spark), data_dir.rstrip("/"))
-        ws = _CACHE.get(key)
-        if ws is None:
-            ws = _CACHE[key] = cls(spark, data_dir)
-        return ws
-
     def __init__(self, spark: SparkSession, data_dir: str):
         self.spark = spark
         self.data_dir = data_dir
         self.tables = Tables(spark, data_dir)
 
-    def _stored(self, name: str, inputs: tuple[str, ...], derived: DataFrame) -> DataFrame:
-        """``derived`` computed once and read back from the shared folder, keyed by a
-        fingerprint of its input tables, of the derivation code and of its schema; the
-        lazy plan itself when materialisation is off or no shared folder exists."""
-        shared = shared_dir(self.spark, required=False)
-        if shared is None or self.spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
-            return derived
-        paths = [f"{self.data_dir.rstrip('/')}/{t}.parquet" for t in inputs]
-        # any change to the derivation code or its output schema gives a new key
-        logic = _code_key(fixture, clean)
-        shape = hashlib.sha1((BASE_VERSION + logic + derived.schema.json()).encode()).hexdigest()[:8]
-        key = f"{fingerprint(self.spark, paths)}-{shape}"
-        return io.materialize(self.spark, f"{shared}/churnlens/{name}/{key}", lambda: derived)
-
     @cached_property
     def base(self) -> DataFrame:
-        """Raw subscriber rows plus keys, derived from customer and orders.
-
-        By default the derivation (an aggregate of all orders and a join) runs once
-        and is stored under the shared folder, keyed by a fingerprint of its inputs;
-        every query then scans the stored table with column pruning and pushdown.
-        """
-        derived = fixture.subscriber_base(self.tables.customer, self.tables.orders)
-        return self._stored("subscriber_base", ("customer", "orders"), derived)
+        """Raw subscriber rows plus keys, derived from customer and orders."""
+        return fixture.subscriber_base(self.tables.customer, self.tables.orders)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -105,10 +48,8 @@ class Workspace:
 
     @cached_property
     def warehouse(self) -> DataFrame:
-        """The warehouse rows (batch cleaning: median fill, no id), stored like the base:
-        the exact median is computed once, and readers scan a table with pushdown."""
-        derived = clean.warehouse_rows(self.raw)
-        return self._stored("warehouse_rows", ("customer", "orders"), derived)
+        """The warehouse rows (batch cleaning: median fill, no id)."""
+        return clean.warehouse_rows(self.raw)
 
     @cached_property
     def dim(self) -> DataFrame:
@@ -116,10 +57,8 @@ class Workspace:
 
     @cached_property
     def requests(self) -> DataFrame:
-        """Scoring requests (events aggregated per user, joined to the subscriber base);
-        stored like the base, so every scoring query is a shuffle-free projection."""
-        derived = fixture.score_requests(self.base, self.tables.events)
-        return self._stored("score_requests", ("customer", "orders", "events"), derived)
+        """Scoring requests (events aggregated per user, joined to the subscriber base)."""
+        return fixture.score_requests(self.base, self.tables.events)
 
     @property
     def orders(self) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Batch job: derive and clean subscribers, load the warehouse table, compute the
+"""Batch job: derive or read subscribers, clean them, load the warehouse table, compute the
 analyses and write every result as a table under one output folder.
 
     python -m churnlens.plans.jobs --data-dir DIR --out OUT [--sections kpis,churn,...]
+    python -m churnlens.plans.jobs --csv FILE_OR_DIR --out OUT [--sections kpis,churn,...]
     python -m churnlens.plans.jobs --requests FILE_OR_DIR --format json --out OUT
 
 Each result is a distributed write (Parquet); the report dataset is partitioned
@@ -13,7 +14,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark import StorageLevel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import breakdowns, clean, density, kpi, overview, reasons, scoring, segments
 from ..sources import io
@@ -21,27 +22,8 @@ from . import report, trends
 from .context import Workspace
 
 
-def run_batch(spark: SparkSession, data_dir: str, out: str,
-              sections=report.DEFAULT_SECTIONS, table: str = "customer_data") -> dict[str, str]:
-    """Write all analyses of ``data_dir`` under ``out``; returns {result name: path}.
-
-    The warehouse table ``table`` is created if missing (at ``out/<table>``) and the
-    cleaned rows are appended, as in the batch flow it mirrors: running the job twice
-    against the same table appends twice.
-    """
-    ws = Workspace.get(spark, data_dir)
-    out = out.rstrip("/")
-    # a dozen aggregations read the same clean table: scan the stored base once, keep
-    # the clean rows on the executors (spilling to disk; lost blocks are recomputed)
-    subs = ws.subs.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _write_all(spark, ws, subs, out, sections, table)
-    finally:
-        subs.unpersist()
-
-
-def _write_all(spark: SparkSession, ws: Workspace, subs, out: str, sections, table: str) -> dict[str, str]:
-    results = {
+def _subscriber_results(subs: DataFrame) -> dict[str, DataFrame]:
+    return {
         "kpis": kpi.kpis(subs),
         "churn_rate": kpi.churn_rate(subs),
         "churn_by_tenure": breakdowns.churn_by_tenure(subs),
@@ -53,23 +35,60 @@ def _write_all(spark: SparkSession, ws: Workspace, subs, out: str, sections, tab
         "distributions": overview.value_distributions(subs),
         "charge_histogram": density.histogram(subs, "MonthlyCharges"),
         "charge_kde": density.kde(subs, "MonthlyCharges"),
-        "monthly_trends": trends.monthly_trends(ws.orders, ws.base),
-        "scored_requests": scoring.score(scoring.valid_requests(ws.requests)),
-        "rejected_requests": scoring.rejected_requests(ws.requests),
     }
+
+
+def _write(spark: SparkSession, raw: DataFrame, results: dict[str, DataFrame], sections: DataFrame,
+           out: str, table: str) -> dict[str, str]:
     paths = {}
     for name, df in results.items():
         paths[name] = f"{out}/{name}"
         df.write.mode("overwrite").parquet(paths[name])
     paths["report"] = f"{out}/report"
-    report.write_report(report.report_sections(subs, ws.orders, sections, ws.base), paths["report"])
+    report.write_report(sections, paths["report"])
     # warehouse copy: batch-pipeline cleaning (median fill, no id), appended to a table
     paths[table] = f"{out}/{table}"
     io.create_warehouse_table(spark, table, paths[table])
-    io.append_to_warehouse(clean.warehouse_rows(ws.raw), table)
+    io.append_to_warehouse(clean.warehouse_rows(raw), table)
     return paths
 
 
+def run_batch(spark: SparkSession, data_dir: str, out: str,
+              sections=report.DEFAULT_SECTIONS, table: str = "customer_data") -> dict[str, str]:
+    """Write all analyses of ``data_dir`` under ``out``; returns {result name: path}.
+
+    The warehouse table ``table`` is created if missing (at ``out/<table>``) and the
+    cleaned rows are appended, as in the batch flow it mirrors: running the job twice
+    against the same table appends twice.
+    """
+    ws = Workspace(spark, data_dir)
+    # a dozen aggregations read the same clean table: derive it once, keep the clean rows
+    # on the executors (spilling to disk; lost blocks are recomputed)
+    subs = ws.subs.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        results = _subscriber_results(subs) | {
+            "monthly_trends": trends.monthly_trends(ws.orders),
+            "scored_requests": scoring.score(scoring.valid_requests(ws.requests)),
+            "rejected_requests": scoring.rejected_requests(ws.requests),
+        }
+        return _write(spark, ws.raw, results, report.report_sections(subs, ws.orders, sections), out.rstrip("/"), table)
+    finally:
+        subs.unpersist()
+
+
+def run_csv(spark: SparkSession, csv: str, out: str, sections=report.DEFAULT_SECTIONS,
+            table: str = "customer_data") -> dict[str, str]:
+    """Write all analyses of a subscriber CSV (header bound by name) under ``out``.
+
+    The clean rows go through the read-through store ``out/store``, which a later run reads instead
+    of the CSV.  A CSV has no orders, so there are no trends and no scoring requests."""
+    out = out.rstrip("/")
+    raw = io.read_csv(spark, csv)
+    subs = io.load_subscribers(spark, f"{out}/store", lambda: clean.clean_subscribers(raw, fill="zero"))
+    rows = report.report_sections(subs, None, [s for s in sections if s != "trends"])
+    return _write(spark, raw, _subscriber_results(subs), rows, out, table) | {"store": f"{out}/store"}
+
+
 def score_file(spark: SparkSession, path: str, out: str, fmt: str = "json") -> dict[str, str]:
     """Score a file (or folder) of requests with ``REQUEST_SCHEMA`` columns; write the
     scored rows (arrays and maps kept) and the rejected rows with their reason."""
@@ -89,17 +108,20 @@ def main(argv: list[str] | None = None) -> None:
     from ..session import get_session
     ap = argparse.ArgumentParser(description=__doc__.split("\n\n")[0].replace("\n", " "))
     ap.add_argument("--data-dir", help="folder of source tables (customer, orders, events, ...)")
+    ap.add_argument("--csv", help="subscriber CSV (file or folder) instead of the source tables")
     ap.add_argument("--requests", help="score this file or folder of requests instead")
     ap.add_argument("--format", default="json", help="format of --requests: json, parquet, csv")
     ap.add_argument("--out", required=True)
     ap.add_argument("--sections", default=",".join(report.DEFAULT_SECTIONS))
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
-    if not (args.data_dir or args.requests):
-        ap.error("give --data-dir or --requests")
+    if not (args.data_dir or args.csv or args.requests):
+        ap.error("give --data-dir, --csv or --requests")
     spark = get_session(args.master)
     if args.requests:
         paths = score_file(spark, args.requests, args.out, args.format)
+    elif args.csv:
+        paths = run_csv(spark, args.csv, args.out, args.sections.split(","))
     else:
         paths = run_batch(spark, args.data_dir, args.out, args.sections.split(","))
     for name, path in paths.items():

@@ -1,10 +1,10 @@
-"""Report dataset: the figures of the PDF report as one long table.
+"""Report dataset: the contents of the PDF report as one long table.
 
-Rows are (section, position, label, value, text).  Sections follow the report
-options: kpis, churn (tenure bands and top reasons), segments, trends (monthly
-churn rate); contracts and recommendations are always present.  Each section
-is a small aggregate; the union is written with ``partitionBy("section")`` so
-a reader of one section prunes the others.
+Rows are (section, position, label, value, text).  Sections follow the report options: kpis,
+churn (tenure bands and top reasons), segments (share, size, characteristics and actions), trends
+(monthly churn rate); header (title and date), summary, contracts and recommendations are always
+present.  Every section is a projection of the operator that computes it elsewhere.  The table is
+written with ``partitionBy("section")`` so a reader of one section prunes the others.
 """
 
 from __future__ import annotations
@@ -15,17 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sql import quote
-
-from ..functions.bands import TENURE_EDGES, TENURE_LABELS, band_ordinal_sql
-from ..functions.rounding import cents_sql, round_ratio_sql
+from ..operators import breakdowns, overview, reasons, segments
 from ..operators.kpi import kpis
-from ..operators.reasons import (CONTRACT_CATEGORY, CONTRACT_PREFIX, EXCLUDED_SERVICE, SERVICE_CATEGORY,
-                                 SERVICE_PREFIX)
-from ..operators.segments import SEGMENTS
 from .trends import monthly_trends
 
 DEFAULT_SECTIONS = ("kpis", "churn", "segments", "trends")
-ALWAYS_SECTIONS = ("contracts", "recommendations")
+ALWAYS_SECTIONS = ("header", "summary", "contracts", "recommendations")
+
+# Default title of the report, its date line and date format.
+TITLE = "Rapport Telco Analytics"
+DATE_LINE = "Généré le "
+DATE_FORMAT = "dd/MM/yyyy"
 
 # The report's recommendation table (priority, action, expected impact).
 RECOMMENDATIONS = (
@@ -35,13 +35,9 @@ RECOMMENDATIONS = (
     ("Moyenne", "Programme VIP pour Premium Users", "+5% satisfaction"),
 )
 
-# Executive-summary template pieces.
-SUMMARY_PARTS = (
-    "Ce rapport présente une analyse complète de la base clients télécom avec ",
-    " clients. Le taux de churn actuel est de ",
-    "%, avec un revenu moyen par utilisateur (ARPU) de ",
-    "€.",
-)
+# Fixed value: the executive summary; the gaps take the subscribers, the churn rate and the ARPU.
+SUMMARY = ("Ce rapport présente une analyse complète de la base clients télécom avec %s clients. "
+           "Le taux de churn actuel est de %s%%, avec un revenu moyen par utilisateur (ARPU) de %s€.")
 
 KPI_ORDER = ("total_customers", "churn_rate", "arpu", "clv", "churn_count", "active_customers")
 
@@ -55,123 +51,57 @@ def _rows(df: DataFrame, section: str, position: str, label: str, value: str,
         f"CAST({text} AS STRING) AS text")
 
 
-def _report_counts(subs: DataFrame) -> DataFrame:
-    """ONE aggregate over the subscriber table feeding the kpis, churn, segments and
-    contracts sections: GROUPING SETS ((), (tenure band), (Contract), (InternetService))
-    with every counter those sections need (a few dozen rows); each section selects
-    its grouping set's rows."""
-    counters = [
-        "count(1) AS n", "sum(Churn) AS churn_sum", "count(Churn) AS churn_n",
-        "count(customerID) AS ids", f"sum({cents_sql('MonthlyCharges')}) AS mc_sum",
-        "count(MonthlyCharges) AS mc_n", f"sum({cents_sql('TotalCharges')}) AS tc_sum",
-        "count(TotalCharges) AS tc_n", "count_if(Churn = 1) AS churned",
-    ] + [f"count_if({seg.predicate}) AS seg{seg.ordinal}" for seg in SEGMENTS]
-    banded = subs.selectExpr(f"{band_ordinal_sql('tenure', TENURE_EDGES)} AS tb", "*")
-    return (banded.groupingSets([[], ["tb"], ["Contract"], ["InternetService"]],
-                                "tb", "Contract", "InternetService")
-            .agg(*[F.expr(c) for c in counters],
-                 F.expr("CASE WHEN grouping(tb) = 0 THEN 'band' WHEN grouping(Contract) = 0 THEN "
-                        "'contract' WHEN grouping(InternetService) = 0 THEN 'service' ELSE 'all' END"
-                        " AS gset")))
-
-
-def _kpi_section(counts: DataFrame) -> DataFrame:
-    churned = "coalesce(churn_sum, 0)"
-    values = {
-        "total_customers": "n",
-        "churn_rate": round_ratio_sql(f"{churned} * 100", "n", 2),
-        "arpu": round_ratio_sql("mc_sum", "mc_n * 100", 2),
-        "clv": round_ratio_sql("tc_sum", "tc_n * 100", 2),
-        "churn_count": churned,
-        "active_customers": f"n - {churned}",
-    }
-    items = ", ".join(f"named_struct('position', {i}, 'label', {quote(k)}, 'value', CAST({values[k]} AS DOUBLE))"
+def _kpi_section(subs: DataFrame) -> DataFrame:
+    items = ", ".join(f"named_struct('position', {i}, 'label', {quote(k)}, 'value', CAST({k} AS DOUBLE))"
                       for i, k in enumerate(KPI_ORDER, start=1))
-    flat = counts.where("gset = 'all'").selectExpr(f"inline(array({items}))")
-    return _rows(flat, "kpis", "position", "label", "value")
-
-
-def _band_section(counts: DataFrame) -> DataFrame:
-    labels = ", ".join(quote(x) for x in TENURE_LABELS)
-    bands = counts.where("gset = 'band' AND tb IS NOT NULL")
-    return _rows(bands, "churn", "tb", f"element_at(array({labels}), tb)",
-                 round_ratio_sql("churn_sum * 100", "churn_n", 2), "ids")
-
-
-def _reason_section(counts: DataFrame, k: int = 10) -> DataFrame:
-    # value counts among churned rows: keys with no churned row do not appear
-    rows = counts.where("gset IN ('contract', 'service') AND churned > 0").selectExpr(
-        f"CASE WHEN gset = 'contract' THEN {quote(CONTRACT_CATEGORY)} ELSE {quote(SERVICE_CATEGORY)} END"
-        " AS category",
-        "CASE WHEN gset = 'contract' THEN Contract ELSE InternetService END AS value",
-        "churned AS customers").where("value IS NOT NULL")
-    shares = rows.selectExpr(
-        "category", "value", "customers",
-        f"{round_ratio_sql('customers * 100', 'sum(customers) OVER (PARTITION BY category)', 1)}"
-        " AS percentage")
-    named = shares.where(
-        f"NOT (category = {quote(SERVICE_CATEGORY)} AND value = {quote(EXCLUDED_SERVICE)})").selectExpr(
-        f"concat(CASE WHEN category = {quote(CONTRACT_CATEGORY)} THEN {quote(CONTRACT_PREFIX)}"
-        f" ELSE {quote(SERVICE_PREFIX)} END, value) AS reason", "category", "percentage", "customers")
-    category_order = F.expr(f"CASE WHEN category = {quote(CONTRACT_CATEGORY)} THEN 0 ELSE 1 END")
-    top = named.orderBy(F.col("percentage").desc(), category_order, F.col("customers").desc(),
-                        F.col("reason")).limit(k)
-    ranked = top.selectExpr(
-        f"row_number() OVER (ORDER BY percentage DESC, CASE WHEN category = {quote(CONTRACT_CATEGORY)}"
-        " THEN 0 ELSE 1 END, customers DESC, reason) AS rank", "reason", "category", "percentage")
-    return _rows(ranked, "churn", "rank + 100", "reason", "percentage", "category")
-
-
-def _segment_section(counts: DataFrame) -> DataFrame:
-    items = ", ".join(f"named_struct('ordinal', {seg.ordinal}, 'name', {quote(seg.name)}, "
-                      f"'cnt', seg{seg.ordinal})" for seg in SEGMENTS)
-    flat = counts.where("gset = 'all'").selectExpr("n", f"inline(array({items}))")
-    return _rows(flat, "segments", "ordinal", "name", round_ratio_sql("cnt * 100", "n", 1), "cnt")
-
-
-def _contract_section(counts: DataFrame) -> DataFrame:
-    rows = counts.where("gset = 'contract' AND Contract IS NOT NULL").selectExpr(
-        "row_number() OVER (ORDER BY n DESC, Contract) AS rank", "Contract", "n")
-    return _rows(rows, "contracts", "rank", "Contract", "n")
-
-
-def report_sections(subs: DataFrame, orders: DataFrame,
-                    include_sections: Iterable[str] = DEFAULT_SECTIONS,
-                    activity: DataFrame | None = None) -> DataFrame:
-    """The report's rows for ``include_sections`` (contracts and recommendations always).
-
-    Every section over subscribers comes from one shared aggregate (one scan of the
-    table, checkpointed when a checkpoint folder is set); trends come from ``orders``
-    (and the per-customer ``activity`` when given)."""
+    return _rows(kpis(subs).selectExpr(f"inline(array({items}))"), "kpis", "position", "label", "value")
+
+
+def _segment_section(subs: DataFrame) -> DataFrame:
+    text = "concat_ws(' | ', CAST(count AS STRING), array_join(characteristics, ', '), array_join(actions, ', '))"
+    return _rows(segments.segment_counts(subs), "segments", "ordinal", "name", "percentage", text)
+
+
+def _recommendation_section(subs: DataFrame) -> DataFrame:
+    values = ", ".join(f"({i}, {quote(action)}, {quote(priority + ' | ' + impact)})"
+                       for i, (priority, action, impact) in enumerate(RECOMMENDATIONS, start=1))
+    rec = subs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(position, action, text)")
+    return _rows(rec, "recommendations", "position", "action", "NULL", "text")
+
+
+def _header_section(subs: DataFrame, title: str, report_date: str | None) -> DataFrame:
+    day = f"DATE {quote(report_date)}" if report_date else "current_date()"
+    line = f"concat({quote(DATE_LINE)}, date_format({day}, {quote(DATE_FORMAT)}))"
+    one = subs.sparkSession.range(1)
+    return _rows(one, "header", "1", quote(title), "NULL", line)
+
+
+def report_sections(subs: DataFrame, orders: DataFrame | None,
+                    include_sections: Iterable[str] = DEFAULT_SECTIONS, title: str = TITLE,
+                    report_date: str | None = None) -> DataFrame:
+    """The report's rows for ``include_sections`` and the sections that are always present.
+
+    ``orders`` feeds the trends only.  ``report_date`` (ISO) is the date in the header, today if
+    omitted.  One lazy plan: the union of
+    the operators' results, each a few rows."""
     wanted = set(include_sections) | set(ALWAYS_SECTIONS)
-    counts = _report_counts(subs)
-    if subs.sparkSession.sparkContext.getCheckpointDir():
-        # Catalyst would prune the shared aggregate differently in every section and scan
-        # the table once per section; a reliable checkpoint of its few rows (in the shared
-        # checkpoint folder) computes it once
-        counts = counts.checkpoint(eager=True)
-    parts: list[DataFrame] = []
-    if "kpis" in wanted:
-        parts.append(_kpi_section(counts))
-    if "churn" in wanted:
-        parts.append(_band_section(counts))
-        parts.append(_reason_section(counts))
-    if "segments" in wanted:
-        parts.append(_segment_section(counts))
-    if "trends" in wanted:
-        tr = monthly_trends(orders, activity)
-        parts.append(_rows(tr, "trends", "year(month) * 100 + month(month)",
-                           "date_format(month, 'yyyy-MM')", "churn_rate"))
-    if "contracts" in wanted:
-        parts.append(_contract_section(counts))
-    if "recommendations" in wanted:
-        values = ", ".join(f"({i}, {quote(action)}, {quote(priority + ' | ' + impact)})"
-                           for i, (priority, action, impact) in enumerate(RECOMMENDATIONS, start=1))
-        rec = subs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(position, action, text)")
-        parts.append(_rows(rec, "recommendations", "position", "action", "NULL", "text"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    parts = {
+        "header": lambda: [_header_section(subs, title, report_date)],
+        "summary": lambda: [_rows(report_summary(subs), "summary", "1", "'summary'", "NULL", "summary")],
+        "kpis": lambda: [_kpi_section(subs)],
+        "churn": lambda: [
+            _rows(breakdowns.churn_by_tenure(subs), "churn", "ordinal", "tenure_band", "churn_rate", "customers"),
+            _rows(reasons.churn_reasons(subs), "churn", "rank + 100", "reason", "percentage", "category")],
+        "segments": lambda: [_segment_section(subs)],
+        "trends": lambda: [_rows(monthly_trends(orders), "trends", "year(month) * 100 + month(month)",
+                                 "date_format(month, 'yyyy-MM')", "churn_rate")],
+        "contracts": lambda: [_rows(overview.contract_counts(subs), "contracts", "rank", "contract", "customers")],
+        "recommendations": lambda: [_recommendation_section(subs)],
+    }
+    rows = [df for name, make in parts.items() if name in wanted for df in make()]
+    out = rows[0]
+    for df in rows[1:]:
+        out = out.unionByName(df)
     return out
 
 
@@ -181,8 +111,7 @@ def write_report(report: DataFrame, path: str) -> None:
 
 def report_summary(subs: DataFrame) -> DataFrame:
     """total_customers, churn_rate, arpu and the executive-summary sentence."""
-    k = kpis(subs)
-    text = F.concat(F.lit(SUMMARY_PARTS[0]), F.format_number(F.col("total_customers"), 0),
-                    F.lit(SUMMARY_PARTS[1]), F.col("churn_rate").cast("string"),
-                    F.lit(SUMMARY_PARTS[2]), F.col("arpu").cast("string"), F.lit(SUMMARY_PARTS[3]))
-    return k.select("total_customers", "churn_rate", "arpu", text.alias("summary"))
+    # two decimals at most, never in scientific notation
+    plain = [F.regexp_replace(F.col(c).cast("decimal(20,2)").cast("string"), "0$", "") for c in ("churn_rate", "arpu")]
+    text = F.format_string(SUMMARY, F.format_number("total_customers", 0), *plain)
+    return kpis(subs).select("total_customers", "churn_rate", "arpu", text.alias("summary"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import cents_sql, round_ratio, round_ratio_sql
+from ..functions.rounding import MONEY, money_sql, round_ratio_sql
 from ..sources.fixture import CHURN_GAP_DAYS, customer_activity
 
 
@@ -25,53 +25,71 @@ def _month(col: str) -> str:
     return f"trunc(CAST({col} AS DATE), 'MM')"
 
 
-def monthly_trends(orders: DataFrame, activity: DataFrame | None = None,
-                   churn_gap_days: int = CHURN_GAP_DAYS) -> DataFrame:
-    """month, new_customers, churned_customers, base_customers, revenue, churn_rate (2 dp).
-
-    ``activity``: per-customer ``first_order``/``last_order`` already at hand (for
-    example the stored subscriber table); computed from ``orders`` when omitted.
-    """
-    zero = "CAST(0 AS BIGINT)"
+def _monthly(orders: DataFrame, activity: DataFrame | None, churn_gap_days: int) -> DataFrame:
+    """:func:`monthly_trends` with ``amount``, the revenue as a decimal."""
+    zero, none = "CAST(0 AS BIGINT)", f"CAST(0 AS {MONEY})"
     revenue = (orders.groupBy(F.expr(f"{_month('o_orderdate')} AS month"))
-               .agg(F.expr(f"sum({cents_sql('o_totalprice')}) AS revenue_cents"))
-               .selectExpr("month", "revenue_cents", f"{zero} AS new", f"{zero} AS churned"))
+               .agg(F.expr(f"sum({money_sql('o_totalprice')}) AS amount"))
+               .selectExpr("month", "amount", f"{zero} AS new", f"{zero} AS churned"))
     if activity is None:
         activity = customer_activity(orders)
-    # the snapshot (latest order) is one scalar subquery, bound once as a column
-    stamped = (activity.where("first_order IS NOT NULL").select("first_order", "last_order")
-               .withColumn("_snap", orders.select(F.max("o_orderdate")).scalar()))
+    # the snapshot (latest order) is the latest of the customers' last orders
+    seen = activity.where("first_order IS NOT NULL").select("first_order", "last_order")
+    stamped = seen.withColumn("_snap", seen.select(F.max("last_order")).scalar())
     events = stamped.selectExpr(
         "inline(array_compact(array("
         f"named_struct('month', {_month('first_order')}, 'new', 1, 'churned', 0), "
         f"CASE WHEN last_order < _snap - INTERVAL {int(churn_gap_days)} DAYS "
         f"THEN named_struct('month', {_month('last_order')}, 'new', 0, 'churned', 1) END)))")
     per_month = (events.groupBy("month").agg(F.expr("sum(new) AS new"), F.expr("sum(churned) AS churned"))
-                 .selectExpr("month", f"{zero} AS revenue_cents", "new", "churned"))
+                 .selectExpr("month", f"{none} AS amount", "new", "churned"))
     monthly = (revenue.unionByName(per_month).groupBy("month")
-               .agg(F.expr("sum(revenue_cents) AS revenue_cents"), F.expr("sum(new) AS new"),
-                    F.expr("sum(churned) AS churned")))
+               .agg(F.expr("sum(amount) AS amount"), F.expr("sum(new) AS new"), F.expr("sum(churned) AS churned")))
+    # a row and its gap: months without orders up to the next one are rows of zeros
+    following = monthly.withColumn("next", F.expr("lead(month) OVER (ORDER BY month)"))
+    monthly = following.selectExpr(
+        "amount", "new", "churned", "month AS start",
+        "explode(sequence(month, coalesce(add_months(next, -1), month), INTERVAL 1 MONTH)) AS month").selectExpr(
+        "month", *[f"CASE WHEN month = start THEN {c} ELSE 0 END AS {c}" for c in ("amount", "new", "churned")])
     # running sums over month rows only (one per month of history)
     return monthly.selectExpr(
         "month", "CAST(new AS BIGINT) AS new_customers", "CAST(churned AS BIGINT) AS churned_customers",
         "CAST(sum(new) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         " - coalesce(sum(churned) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-        " AS BIGINT) AS base_customers",
-        "CAST(revenue_cents AS DOUBLE) / 100 AS revenue",
-    ).withColumn("churn_rate", round_ratio("churned_customers * 100", "base_customers", 2))
+        " AS BIGINT) AS base_customers", "amount",
+    ).selectExpr(
+        "month", "new_customers", "churned_customers", "base_customers",
+        f"{round_ratio_sql('amount', '1', 2)} AS revenue",
+        f"{round_ratio_sql('churned_customers * 100', 'base_customers', 2)} AS churn_rate",
+        "CAST(round(amount, 2) AS DECIMAL(24,2)) AS amount")
 
 
-def monthly_deltas(trends: DataFrame) -> DataFrame:
-    """Month-on-month changes: revenue % change (1 dp), new-customer difference,
-    churn-rate difference in points (2 dp); NULL in the first month."""
-    lagged = trends.selectExpr(
-        "month", "revenue", "new_customers", "churn_rate",
-        f"{cents_sql('revenue')} AS rc", f"lag({cents_sql('revenue')}) OVER (ORDER BY month) AS prev_rc",
+def monthly_trends(orders: DataFrame, activity: DataFrame | None = None,
+                   churn_gap_days: int = CHURN_GAP_DAYS) -> DataFrame:
+    """month, new_customers, churned_customers, base_customers, revenue, churn_rate (2 dp), for every
+    calendar month from the first order to the last; months without orders have zeros.
+
+    ``activity``: per-customer ``first_order``/``last_order`` already at hand (for
+    example the stored subscriber table); computed from ``orders`` when omitted.
+    """
+    return _monthly(orders, activity, churn_gap_days).drop("amount")
+
+
+def monthly_deltas(orders: DataFrame, activity: DataFrame | None = None,
+                   churn_gap_days: int = CHURN_GAP_DAYS) -> DataFrame:
+    """Month-on-month changes: revenue % change (1 dp; NULL after a month without revenue),
+    new-customer difference, churn-rate difference in points (2 dp); NULL in the first month.
+    Revenue stays a decimal until the ratio is rounded."""
+    rate = "CAST(round(churn_rate * 100) AS BIGINT)"
+    lagged = _monthly(orders, activity, churn_gap_days).selectExpr(
+        "month", "revenue", "new_customers", "churn_rate", "amount",
+        "lag(amount) OVER (ORDER BY month) AS prev_amount",
         "lag(new_customers) OVER (ORDER BY month) AS prev_new",
-        "CAST(round(churn_rate * 100) AS BIGINT) AS rate",
-        "lag(CAST(round(churn_rate * 100) AS BIGINT)) OVER (ORDER BY month) AS prev_rate")
+        f"{rate} AS rate", f"lag({rate}) OVER (ORDER BY month) AS prev_rate")
+    # both in cents, so that the divisor is integral; the factor 100 makes a percentage
+    change = round_ratio_sql("CAST((amount - prev_amount) * 100 AS DECIMAL(24,0)) * 100",
+                             "CAST(prev_amount * 100 AS DECIMAL(24,0))", 1)
     return lagged.selectExpr(
-        "month", "revenue",
-        f"{round_ratio_sql('(rc - prev_rc) * 100', 'prev_rc', 1)} AS revenue_change_pct",
+        "month", "revenue", f"{change} AS revenue_change_pct",
         "new_customers", "new_customers - prev_new AS new_customers_delta", "churn_rate",
         "CAST(rate - prev_rate AS DOUBLE) / 100 AS churn_rate_delta")

@@ -7,7 +7,6 @@ temporary folder is used only when that setting is absent (local tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -41,27 +40,30 @@ def get_session(master: str | None = None, app: str = "churnlens",
     return spark
 
 
+# The folder made for an application whose session names none (local runs and tests only).
+_PRIVATE: dict[str, str] = {}
+
+
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return spark.sparkContext.master.startswith("local") and "local-cluster" not in spark.sparkContext.master
 
 
-def shared_dir(spark: SparkSession, required: bool = True) -> str | None:
+def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``, read from the session).
 
-    Only in local mode (tests) is a private folder created when the setting is
-    unset; on a cluster a machine-local folder would be invisible to executors, so
-    the setting is required (``required=False`` returns None instead of raising).
+    Only in local mode is a private folder created when the setting is unset; on a
+    cluster a machine-local folder would be invisible to executors, so the setting is
+    required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not is_local(spark):
-            if required:
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            return None
-        base = tempfile.mkdtemp(prefix="churnlens-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    app = spark.sparkContext.applicationId
+    if app not in _PRIVATE:
+        _PRIVATE[app] = tempfile.mkdtemp(prefix="churnlens-")
+    return _PRIVATE[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -69,11 +71,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/churnlens/{name}-{uuid.uuid4().hex}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python file APIs can inspect a local path."""
-    return path[5:] if path.startswith("file:") else path
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through Hadoop's FileSystem, so it works on any cluster store."""
     jvm = spark.sparkContext._jvm
@@ -82,21 +79,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """Short hash of the size, file count and modification time of input paths, so a
-    materialized derivation is rebuilt when its inputs change."""
-    import hashlib
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Entries of a folder (none if it does not exist)."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    h = hashlib.sha1()
-    for p in paths:
-        hpath = jvm.org.apache.hadoop.fs.Path(p)
-        fs = hpath.getFileSystem(conf)
-        summary = fs.getContentSummary(hpath)
-        status = fs.getFileStatus(hpath)
-        h.update(f"{p}|{summary.getLength()}|{summary.getFileCount()}|{status.getModificationTime()};"
-                 .encode())
-    return h.hexdigest()[:16]
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().toString() for s in fs.listStatus(hpath)] if fs.exists(hpath) else []
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -106,15 +94,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def rename_path(spark: SparkSession, src: str, dst: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    s = jvm.org.apache.hadoop.fs.Path(src)
-    d = jvm.org.apache.hadoop.fs.Path(dst)
-    fs = s.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(d.getParent())
-    return bool(fs.rename(s, d))
-
-
 def input_bytes(spark: SparkSession, paths: list[str]) -> int:
     """Total size of the files under ``paths`` (one listing per path)."""
     jvm = spark.sparkContext._jvm
@@ -128,18 +107,12 @@ def input_bytes(spark: SparkSession, paths: list[str]) -> int:
 
 def tune_for_input(spark: SparkSession, paths: list[str], target_bytes: int = 128 << 20) -> int:
     """Opt-in sizing for a job over ``paths``: initial shuffle partitions of about
-    ``target_bytes`` of input each, at least two and at most four per core (shuffles
-    here carry pre-aggregated rows, far less than the input, and every extra reducer
-    costs every map task); AQE coalesces small partitions back to the advisory size;
-    scan splits use the same size.  Returns the shuffle-partition count set."""
-    cores = spark.sparkContext.defaultParallelism
+    ``target_bytes`` of input each, at least two per core; AQE coalesces small
+    partitions back to the advisory size; scan splits use the same size.  Returns the
+    shuffle-partition count set."""
     wanted = -(-input_bytes(spark, paths) // target_bytes)
-    parts = min(max(2 * cores, wanted), 4 * cores)
+    parts = max(2 * spark.sparkContext.defaultParallelism, wanted)
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
     return parts
-
-
-def env_cpus(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..schema import SUBSCRIBER_COLUMNS
 
 CHURN_GAP_DAYS = 290
+# The usage figures of a request are per month: activity of the last month before the latest event.
+USAGE_DAYS = 31
 
 
 def _days(n: int) -> Column:
@@ -102,11 +104,6 @@ def subscriber_base(customer: DataFrame, orders: DataFrame,
         "first_order", "last_order")
 
 
-def raw_subscribers(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    """The 21-column raw subscriber table (TotalCharges text, Churn Yes/No)."""
-    return subscriber_base(customer, orders).select(*SUBSCRIBER_COLUMNS)
-
-
 def subscriber_dim(base: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     """(customerID, region, signup_date).  nation/region are tiny dimension tables:
     Spark's size-checked automatic broadcast keeps the large side unshuffled."""
@@ -123,20 +120,18 @@ def with_region(base: DataFrame, nation: DataFrame, region: DataFrame) -> DataFr
             .withColumnRenamed("r_name", "region"))
 
 
-def usage_summary(events: DataFrame) -> DataFrame:
-    """Per user: recent complaints (errors, 4 days), voice (clicks, 10 days) and data (views, 10 days)."""
-    snap = F.col("_snap")
-    ts, kind = F.col("ts"), F.col("event_type")
-    recent10 = ts > snap - _days(10)
+def usage_summary(events: DataFrame, days: int = USAGE_DAYS) -> DataFrame:
+    """Per user with an event: complaints (errors), voice (ten minutes a click) and data (value of
+    views) of the last ``days`` days before the latest event."""
+    kind = F.col("event_type")
     view_cents = F.round(F.col("value") * 100).cast("bigint")
     # the snapshot is one scalar subquery, bound once as a column
     stamped = events.withColumn("_snap", events.select(F.max("ts")).scalar())
+    recent = F.col("ts") > F.col("_snap") - _days(days)
     return stamped.groupBy("user_id").agg(
-        F.sum(F.when((kind == "error") & (ts > snap - _days(4)), 1).otherwise(0))
-         .cast("int").alias("complaints"),
-        F.sum(F.when((kind == "click") & recent10, 10).otherwise(0))
-         .cast("double").alias("voice_usage"),
-        (F.floor(F.sum(F.when((kind == "view") & recent10, view_cents).otherwise(0))
+        F.sum(F.when((kind == "error") & recent, 1).otherwise(0)).cast("int").alias("complaints"),
+        F.sum(F.when((kind == "click") & recent, 10).otherwise(0)).cast("double").alias("voice_usage"),
+        (F.floor(F.sum(F.when((kind == "view") & recent, view_cents).otherwise(0))
                  .cast("double") / 50).cast("double") / 100).alias("data_usage"),
     )
 

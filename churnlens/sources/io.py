@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import RAW_SCHEMA, SUBSCRIBER_COLUMNS, WAREHOUSE_COLUMNS
-from ..session import delete_path, path_exists, rename_path
+from ..session import path_exists
 
 # Keep blanks as they are: a blank TotalCharges is data (a new subscriber).
 _CSV_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false",
@@ -24,13 +24,23 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA) -> DataFrame:
-    """CSV with a header row and an explicit schema (no inference pass over the data)."""
-    return spark.read.schema(schema).options(**_CSV_OPTIONS).csv(path)
+    """CSV with a header row, columns bound by name: the files' own order and further columns do
+    not matter, a missing column fails.  Types come from ``schema`` (no inference pass); all
+    files of ``path`` share the first one's header."""
+    header = spark.read.options(**_CSV_OPTIONS).csv(path).columns
+    if missing := [f.name for f in schema.fields if f.name not in header]:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    types = {f.name: f.dataType for f in schema.fields}
+    in_order = StructType([StructField(c, types.get(c, StringType())) for c in header])
+    # enforceSchema=false: a file with another header fails instead of shifting columns
+    return (spark.read.schema(in_order).options(**_CSV_OPTIONS, enforceSchema="false").csv(path)
+            .select(*[f.name for f in schema.fields]))
 
 
 def store_has_rows(spark: SparkSession, path: str) -> bool:
-    """Non-empty probe: a limit-1 job, not a full count."""
-    return path_exists(spark, path) and not spark.read.parquet(path).isEmpty()
+    """Non-empty probe of a committed store (a limit-1 job, not a full count); a store without the
+    commit marker counts as missing."""
+    return path_exists(spark, f"{path}/_SUCCESS") and not spark.read.parquet(path).isEmpty()
 
 
 def write_store(df: DataFrame, path: str) -> None:
@@ -44,35 +54,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def load_subscribers(spark: SparkSession, store_path: str,
                      derive: Callable[[], DataFrame]) -> DataFrame:
-    """Read-through load: the store when it holds rows; otherwise ``derive()`` (source read
-    and cleaning), written to the store, then read back from it."""
+    """Read-through load: the store when it is committed and holds rows; otherwise ``derive()``
+    (source read and cleaning), written to the store, then read back from it.
+
+    Spark's commit writes the marker after the last file and an overwrite removes it first,
+    so a load never takes a half-written store for a whole one."""
     if not store_has_rows(spark, store_path):
         write_store(derive().select(*SUBSCRIBER_COLUMNS), store_path)
     return read_store(spark, store_path)
 
 
-def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read ``path`` if a complete copy exists, else write ``build()`` there and read it back.
-
-    The write goes to a private sibling directory that is renamed into place only
-    after the job committed (``_SUCCESS``), so readers never see a partial table and
-    a failed or concurrent build leaves no half-written copy behind.
-    """
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        import uuid
-        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-        build().write.mode("overwrite").parquet(tmp)
-        if path_exists(spark, path):
-            # another job published first (a rename onto an existing directory would
-            # nest the copy inside it): keep theirs, drop our private copy
-            delete_path(spark, tmp)
-        elif not rename_path(spark, tmp, path):
-            raise RuntimeError(f"could not publish materialized table at {path}")
-        if not path_exists(spark, f"{path}/_SUCCESS"):
-            raise RuntimeError(f"materialized table at {path} is incomplete")
-    return spark.read.parquet(path)
-
-
 WAREHOUSE_DDL = """CREATE TABLE IF NOT EXISTS {name} (
   gender STRING, SeniorCitizen INT, Partner STRING, Dependents STRING, tenure INT,
   PhoneService STRING, MultipleLines STRING, InternetService STRING, OnlineSecurity STRING,
@@ -98,6 +89,15 @@ def scan_warehouse(spark: SparkSession, name: str, where: str | None = None) ->
     return spark.sql(sql)
 
 
+def scan_then_drop(spark: SparkSession, name: str, location: str, where: str | None = None) -> DataFrame:
+    """:func:`scan_warehouse` of an external table that is no longer needed as a table: it leaves the
+    catalog, its files stay for the scan."""
+    sql = scan_warehouse(spark, name, where)
+    out = spark.read.schema(sql.schema).parquet(location)
+    spark.sql(f"DROP TABLE {name}")
+    return out.where(where) if where else out
+
+
 def append_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
                 batch_size: int = 10000, num_partitions: int | None = None) -> None:
     """Append rows to an external SQL table over JDBC (the warehouse sink's external form).

@@ -1,8 +1,8 @@
 """Scoring requests as a stream: the batch ``score`` applied to each micro-batch.
 
 Scoring is stateless (no watermark or state store).  Each micro-batch is split
-into scored and rejected rows and written under ``batch=<id>`` directories
-with overwrite, so a batch replayed after a failure rewrites the same output
+into scored and rejected rows, written together under ``batch=<id>`` with
+overwrite, so a batch replayed after a failure rewrites the same output
 instead of duplicating it; the checkpoint records which batches committed.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scoring import REJECT_COLUMN, score, tag_requests
 from ..schema import REQUEST_SCHEMA
+from ..session import list_path, path_exists
 
 SCORED_COLUMNS = ["customerID", "tenure", "voice_usage", "data_usage", "complaints", "contract_type",
                   "monthly_charges", "internet_service", "online_security", "tech_support",
@@ -21,31 +22,31 @@ SCORED_COLUMNS = ["customerID", "tenure", "voice_usage", "data_usage", "complain
                   "factor_map", "recommendations"]
 
 
+# Files of a micro-batch at most: bounds the first run over a backlog.
+FILES_PER_BATCH = 256
+STATUS = "status"
+
+
 def _write_batch(sink_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        # two outputs from one micro-batch: read the batch's files once
-        tagged = tag_requests(batch).persist()
-        try:
-            valid = tagged.where(F.col(REJECT_COLUMN).isNull()).drop(REJECT_COLUMN)
-            score(valid).select(*SCORED_COLUMNS).write.mode("overwrite") \
-                .parquet(f"{sink_dir}/scored/batch={batch_id}")
-            tagged.where(F.col(REJECT_COLUMN).isNotNull()) \
-                .select("customerID", F.col(REJECT_COLUMN).alias("reason")) \
-                .write.mode("overwrite").parquet(f"{sink_dir}/rejected/batch={batch_id}")
-        finally:
-            tagged.unpersist()
+        # one pass and one commit a batch: scored and rejected rows side by side, parted by status
+        tagged = tag_requests(batch)
+        rejected = F.col(REJECT_COLUMN).isNotNull()
+        out = score(tagged).select(
+            *SCORED_COLUMNS, F.col(REJECT_COLUMN).alias("reason"),
+            F.when(rejected, "rejected").otherwise("scored").alias(STATUS))
+        out.write.mode("overwrite").partitionBy(STATUS).parquet(f"{sink_dir}/batch={batch_id}")
     return write
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                          available_now: bool = True, processing_time: str | None = None,
                          source_format: str = "parquet",
-                         max_files_per_trigger: int | None = None) -> StreamingQuery:
+                         max_files_per_trigger: int = FILES_PER_BATCH) -> StreamingQuery:
     """Score request files arriving in ``source_dir`` (``source_format`` parquet or json,
     schema ``REQUEST_SCHEMA``).  ``max_files_per_trigger`` bounds each micro-batch."""
-    reader = spark.readStream.schema(REQUEST_SCHEMA).format(source_format)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    reader = (spark.readStream.schema(REQUEST_SCHEMA).format(source_format)
+              .option("maxFilesPerTrigger", str(max_files_per_trigger)))
     requests = reader.load(source_dir)
     writer = (requests.writeStream.foreachBatch(_write_batch(sink_dir))
               .option("checkpointLocation", checkpoint_dir))
@@ -56,9 +57,18 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, sink_dir: str, ch
     return writer.start()
 
 
+def _committed(spark: SparkSession, sink_dir: str, status: str) -> DataFrame:
+    """Rows of the batches whose write has committed."""
+    batches = [p for p in list_path(spark, sink_dir) if "batch=" in p and path_exists(spark, f"{p}/_SUCCESS")]
+    if not batches:
+        return spark.createDataFrame([], "customerID string").where("false")
+    return (spark.read.option("basePath", sink_dir).parquet(*batches)
+            .where(F.col(STATUS) == status).drop("batch", STATUS))
+
+
 def read_scored(spark: SparkSession, sink_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sink_dir}/scored").drop("batch")
+    return _committed(spark, sink_dir, "scored").drop("reason")
 
 
 def read_rejected(spark: SparkSession, sink_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sink_dir}/rejected").drop("batch")
+    return _committed(spark, sink_dir, "rejected").select("customerID", "reason")

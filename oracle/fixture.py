@@ -60,9 +60,9 @@ GROUP BY c.c_name, r.r_name),
 ev_snap AS (SELECT max(ts) AS snap FROM events),
 usage AS (
   SELECT user_id,
-    CAST(sum(CASE WHEN event_type = 'error' AND ts > snap - INTERVAL 4 DAY THEN 1 ELSE 0 END) AS INT) AS complaints,
-    CAST(sum(CASE WHEN event_type = 'click' AND ts > snap - INTERVAL 10 DAY THEN 10 ELSE 0 END) AS DOUBLE) AS voice_usage,
-    CAST(floor(CAST(sum(CASE WHEN event_type = 'view' AND ts > snap - INTERVAL 10 DAY
+    CAST(sum(CASE WHEN event_type = 'error' AND ts > snap - INTERVAL 31 DAY THEN 1 ELSE 0 END) AS INT) AS complaints,
+    CAST(sum(CASE WHEN event_type = 'click' AND ts > snap - INTERVAL 31 DAY THEN 10 ELSE 0 END) AS DOUBLE) AS voice_usage,
+    CAST(floor(CAST(sum(CASE WHEN event_type = 'view' AND ts > snap - INTERVAL 31 DAY
       THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS DOUBLE) / 50) AS DOUBLE) / 100 AS data_usage
   FROM events CROSS JOIN ev_snap GROUP BY user_id),
 score_requests AS (
@@ -76,25 +76,26 @@ FROM usage u JOIN customer k ON u.user_id = k.c_custkey JOIN subs b ON b.custome
 
 
 def rr(num: str, den: str, digits: int) -> str:
-    """SQL for num/den rounded half away from zero to ``digits`` decimals (BIGINT recipe)."""
+    """SQL for num/den (integers) rounded half away from zero to ``digits`` decimals."""
     scale = 10 ** digits
-    n = f"CAST(({num}) AS BIGINT)"
-    d = f"CAST(({den}) AS BIGINT)"
+    n = f"CAST(({num}) AS HUGEINT)"
+    d = f"CAST(({den}) AS HUGEINT)"
     q = f"((abs({n}) * {2 * scale} + {d}) // ({d} * 2))"
     return (f"(CASE WHEN {d} > 0 THEN CAST(CASE WHEN {n} < 0 THEN -{q} ELSE {q} END AS DOUBLE)"
             f" / {scale} END)")
 
 
-def cents(x: str) -> str:
-    return f"CAST(round(({x}) * 100) AS BIGINT)"
+def money_sum(x: str) -> str:
+    """Aggregate SQL: the unrounded sum as an integer of ten decimals (no value is rounded)."""
+    return f"CAST(replace(CAST(sum(CAST({x} AS DECIMAL(28,10))) AS VARCHAR), '.', '') AS HUGEINT)"
 
 
 def mean_money(x: str, digits: int = 2) -> str:
-    return rr(f"sum({cents(x)})", f"count({x}) * 100", digits)
+    return rr(money_sum(x), f"count({x}) * 10000000000", digits)
 
 
 def sum_money(x: str) -> str:
-    return f"(CAST(coalesce(sum({cents(x)}), 0) AS DOUBLE) / 100)"
+    return f"coalesce({rr(money_sum(x), '10000000000', 2)}, 0.0)"
 
 
 def with_fixture(body: str) -> str:

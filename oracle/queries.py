@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixture import mean_money, rr, sum_money, with_fixture
+from .fixture import mean_money, money_sum, rr, sum_money, with_fixture
 
 BODIES: dict[str, str] = {}
 
@@ -136,7 +136,7 @@ SELECT CAST(count(*) AS BIGINT) AS total_customers,
   {rr("sum(tenure)", "count(tenure)", 1)} AS average_tenure,
   {mean_money("MonthlyCharges")} AS average_monthly_charges,
   {sum_money("TotalCharges")} AS total_revenue,
-  coalesce({rr("sum(CAST(round(TotalCharges * 100) AS BIGINT))", "100000000", 1)}, 0.0) AS total_revenue_millions
+  coalesce({rr(money_sum("TotalCharges"), "10000000000000000", 1)}, 0.0) AS total_revenue_millions
 FROM {{src}}
 """
 BODIES["overview"] = _OVERVIEW.replace("{src}", "subs")
@@ -277,7 +277,7 @@ BODIES["clean_zero"] = "SELECT * FROM subs"
 
 _MEDIAN = """
 , parsed AS (SELECT *, try_cast(TotalCharges AS DOUBLE) AS tc FROM raw),
-med AS (SELECT median(CAST(round(tc * 100) AS BIGINT)) / 100 AS m FROM parsed),
+med AS (SELECT CAST(median(CAST(tc AS DECIMAL(28,10))) AS DOUBLE) AS m FROM parsed),
 wh AS (
   SELECT gender, SeniorCitizen, Partner, Dependents, tenure, PhoneService, MultipleLines, InternetService,
     OnlineSecurity, OnlineBackup, DeviceProtection, TechSupport, StreamingTV, StreamingMovies, Contract,
@@ -338,12 +338,13 @@ _TRENDS = f"""
 pc AS (SELECT o_custkey, min(o_orderdate) AS first_order, max(o_orderdate) AS last_order
        FROM orders GROUP BY o_custkey),
 rev AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-               sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS rc
+               {money_sum("o_totalprice")} AS rc
         FROM orders GROUP BY 1),
 nw AS (SELECT CAST(date_trunc('month', first_order) AS DATE) AS month, count(*) AS n FROM pc GROUP BY 1),
 ch AS (SELECT CAST(date_trunc('month', last_order) AS DATE) AS month, count(*) AS n
        FROM pc CROSS JOIN osnap WHERE last_order < snap - INTERVAL 290 DAY GROUP BY 1),
-m AS (SELECT month FROM rev UNION SELECT month FROM nw UNION SELECT month FROM ch),
+m AS (SELECT CAST(unnest(range((SELECT min(month) FROM rev), (SELECT max(month) FROM rev) + INTERVAL 1 MONTH,
+                              INTERVAL 1 MONTH)) AS DATE) AS month),
 j AS (SELECT m.month, coalesce(rev.rc, 0) AS rc, coalesce(nw.n, 0) AS nnew, coalesce(ch.n, 0) AS nch
       FROM m LEFT JOIN rev ON m.month = rev.month LEFT JOIN nw ON m.month = nw.month
       LEFT JOIN ch ON m.month = ch.month),
@@ -352,8 +353,8 @@ w AS (SELECT *, sum(nnew) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING)
       FROM j),
 tr AS (
   SELECT month, CAST(nnew AS BIGINT) AS new_customers, CAST(nch AS BIGINT) AS churned_customers,
-    CAST(base AS BIGINT) AS base_customers, CAST(rc AS DOUBLE) / 100 AS revenue,
-    {rr("nch * 100", "base", 2)} AS churn_rate, rc
+    CAST(base AS BIGINT) AS base_customers, {rr("rc", "10000000000", 2)} AS revenue,
+    {rr("nch * 100", "base", 2)} AS churn_rate, rc // 100000000 AS rc
   FROM w)
 """
 BODIES["monthly_trends"] = _TRENDS + """
@@ -382,6 +383,16 @@ def _sub(body: str) -> str:
     return f"(WITH {body[1:]})" if body.startswith(",") else f"({body})"
 
 
+BODIES["report_summary"] = f"""
+, k AS {_sub(BODIES["kpis"])}
+SELECT total_customers, churn_rate, arpu,
+  'Ce rapport présente une analyse complète de la base clients télécom avec ' || format('{{:,}}', total_customers)
+  || ' clients. Le taux de churn actuel est de ' || CAST(churn_rate AS VARCHAR)
+  || '%, avec un revenu moyen par utilisateur (ARPU) de ' || CAST(arpu AS VARCHAR) || '€.' AS summary
+FROM k
+"""
+
+
 BODIES["report_sections"] = f"""
 , rk AS {_sub(BODIES["kpis"])},
 rb AS {_sub(BODIES["churn_by_tenure"])},
@@ -389,6 +400,7 @@ rq AS {_sub(BODIES["churn_reasons"])},
 rs AS {_sub(BODIES["segments"])},
 rt AS {_sub(BODIES["monthly_trends"])},
 rc AS {_sub(BODIES["contract_counts"])},
+sm AS {_sub(BODIES["report_summary"])},
 u AS (
   SELECT 'kpis' AS section, 1 AS position, 'total_customers' AS label, CAST(total_customers AS DOUBLE) AS value,
          CAST(NULL AS VARCHAR) AS text FROM rk
@@ -399,7 +411,10 @@ u AS (
   UNION ALL SELECT 'kpis', 6, 'active_customers', CAST(active_customers AS DOUBLE), NULL FROM rk
   UNION ALL SELECT 'churn', ordinal, tenure_band, churn_rate, CAST(customers AS VARCHAR) FROM rb
   UNION ALL SELECT 'churn', rank + 100, reason, percentage, category FROM rq
-  UNION ALL SELECT 'segments', ordinal, name, percentage, CAST(count AS VARCHAR) FROM rs
+  UNION ALL SELECT 'segments', ordinal, name, percentage, CAST(count AS VARCHAR) || ' | '
+    || replace(characteristics, ' | ', ', ') || ' | ' || replace(actions, ' | ', ', ') FROM rs
+  UNION ALL SELECT 'header', 1, 'Rapport Telco Analytics', NULL, 'Généré le 31/12/1998'
+  UNION ALL SELECT 'summary', 1, 'summary', NULL, summary FROM sm
   UNION ALL SELECT 'trends', year(month) * 100 + month(month), strftime(month, '%Y-%m'), churn_rate, NULL FROM rt
   UNION ALL SELECT 'contracts', rank, contract, CAST(customers AS DOUBLE), NULL FROM rc
   UNION ALL SELECT * FROM (VALUES
@@ -410,61 +425,6 @@ u AS (
 SELECT section, CAST(position AS INTEGER) AS position, label, CAST(value AS DOUBLE) AS value, text FROM u
 """
 
-BODIES["report_summary"] = f"""
-, k AS {_sub(BODIES["kpis"])}
-SELECT total_customers, churn_rate, arpu,
-  'Ce rapport présente une analyse complète de la base clients télécom avec ' || format('{{:,}}', total_customers)
-  || ' clients. Le taux de churn actuel est de ' || CAST(churn_rate AS VARCHAR)
-  || '%, avec un revenu moyen par utilisateur (ARPU) de ' || CAST(arpu AS VARCHAR) || '€.' AS summary
-FROM k
-"""
-
-
-def _draw(stream: int) -> str:
-    return f"(((c_custkey % 1000000007) * {48271 + 7919 * stream} + {12345 * stream + 1}) % 1000000007)"
-
-
-def _pick(stream: int, values) -> str:
-    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
-    return f"CASE {_draw(stream)} % {len(values)} {arms} END"
-
-
-def _weighted(stream: int, weighted, quote=True) -> str:
-    arms, acc = [], 0
-    for v, w in weighted[:-1]:
-        acc += w
-        arms.append(f"WHEN {_draw(stream)} % 10000 < {acc} THEN {repr(v) if quote else v}")
-    last = weighted[-1][0]
-    return f"CASE {' '.join(arms)} ELSE {repr(last) if quote else last} END"
-
-
-_ADDON = ("Yes", "No", "No internet service")
-BODIES["sample_subscribers"] = f"""
-SELECT printf('CUST-%05d', c_custkey) AS customerID,
-  {_pick(1, ("Male", "Female"))} AS gender,
-  CAST({_weighted(2, ((0, 8400), (1, 1600)), quote=False)} AS INTEGER) AS SeniorCitizen,
-  {_pick(3, ("Yes", "No"))} AS Partner,
-  {_pick(4, ("Yes", "No"))} AS Dependents,
-  CAST({_draw(5)} % 73 AS INTEGER) AS tenure,
-  {_weighted(6, (("Yes", 9000), ("No", 1000)))} AS PhoneService,
-  {_pick(7, ("Yes", "No", "No phone service"))} AS MultipleLines,
-  {_weighted(8, (("DSL", 3400), ("Fiber optic", 4400), ("No", 2200)))} AS InternetService,
-  {_pick(9, _ADDON)} AS OnlineSecurity,
-  {_pick(10, _ADDON)} AS OnlineBackup,
-  {_pick(11, _ADDON)} AS DeviceProtection,
-  {_pick(12, _ADDON)} AS TechSupport,
-  {_pick(13, _ADDON)} AS StreamingTV,
-  {_pick(14, _ADDON)} AS StreamingMovies,
-  {_weighted(15, (("Month-to-month", 5500), ("One year", 2100), ("Two year", 2400)))} AS Contract,
-  {_pick(16, ("Yes", "No"))} AS PaperlessBilling,
-  {_pick(17, ("Electronic check", "Mailed check", "Bank transfer (automatic)", "Credit card (automatic)"))} AS PaymentMethod,
-  CAST(1800 + {_draw(18)} % 10201 AS DOUBLE) / 100 AS MonthlyCharges,
-  CAST(2000 + {_draw(19)} % 868001 AS DOUBLE) / 100 AS TotalCharges,
-  CAST({_weighted(20, ((0, 7300), (1, 2700)), quote=False)} AS INTEGER) AS Churn
-FROM customer
-"""
-
-
 BODIES["distributions_churned"] = BODIES["distributions"].replace(
     "FROM subs WHERE", "FROM subs WHERE Churn = 1 AND")
 BODIES["segment_lookup"] = BODIES["segments"].strip() + "\nWHERE name = 'At-Risk'"

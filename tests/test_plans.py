@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as E
+from churnlens.operators import scoring, segments
+from churnlens.plans.catalog import QUERIES
 from churnlens.plans.context import Workspace
 from churnlens.sources import fixture
-from conftest import SF_SMALL
+from conftest import SF_SMALL, make_requests, make_subs
 
-SINKS = {"csv_roundtrip", "store_roundtrip", "warehouse_append", "score_stream"}
+SINKS = {"csv_roundtrip", "store_roundtrip", "warehouse_append", "churned_customers", "score_stream"}
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SINKS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SINKS))
 def test_no_cartesian_no_python(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan, (name, bad)
 
@@ -37,36 +38,38 @@ def test_events_aggregated_before_shuffle(spark):
     assert "partial_sum" in plan and "Exchange hashpartitioning(user_id" in plan
 
 
-@pytest.mark.parametrize("name", ["score_batch", "score_factors", "score_recommendations",
-                                  "score_rejects", "segment_members", "clean_zero"])
-def test_row_level_queries_do_not_shuffle(spark, name):
-    assert "Exchange" not in _plan(E.queries()[name](spark, SF_SMALL))
+def test_row_level_operators_do_not_shuffle(spark):
+    subs, requests = make_subs(spark, [{}]), make_requests(spark, [{}])
+    scored = scoring.score(scoring.valid_requests(requests))
+    for df in (segments.segment_members(subs), scored, scoring.factor_rows(scored),
+               scoring.recommendation_rows(scored), scoring.rejected_requests(requests)):
+        assert "Exchange" not in _plan(df)
+
+
+def test_queries_do_their_own_work(spark):
+    # no query reads an answer that an earlier one stored
+    for name in ("clean_median", "score_requests", "segments", "score_batch"):
+        plan = _plan(QUERIES[name](spark, SF_SMALL))
+        assert f"{SF_SMALL}/customer.parquet" in plan and f"{SF_SMALL}/orders.parquet" in plan, name
 
 
 def test_filters_and_pruning_reach_the_scan(spark):
-    plan = _plan(E.queries()["overview_filtered"](spark, SF_SMALL))
-    assert "GreaterThanOrEqual(signup_date,1995-03-01)" in plan
+    plan = _plan(QUERIES["overview_filtered"](spark, SF_SMALL))
     assert "EqualTo(r_name,EUROPE)" in plan
-    kpi_plan = _plan(E.queries()["kpis"](spark, SF_SMALL))
-    assert "ReadSchema: struct<MonthlyCharges:double,TotalCharges:string,Churn:string>" in kpi_plan
+    kpi_plan = _plan(QUERIES["kpis"](spark, SF_SMALL))
+    assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in kpi_plan
 
 
 def test_single_scan_for_multi_output_aggregates(spark):
-    # six segment predicates and three distributions: one scan each, no join
+    # six segment predicates and three distributions: one scan each of customer and orders
+    # (and of the latest order date)
     for name in ("segments", "distributions"):
-        plan = _plan(E.queries()[name](spark, SF_SMALL))
-        assert plan.count("FileScan") == 1 and "Join" not in plan, name
-
-
-def test_report_scans_subscribers_once(spark):
-    # the subscriber sections come from one checkpointed aggregate: the returned plan
-    # reads only what the trends need (orders and the per-customer first/last order)
-    plan = _plan(E.queries()["report_sections"](spark, SF_SMALL))
-    scans = [line for line in plan.splitlines() if "FileScan" in line]
-    assert scans and not any("Churn" in line or "Contract" in line for line in scans)
+        plan = _plan(QUERIES[name](spark, SF_SMALL))
+        assert plan.count("customer.parquet") == 1, name
 
 
 def test_churned_scan_pushes_the_filter(spark):
-    # S9: SELECT * FROM the warehouse rows WHERE Churn = 1, filtered inside the Parquet scan
-    plan = _plan(E.queries()["churned_customers"](spark, SF_SMALL))
+    # S9: SELECT * FROM the warehouse table WHERE Churn = 1, filtered inside the Parquet scan
+    plan = _plan(QUERIES["churned_customers"](spark, SF_SMALL))
     assert "EqualTo(Churn,1)" in plan and "Exchange" not in plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("customer_data_") and not t.isTemporary]

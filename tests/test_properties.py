@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_score_bounds_and_levels(spark):
-    ws = Workspace.get(spark, SF)
+    ws = Workspace(spark, SF)
     scored = scoring.score(scoring.valid_requests(ws.requests))
     r = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi"),
                    F.count_if((F.col("score") >= 70) != (F.col("risk_level") == "Élevé")).alias("bad"),
@@ -23,7 +23,7 @@ def test_score_bounds_and_levels(spark):
 
 
 def test_band_counts_plus_dropped_equal_total(spark):
-    subs = Workspace.get(spark, SF).subs
+    subs = Workspace(spark, SF).subs
     total = subs.count()
     banded = breakdowns.churn_by_tenure(subs).agg(F.sum("customers")).first()[0]
     dropped = subs.where("tenure IS NULL OR tenure <= 0 OR tenure > 72").count()
@@ -34,15 +34,15 @@ def test_band_counts_plus_dropped_equal_total(spark):
 
 
 def test_shares_sum_to_100_before_filter(spark):
-    shares = reasons.reason_shares(Workspace.get(spark, SF).subs)
+    shares = reasons.reason_shares(Workspace(spark, SF).subs)
     for r in shares.groupBy("category").agg(F.sum("percentage").alias("p")).collect():
         assert abs(r.p - 100.0) <= 0.05 * 3  # each share rounded to 0.1
 
 
 def test_kpi_identity(spark):
-    k = kpi.kpis(Workspace.get(spark, SF).subs).first()
+    k = kpi.kpis(Workspace(spark, SF).subs).first()
     assert k.active_customers + k.churn_count == k.total_customers
-    o = overview.overview(Workspace.get(spark, SF).subs).first()
+    o = overview.overview(Workspace(spark, SF).subs).first()
     assert (o.total_customers, o.churned_customers) == (k.total_customers, k.churn_count)
 
 
@@ -60,7 +60,7 @@ def test_every_operator_on_empty_input(spark):
         profile.null_profile(subs), density.histogram(subs, "MonthlyCharges"),
         density.kde(subs, "MonthlyCharges"), clean.exact_median(subs, "TotalCharges"),
         scoring.score(scoring.valid_requests(reqs)), scoring.rejected_requests(reqs),
-        trends.monthly_trends(orders), trends.monthly_deltas(trends.monthly_trends(orders)),
+        trends.monthly_trends(orders), trends.monthly_deltas(orders),
         report.report_sections(subs, orders), report.report_summary(subs),
     ]
     counts = [f.count() for f in frames]

@@ -164,7 +164,7 @@ def test_exact_median_bounded_buckets(spark):
         vals = [round(rnd.uniform(-50, 500), 2) for _ in range(n)]
         vals += [123.45] * (n // 3)          # one value holds a third of the rows
         df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
-        got = clean.exact_median(df, "x", coarse_buckets=buckets).first().median
+        got = clean.exact_median(df, "x", buckets=buckets).first().median
         cents = sorted(round(v * 100) for v in vals)
         want = (cents[(len(cents) - 1) // 2] + cents[len(cents) // 2]) / 200
         assert got == want, (n, buckets)
@@ -220,7 +220,7 @@ def test_kde_matches_numpy_brute_force(spark):
     import numpy as np
     from churnlens.operators import density
     from churnlens.plans.context import Workspace
-    subs = Workspace.get(spark, "/root/testdata/sf0.001").subs
+    subs = Workspace(spark, "/root/testdata/sf0.001").subs
     x = np.array([r.MonthlyCharges for r in subs.select("MonthlyCharges").collect()])
     n = len(x)
     h = x.std(ddof=1) * n ** (-0.2)
@@ -232,3 +232,46 @@ def test_kde_matches_numpy_brute_force(spark):
     for (p, gx, gd, gc), wx, wd in zip(got, grid, dens):
         assert abs(gx - wx) < 1e-9 and abs(gd - wd) < 1e-9
         assert abs(gc - wd * n * width) < 1e-5
+
+
+def test_money_is_rounded_once(spark):
+    """Sub-cent values: sums and means are rounded after adding up, not before."""
+    many = make_subs(spark, [{"MonthlyCharges": 100.0, "TotalCharges": 100.004}] * 1000)
+    assert breakdowns.revenue_by_band(many).first().revenue == 100004.0
+    assert overview.overview(many).first().total_revenue == 100004.0
+    few = make_subs(spark, [{"MonthlyCharges": x} for x in (0.125, 0.125, 0.124)])
+    assert kpi.kpis(few).first().arpu == 0.12
+    ties = make_subs(spark, [{"MonthlyCharges": x} for x in (0.12, 0.13)])
+    assert kpi.kpis(ties).first().arpu == 0.13  # half away from zero
+
+
+def test_infinity_is_no_number(spark):
+    rows = spark.createDataFrame([("Infinity",), ("-inf",), ("NaN",), ("3",)], "t string")
+    got = [r.v for r in rows.select(clean.coerce_double(rows.t).alias("v")).collect()]
+    assert got == [None, None, None, 3.0]
+    raw = make_subs(spark, [{}, {}]).withColumn("TotalCharges", F.lit("Infinity")).withColumn("Churn", F.lit("No"))
+    assert kpi.kpis(clean.clean_subscribers(raw)).first().clv == 0.0
+    assert clean.clean_subscribers(raw, fill="median").select("TotalCharges").first()[0] is None
+
+
+def test_median_with_an_outlier(spark):
+    values = [k * 0.25 for k in range(2001)] + [1e13, -1e300, 1e-300]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = sorted(values)
+    n = len(want)
+    assert clean.exact_median(df, "x", buckets=16).first().median == (want[(n - 1) // 2] + want[n // 2]) / 2
+
+
+def test_constant_column_has_no_density(spark):
+    from churnlens.operators import density
+    rows = density.kde(make_subs(spark, [{}] * 5), "MonthlyCharges").collect()
+    assert len(rows) == 200 and {r.density for r in rows} == {None}
+
+
+def test_density_queries_scan_once(spark):
+    from churnlens.operators import density
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    for out in (density.histogram(df, "o_totalprice"), density.kde(df, "o_totalprice")):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReusedExchange") + plan.count("ReusedSubquery") >= 1
