@@ -32,7 +32,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...], most: floa
         if not over:
             return fixed | {s: left * weight[s] / whole for s in rest}
         for s in over:
-            fixed[s] = most * sizes[s]
+            fixed[s] = float(most * sizes[s])
         left = max(0.0, left - sum(fixed[s] for s in over))
     return fixed
 
