@@ -291,7 +291,7 @@ def _groups(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     for level in range(ROUNDS):
         large = todo.where(f"cnt > {REGION}")
         if large.isEmpty():
-            return done
+            break
         found = stored(_split(large, sets, percent, level))
         inner = found.groupBy("g", "g2").agg(F.count(F.lit(1)).alias("cnt2"))
         cost = inner.groupBy("g").agg(F.sum(F.expr("CAST(cnt2 AS DOUBLE) * cnt2")).alias("cost"))
