@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
 Every token has a log-odds between toxic and other documents, drawn towards the corpus by a
-Dirichlet prior, less a drift that makes ordinary text fall.  A linear scan finds all maximal
-segments of a document's running sum.  Segment scores follow an extreme-value law, fitted on
+Dirichlet prior and by the odds that it tells nothing, less a drift that makes ordinary text fall;
+a token never seen has the prior's value, 0.  A linear scan finds all maximal segments of a
+document's running sum.  Segment scores follow an extreme-value law, fitted on
 documents that are not toxic; segments that it calls rare are the toxic passages, and the rarest
 one with their number gives the document's score.
 """
@@ -11,9 +12,11 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,47 +32,85 @@ def tokens(text: str | None) -> list[bytes]:
     return [w.strip(_MARKS) for w in text.lower().encode().split()] if text else []
 
 
-def maximal_segments(at: list[int], gains: list[float], drift: float) -> list[tuple[int, int, float]]:
+def hashes(found: list[bytes]) -> np.ndarray:
+    """64-bit names of tokens: of n different tokens two agree with odds n^2 / 2^65."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), "<u8")
+
+
+def maximal_segments(at: list[int] | np.ndarray, gains: list[float] | np.ndarray, drift: float,
+                     ) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first token, end, score) where tokens at places ``at`` gain
-    ``gains`` and every other token loses ``drift``; each ends up on or off a stack once (linear)."""
-    stack: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum after
-    total, last = 0.0, -1
-    for place, gain in zip(at, gains):
-        total -= drift * (place - last - 1)
-        first, before = place, total
-        total += gain
-        last = place
-        if gain <= 0:
-            continue
+    ``gains`` and every other token loses ``drift``.  Each ends up on or off a stack once, and a segment
+    knows the nearest earlier one that begins below it, so that no search meets one twice (linear)."""
+    if not len(at):
+        return []
+    line = np.full(at[-1] + 1, -drift)
+    line[at] = gains
+    after = np.cumsum(line)
+    before = np.append(0.0, after[:-1])
+    up = np.flatnonzero(line > 0)
+    stack: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, earlier one below
+    for place, low, high in zip(up.tolist(), before[up].tolist(), after[up].tolist()):
+        first, j = place, len(stack) - 1
         while True:
-            # the nearest earlier segment that begins below this one
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= before:
-                j -= 1
-            if j < 0 or stack[j][3] >= total:
-                stack.append((first, place + 1, before, total))
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= high:
+                stack.append((first, place + 1, low, high, j))
                 break
-            first, before = stack[j][0], stack[j][2]
+            first, low, below = stack[j][0], stack[j][2], stack[j][4]
             del stack[j:]
-    return [(a, b, high - low) for a, b, low, high in stack]
+            j = below
+    return [(a, b, high - low) for a, b, low, high, _ in stack]
+
+
+def log_odds(n1: np.ndarray, n0: np.ndarray, prior: float) -> np.ndarray:
+    """Of tokens that ``n1`` toxic and ``n0`` other documents hold: log-odds with pseudo-counts of ``prior``
+    tokens like the corpus and half a token of each, dealt to both sides by their size (a token
+    never seen has 0), times the odds that the token tells at all.  Those come from the counts: a
+    token that tells nothing falls to the sides by their size, any other as by an even prior."""
+    total = max(n1.sum(), 1.0), max(n0.sum(), 1.0)
+    p1, p0 = total[0] / sum(total), total[1] / sum(total)
+    pseudo, whole = (n1 + n0) * (prior / sum(total)) + 0.5, prior + 0.5 * (n1.size + 1)
+
+    def logit(n: np.ndarray, every: float, share: float) -> np.ndarray:
+        own = n + 2 * share * pseudo
+        return np.log(own) - np.log(every + 2 * share * whole - own)
+
+    pairs, back, often = np.unique(np.stack([n1, n0], 1), axis=0, return_inverse=True, return_counts=True)
+    even = np.array([lgamma(a + p1) + lgamma(b + p0) - lgamma(a + b + 1) - lgamma(p1) - lgamma(p0) for a, b in pairs])
+    against = np.exp(np.minimum(pairs @ np.log([p1, p0]) - even, 700))
+    part = 0.01
+    for _ in range(100):
+        tells = part / (part + (1 - part) * against)
+        part = min(0.99, max(1e-6, float(np.average(tells, weights=often)))) if often.size else part
+    return (logit(n1, total[0], p1) - logit(n0, total[1], p0)) * tells[back.reshape(-1)]
 
 
 @dataclass
 class Model:
-    gain: dict[bytes, float]  # tokens that speak for toxicity
-    drift: float
+    names: np.ndarray  # sorted hashes of all tokens of the sample
+    gain: np.ndarray  # their log-odds less the drift
+    drift: float  # what any other token loses
     rate: float  # lambda of the extreme-value law
     size: float  # its K
     curve: np.ndarray  # weights of 1, surprise of the best segment, log of significant segments
     level: float = 0.01  # expected number of segments as good as a significant one
 
+    def segments(self, found: list[bytes]) -> list[tuple[int, int, float]]:
+        """(first token, end, score) of every maximal segment."""
+        if not found or not self.names.size:
+            return []
+        h = hashes(found)
+        place = np.minimum(np.searchsorted(self.names, h), self.names.size - 1)
+        at = np.flatnonzero(self.names[place] == h)
+        return maximal_segments(at, self.gain[place[at]], self.drift)
+
     def passages(self, found: list[bytes]) -> list[tuple[int, int, float]]:
         """(first token, end, surprise) of every segment; surprise is -log of the number of segments
         as good that a document of this length has by chance."""
-        at = [k for k, t in enumerate(found) if t in self.gain]
-        segments = maximal_segments(at, [self.gain[found[k]] for k in at], self.drift)
         length = np.log(self.size * max(1, len(found)))
-        return [(a, b, self.rate * s - length) for a, b, s in segments]
+        return [(a, b, self.rate * s - length) for a, b, s in self.segments(found)]
 
     def evidence(self, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
         found = self.passages(tokens(text))
@@ -96,12 +137,12 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return a
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 10_000, vocabulary: int = 50_000, prior: float = 500.0,
-          least_z: float = 3.6, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          modulus: int = 5, kept_out: int = 0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, bound: int = 10_000, prior: float = 500.0, drift: float = 0.05,
+          id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5,
+          kept_out: int = 0) -> Model:
     """Learned from about ``bound`` documents of each label among those whose remainder is not
-    ``kept_out``: two thirds give the log-odds, a third the extreme-value law and the final curve.  At most
-    ``vocabulary`` tokens of the largest z (above ``least_z``) and one row a sampled document reach the driver."""
+    ``kept_out``: two thirds give the log-odds, a third the extreme-value law and the final curve.  Two
+    counts for each token of the first and one row for each document of the second reach the driver."""
     spark = docs.sparkSession
     rows = labelled(labels, label_col, id_col, modulus, kept_out)
     part = rates(rows, "y", bound)
@@ -114,46 +155,34 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 10_000, vocabulary: i
         # a document counts a token once: passages repeat their words
         total = Counter((t, y) for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist())
                         for t in set(tokens(text)) if t)
-        yield {"t": pa.array([t for t, _ in total], pa.binary()), "y": pa.array([y for _, y in total], pa.int32()),
+        yield {"h": pa.array(hashes([t for t, _ in total]).view(np.int64)), "y": pa.array([y for _, y in total], pa.int32()),
                "n": pa.array(list(total.values()), pa.int64())}
 
-    counts = (map_batches(full.where("fit").select("y", "text"), "t binary, y int, n long", count).groupBy("t")
-              .agg(F.sum(F.expr("if(y = 1, n, 0)")).cast("double").alias("n1"),
-                   F.sum(F.expr("if(y = 0, n, 0)")).cast("double").alias("n0")))
-    sums = counts.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).first()
-    n1, n0 = max(sums["n1"] or 0.0, 1.0), max(sums["n0"] or 0.0, 1.0)
-    odds = counts.withColumn("a", (F.col("n1") + F.col("n0")) * prior / (n1 + n0) + 0.5)
-    odds = odds.withColumn("d", F.log((F.col("n1") + F.col("a")) / (n1 + prior - F.col("n1") - F.col("a")))
-                           - F.log((F.col("n0") + F.col("a")) / (n0 + prior - F.col("n0") - F.col("a"))))
-    # z is the signed root of the likelihood ratio: it stands for tokens that one side never has
-    e1 = (F.col("n1") + F.col("n0")) * (n1 / (n1 + n0))
-    e0 = (F.col("n1") + F.col("n0")) * (n0 / (n1 + n0))
-    ratio = sum(F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / e)).otherwise(0.0) for k, e in (("n1", e1), ("n0", e0)))
-    odds = odds.withColumn("z", F.when(F.col("n1") > e1, F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))).otherwise(0.0))
-    told = odds.where(F.col("z") >= least_z).orderBy(F.desc("z"), "t").limit(vocabulary).select("t", "d").collect()
-    gain = {bytes(r["t"]): float(r["d"]) for r in told}
-    drift = 0.05
-    model = Model(gain, drift, 1.0, 1.0, np.zeros(3))
+    counts = (map_batches(full.where("fit").select("y", "text"), "h long, y int, n long", count).groupBy("h")
+              .agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("n1"), F.sum(F.expr("if(y = 0, n, 0)")).alias("n0"))).toArrow()
+    names = counts.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    odds = log_odds(counts.column("n1").to_numpy().astype(float), counts.column("n0").to_numpy().astype(float), prior)
+    model = Model(names[order], odds[order] - drift, drift, 1.0, 1.0, np.zeros(3))
     shared = spark.sparkContext.broadcast(model)
 
     def segments(batch):
         y, n, best = [], [], []
         for label, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
             found = tokens(text)
-            at = [k for k, t in enumerate(found) if t in shared.value.gain]
-            got = maximal_segments(at, [shared.value.gain[found[k]] for k in at], drift)
             y.append(label)
             n.append(len(found))
-            best.append([s for _, _, s in got])
+            best.append([s for _, _, s in shared.value.segments(found)])
         yield {"y": pa.array(y, pa.int32()), "n": pa.array(n, pa.int64()), "s": pa.array(best, pa.list_(pa.float64()))}
 
     held = map_batches(full.where("NOT fit").select("y", "text"), "y int, n long, s array<double>", segments).toPandas()
     if not len(held):
         return model
     y, n = held["y"].to_numpy(int), np.maximum(held["n"].to_numpy(float), 1)
-    # The law of ordinary documents: segments beyond a score s come at K n exp(-rate s).
+    # The law of ordinary documents: segments beyond a score s come at K n exp(-rate s), fitted on the tenth
+    # with the largest scores (most segments are one token with next to no gain).
     usual = np.concatenate([np.asarray(s, float) for s, k in zip(held["s"], y) if k == 0] or [np.zeros(0)])
-    floor = float(np.median(usual)) if usual.size else 0.5
+    floor = float(np.quantile(usual, 0.9)) if usual.size else 0.5
     beyond = usual[usual >= floor] - floor
     model.rate = float(np.clip((beyond.size + 1) / (beyond.sum() + 1), 0.5, 5.0))
     model.size = float((beyond.size + 0.5) / max(n[y == 0].sum(), 1.0) * np.exp(model.rate * floor))

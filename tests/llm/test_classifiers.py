@@ -96,6 +96,32 @@ def test_toxicity_without_labels(docs_of, medium):
     assert [0 <= r["score"] <= 1 for r in toxicity.score(docs_of([(1, "a b")]), model).collect()] == [True]
 
 
+def test_toxicity_of_words_in_few_labelled_documents(spark, docs_of):
+    """No word stands out by itself: each toxic passage is in 8 labelled documents only."""
+    rng = np.random.default_rng(11)
+    rows, toxic = [], {}
+    for i in range(800):
+        text = [f"w{k}" for k in rng.integers(0, 60, 30)]
+        toxic[i] = i % 2
+        if toxic[i]:
+            text[10:10] = [f"bad{i % 100}x{k}" for k in range(6)]
+        rows.append((i, " ".join(text)))
+    docs = docs_of(rows)
+    model = toxicity.train(docs, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    assert len(model.names) == 60 + 50 * 6  # every token of the sample, those against toxicity too
+    got = by_id(toxicity.score(docs, model))
+    assert np.mean([r["predicted"] == toxic[i] for i, r in got.items() if r["held_out"]]) > 0.9
+
+
+def test_token_log_odds():
+    n1, n0 = np.array([9.0, 0, 30, 1, 0]), np.array([0.0, 40, 30, 0, 1])
+    odds = toxicity.log_odds(n1, n0, 500.0)
+    assert odds[0] > odds[3] > 0 > odds[4] > odds[1]
+    sides = np.array([2.0] * 50), np.array([18.0] * 50)  # tokens that fall to the sides by their size
+    assert np.abs(toxicity.log_odds(*sides, 500.0)).max() < 1e-9
+    assert toxicity.log_odds(np.zeros(0), np.zeros(0), 500.0).size == 0
+
+
 def test_quality_held_out_and_small_cases(medium, docs_of):
     docs, labels = medium
     model = quality_gam.train(docs, labels)
