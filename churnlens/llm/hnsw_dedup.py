@@ -4,7 +4,8 @@ Vectors that are equal form one class.  The classes of a label are dealt over sh
 size; each shard builds a graph of several levels, where a node knows a few diverse neighbours.
 Every class queries every shard of its label by a beam search that starts at the top level.  A
 beam that ends full of links is widened; then some queries of every block are held against all
-vectors of the shard, and while too few links were found all beams are widened.  Found pairs are
+other vectors of the shard, and while those with few links or those with many found too few of them
+on average, all beams are widened.  Found pairs are
 verified by cosine in double precision, and linked classes are united.
 """
 
@@ -26,7 +27,7 @@ SHARD = 8000
 DEGREE, BUILD_BEAM, FIRST_BEAM = 16, 64, 32
 #: Queries searched side by side, and nodes of a beam expanded at once.
 SIDE_BY_SIDE, AT_ONCE = 256, 4
-#: Audited queries of a block, and the share of their links that must have been found.
+#: Audited queries of a block, and the share of its links that such a query must have found on average.
 AUDITED, LEAST_RECALL = 128, 0.99
 
 
@@ -153,11 +154,22 @@ class Graph:
         return beam_search(self.vectors, self.links[0], queries, entry, beam)
 
 
-def linked_pairs(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(query, node) with similarity of at least ``least``, and the recall of the audit that passed."""
-    n, least = len(graph.vectors), np.float32(least - 1e-5)
+def linked_pairs(graph: Graph, queries: np.ndarray, least: float, own_node: np.ndarray,
+                 ) -> tuple[np.ndarray, np.ndarray, float]:
+    """(query, node) with similarity of at least ``least``, and the recall of the audit that passed: the
+    mean over audited queries that have links, of those with fewer than ``FIRST_BEAM`` links or of the others,
+    whichever is less.  ``own_node[q]`` is the node of the query itself (-1: not in this shard); the
+    audit does not count it."""
+    n, found_from = len(graph.vectors), np.float32(least - 1e-5)
     audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    truth = queries[audited] @ graph.vectors.T >= least
+    # nearer than what counts as found by more than single precision errs
+    truth = queries[audited] @ graph.vectors.T >= np.float32(least - 1e-6)
+    inside = np.flatnonzero(own_node[audited] >= 0)
+    truth[inside, own_node[audited[inside]]] = False
+    links = truth.sum(1)
+    strata = [x for x in (np.flatnonzero((links > 0) & (links < FIRST_BEAM)), np.flatnonzero(links >= FIRST_BEAM)) if x.size]
+    row = np.full(len(queries), -1)
+    row[audited] = np.arange(audited.size)
     beam = FIRST_BEAM
     while True:
         q, v = [], []
@@ -168,15 +180,16 @@ def linked_pairs(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.nd
                     nodes, sims = None, queries[rows] @ graph.vectors.T
                 else:
                     nodes, sims = graph.search(queries[rows], own)
-                full = (sims[:, -1] >= least) & (nodes is not None)
-                i, j = np.nonzero((sims >= least) & ~full[:, None])
+                full = (sims[:, -1] >= found_from) & (nodes is not None)
+                i, j = np.nonzero((sims >= found_from) & ~full[:, None])
                 q.append(rows[i])
                 v.append(j if nodes is None else nodes[i, j])
                 rows, own = rows[full], min(2 * own, n)  # every place of the beam is a link: widen
         q, v = np.concatenate(q), np.concatenate(v)
-        got = np.zeros(len(queries), int)
-        np.add.at(got, q, 1)
-        recall = got[audited].sum() / max(1, truth.sum())
+        got, at = np.zeros_like(truth), row[q]
+        got[at[at >= 0], v[at >= 0]] = True
+        share = (got & truth).sum(1) / np.maximum(links, 1)
+        recall = min((share[x].mean() for x in strata), default=1.0)
         if recall >= LEAST_RECALL or beam >= n:
             return q, v, float(recall)
         beam *= 2
@@ -239,7 +252,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
         table = table.filter(table.column("graph").is_null())
         c = table.column("c").to_numpy()
         own, queries = unit(table.column("v").to_pylist())
-        q, v, _ = linked_pairs(graph, queries, least)
+        place = np.minimum(np.searchsorted(nodes, c), nodes.size - 1)
+        q, v, _ = linked_pairs(graph, queries, least, np.where(nodes[place] == c, place, -1))
         cosine = np.einsum("ij,ij->i", own[q], exact[v])
         hit = (cosine >= least) & (c[q] != nodes[v])
         a, b = c[q[hit]], nodes[v[hit]]

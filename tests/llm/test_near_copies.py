@@ -141,6 +141,44 @@ def test_several_shards(spark, monkeypatch):
     assert [got[k].n_links for k in range(300)] == want.tolist()
 
 
+class Blind:
+    """A graph whose search finds ``seen`` links only, until its beam has ``least_beam`` places."""
+
+    def __init__(self, vectors, seen, least_beam):
+        self.vectors, self.seen, self.least_beam = vectors, seen, least_beam
+
+    def search(self, queries, beam):
+        sims = queries @ self.vectors.T
+        if beam < self.least_beam:
+            sims = np.where(self.seen(sims), sims, np.float32(-1))
+        nodes = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+        return nodes, np.take_along_axis(sims, nodes, 1)
+
+
+def unit_vectors(n, seed):
+    v = np.random.default_rng(seed).normal(size=(n, 128)).astype(np.float32)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_audit_does_not_count_the_query_itself():
+    """One real link, missed by narrow beams, among 128 queries that all find themselves."""
+    v = unit_vectors(300, 1)
+    v[200] = v[5]
+    itself = lambda sims: np.arange(300) == sims.argmax(1)[:, None]
+    q, found, recall = hnsw_dedup.linked_pairs(Blind(v, itself, 64), v[:128], 0.93, np.arange(128))
+    assert (5, 200) in zip(q.tolist(), found.tolist()) and recall == 1.0
+
+
+def test_audit_of_sparse_queries_beside_a_dense_group():
+    """A third of the vectors link with each other and are found; the pairs of the rest are not."""
+    v = unit_vectors(2400, 2)
+    v[0::3] = v[0]
+    v[1::3] = v[2::3]
+    dense = lambda sims: np.broadcast_to(((sims >= 0.93).sum(1) > 2)[:, None], sims.shape)
+    q, found, recall = hnsw_dedup.linked_pairs(Blind(v, dense, 64), v, 0.93, np.arange(2400))
+    assert np.bincount(q, minlength=2400).tolist() == [800, 2, 2] * 800 and recall == 1.0
+
+
 @pytest.mark.parametrize("beam", [64])
 def test_recall_of_the_graph(beam):
     """Nearest neighbours of a graph search against all vectors, without audits or widening."""
