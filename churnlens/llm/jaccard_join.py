@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import Forest, components
 from .frames import map_batches, stored
@@ -320,6 +321,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     not compared with others.  Repeated rows are documents of their
     own.  Other columns are ignored, whatever their names.
     """
+    return _linked(docs, id_col, text_col, width, percent).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "n_links", "class_id", "component_id")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """What ``jaccard_join`` gives, with the set id ``c`` of the row and of the least (id, set id) of its
+    component, ``first_c``."""
     spark = docs.sparkSession
     raw = stored(described(docs, id_col, text_col, width, frequent_from=2))
     base = raw.where("kind = 0").select("id", "c", "n")
@@ -358,31 +366,52 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = placed.join(regions, "c").withColumns({"path": none, "homes": none})
     sets = _of_wanted(docs, id_col, text_col, width, wanted(placed), np.ndarray.tobytes, "s")
     found = stored(_joined(_groups(placed, classes, sets, percent), sets, percent))
-    return _labelled(base, classes, found, id_col)
+    return _labelled(base, classes, found)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without all but the least id of each component, all columns as they are.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                percent: int = 80) -> DataFrame:
+    """The documents without all but the least (id, shingle set) of each component, all columns as they are.
 
-    Rows without a shingle or an id stay.  Of rows that repeat id and text one stays."""
-    found = jaccard_join(docs, id_col, text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    out = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    Rows without a shingle or an id stay.  Of rows that repeat id and shingle set one stays."""
+    found = _linked(docs, id_col, text_col, width, percent).where("n > 0 AND id IS NOT NULL")
+    gone = found.where("NOT (id = component_id AND c = first_c)").selectExpr("id AS _gone", "c AS _gone_set").distinct()
+    same_id = docs[id_col].cast("long") == F.col("_gone")
     repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("k")).where(F.col(id_col).isNotNull() & (F.col("k") > 1))
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col, text_col])
+    if repeated.isEmpty():  # the id tells the set
+        return docs.join(gone, same_id, "left_anti")
+    named, name = _with_set(docs, text_col, width)
+    same_id = named[id_col].cast("long") == F.col("_gone")
+    out = named.join(gone, same_id & (named[name] == F.col("_gone_set")), "left_anti")
+    whole = F.col(id_col).isNotNull() & F.col(name).isNotNull()
+    return out.where(~whole).unionByName(out.where(whole).dropDuplicates([id_col, name])).drop(name)
+
+
+def _with_set(docs: DataFrame, text_col: str, width: int) -> tuple[DataFrame, str]:
+    """``docs`` with the set id of each row (null: no shingle) in a further column, and its name."""
+    name, place = "_set", docs.columns.index(text_col)
+    while name in docs.columns:
+        name += "_"
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(words(t), width) for t in batch.column(place).to_pylist()]
+            own = pa.array([_set_id(s) if s.size else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, name])
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())])), name
 
 
-def _labelled(base: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+def _labelled(base: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     root = components(found.selectExpr("c AS u", "root AS v"))
     named = (classes.join(root.withColumnRenamed("node", "c"), "c", "left")
              .join(found.groupBy("c").agg(F.sum("links").alias("links")), "c", "left")
              .withColumn("component", F.coalesce("component", "c")))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    least = named.groupBy("component").agg(F.expr("min(struct(id, c)) FILTER (WHERE id IS NOT NULL)").alias("first"))
     named = named.join(least, "component").select(
-        "c", "component_id", F.col("id").alias("class_id"),
+        "c", F.col("first.id").alias("component_id"), F.col("first.c").alias("first_c"), F.col("id").alias("class_id"),
         F.expr("m - 1 + coalesce(links, 0)").alias("n_links"))
     out = base.join(named, "c", "left")
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "id", "c", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), "first_c",
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

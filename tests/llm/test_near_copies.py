@@ -89,6 +89,18 @@ def test_join_edge_cases(docs_of):
     assert kept.columns == docs_of(rows).columns
 
 
+def test_one_of_each_decides_by_id_and_text(docs_of):
+    """Repeated ids with different texts, and repeated rows without id or shingle."""
+    a, b = "a b c d e f g h", "k l m n o p q r"
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, "s t u v w x"), (6, "S T U V W X"), (None, "y z"), (None, "y z"), (8, ""), (8, "")]
+    kept = jaccard_join.one_of_each(docs_of(rows)).collect()
+    assert sorted((r.doc_id or -1, r.text.lower()) for r in kept) == [
+        (-1, "y z"), (-1, "y z"), (3, a), (5, b), (6, "s t u v w x"), (8, ""), (8, "")]
+    near = "i0 i1 i2 i3 i4 i5 i6 i7 i8 i9 i10 i11 i12 i13 i14 i15 i16 i17 i18 i19 i20 i21 i22 i23 i24 i25"
+    kept = jaccard_join.one_of_each(docs_of([(7, near), (7, near + " end")])).collect()
+    assert len(kept) == 1  # two near copies under one id
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(k, k + 1) for k in range(200, 260)] + [(rng.randrange(150), rng.randrange(150)) for _ in range(120)]
