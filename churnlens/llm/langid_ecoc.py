@@ -171,10 +171,14 @@ def train(docs: DataFrame, bound: int = 3000, id_col: str = "doc_id", text_col:
     return Model(languages, code, table, slope, shift, weight / weight.mean())
 
 
+def _has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def predicted(texts: list[str | None], model: Model | None, least_lead: float,
               ) -> tuple[list[str], list[float], list[bool]]:
     """Language, score and whether it is ambiguous of each text."""
-    known = [t is not None and model is not None and any(map(str.isalpha, t)) for t in texts]
+    known = [model is not None and _has_letter(t) for t in texts]
     langs, scores, unsure = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
     at = [k for k, x in enumerate(known) if x]
     if at:
@@ -185,7 +189,10 @@ def predicted(texts: list[str | None], model: Model | None, least_lead: float,
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", least_lead: float = 0.2) -> DataFrame:
-    """The documents of an unambiguous language, all their columns as they are."""
+    """The documents of an unambiguous language, all their columns as they are.  With nothing to learn from
+    (no model) no language is in doubt: all documents that have a letter stay."""
+    if model is None:
+        return rows_where(docs, text_col, lambda texts: [_has_letter(t) for t in texts])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows_where(docs, text_col, lambda texts: [not x for x in predicted(texts, shared.value, least_lead)[2]])
 

@@ -44,6 +44,14 @@ def test_language_without_rows_to_learn_from(docs_of):
     assert len(got) == 1 and 0 <= got[0]["score"] <= 1
 
 
+def test_language_stage_keeps_texts_where_no_row_tells_a_language(spark, docs_of):
+    import corpus_pipeline
+
+    docs = docs_of([(1, "some words", None), (2, "andere Wörter", None), (3, "12 ...", None), (4, None, None)])
+    kept = corpus_pipeline.known_language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
 def test_codewords_differ():
     for n in (2, 3, 6, 7, 20):
         code = langid_ecoc.codewords(n)
