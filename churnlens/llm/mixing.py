@@ -62,6 +62,15 @@ def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return rows.groupBy("_id", "_source", "_text", "size").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _up_to_budget(copies: DataFrame, budget: int) -> DataFrame:
+    """The copies up to the range in which the running total of words passes ``budget``: no later one
+    can be taken, so they need no sorting."""
+    sums = copies.groupBy("range").agg(F.sum("words").alias("s"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    last = sums.withColumn("total", F.sum("s").over(upto)).where(F.col("total") > budget).agg(F.min("range")).first()[0]
+    return copies if last is None else copies.where(F.col("range") <= last)
+
+
 def decisions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 7,
               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per unit (see ``_units``): ``size``, ``rows``, ``source_size``, ``target`` and ``copies``, how often the
@@ -89,6 +98,7 @@ def decisions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     # virtual time advances with words, so equal ranges of it hold about as many copies each
     copies = stored(copies.select("_id", "_source", "_text", "size", "words", "h", "epoch", "finish")
                     .withColumn("range", F.expr(f"CAST(floor(least(finish, 1000D) * {4 * parts}) AS INT)")))
+    copies = _up_to_budget(copies, budget)
     order = ["finish", F.col("_source").asc_nulls_last(), "h", F.col("_id").asc_nulls_last(), "_text", "epoch"]
     taken = (_running(copies, [], "range", order, "words", "total").where(F.col("total") <= budget)
              .groupBy("_id", "_source", "_text").agg(F.count(F.lit(1)).alias("copies")))

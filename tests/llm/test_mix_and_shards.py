@@ -57,6 +57,15 @@ def test_mix_small_cases(docs_of):
     assert mixing.mix_report(docs_of([])).collect() == [] and mixing.mix(docs_of([])).collect() == []
 
 
+def test_only_copies_up_to_the_budget_are_sorted(spark):
+    """Ranges behind the one where the words pass the budget go, the last one of all late copies too."""
+    rows = [(0, 4), (0, 5), (3, 2), (3, 6), (9, 1)] + [(4000, 7)] * 50
+    copies = spark.createDataFrame(rows, "range int, words long")
+    left = lambda budget: sorted(r["range"] for r in mixing._up_to_budget(copies, budget).collect())
+    assert left(10) == [0, 0, 3, 3] and left(17) == [0, 0, 3, 3, 9]
+    assert left(16) == [0, 0, 3, 3] and left(18) == left(10**6) == sorted(r for r, _ in rows)
+
+
 def test_longest_first_is_within_the_known_bound():
     sizes = [(s, k) for k, s in enumerate([7, 7, 6, 6, 5, 5, 4, 4, 4])]
     place = sharding.longest_first(sizes, 3)
