@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from churnlens.plans.catalog import QUERIES
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "orders", "events"]
 

@@ -11,7 +11,7 @@ from churnlens.plans import report, trends
 from churnlens.schema import RAW_SCHEMA, SUBSCRIBER_COLUMNS
 from churnlens.session import scratch_path
 from churnlens.sources import io
-from conftest import make_subs
+from helpers import make_subs
 
 
 def _raw(spark, totals):
@@ -90,7 +90,7 @@ def test_job_from_csv(spark):
 
 def test_appended_input_is_seen_in_the_same_session(spark):
     import __spark_entry__ as E
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     root = scratch_path(spark, "t-grow")
     for name in ("customer", "orders", "events", "nation", "region"):
         spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(f"{root}/{name}.parquet")
@@ -128,6 +128,7 @@ def test_warehouse_append_and_pushdown(spark):
     assert churned.count() == 4
     plan = churned._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(Churn,1)" in plan
+    spark.sql(f"DROP TABLE {name}")
 
 
 def _orders(spark, rows):
@@ -194,7 +195,7 @@ def test_report_sections_and_partitioned_write(spark):
 def test_views_and_batch_job(spark):
     from churnlens.plans import jobs
     from churnlens.plans.context import Workspace
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     ws = Workspace(spark, SF_SMALL)
     names = ws.register_views(prefix="t_")
     assert names == ["t_raw", "t_subs", "t_subs_dim", "t_score_requests"]
@@ -206,12 +207,13 @@ def test_views_and_batch_job(spark):
     assert spark.read.parquet(paths["kpis"]).count() == 1
     assert spark.read.parquet(paths["report"]).select("section").distinct().count() == 8
     assert spark.table(f"customer_data_{loc}").count() == ws.raw.count()
+    spark.sql(f"DROP TABLE customer_data_{loc}")
 
 
 def test_attach_dimension_matches_single_pass(spark):
     from churnlens.operators import overview
     from churnlens.plans.context import Workspace
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     ws = Workspace(spark, SF_SMALL)
     args = dict(region="EUROPE", date_start="1995-03-01", date_end="1995-12-31")
     joined = overview.overview(overview.attach_dimension(ws.subs, ws.dim), **args).first()

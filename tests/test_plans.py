@@ -8,7 +8,7 @@ from churnlens.operators import scoring, segments
 from churnlens.plans.catalog import QUERIES
 from churnlens.plans.context import Workspace
 from churnlens.sources import fixture
-from conftest import SF_SMALL, make_requests, make_subs
+from helpers import SF_SMALL, make_requests, make_subs
 
 SINKS = {"csv_roundtrip", "store_roundtrip", "warehouse_append", "churned_customers", "score_stream"}
 
@@ -70,6 +70,7 @@ def test_single_scan_for_multi_output_aggregates(spark):
 
 def test_churned_scan_pushes_the_filter(spark):
     # S9: SELECT * FROM the warehouse table WHERE Churn = 1, filtered inside the Parquet scan
+    before = {t.name for t in spark.catalog.listTables()}
     plan = _plan(QUERIES["churned_customers"](spark, SF_SMALL))
     assert "EqualTo(Churn,1)" in plan and "Exchange" not in plan
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("customer_data_") and not t.isTemporary]
+    assert {t.name for t in spark.catalog.listTables()} <= before

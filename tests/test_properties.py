@@ -8,7 +8,7 @@ from churnlens.operators import (breakdowns, clean, density, kpi, overview, prof
                                  scoring, segments)
 from churnlens.plans import report, trends
 from churnlens.plans.context import Workspace
-from conftest import SF_SMALL, make_requests, make_subs
+from helpers import SF_SMALL, make_requests, make_subs
 
 SF = "/root/testdata/sf0.01"
 

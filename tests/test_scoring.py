@@ -5,7 +5,7 @@ from __future__ import annotations
 from churnlens.operators import scoring
 from churnlens.session import scratch_path
 from churnlens.streaming import scoring_stream
-from conftest import make_requests
+from helpers import make_requests
 
 GOLDEN = dict(tenure=12, voice_usage=200.5, data_usage=5.2, complaints=1, contract_type="postpaid",
               monthly_charges=65.0, internet_service="Fiber optic", online_security="No",

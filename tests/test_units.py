@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from churnlens.functions.rounding import round_ratio
 from churnlens.operators import breakdowns, clean, kpi, overview, reasons, segments
 from churnlens.schema import RAW_SCHEMA, SUBSCRIBER_COLUMNS
-from conftest import make_subs
+from helpers import make_subs
 
 
 def test_tenure_bands_right_closed(spark):
