@@ -5,21 +5,43 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of texts, binaries and lists that are worked on at once.
+SLICE = 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in turn, cut into parts of at most :data:`SLICE` bytes or one row."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            size += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    upto, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + SLICE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterable[dict | None]],
                 ) -> DataFrame:
     """``df.mapInArrow`` where ``work`` turns one record batch into dicts of columns.
 
-    A batch holds at most ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows, so a task's
-    Python memory follows the batch and not the partition."""
+    ``work`` gets slices of :data:`SLICE` bytes, so that a task's Python memory follows that size
+    (or one longer row) and neither the partition nor the rows that Spark puts into a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                for columns in work(batch):
+            for part in slices(batch):
+                for columns in work(part):
                     yield pa.RecordBatch.from_pydict(columns)
     return df.mapInArrow(run, schema)
 
@@ -30,7 +52,8 @@ def rows_where(df: DataFrame, text_col: str, keep: Callable[[list[str | None]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column(place).to_pylist()), pa.bool_()))
+            for part in slices(batch):
+                yield part.filter(pa.array(keep(part.column(place).to_pylist()), pa.bool_()))
     return df.mapInArrow(run, df.schema)
 
 
