@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe_replay, fingerprints, hnsw_dedup, jaccard_join, langid_ecoc, mixing, quality_gam, sharding,
-               token_align, token_counts, toxicity)
+from . import (bpe_replay, fingerprints, hnsw_dedup, jaccard_join, langid_ecoc, mixing, quality_gam,
+               secret_ledger, sharding, token_align, token_counts, toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, quality_gam.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.fresh_report(_table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                     public_tokenizers.path("piece_bpe_32k.model"))
@@ -67,7 +71,7 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_hnsw_duplicates, op2_bpe_replay, op3_ecoc_language, op4_fair_mixing, op5_segment_toxicity, op6_jaccard_join,
     op7_weighted_sampling, op8_longest_first_shards, op9_token_counts, op10_quality_gam,
-    op12_token_alignment)}
+    op11_secret_ledger, op12_token_alignment)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_secret_ledger": secret_ledger.report_sql()}
