@@ -203,7 +203,7 @@ def report_sql(rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -
     """The same rows as DuckDB SQL over the table ``documents``, scanning every row."""
     each = " UNION ALL ".join(
         f"""SELECT r, {k} AS place, '{rule.name}' AS rule, {rule.least} AS least,
-            list_transform(m, x -> length(regexp_extract(x, p, {rule.group}))) AS held, m, regexp_split_to_array(t, p) AS g
+            [length(regexp_extract(x, p, {rule.group})) for x in m] AS held, m, regexp_split_to_array(t, p) AS g
         FROM (SELECT r, t, p, regexp_extract_all(t, p) AS m FROM docs, (SELECT '{rule.pattern.replace("'", "''")}' AS p))"""
         for k, rule in enumerate(rules))
     names = ", ".join(f"'{r.name}'" for r in base)
