@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe_replay, fingerprints, hnsw_dedup, jaccard_join, langid_ecoc, mixing, quality_gam,
+from . import (bpe_replay, collocations, fingerprints, hnsw_dedup, jaccard_join, langid_ecoc, mixing, quality_gam,
                secret_ledger, sharding, token_align, token_counts, toxicity)
 
 
@@ -68,10 +68,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hnsw_duplicates, op2_bpe_replay, op3_ecoc_language, op4_fair_mixing, op5_segment_toxicity, op6_jaccard_join,
     op7_weighted_sampling, op8_longest_first_shards, op9_token_counts, op10_quality_gam,
-    op11_secret_ledger, op12_token_alignment)}
+    op11_secret_ledger, op12_token_alignment, op13_phrase_index)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
-ORACLE: dict[str, str] = {"op11_secret_ledger": secret_ledger.report_sql()}
+ORACLE: dict[str, str] = {
+    "op11_secret_ledger": secret_ledger.report_sql(),
+    "op13_phrase_index": collocations.collocations_sql(),
+}
