@@ -65,7 +65,7 @@ def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                                    public_tokenizers.path("piece_bpe_32k.model"))
+                                    public_tokenizers.path("piece_bpe_32k.model"), pattern=public_tokenizers.PATTERN)
 
 
 def op13_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,33 @@ def entry_bytes(description: str) -> list[bytes]:
     return [entries.get(i, b"") for i in range(max(entries) + 1)]
 
 
+def rank_order(description: str) -> dict[bytes, int] | None:
+    """Bytes -> id of a byte-level vocabulary if merging the lowest id first gives the tokens that its
+    merges give, else None.
+
+    It does if the merges are in the order of the ids they make and turn the spelling of each
+    merged entry into that entry alone.  For then no two neighbours that the merges leave apart
+    spell an entry: nothing else has crossed their outer ends so far, so the entry's own spelling
+    would be left in these two as well.  By induction over the ids, both ways make the same merges."""
+    from tokenizers import Tokenizer
+
+    found = json.loads(description)
+    vocabulary, split = found["model"]["vocab"], found["pre_tokenizer"] or {}
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in found["model"]["merges"]]
+    ids = [vocabulary[entry] for entry in made]
+    if (found["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space")
+            or not split.get("use_regex", True) or any(a >= b for a, b in zip(ids, ids[1:]))):
+        return None
+    whole = Tokenizer.from_str(json.dumps(found | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+    if any(e.ids != [i] for e, i in zip(whole.encode_batch_fast(made, add_special_tokens=False), ids)):
+        return None
+    letters = byte_letters()
+    if any(vocabulary[c] >= ids[0] for c in letters.values()):
+        return None
+    entries = entry_bytes(description)
+    return {entries[i]: i for i in [*(vocabulary[c] for c in letters.values()), *ids]}
+
+
 def piece_bytes(model) -> list[bytes]:
     """The bytes of each id of a piece vocabulary."""
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
@@ -73,23 +100,30 @@ class _Side:
         self.marked = np.fromiter((e[:1] == b" " for e in entries), bool, len(entries))
 
 
-def _sides(description: str, model: bytes) -> tuple[_Side, _Side]:
+def _sides(description: str, model: bytes, pattern: str | None) -> tuple[_Side, _Side]:
     import sentencepiece
-    from tokenizers import Tokenizer
-
-    first = Tokenizer.from_str(description)
-    first.encode_special_tokens = True  # their strings in a text are ordinary text
     second = sentencepiece.SentencePieceProcessor(model_proto=model)
-    return (_Side(entry_bytes(description),
-                  lambda texts: [first.encode(" " + t, add_special_tokens=False).ids for t in texts]),
+    if pattern is None:
+        from tokenizers import Tokenizer
+        library = Tokenizer.from_str(description)
+        library.encode_special_tokens = True  # their strings in a text are ordinary text
+
+        def first(text):
+            return library.encode(text, add_special_tokens=False).ids
+    else:
+        import tiktoken
+        first = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=rank_order(description),
+                                  special_tokens={}).encode_ordinary
+    return (_Side(entry_bytes(description), lambda texts: [first(" " + t) for t in texts]),
             _Side(piece_bytes(second), lambda texts: second.encode(texts, num_threads=1)))
 
 
 class Aligner:
-    """Aligns texts in blocks and remembers windows."""
+    """Aligns texts in blocks and remembers windows.  ``pattern`` is None where the first
+    tokenizer's own library has to encode."""
 
-    def __init__(self, description: str, model: bytes):
-        self.a, self.b = _sides(description, model)
+    def __init__(self, description: str, model: bytes, pattern: str | None = None):
+        self.a, self.b = _sides(description, model, pattern)
         self.forget()
 
     def forget(self) -> None:
@@ -146,8 +180,9 @@ class Aligner:
         raw_a, raw_b = a.tobytes(), b.tobytes()
         if len(self.known) > REMEMBERED:
             self.forget()
-        return [self.window(key) for key in zip([raw_a[i:j] for i, j in zip(cut_a, cut_a[1:])],
-                                                [raw_b[i:j] for i, j in zip(cut_b, cut_b[1:])])]
+        keys = list(zip([raw_a[i:j] for i, j in zip(cut_a, cut_a[1:])], [raw_b[i:j] for i, j in zip(cut_b, cut_b[1:])]))
+        found = list(map(self.known.get, keys))
+        return [self.window(key) if at is None else at for key, at in zip(keys, found)]
 
 
 def _packed(codes: bytes) -> tuple[int, bytes]:
@@ -164,19 +199,24 @@ def _unpacked(raw: bytes | None, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def aligned(docs: DataFrame, description_path: str, model_path: str, id_col: str = "doc_id",
-            text_col: str = "text", digest: bool = False) -> DataFrame:
+            text_col: str = "text", digest: bool = False, pattern: str | None = None) -> DataFrame:
     """Per document: id, n_a, n_b (tokens), n_groups, n_links, ``groups`` (written as
     ``a1,a2|b1;a3|b2,b3``; with ``digest`` the SHA-256 of that, empty without tokens), and its
-    linked id pairs packed (n_pairs distinct ones) for :func:`pair_counts` and :func:`with_counts`."""
+    linked id pairs packed (n_pairs distinct ones) for :func:`pair_counts` and :func:`with_counts`.
+
+    ``pattern`` is the one by which the first tokenizer splits texts; where it is given and
+    :func:`rank_order` holds, texts are encoded by ranks, with the same ids in a fifth of the time."""
     with open(description_path, encoding="utf-8") as f:
         description = f.read()
     with open(model_path, "rb") as f:
         model = f.read()
+    if pattern is not None and rank_order(description) is None:
+        pattern = None
     made: list[Aligner] = []
 
     def work(batch: pa.RecordBatch):
         if not made:
-            made.append(Aligner(description, model))
+            made.append(Aligner(description, model, pattern))
         own, texts = made[0], texts_of(batch, "_text")
         out = {name: [] for name in ("n_a", "n_b", "n_groups", "groups", "n_pairs", "pairs")}
         start = 0
@@ -257,14 +297,14 @@ def with_counts(found: DataFrame, counts: DataFrame, n_b_ids: int, most: int) ->
 
 
 def align_report(docs: DataFrame, description_path: str, model_path: str, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", pattern: str | None = None) -> DataFrame:
     """Per document the figures and the digest of its alignment, and how its links stand among
     all links of the corpus.  The alignment is stored once; texts are tokenised once."""
     import sentencepiece
     with open(description_path, encoding="utf-8") as f:
         a = entry_bytes(f.read())
     b = piece_bytes(sentencepiece.SentencePieceProcessor(model_file=model_path))
-    found = stored(aligned(docs, description_path, model_path, id_col, text_col, digest=True))
+    found = stored(aligned(docs, description_path, model_path, id_col, text_col, True, pattern))
     out = with_counts(found, pair_counts(found, len(b)), len(b), most_pairs(a, b))
     return out.selectExpr(f"id AS `{id_col}`", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
                           "groups AS groups_sha256")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections import Counter
 
 import public_tokenizers as P
+import pytest
 import sentencepiece
+import tiktoken
 from conftest_llm import MEDIUM, by_id
 from tokenizers import Tokenizer
 
@@ -63,9 +66,10 @@ def figures(row):
     return row.n_a, row.n_b, row.n_groups, row.n_links, row.n_best, row.count_sum, row.groups_sha256
 
 
-def test_equals_the_plain_alignment(docs_of, monkeypatch):
+@pytest.mark.parametrize("pattern", [None, P.PATTERN])
+def test_equals_the_plain_alignment(docs_of, pattern):
     rows = [*enumerate(TEXTS), (900, None)]
-    got = by_id(token_align.align_report(docs_of(rows), A, B))
+    got = by_id(token_align.align_report(docs_of(rows), A, B, pattern=pattern))
     want = plain(rows)
     assert {i: figures(r) for i, r in got.items()} == want
     assert want[TEXTS.index("x▁y ▁ z")][0] == 0 < want[TEXTS.index("a  b \n\n c ")][0]
@@ -102,5 +106,21 @@ def test_windows_forgotten_in_between(monkeypatch):
     assert written == [v[-1] for v in plain(list(enumerate(TEXTS))).values()]
 
 
+def test_ranks_in_place_of_merges():
+    """The ids of the library, over characters of all kinds; a vocabulary out of order is refused."""
+    with open(A, encoding="utf-8") as f:
+        description = f.read()
+    first = Tokenizer.from_file(A)
+    first.encode_special_tokens = True
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=token_align.rank_order(description), special_tokens={})
+    for c in range(3, 0x110000, 41):
+        if not 0xD800 <= c < 0xE000:
+            text = f" a{chr(c)}1{chr(c)}!{chr(c) * 2} {chr(c)} the"
+            assert own.encode_ordinary(text) == first.encode(text, add_special_tokens=False).ids
+    found = json.loads(description)
+    found["model"]["merges"][:2] = found["model"]["merges"][1::-1]
+    assert token_align.rank_order(json.dumps(found)) is None
+
+
 def test_empty_table(docs_of):
     assert token_align.align_report(docs_of([]), A, B).collect() == []
