@@ -12,7 +12,7 @@ can only be frequent if the phrase without its first and the one without its las
 shard tries just those that extend frequent ones on both sides.  Between levels the shards send
 sorted fingerprints with counts, packed by range of fingerprint; a task per range adds them up and
 tells each shard which of its fingerprints reach the least count.  Fingerprints that collide add
-up, so no phrase is lost; the last step counts the phrases themselves.
+up, so no phrase is lost; the last step counts the phrases themselves, packed in the same way.
 
 Null texts count as empty, a null language as ``und``.  Ids and other columns are not read, so
 repeated rows count each time.  An empty table, or one without frequent phrases, gives no rows.  A
@@ -21,11 +21,13 @@ shard holds one piece at least, however long.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,9 +36,9 @@ from .frames import slices, stored
 from .shingles import mixed
 
 #: Words of all languages that a task gathers before it makes shards of them.
-SHARD = 1_500_000
+SHARD = 2_500_000
 #: Words of the corpus to each task that adds up fingerprints.
-WORDS_A_RANGE = 3_000_000
+WORDS_A_RANGE = 6_000_000
 #: The id of the seam between two pieces.
 SEAM = 0
 # A-Z to lower case, the signs that end a piece to a line feed, tab to space.
@@ -208,11 +210,16 @@ def _shards(docs: DataFrame, lang_col: str, text_col: str, depth: int) -> DataFr
 _SENT = "part long, shard long, n int, prints binary, counts binary"
 
 
+def _range(prints: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` ranges each fingerprint lies in."""
+    return ((prints >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _sent(shard: int, prints: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
     """Fingerprints with counts, packed by range."""
     prints, place = np.unique(prints, return_inverse=True)
     total = np.bincount(place, weights=counts, minlength=prints.size).astype(np.int64)
-    part = (prints >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)
+    part = _range(prints, parts)
     cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if prints.size else np.zeros(0, np.int64)
     ends = np.append(cut[1:], prints.size)
     rows = {"part": [int(part[a]) for a in cut], "shard": [shard] * cut.size, "n": (ends - cut).tolist() if cut.size else [],
@@ -321,17 +328,45 @@ def frequent_phrases(docs: DataFrame, least: int = 100, most_words: int = 5, tex
         alive = stored(alive.union(_reaching(sent, least)))
 
     def written(number: int, own: _Shard) -> pa.Table:
-        phrases, counts = [], []
+        rows = {name: [] for name in ("part", "lang", "n", "phrases", "counts")}
         for found in own.levels(most_words, most_words):
-            phrases += [b" ".join(map(own.words.__getitem__, row)).decode() for row in found.words.tolist()]
-            counts += found.size.tolist()
-        return pa.table({"lang": [own.lang.decode()] * len(phrases), "phrase": phrases, "n": pa.array(counts, pa.int64())},
-                        pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]))
-    found = _in_shards(shards, alive, written, "lang string, phrase string, n long")
-    found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+            prints = fingerprints(found, own.lang)
+            order = np.argsort(prints)
+            part = _range(prints[order], parts)
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if part.size else part[:0]
+            for a, b in zip(cut, [*cut[1:], part.size]):
+                ids = found.words[order[a:b]].tolist()
+                phrases = b"\n".join([b" ".join(map(own.words.__getitem__, row)) for row in ids])
+                rows["part"].append(int(part[a]))
+                rows["n"].append(int(b - a))
+                rows["phrases"].append(zlib.compress(phrases, 1))
+                rows["counts"].append(_pack(found.size[order[a:b]]))
+        rows["lang"] = [own.lang.decode()] * len(rows["n"])
+        return pa.table(rows, _WRITTEN_ARROW)
+
+    found = _in_shards(shards, alive, written, "part long, lang string, n int, phrases binary, counts binary")
+    found = found.groupBy("part").applyInArrow(lambda table: _added(table, least), "lang string, phrase string, n long")
     return found.select("lang", F.split("phrase", " ").alias("phrase"), "n"), sizes
 
 
+_WRITTEN_ARROW = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("n", pa.int32()), ("phrases", pa.binary()),
+                            ("counts", pa.binary())])
+
+
+def _added(table: pa.Table, least: int) -> pa.Table:
+    """The phrases of one range, their counts added over all shards."""
+    langs, phrases, counts = [], [], []
+    for row in table.select(["lang", "n", "phrases", "counts"]).to_pylist():
+        phrases += zlib.decompress(row["phrases"]).split(b"\n")
+        counts.append(_unpack(row["counts"], row["n"]).astype(np.int64))
+        langs.append(pa.DictionaryArray.from_arrays(pa.array(np.zeros(row["n"], np.int32)), pa.array([row["lang"]])).cast(pa.string()))
+    every = pa.table({"lang": pa.chunked_array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()),
+                      "n": pa.array(np.concatenate(counts))})
+    added = every.group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+    added = added.filter(pc.greater_equal(added.column("n_sum"), least))
+    return added.rename_columns({"n_sum": "n"}).select(["lang", "phrase", "n"])
+
+
 def collocations(docs: DataFrame, least: int = 100, most_words: int = 5, top: int = 2000, text_col: str = "text",
                  lang_col: str = "lang") -> DataFrame:
     """The ``top`` phrases of two and more words of each language by how much oftener they occur
