@@ -10,19 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import MONEY
+from ..functions.rounding import MONEY, MONEY_LIMIT
 from ..schema import WAREHOUSE_COLUMNS
 
 
-def finite(col: Column) -> Column:
-    """NaN and the infinities -> NULL: not a number one can add up (skipped by aggregates, false
-    in comparisons); Spark would otherwise order NaN above every value."""
-    return F.when(F.abs(col) < F.lit(float("inf")), col)
+def money_range(col: Column) -> Column:
+    """NaN, the infinities and what no money column can hold (10^18 and beyond) -> NULL: not a
+    number one can add up (skipped by aggregates, false in comparisons)."""
+    return F.when(F.abs(col) < F.lit(MONEY_LIMIT), col)
 
 
 def coerce_double(col: Column) -> Column:
-    """Text to DOUBLE; unparseable values (blank, junk), NaN and infinities to NULL; never raises."""
-    return finite(col.try_cast("double"))
+    """Text to DOUBLE; unparseable values (blank, junk), NaN, the infinities and numbers beyond the
+    money range to NULL; never raises."""
+    return money_range(col.try_cast("double"))
 
 
 def yes_no_flag(col: Column) -> Column:
@@ -30,46 +31,33 @@ def yes_no_flag(col: Column) -> Column:
     return F.when(col == "Yes", 1).when(col == "No", 0).cast("int")
 
 
-def _holds(start: Column, count: Column, rank: Column) -> Column:
-    """The run of ``count`` equal values starting at 0-based ``start`` contains ``rank``."""
-    return (start <= rank) & (rank < start + count)
-
-
-def exact_median(df: DataFrame, col: str, buckets: int = 65536, levels: int = 4) -> DataFrame:
+def exact_median(df: DataFrame, col: str, accuracy: int = 100_000) -> DataFrame:
     """One-row DataFrame ``median``: the interpolated median of a numeric column, exactly.
 
-    Distinct values are counted first (one shuffle, which the later steps reuse).  Each of
-    ``levels`` steps is a scalar subquery that cuts the present range of values into at most
-    ``buckets`` + 1 buckets, finds those that hold the middle ranks by running totals of the bucket
-    counts, and goes on with the least and largest value in them.  A step narrows the range by the
-    factor ``buckets`` however the values lie (an outlier costs one step), so the last step orders
-    the few values left.  NULLs are skipped; no rows -> NULL.
+    Two passes.  A quantile sketch gives two values between which the middle ranks lie: its rank
+    error is at most n / ``accuracy``, and the values are taken at twice that distance from the
+    middle.  Then the distinct values between the two are counted, all values below and above them
+    as one group each, and running totals of these counts find the middle.  So one task orders at
+    most some 6 / ``accuracy`` of the rows, however the values lie, and outliers cost nothing.  Should
+    the sketch ever break its promise, the query fails rather than give another value.
+
+    NULL, NaN and values beyond the money range are skipped; no rows -> NULL.
     """
-    values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL")
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    state = counted.select(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.lit(0).cast("bigint").alias("before"),
-                                    F.sum("c").alias("n")).alias("s")).scalar()
-    k1, k2 = F.expr("(n - 1) div 2"), F.expr("n div 2")  # 0-based ranks of the middle pair
-
-    def inside(state):
-        return (counted.withColumn("_s", state).where(F.col("v").between(F.col("_s.lo"), F.col("_s.hi")))
-                .select("v", "c", "_s.lo", "_s.hi", F.col("_s.before").alias("base"), "_s.n"))
-
-    for _ in range(levels):
-        place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets))
-        parts = inside(state).groupBy(F.coalesce(place, F.lit(0)).alias("b"), "base", "n").agg(
-            F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        # running totals of bucket counts only
-        start = F.col("base") + F.sum("c").over(Window.orderBy("b")) - F.col("c")
-        parts = parts.withColumn("before", start)
-        hit = _holds(F.col("before"), F.col("c"), k1) | _holds(F.col("before"), F.col("c"), k2)
-        # the two middle ranks follow each other, so buckets between theirs are empty
-        state = parts.where(hit).select(F.struct(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("before"),
-            F.first("n").alias("n")).alias("s")).scalar()
-    last = inside(state).withColumn("start", F.col("base") + F.sum("c").over(Window.orderBy("v")) - F.col("c"))
-    middle = [F.max(F.when(_holds(F.col("start"), F.col("c"), k), F.col("v"))).cast(MONEY) for k in (k1, k2)]
-    return last.agg(((middle[0] + middle[1]) / 2).cast("double").alias("median"))
+    values = df.select(money_range(F.col(col).cast("double")).alias("v")).where("v IS NOT NULL")
+    off = 2.0 / accuracy
+    bounds = values.agg(F.percentile_approx("v", [max(0.5 - off, 0.0), min(0.5 + off, 1.0)], accuracy).alias("b")).scalar()
+    side = F.when(F.col("v") < F.col("b")[0], -1).when(F.col("v") > F.col("b")[1], 1).otherwise(0)
+    counted = (values.withColumn("b", bounds).select(side.alias("side"), "v")
+               .groupBy("side", F.when(F.col("side") == 0, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    order = Window.orderBy("side", "v")  # over the few values between the bounds, and two groups
+    placed = counted.select("side", "v", "c", (F.sum("c").over(order) - F.col("c")).alias("start"),
+                            F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
+    # 0-based ranks of the middle pair
+    hit = [F.expr(f"start <= {k} AND {k} < start + c") for k in ("(n - 1) div 2", "n div 2")]
+    middle = [F.max(F.when(h, F.col("v"))).cast(MONEY) for h in hit]
+    missed = F.coalesce(F.max((hit[0] | hit[1]) & (F.col("side") != 0)), F.lit(False))
+    return placed.agg(F.when(missed, F.raise_error(F.lit("median outside the sketched bounds")).cast("double"))
+                      .otherwise(((middle[0] + middle[1]) / 2).cast("double")).alias("median"))
 
 
 def clean_subscribers(raw: DataFrame, fill: str = "zero") -> DataFrame:
@@ -87,7 +75,7 @@ def clean_subscribers(raw: DataFrame, fill: str = "zero") -> DataFrame:
     else:
         raise ValueError(f"unknown fill rule {fill!r}")
     return raw.withColumns({
-        "MonthlyCharges": finite(F.col("MonthlyCharges").cast("double")),
+        "MonthlyCharges": money_range(F.col("MonthlyCharges").cast("double")),
         "TotalCharges": F.coalesce(total, filler),
         "Churn": yes_no_flag(F.col("Churn")),
     })

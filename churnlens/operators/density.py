@@ -20,7 +20,7 @@ from ..functions.rounding import MONEY, round_double
 
 def _counted(df: DataFrame, col: str, kind: str) -> DataFrame:
     """Distinct non-null values ``x`` of ``col`` and how many rows have them (``w``)."""
-    vals = df.select(F.col(col).cast(kind).alias("x")).where(F.col("x").isNotNull())
+    vals = df.select(F.col(col).try_cast(kind).alias("x")).where(F.col("x").isNotNull())
     return vals.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import (breakdowns, clean, density, kpi, overview, profile, reasons, scoring,
+from ..operators import (breakdowns, clean, cube, density, kpi, overview, profile, reasons, scoring,
                          segments)
 from ..session import scratch_path
 from ..sources import io
@@ -266,3 +266,21 @@ def q_distributions_churned(ws: Workspace) -> DataFrame:
 def q_segment_lookup(ws: Workspace) -> DataFrame:
     """One segment by name (the detail view of a single segment)."""
     return _flat_segments(segments.segment_counts(ws.subs, name="At-Risk"))
+
+
+@register("subscriber_cube")
+def q_subscriber_cube(ws: Workspace) -> DataFrame:
+    return cube.subscriber_cube(ws.subs).withColumns(
+        {m: F.col(m).cast("double") for m in ("monthly_sum", "total_sum")})
+
+
+@register("segment_overlaps")
+def q_segment_overlaps(ws: Workspace) -> DataFrame:
+    return cube.segment_overlaps(ws.subs)
+
+
+@register("cube_overview")
+def q_cube_overview(ws: Workspace) -> DataFrame:
+    """The overview from the cubes of churned and of other subscribers, merged."""
+    parts = [cube.subscriber_cube(ws.subs.where(c)) for c in ("Churn = 1", "Churn <> 1 OR Churn IS NULL")]
+    return cube.overview_summary(cube.merged(*parts))

@@ -430,5 +430,45 @@ BODIES["distributions_churned"] = BODIES["distributions"].replace(
 BODIES["segment_lookup"] = BODIES["segments"].strip() + "\nWHERE name = 'At-Risk'"
 
 
+_PREDICATES = {
+    1: ("Premium Users", "MonthlyCharges > 90 AND tenure > 24"), 2: ("Heavy Data Users", "InternetService = 'Fiber optic'"),
+    3: ("Voice Only", "InternetService = 'No' AND PhoneService = 'Yes'"), 4: ("Low ARPU", "MonthlyCharges < 40"),
+    5: ("At-Risk", "Contract = 'Month-to-month' AND tenure < 12"),
+    6: ("Loyal Base", "Contract IN ('One year', 'Two year') AND tenure > 36")}
+
+BODIES["segment_overlaps"] = "\nUNION ALL\n".join(
+    f"SELECT {i} AS first, {j} AS second, '{a}' AS first_segment, '{b}' AS second_segment, "
+    f"CAST(count_if(({p}) AND ({q})) AS BIGINT) AS customers, "
+    f"{rr(f'count_if(({p}) AND ({q})) * 100', f'count_if(({p}) OR ({q}))', 1)} AS share FROM subs"
+    for i, (a, p) in _PREDICATES.items() for j, (b, q) in _PREDICATES.items() if i < j)
+
+BODIES["subscriber_cube"] = f"""
+, c AS (
+  SELECT CASE WHEN tenure > 0 AND tenure <= 6 THEN 1 WHEN tenure > 6 AND tenure <= 12 THEN 2
+              WHEN tenure > 12 AND tenure <= 24 THEN 3 WHEN tenure > 24 AND tenure <= 36 THEN 4
+              WHEN tenure > 36 AND tenure <= 48 THEN 5 WHEN tenure > 48 AND tenure <= 60 THEN 6
+              WHEN tenure > 60 AND tenure <= 72 THEN 7 END AS tenure_band,
+         CASE WHEN MonthlyCharges > 0 AND MonthlyCharges <= 30 THEN 1
+              WHEN MonthlyCharges > 30 AND MonthlyCharges <= 50 THEN 2
+              WHEN MonthlyCharges > 50 AND MonthlyCharges <= 70 THEN 3
+              WHEN MonthlyCharges > 70 AND MonthlyCharges <= 90 THEN 4
+              WHEN MonthlyCharges > 90 AND MonthlyCharges <= 120 THEN 5 END AS charge_band,
+         {" + ".join(f"CASE WHEN {p} THEN {1 << (i - 1)} ELSE 0 END" for i, (_, p) in _PREDICATES.items())} AS segments, *
+  FROM subs)
+SELECT CAST(tenure_band AS INTEGER) AS tenure_band, CAST(charge_band AS INTEGER) AS charge_band, Contract AS contract,
+  InternetService AS internet, PaymentMethod AS payment, Churn AS churn, CAST(segments AS INTEGER) AS segments,
+  CAST(count(*) AS BIGINT) AS customers, CAST(count(customerID) AS BIGINT) AS ids,
+  CAST(coalesce(sum(Churn), 0) AS BIGINT) AS churned, CAST(count(Churn) AS BIGINT) AS churn_known,
+  CAST(coalesce(sum(tenure), 0) AS BIGINT) AS tenure_sum, CAST(count(tenure) AS BIGINT) AS tenure_known,
+  CAST(coalesce(sum(CAST(MonthlyCharges AS DECIMAL(28,10))), 0) AS DOUBLE) AS monthly_sum,
+  CAST(count(MonthlyCharges) AS BIGINT) AS monthly_known,
+  CAST(coalesce(sum(CAST(TotalCharges AS DECIMAL(28,10))), 0) AS DOUBLE) AS total_sum,
+  CAST(count(TotalCharges) AS BIGINT) AS total_known
+FROM c GROUP BY tenure_band, charge_band, c.Contract, InternetService, PaymentMethod, c.Churn, segments
+"""
+
+BODIES["cube_overview"] = BODIES["overview"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_fixture(body) for name, body in BODIES.items()}
