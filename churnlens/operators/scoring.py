@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sql import quote
+from ..schema import CORRUPT
 
 # Defaults of the optional request fields.
 DEFAULT_MONTHLY_CHARGES = 50.0
@@ -53,6 +54,7 @@ REC_FALLBACK = ("Maintenir la relation client avec des communications régulièr
 
 SCORE_CAP = 100
 REJECT_COLUMN = "reject_reason"
+UNREADABLE = "unreadable"
 
 
 _FMT2 = "'%.2f'"  # factor values of money/usage: two decimals
@@ -80,16 +82,27 @@ def reject_reason() -> Column:
 
 
 def tag_requests(requests: DataFrame) -> DataFrame:
-    return requests.withColumn(REJECT_COLUMN, reject_reason())
+    """The requests with the reason why each is rejected, or NULL.  Requests read from text
+    (``io.read_requests``) that could not be read are rejected whatever their other columns say."""
+    reason = reject_reason()
+    if CORRUPT in requests.columns:
+        reason = F.when(F.col(CORRUPT).isNotNull(), UNREADABLE).otherwise(reason)
+    return requests.withColumn(REJECT_COLUMN, reason)
 
 
 def valid_requests(requests: DataFrame) -> DataFrame:
-    return tag_requests(requests).where(F.col(REJECT_COLUMN).isNull()).drop(REJECT_COLUMN)
+    return tag_requests(requests).where(F.col(REJECT_COLUMN).isNull()).drop(REJECT_COLUMN, CORRUPT)
 
 
 def rejected_requests(requests: DataFrame) -> DataFrame:
-    return (tag_requests(requests).where(F.col(REJECT_COLUMN).isNotNull())
-            .select("customerID", F.col(REJECT_COLUMN).alias("reason")))
+    """(customerID, reason), and ``raw``, the text of an unreadable request, where the requests
+    were read from text.  What is left of an unreadable request is not trusted: it has no id."""
+    bad = tag_requests(requests).where(F.col(REJECT_COLUMN).isNotNull())
+    reason = F.col(REJECT_COLUMN).alias("reason")
+    if CORRUPT not in requests.columns:
+        return bad.select("customerID", reason)
+    return bad.select(F.when(F.col(CORRUPT).isNull(), F.col("customerID")).alias("customerID"), reason,
+                      F.col(CORRUPT).alias("raw"))
 
 
 def score(requests: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import (breakdowns, clean, cube, density, kpi, overview, profile, reasons, scoring,
                          segments)
+from ..schema import WAREHOUSE_COLUMNS
 from ..session import scratch_path
 from ..sources import io
 from ..streaming import scoring_stream
@@ -284,3 +285,80 @@ def q_cube_overview(ws: Workspace) -> DataFrame:
     """The overview from the cubes of churned and of other subscribers, merged."""
     parts = [cube.subscriber_cube(ws.subs.where(c)) for c in ("Churn = 1", "Churn <> 1 OR Churn IS NULL")]
     return cube.overview_summary(cube.merged(*parts))
+
+
+@register("overview_from_store")
+def q_overview_from_store(ws: Workspace) -> DataFrame:
+    """The filtered overview over a store laid out by region and signup month."""
+    path = scratch_path(ws.spark, "region-store")
+    io.write_region_store(ws.subs_with_region, path)
+    rows = io.read_region_store(ws.spark, path, FILTER_REGION, FILTER_START, FILTER_END)
+    return overview.overview_summary(rows)
+
+
+@register("warehouse_rerun")
+def q_warehouse_rerun(ws: Workspace) -> DataFrame:
+    """A run appended twice under one id and another run: the table holds each once."""
+    location = scratch_path(ws.spark, "warehouse")
+    name = "customer_data_" + location.rsplit("-", 1)[-1]
+    io.create_warehouse_table(ws.spark, name, location, by_run=True)
+    rows = ws.subs.select(*WAREHOUSE_COLUMNS)
+    for run_id, part in (("first", rows), ("second", rows.where("Churn = 1")), ("first", rows)):
+        io.append_to_warehouse(part, name, run_id)
+    return io.scan_then_drop(ws.spark, name, location)
+
+
+@register("score_quarantine")
+def q_score_quarantine(ws: Workspace) -> DataFrame:
+    """Requests as lines of JSON, some cut short and some with a word for a number: the rejected
+    ones with their reason and, where they cannot be read, their text."""
+    path = scratch_path(ws.spark, "requests")
+    columns = [c for c in ws.requests.columns]
+    cut = F.concat(F.lit('{"customerID":"'), "customerID", F.lit('","tenure":'))
+    line = (F.when(F.col("tenure") % 10 == 3, cut).when(F.col("tenure") % 10 == 7, F.concat(cut, F.lit('"many"}')))
+            .otherwise(F.to_json(F.struct(*columns))))
+    ws.requests.select(line.alias("value")).write.text(path)
+    return scoring.rejected_requests(io.read_requests(ws.spark, path))
+
+
+@register("csv_quarantine")
+def q_csv_quarantine(ws: Workspace) -> DataFrame:
+    """The subscribers as CSV, some rows with a word for a number: their text and what is lost."""
+    path = scratch_path(ws.spark, "csv")
+    last = F.col("tenure") % 10
+    io.write_csv(ws.raw.withColumns({
+        "tenure": F.when(last == 3, "many").otherwise(F.col("tenure").cast("string")),
+        "MonthlyCharges": F.when(last == 7, "n/a").otherwise(F.col("MonthlyCharges").cast("string"))}), path)
+    return io.unreadable_rows(io.read_csv(ws.spark, path, corrupt=True))
+
+
+@register("trends_incremental")
+def q_trends_incremental(ws: Workspace) -> DataFrame:
+    """Monthly trends from a state that was given the orders in three batches, one of them twice."""
+    state = trends.TrendState(ws.spark, scratch_path(ws.spark, "trends"))
+    year = F.year("o_orderdate")
+    for batch, part in (("to 1994", year <= 1994), ("to 1996", year.between(1995, 1996)), ("to 1994", year <= 1994),
+                        ("after", year > 1996)):
+        state.update(ws.orders.where(part), batch)
+    return state.monthly_trends()
+
+
+@register("price_kde")
+def q_price_kde(ws: Workspace) -> DataFrame:
+    """Density of the order totals, a column of almost as many values as rows."""
+    return density.kde_binned(ws.orders, "o_totalprice", error=1e-7, density_digits=11, count_digits=3)
+
+
+@register("score_stream_repeats")
+def q_score_stream_repeats(ws: Workspace) -> DataFrame:
+    """Requests delivered twice, scored by a stream that knows them by id; its batches compacted."""
+    root = scratch_path(ws.spark, "stream")
+    marked = ws.requests.select("*", F.col("customerID").alias(scoring_stream.REQUEST_ID),
+                                F.expr("TIMESTAMP '1998-12-01 00:00:00' + make_dt_interval(0, tenure)").alias(scoring_stream.REQUESTED_AT))
+    for _ in range(2):
+        marked.write.mode("append").parquet(f"{root}/requests")
+    scoring_stream.start_scoring_stream(ws.spark, f"{root}/requests", f"{root}/out", f"{root}/checkpoint",
+                                        max_files_per_trigger=4, dedupe_within="30 days").awaitTermination()
+    scoring_stream.compact(ws.spark, f"{root}/out")
+    return scoring_stream.read_scored(ws.spark, f"{root}/out").select(
+        "customerID", "raw_score", "score", "probability", "risk_level")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import breakdowns, clean, density, kpi, overview, reasons, scoring, segments
 from ..sources import io
+from ..sources.snapshots import SnapshotStore, source_files
 from . import report, trends
 from .context import Workspace
 
@@ -39,7 +40,7 @@ def _subscriber_results(subs: DataFrame) -> dict[str, DataFrame]:
 
 
 def _write(spark: SparkSession, raw: DataFrame, results: dict[str, DataFrame], sections: DataFrame,
-           out: str, table: str) -> dict[str, str]:
+           out: str, table: str, run_id: str | None = None) -> dict[str, str]:
     paths = {}
     for name, df in results.items():
         paths[name] = f"{out}/{name}"
@@ -48,18 +49,19 @@ def _write(spark: SparkSession, raw: DataFrame, results: dict[str, DataFrame], s
     report.write_report(sections, paths["report"])
     # warehouse copy: batch-pipeline cleaning (median fill, no id), appended to a table
     paths[table] = f"{out}/{table}"
-    io.create_warehouse_table(spark, table, paths[table])
-    io.append_to_warehouse(clean.warehouse_rows(raw), table)
+    io.create_warehouse_table(spark, table, paths[table], by_run=run_id is not None)
+    io.append_to_warehouse(clean.warehouse_rows(raw), table, run_id)
     return paths
 
 
 def run_batch(spark: SparkSession, data_dir: str, out: str,
-              sections=report.DEFAULT_SECTIONS, table: str = "customer_data") -> dict[str, str]:
+              sections=report.DEFAULT_SECTIONS, table: str = "customer_data", run_id: str | None = None) -> dict[str, str]:
     """Write all analyses of ``data_dir`` under ``out``; returns {result name: path}.
 
     The warehouse table ``table`` is created if missing (at ``out/<table>``) and the
     cleaned rows are appended, as in the batch flow it mirrors: running the job twice
-    against the same table appends twice.
+    against the same table appends twice.  With ``run_id`` the table keeps which run appended a
+    row, and a run that is repeated replaces its own rows.
     """
     ws = Workspace(spark, data_dir)
     # a dozen aggregations read the same clean table: derive it once, keep the clean rows
@@ -71,32 +73,39 @@ def run_batch(spark: SparkSession, data_dir: str, out: str,
             "scored_requests": scoring.score(scoring.valid_requests(ws.requests)),
             "rejected_requests": scoring.rejected_requests(ws.requests),
         }
-        return _write(spark, ws.raw, results, report.report_sections(subs, ws.orders, sections), out.rstrip("/"), table)
+        return _write(spark, ws.raw, results, report.report_sections(subs, ws.orders, sections), out.rstrip("/"), table,
+                      run_id)
     finally:
         subs.unpersist()
 
 
 def run_csv(spark: SparkSession, csv: str, out: str, sections=report.DEFAULT_SECTIONS,
-            table: str = "customer_data") -> dict[str, str]:
+            table: str = "customer_data", run_id: str | None = None) -> dict[str, str]:
     """Write all analyses of a subscriber CSV (header bound by name) under ``out``.
 
-    The clean rows go through the read-through store ``out/store``, which a later run reads instead
-    of the CSV.  A CSV has no orders, so there are no trends and no scoring requests."""
+    The rows go through the store ``out/store``: a later run reads the store as long as the files
+    of the CSV are the same, and makes a new version otherwise.  All results of a run, the
+    warehouse rows too, come from one version.  Rows that cannot be read are left out and listed
+    with their text in ``unreadable``.  A CSV has no orders, so there are no trends and no scoring
+    requests."""
     out = out.rstrip("/")
-    raw = io.read_csv(spark, csv)
-    subs = io.load_subscribers(spark, f"{out}/store", lambda: clean.clean_subscribers(raw, fill="zero"))
+    store, files = SnapshotStore(spark, f"{out}/store"), source_files(spark, csv)
+    if not store.is_made_from(files):
+        rows = io.read_csv(spark, csv, corrupt=True)
+        store.write({"rows": io.readable_rows(rows), "unreadable": io.unreadable_rows(rows)}, files)
+    version = store.newest()
+    raw = store.read(version=version)
+    subs = clean.clean_subscribers(raw, fill="zero")
     rows = report.report_sections(subs, None, [s for s in sections if s != "trends"])
-    return _write(spark, raw, _subscriber_results(subs), rows, out, table) | {"store": f"{out}/store"}
+    results = _subscriber_results(subs) | {"unreadable": store.read("unreadable", version)}
+    return _write(spark, raw, results, rows, out, table, run_id) | {"store": store.root}
 
 
 def score_file(spark: SparkSession, path: str, out: str, fmt: str = "json") -> dict[str, str]:
     """Score a file (or folder) of requests with ``REQUEST_SCHEMA`` columns; write the
-    scored rows (arrays and maps kept) and the rejected rows with their reason."""
-    from ..schema import REQUEST_SCHEMA
-    reader = spark.read.schema(REQUEST_SCHEMA)
-    if fmt == "csv":
-        reader = reader.option("header", "true")
-    requests = reader.format(fmt).load(path)
+    scored rows (arrays and maps kept) and the rejected rows with their reason and, where they
+    could not be read, their text."""
+    requests = io.read_requests(spark, path, fmt)
     out = out.rstrip("/")
     paths = {"scored": f"{out}/scored", "rejected": f"{out}/rejected"}
     scoring.score(scoring.valid_requests(requests)).write.mode("overwrite").parquet(paths["scored"])
@@ -113,6 +122,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--format", default="json", help="format of --requests: json, parquet, csv")
     ap.add_argument("--out", required=True)
     ap.add_argument("--sections", default=",".join(report.DEFAULT_SECTIONS))
+    ap.add_argument("--run-id", help="a repeated run with this id replaces its own warehouse rows")
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
     if not (args.data_dir or args.csv or args.requests):
@@ -121,9 +131,9 @@ def main(argv: list[str] | None = None) -> None:
     if args.requests:
         paths = score_file(spark, args.requests, args.out, args.format)
     elif args.csv:
-        paths = run_csv(spark, args.csv, args.out, args.sections.split(","))
+        paths = run_csv(spark, args.csv, args.out, args.sections.split(","), run_id=args.run_id)
     else:
-        paths = run_batch(spark, args.data_dir, args.out, args.sections.split(","))
+        paths = run_batch(spark, args.data_dir, args.out, args.sections.split(","), run_id=args.run_id)
     for name, path in paths.items():
         print(f"{name}\t{path}")
 

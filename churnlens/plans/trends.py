@@ -14,25 +14,28 @@ history, independent of data volume) reach the running-sum windows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rounding import MONEY, money_sql, round_ratio_sql
 from ..sources.fixture import CHURN_GAP_DAYS, customer_activity
+from ..sources.snapshots import SnapshotStore, named_sources
 
 
 def _month(col: str) -> str:
     return f"trunc(CAST({col} AS DATE), 'MM')"
 
 
-def _monthly(orders: DataFrame, activity: DataFrame | None, churn_gap_days: int) -> DataFrame:
+def month_revenue(orders: DataFrame) -> DataFrame:
+    """(month, amount): the revenue of each month with orders, as a decimal."""
+    return (orders.groupBy(F.expr(f"{_month('o_orderdate')} AS month"))
+            .agg(F.expr(f"sum({money_sql('o_totalprice')}) AS amount")))
+
+
+def _monthly(revenue: DataFrame, activity: DataFrame, churn_gap_days: int) -> DataFrame:
     """:func:`monthly_trends` with ``amount``, the revenue as a decimal."""
     zero, none = "CAST(0 AS BIGINT)", f"CAST(0 AS {MONEY})"
-    revenue = (orders.groupBy(F.expr(f"{_month('o_orderdate')} AS month"))
-               .agg(F.expr(f"sum({money_sql('o_totalprice')}) AS amount"))
-               .selectExpr("month", "amount", f"{zero} AS new", f"{zero} AS churned"))
-    if activity is None:
-        activity = customer_activity(orders)
+    revenue = revenue.selectExpr("month", "amount", f"{zero} AS new", f"{zero} AS churned")
     # the snapshot (latest order) is the latest of the customers' last orders
     seen = activity.where("first_order IS NOT NULL").select("first_order", "last_order")
     stamped = seen.withColumn("_snap", seen.select(F.max("last_order")).scalar())
@@ -72,7 +75,8 @@ def monthly_trends(orders: DataFrame, activity: DataFrame | None = None,
     ``activity``: per-customer ``first_order``/``last_order`` already at hand (for
     example the stored subscriber table); computed from ``orders`` when omitted.
     """
-    return _monthly(orders, activity, churn_gap_days).drop("amount")
+    activity = customer_activity(orders) if activity is None else activity
+    return _monthly(month_revenue(orders), activity, churn_gap_days).drop("amount")
 
 
 def monthly_deltas(orders: DataFrame, activity: DataFrame | None = None,
@@ -80,8 +84,13 @@ def monthly_deltas(orders: DataFrame, activity: DataFrame | None = None,
     """Month-on-month changes: revenue % change (1 dp; NULL after a month without revenue),
     new-customer difference, churn-rate difference in points (2 dp); NULL in the first month.
     Revenue stays a decimal until the ratio is rounded."""
+    activity = customer_activity(orders) if activity is None else activity
+    return _deltas(_monthly(month_revenue(orders), activity, churn_gap_days))
+
+
+def _deltas(monthly: DataFrame) -> DataFrame:
     rate = "CAST(round(churn_rate * 100) AS BIGINT)"
-    lagged = _monthly(orders, activity, churn_gap_days).selectExpr(
+    lagged = monthly.selectExpr(
         "month", "revenue", "new_customers", "churn_rate", "amount",
         "lag(amount) OVER (ORDER BY month) AS prev_amount",
         "lag(new_customers) OVER (ORDER BY month) AS prev_new",
@@ -93,3 +102,47 @@ def monthly_deltas(orders: DataFrame, activity: DataFrame | None = None,
         "month", "revenue", f"{change} AS revenue_change_pct",
         "new_customers", "new_customers - prev_new AS new_customers_delta", "churn_rate",
         "CAST(rate - prev_rate AS DOUBLE) / 100 AS churn_rate_delta")
+
+
+class TrendState:
+    """What the trends need of all orders so far, kept in a snapshot store below ``root``: per
+    customer the number, first and last of the orders, and per month the revenue.
+
+    :meth:`update` merges the state of new orders into it, so that orders are read once and
+    history is not scanned again; the cost follows the new orders and the customers.  Each update
+    is a named batch, published with the state that holds it: a batch that is given again, for
+    example after a failure, changes nothing."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.store = SnapshotStore(spark, root)
+
+    def batches(self) -> set[str]:
+        """The names of the batches in the state."""
+        return {r.source for r in self.store.sources().collect()}
+
+    def update(self, orders: DataFrame, batch: str) -> bool:
+        """Merge new ``orders`` (a late order of an earlier month too); False if the batch was
+        known."""
+        known = self.batches()
+        if batch in known:
+            return False
+        activity, revenue = customer_activity(orders), month_revenue(orders)
+        if self.store.newest():
+            activity = self.store.read("activity").unionByName(activity).groupBy("o_custkey").agg(
+                F.sum("n_orders").alias("n_orders"), F.min("first_order").alias("first_order"),
+                F.max("last_order").alias("last_order"))
+            revenue = self.store.read("revenue").unionByName(revenue).groupBy("month").agg(
+                F.expr("CAST(sum(amount) AS DECIMAL(38,10)) AS amount"))
+        self.store.write({"activity": activity, "revenue": revenue},
+                         named_sources(self.store.spark, *sorted(known | {batch})))
+        return True
+
+    def monthly_trends(self, churn_gap_days: int = CHURN_GAP_DAYS) -> DataFrame:
+        """:func:`monthly_trends` of all orders in the state."""
+        version = self.store.newest()
+        return _monthly(self.store.read("revenue", version), self.store.read("activity", version), churn_gap_days).drop("amount")
+
+    def monthly_deltas(self, churn_gap_days: int = CHURN_GAP_DAYS) -> DataFrame:
+        """:func:`monthly_deltas` of all orders in the state."""
+        version = self.store.newest()
+        return _deltas(_monthly(self.store.read("revenue", version), self.store.read("activity", version), churn_gap_days))

@@ -53,3 +53,6 @@ REQUEST_SCHEMA = StructType([
     StructField("tech_support", StringType(), True),
     StructField("streaming_tv", StringType(), True),
 ])
+
+# The text of a row that could not be read as its schema says; NULL for all others.
+CORRUPT = "_corrupt_record"

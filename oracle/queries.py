@@ -470,5 +470,42 @@ FROM c GROUP BY tenure_band, charge_band, c.Contract, InternetService, PaymentMe
 BODIES["cube_overview"] = BODIES["overview"]
 
 
+BODIES["overview_from_store"] = BODIES["overview_filtered"]
+BODIES["warehouse_rerun"] = f"""
+SELECT {", ".join(_COLS[1:])}, 'first' AS run_id FROM subs
+UNION ALL SELECT {", ".join(_COLS[1:])}, 'second' FROM subs WHERE Churn = 1
+"""
+BODIES["score_quarantine"] = f"""
+, plain AS ({BODIES["score_rejects"].replace("FROM score_requests", "FROM score_requests", 1)}),
+readable AS (SELECT plain.* FROM plain JOIN subs USING (customerID) WHERE tenure % 10 NOT IN (3, 7))
+SELECT customerID, reason, CAST(NULL AS VARCHAR) AS raw FROM readable
+UNION ALL
+SELECT NULL, 'unreadable', '{{"customerID":"' || customerID || '","tenure":' || CASE WHEN tenure % 10 = 7 THEN '"many"}}' ELSE '' END
+FROM score_requests WHERE tenure % 10 IN (3, 7)
+"""
+_TEXT = ["CASE WHEN tenure % 10 = 3 THEN 'many' ELSE CAST(tenure AS VARCHAR) END" if c == "tenure" else
+         "CASE WHEN tenure % 10 = 7 THEN 'n/a' ELSE CAST(MonthlyCharges AS VARCHAR) END" if c == "MonthlyCharges" else
+         f"CAST({c} AS VARCHAR)" for c in _COLS]
+BODIES["csv_quarantine"] = f"""
+SELECT 'unreadable: ' || CASE WHEN tenure % 10 = 3 THEN 'tenure' ELSE 'MonthlyCharges' END AS reason,
+  concat_ws(',', {", ".join(_TEXT)}) AS raw
+FROM raw WHERE tenure % 10 IN (3, 7)
+"""
+BODIES["trends_incremental"] = BODIES["monthly_trends"]
+BODIES["price_kde"] = """
+, v AS (SELECT o_totalprice AS x FROM orders WHERE o_totalprice IS NOT NULL),
+st AS (SELECT count(x) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) * pow(CAST(count(x) AS DOUBLE), -0.2) AS h FROM v),
+g AS (SELECT CAST(range AS INTEGER) AS point FROM range(200)),
+s AS (
+  SELECT g.point, sum(exp(-0.5 * pow((st.lo + g.point * ((st.hi - st.lo) / 199) - x) / st.h, 2))) AS s
+  FROM v CROSS JOIN st CROSS JOIN g GROUP BY g.point)
+SELECT s.point, lo + s.point * ((hi - lo) / 199) AS x,
+  CAST(round(CAST(s / (n * h * sqrt(2 * pi())) AS DECIMAL(38,18)), 11) AS DOUBLE) AS density,
+  CAST(round(CAST(s / (n * h * sqrt(2 * pi())) * n * (hi - lo) / 30 AS DECIMAL(38,18)), 3) AS DOUBLE) AS count_density
+FROM s CROSS JOIN st
+"""
+BODIES["score_stream_repeats"] = BODIES["score_batch"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_fixture(body) for name, body in BODIES.items()}

@@ -46,19 +46,6 @@ def test_store_read_through(spark):
     assert len(calls) == 1  # the second load is served by the store
 
 
-def test_store_without_commit_marker_is_rebuilt(spark):
-    from churnlens.session import delete_path, list_path
-    path = scratch_path(spark, "t-store")
-    whole = make_subs(spark, [{"tenure": t} for t in range(40)])
-    io.write_store(whole.repartition(4), path)
-    part = next(p for p in list_path(spark, path) if "part-" in p)
-    delete_path(spark, part)
-    delete_path(spark, f"{path}/_SUCCESS")
-    assert not io.store_has_rows(spark, path)
-    assert io.load_subscribers(spark, path, lambda: whole).count() == 40
-    assert io.store_has_rows(spark, path)
-
-
 def test_csv_columns_are_bound_by_name(spark):
     path = scratch_path(spark, "t-csv")
     raw = _raw(spark, ["1", "2"]).withColumn("Partner", F.lit("P")).withColumn("Dependents", F.lit("D"))
