@@ -91,7 +91,7 @@ def most_pairs(a: list[bytes], b: list[bytes]) -> int:
 
 
 class _Side:
-    """One tokenizer: ``encode`` gives the ids of texts, the rest is by id."""
+    """One tokenizer: ``encode`` gives the ids of texts as arrays, the rest is by id."""
 
     def __init__(self, entries: list[bytes], encode):
         self.entries, self.encode = entries, encode
@@ -99,6 +99,13 @@ class _Side:
         self.sizes, self.decimal = self.size.tolist(), list(map(str, range(len(entries))))
         self.marked = np.fromiter((e[:1] == b" " for e in entries), bool, len(entries))
 
+    def spelt(self, ids) -> bytes:
+        return b"".join(map(self.entries.__getitem__, ids))
+
+
+def _ids(found: list[int]) -> np.ndarray:
+    return np.frombuffer(array("i", found), np.int32)
+
 
 def _sides(description: str, model: bytes, pattern: str | None) -> tuple[_Side, _Side]:
     import sentencepiece
@@ -109,13 +116,15 @@ def _sides(description: str, model: bytes, pattern: str | None) -> tuple[_Side,
         library.encode_special_tokens = True  # their strings in a text are ordinary text
 
         def first(text):
-            return library.encode(text, add_special_tokens=False).ids
+            return _ids(library.encode(text, add_special_tokens=False).ids)
     else:
         import tiktoken
-        first = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=rank_order(description),
-                                  special_tokens={}).encode_ordinary
+        ranked = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=rank_order(description), special_tokens={})
+
+        def first(text):
+            return ranked.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
     return (_Side(entry_bytes(description), lambda texts: [first(" " + t) for t in texts]),
-            _Side(piece_bytes(second), lambda texts: second.encode(texts, num_threads=1)))
+            _Side(piece_bytes(second), lambda texts: [_ids(x) for x in second.encode(texts, num_threads=1)]))
 
 
 class Aligner:
@@ -127,19 +136,24 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.known: dict[bytes, int] = {}
         self.written: list[str] = []
         self.codes: list[bytes] = []
 
-    def window(self, key: tuple[bytes, bytes]) -> int:
-        """The number of a window, given the ids of both sides as bytes: its groups as text and
-        the codes of its linked pairs are then remembered under it."""
+    def window(self, key: bytes) -> int:
+        """The number of a window, given the ids of the first side and then of the second (which
+        follow on those of the first): its groups as text and the codes of its linked pairs are
+        remembered under it."""
         found = self.known.get(key)
         if found is None:
             text_a, text_b, size_a, size_b = self.a.decimal, self.b.decimal, self.a.sizes, self.b.sizes
-            wide, rest = len(size_b), iter(array("i", key[1]))
+            shift, wide = len(size_a), len(size_b)
+            ids = array("i", key)
+            rest = iter([x - shift for x in ids if x >= shift])
             written, codes, ids_a, ids_b, at_a, at_b, b = [], [], [], [], 0, 0, 0
-            for a in array("i", key[0]):
+            for a in ids:
+                if a >= shift:
+                    break
                 at_a += size_a[a]
                 ids_a.append(text_a[a])
                 while at_b < at_a:
@@ -157,12 +171,11 @@ class Aligner:
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of both sides of each text; none where a side does not give the text back."""
-        out = []
+        out, none = [], np.zeros(0, np.int32)
         for text, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts)):
             whole = (" " + text).encode()
-            kept = text and all(b"".join(map(side.entries.__getitem__, ids)) == whole
-                                for side, ids in ((self.a, a), (self.b, b)))
-            out.append((np.array(a, np.int32), np.array(b, np.int32)) if kept else (np.zeros(0, np.int32),) * 2)
+            kept = text and self.a.spelt(a.tolist()) == whole == self.b.spelt(b.tolist())
+            out.append((a, b) if kept else (none, none))
         return out
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -173,14 +186,18 @@ class Aligner:
         both = np.zeros(ends_a[-1] + 1, bool)
         # a token ends here and the next one carries a space mark, on the one side and on the other
         both[ends_b[:-1][self.b.marked[b[1:]]]] = True
-        at_a = ends_a[:-1][self.a.marked[a[1:]]]
-        anchors = at_a[both[at_a]]
-        cut_a = [0, *(4 * np.searchsorted(ends_a, anchors, side="right")).tolist(), 4 * a.size]
-        cut_b = [0, *(4 * np.searchsorted(ends_b, anchors, side="right")).tolist(), 4 * b.size]
-        raw_a, raw_b = a.tobytes(), b.tobytes()
+        at_a = np.flatnonzero(self.a.marked[a[1:]])
+        at_a = at_a[both[ends_a[at_a]]]
+        cut_a = np.concatenate([[0], at_a + 1, [a.size]])
+        cut_b = np.concatenate([[0], np.searchsorted(ends_b, ends_a[at_a]) + 1, [b.size]])
+        # the ids of a window side by side
+        ids = np.empty(a.size + b.size, np.int32)
+        ids[np.arange(a.size) + np.repeat(cut_b[:-1], np.diff(cut_a))] = a
+        ids[np.arange(b.size) + np.repeat(cut_a[1:], np.diff(cut_b))] = b + len(self.a.sizes)
+        raw, cut = ids.tobytes(), (4 * (cut_a + cut_b)).tolist()
         if len(self.known) > REMEMBERED:
             self.forget()
-        keys = list(zip([raw_a[i:j] for i, j in zip(cut_a, cut_a[1:])], [raw_b[i:j] for i, j in zip(cut_b, cut_b[1:])]))
+        keys = [raw[i:j] for i, j in zip(cut, cut[1:])]
         found = list(map(self.known.get, keys))
         return [self.window(key) if at is None else at for key, at in zip(keys, found)]
 
