@@ -62,6 +62,14 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(column).to_pylist()]
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of ``frames`` is called so, in whatever case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a folder of this process is set only
     where the setting is absent (local tests)."""

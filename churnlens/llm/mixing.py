@@ -3,7 +3,9 @@
 Each source is a queue of its shuffled documents, repeated as often as allowed.  The virtual
 finish time of a copy is the words its source has given with it, divided by the source's target.
 The copies of all sources are sorted by that time over ranges, and the mix ends where its running
-total of words would exceed the budget.
+total of words would exceed the budget, for a source at the latest at time 1, when it has given its
+target.  Whole documents are taken, so a source then lacks part of the copy across its end; what it
+lacks is made up from its later copies, one of each size class at most (:func:`_made_up`).
 """
 
 from __future__ import annotations
@@ -11,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import row_count, stored
+from .frames import fresh, row_count, stored
 
 #: Rows that one task sums up in order.
 ROWS_A_TASK = 20_000
 #: Sources that the driver computes targets for; more are refused, not dropped.
 MOST_SOURCES = 100_000
+#: SQL: the three leading bits of a number of words, and how many bits follow.
+SIZE_CLASS = ("CASE WHEN words < 8 THEN words ELSE length(bin(words)) * 4 - 4 + shiftright(words, length(bin(words)) - 3) END")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,6 +75,28 @@ def _up_to_budget(copies: DataFrame, budget: int) -> DataFrame:
     return copies if last is None else copies.where(F.col("range") <= last)
 
 
+def _made_up(late: DataFrame, told: DataFrame, taken: DataFrame) -> DataFrame:
+    """Of the ``late`` copies those that bring each source nearer its target.
+
+    Of each class of sizes (four to each power of two) the first late copy in the queue is a
+    candidate, so a source has less than 256.  From the largest on, a candidate that still fits is taken;
+    at last the one, if any, whose excess is less than what would be lacking without it."""
+    given = taken.groupBy("_source").agg(F.sum("words").alias("given"))
+    first = late.groupBy("_source", F.expr(SIZE_CLASS).alias("class")).agg(
+        F.min_by(F.struct("words", "_id", "_text"), F.struct("finish", "h", "_id", "_text", "epoch")).alias("c"))
+    found = first.groupBy("_source").agg(F.sort_array(F.collect_list("c"), False).alias("found"))
+    same = F.col("f._source").eqNullSafe(F.col("t._source"))
+    lacking = (found.alias("f").join(told.alias("t"), same).join(given.alias("g"), F.col("f._source").eqNullSafe(F.col("g._source")), "left")
+               .select("f._source", "found", (F.col("target") - F.coalesce("given", F.lit(0))).alias("lack")))
+    fitted = lacking.withColumn("s", F.expr(
+        "aggregate(found, named_struct('lack', lack, 'got', slice(found, 1, 0)), (s, c) -> "
+        "IF(c.words <= s.lack, named_struct('lack', s.lack - c.words, 'got', array_append(s.got, c)), s))"))
+    nearest = fitted.withColumn("last", F.expr(
+        "array_min(transform(array_except(found, s.got), c -> named_struct('off', abs(c.words - s.lack), 'c', c)))"))
+    return nearest.select("_source", F.inline(F.expr(
+        "IF(last.off < s.lack, array_append(s.got, last.c), s.got)"))).select("_id", "_source", "_text")
+
+
 def decisions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 7,
               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per unit (see ``_units``): ``size``, ``rows``, ``source_size``, ``target`` and ``copies``, how often the
@@ -98,11 +124,12 @@ def decisions(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     # virtual time advances with words, so equal ranges of it hold about as many copies each
     copies = stored(copies.select("_id", "_source", "_text", "size", "words", "h", "epoch", "finish")
                     .withColumn("range", F.expr(f"CAST(floor(least(finish, 1000D) * {4 * parts}) AS INT)")))
-    copies = _up_to_budget(copies, budget)
     order = ["finish", F.col("_source").asc_nulls_last(), "h", F.col("_id").asc_nulls_last(), "_text", "epoch"]
-    taken = (_running(copies, [], "range", order, "words", "total").where(F.col("total") <= budget)
-             .groupBy("_id", "_source", "_text").agg(F.count(F.lit(1)).alias("copies")))
+    early = _running(_up_to_budget(copies, budget), [], "range", order, "words", "total")
+    early = stored(early.where((F.col("total") <= budget) & (F.col("finish") <= 1)).select("_id", "_source", "_text", "words"))
     key = ["_id", "_source", "_text"]
+    taken = early.select(*key).union(_made_up(copies.where("finish > 1"), told, early))
+    taken = taken.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
     on = [F.col(f"q.{k}").eqNullSafe(F.col(f"k.{k}")) for k in key]
     out = queued.alias("q").join(taken.alias("k"), on[0] & on[1] & on[2], "left")
     return out.select(*[f"q.{k}" for k in key], "q.size", "q.rows", "q.source_size", "q.target",
@@ -124,11 +151,15 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         **options) -> DataFrame:
-    """The mixed documents with all their columns: each row as often as the mix takes it."""
+    """The mixed documents with all their columns: each row as often as the mix takes it.
+
+    Nulls, blank texts, repeated rows and empty tables as in :func:`mix_report`: a document that
+    is never taken has no row, and each of some equal rows comes as often as the others."""
     chosen = decisions(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     chosen = chosen.where("copies > 0").select("_id", "_source", "_text", "copies").alias("k")
     d = docs.alias("d")
     on = (F.col(f"d.{id_col}").eqNullSafe(F.col("k._id")) & F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("k._source"))
           & (F.xxhash64(F.col(f"d.{text_col}").cast("string")) == F.col("k._text")))
-    return (d.join(chosen, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("k.copies").cast("int"))))
-            .select(*[f"d.{c}" for c in docs.columns]))
+    copy = fresh("copy", docs)
+    return (d.join(chosen, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("k.copies").cast("int"))))
+            .select(*[f"d.`{c}`" for c in docs.columns]))
