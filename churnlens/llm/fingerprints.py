@@ -27,10 +27,19 @@ from .shingles import mixed, words
 PLACES = 128
 #: Documents that one range of neighbours holds.
 ROWS_A_RANGE = 4000
+#: Quantiles that part the ids.
+MOST_RANGES = 20_000
 #: Terms whose variates are drawn at once.
 TERMS_AT_ONCE = 2048
 
-_PLACE = mixed(np.arange(1, 5 * PLACES + 1, dtype=np.uint64)).reshape(5, PLACES)
+_PLACE = mixed(np.arange(1, 3 * PLACES + 1, dtype=np.uint64)).reshape(3, PLACES)
+
+
+def _uniforms(term: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform variates of 24 bits, between 0 and 1, for each term and place."""
+    drawn = mixed(term ^ _PLACE[k])
+    parts = ((drawn >> np.uint64(40)).astype(np.float32), ((drawn >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32))
+    return tuple(x * np.float32(2**-24) + np.float32(2**-25) for x in parts)
 
 
 def _samples(term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,11 +48,10 @@ def _samples(term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     quantum = np.empty((term.size, PLACES), np.int16)
     for a in range(0, term.size, TERMS_AT_ONCE):
         t = term[a:a + TERMS_AT_ONCE, None]
-        u = [(mixed(t ^ _PLACE[k]) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24) + np.float32(2**-25)
-             for k in range(5)]
-        r, log_c = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3]))
-        q = np.floor(np.log(weight[a:a + TERMS_AT_ONCE, None]).astype(np.float32) / r + u[4])
-        value[a:a + TERMS_AT_ONCE] = log_c - r * (q - u[4] + 1)
+        (u, v), (x, y), (shift, _) = (_uniforms(t, k) for k in range(3))
+        r, log_c = -np.log(u * v), np.log(-np.log(x * y))
+        q = np.floor(np.log(weight[a:a + TERMS_AT_ONCE, None]).astype(np.float32) / r + shift)
+        value[a:a + TERMS_AT_ONCE] = log_c - r * (q - shift + 1)
         quantum[a:a + TERMS_AT_ONCE] = np.clip(q, 0, 32767)
     return value, quantum
 
@@ -95,31 +103,46 @@ def _text(f: np.ndarray | None) -> str:
 
 def _ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows in ranges of falling id, each range followed by a ghost, the first row after it (after
-    the last row: the first of all), so that a task sees every row beside its next."""
+    the last row: the first of all), so that a task sees every row beside its next.
+
+    Quantiles of the ids part the ranges; an id (or null) that more rows have than a range should
+    hold is parted further by the hash of the text, which orders the rows of one id.  There are
+    :data:`MOST_RANGES` quantiles at most, whatever the rows: a task takes its range as a stream, so
+    ranges may be long, and the driver sees the ends of ranges and the frequent ids alone."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    number = max(1, -(-row_count(rows) // ROWS_A_RANGE))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    count = row_count(rows)
+    number = max(1, min(MOST_RANGES, -(-count // ROWS_A_RANGE)))
     ids = rows.select("id").where("id IS NOT NULL").withColumn("x", F.col("id").cast("double"))
     cuts = ids.approxQuantile("x", [k / number for k in range(1, number)], 0.2 / number) if number > 1 else []
-    splits = [-np.inf, *sorted(set(cuts)), np.inf]
-    if len(splits) < 3:
-        splits = [-np.inf, 0.0, np.inf]
+    # at most ``number`` ids can have more rows than the mean range
+    frequent = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > count / number).collect()
+    # beyond 2^53 neighbouring ids are one double; then the id does not get a range of its own
+    parted = {r["id"]: -(-r["n"] * number // count) for r in frequent if r["id"] is None or abs(r["id"]) < 2**53}
+    own = [x for i in parted if i is not None for x in (float(i), float(i) + 1)]
+    splits = [-np.inf, *sorted({*cuts, *own} or {0.0}), np.inf]
     cut = Bucketizer(splits=splits, inputCol="x", outputCol="b", handleInvalid="keep")
+    told = spark.createDataFrame([(i, n) for i, n in parted.items()], "fid long, parts long")
 
     def ranged(df):
-        got = cut.transform(df.withColumn("x", F.col("id").cast("double")))
-        return got.withColumn("range", F.when(F.col("id").isNull(), len(splits)).otherwise(len(splits) - F.col("b")).cast("int")).drop("x", "b")
-
-    heads = sorted((r["range"], r["id"]) for r in
-                   ranged(rows.select("id")).groupBy("range").agg(F.max("id").alias("id")).collect())
-    # one row a range: bounded by their number
-    ghosts = spark.createDataFrame([(heads[k][1], heads[k - 1][0]) for k in range(len(heads))], "hid long, before int")
-    rows = ranged(rows).alias("r")
-    rows = rows.join(F.broadcast(ghosts), F.col("r.id").eqNullSafe(F.col("hid")), "left")
+        got = cut.transform(df.withColumn("x", F.col("id").cast("double"))).join(
+            F.broadcast(told), F.col("id").eqNullSafe(F.col("fid")), "left")
+        above = F.when(F.col("id").isNull(), len(splits)).otherwise(len(splits) - F.col("b")).cast("long")
+        # the hash as a fraction of its range, so that parts follow each other in its order
+        part = F.coalesce(F.expr("least(CAST((CAST(tie AS DOUBLE) / 18446744073709551616D + 0.5D) * parts AS BIGINT), parts - 1)"), F.lit(0))
+        return got.withColumn("range", above * F.lit(1 << 32) + part).drop("x", "b", "fid", "parts")
+
+    order = F.struct(F.col("id").isNull(), -F.col("id").cast("decimal(20,0)"), "tie")
+    heads = sorted(ranged(rows.select("id", "tie")).groupBy("range").agg(F.min_by(F.struct("id", "tie"), order).alias("h")).collect())
+    ghosts = spark.createDataFrame([(heads[k].h.id, heads[k].h.tie, heads[k - 1].range) for k in range(len(heads))],
+                                   "hid long, htie long, before long")
+    rows = rows.join(F.broadcast(ghosts), F.col("id").eqNullSafe(F.col("hid")) & (F.col("tie") == F.col("htie")), "left")
+    rows = ranged(rows.select("id", "text", "tie", "before"))
     places = F.when(F.col("before").isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("ghost"))))
     places = places.otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("ghost")),
                                       F.struct(F.col("before").alias("range"), F.lit(1).alias("ghost"))))
-    rows = rows.select("r.id", "r.text", F.inline(places)).withColumn("tie", F.xxhash64("text"))
+    rows = rows.select("id", "text", "tie", F.inline(places))
     return rows.repartitionByRange(max(1, len(heads)), "range").sortWithinPartitions(
         "range", "ghost", F.col("id").desc_nulls_last(), "tie").select("id", "text", "ghost")
 
