@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches, stored, texts_of
+from .frames import map_batches, slices, stored, texts_of
 from .token_counts import byte_letters
 
 #: Windows that a worker remembers; beyond it, it forgets them all and goes on.
@@ -46,9 +46,18 @@ def entry_bytes(description: str) -> list[bytes]:
     return [entries.get(i, b"") for i in range(max(entries) + 1)]
 
 
-def rank_order(description: str) -> dict[bytes, int] | None:
-    """Bytes -> id of a byte-level vocabulary if merging the lowest id first gives the tokens that its
-    merges give, else None.
+def merged_ranks(description: str) -> dict[bytes, int]:
+    """Bytes -> id of the single bytes and of what the merges of a byte-level vocabulary make."""
+    found = json.loads(description)["model"]
+    letters = byte_letters()
+    alphabet = {c: b for b, c in letters.items()}
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in found["merges"]]
+    return {bytes(map(alphabet.__getitem__, entry)): found["vocab"][entry] for entry in [*letters.values(), *made]}
+
+
+def rank_order(description: str) -> bool:
+    """Whether merging the lowest id of :func:`merged_ranks` first gives the tokens that the merges of
+    a byte-level vocabulary give.
 
     It does if the merges are in the order of the ids they make and turn the spelling of each
     merged entry into that entry alone.  For then no two neighbours that the merges leave apart
@@ -62,15 +71,11 @@ def rank_order(description: str) -> dict[bytes, int] | None:
     ids = [vocabulary[entry] for entry in made]
     if (found["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space")
             or not split.get("use_regex", True) or any(a >= b for a, b in zip(ids, ids[1:]))):
-        return None
+        return False
     whole = Tokenizer.from_str(json.dumps(found | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
     if any(e.ids != [i] for e, i in zip(whole.encode_batch_fast(made, add_special_tokens=False), ids)):
-        return None
-    letters = byte_letters()
-    if any(vocabulary[c] >= ids[0] for c in letters.values()):
-        return None
-    entries = entry_bytes(description)
-    return {entries[i]: i for i in [*(vocabulary[c] for c in letters.values()), *ids]}
+        return False
+    return all(vocabulary[c] < ids[0] for c in byte_letters().values())
 
 
 def piece_bytes(model) -> list[bytes]:
@@ -99,8 +104,9 @@ class _Side:
         self.sizes, self.decimal = self.size.tolist(), list(map(str, range(len(entries))))
         self.marked = np.fromiter((e[:1] == b" " for e in entries), bool, len(entries))
 
-    def spelt(self, ids) -> bytes:
-        return b"".join(map(self.entries.__getitem__, ids))
+    def gives(self, ids: np.ndarray, whole: bytes) -> bool:
+        """Whether the tokens spell ``whole``."""
+        return self.size[ids].sum() == len(whole) and b"".join(map(self.entries.__getitem__, ids.tolist())) == whole
 
 
 def _ids(found: list[int]) -> np.ndarray:
@@ -119,7 +125,7 @@ def _sides(description: str, model: bytes, pattern: str | None) -> tuple[_Side,
             return _ids(library.encode(text, add_special_tokens=False).ids)
     else:
         import tiktoken
-        ranked = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=rank_order(description), special_tokens={})
+        ranked = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merged_ranks(description), special_tokens={})
 
         def first(text):
             return ranked.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
@@ -174,7 +180,7 @@ class Aligner:
         out, none = [], np.zeros(0, np.int32)
         for text, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts)):
             whole = (" " + text).encode()
-            kept = text and self.a.spelt(a.tolist()) == whole == self.b.spelt(b.tolist())
+            kept = text and self.a.gives(a, whole) and self.b.gives(b, whole)
             out.append((a, b) if kept else (none, none))
         return out
 
@@ -202,24 +208,34 @@ class Aligner:
         return [self.window(key) if at is None else at for key, at in zip(keys, found)]
 
 
-def _packed(codes: bytes) -> tuple[int, bytes]:
-    """How many distinct codes there are; these, and how often each occurs."""
-    code, n = np.unique(np.frombuffer(codes, np.int64), return_counts=True)
-    return code.size, pa.compress(np.append(code, n).astype("<i8").tobytes(), codec="zstd", asbytes=True)
+_ALIGNERS: dict[tuple, Aligner] = {}
+
+
+def _aligner(description: str, model: bytes, pattern: str | None) -> Aligner:
+    """One for all tasks of a worker, so that it is made once and what it remembers serves them all."""
+    key = (hash(description), hash(model), pattern)
+    if key not in _ALIGNERS:
+        _ALIGNERS.clear()
+        _ALIGNERS[key] = Aligner(description, model, pattern)
+    return _ALIGNERS[key]
+
+
+def _packed(codes: bytes) -> bytes:
+    """Codes in order, compressed."""
+    return pa.compress(np.sort(np.frombuffer(codes, "<i8")).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(raw: bytes | None, size: int) -> tuple[np.ndarray, np.ndarray]:
-    if not size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.frombuffer(pa.decompress(raw, decompressed_size=16 * size, codec="zstd"), "<i8")
-    return both[:size], both[size:]
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    return np.frombuffer(pa.decompress(raw, decompressed_size=8 * n, codec="zstd"), "<i8")
 
 
 def aligned(docs: DataFrame, description_path: str, model_path: str, id_col: str = "doc_id",
             text_col: str = "text", digest: bool = False, pattern: str | None = None) -> DataFrame:
     """Per document: id, n_a, n_b (tokens), n_groups, n_links, ``groups`` (written as
     ``a1,a2|b1;a3|b2,b3``; with ``digest`` the SHA-256 of that, empty without tokens), and its
-    linked id pairs packed (n_pairs distinct ones) for :func:`pair_counts` and :func:`with_counts`.
+    linked id pairs packed, for :func:`pair_counts` and :func:`with_counts`.
 
     ``pattern`` is the one by which the first tokenizer splits texts; where it is given and
     :func:`rank_order` holds, texts are encoded by ranks, with the same ids in a fifth of the time."""
@@ -227,15 +243,13 @@ def aligned(docs: DataFrame, description_path: str, model_path: str, id_col: str
         description = f.read()
     with open(model_path, "rb") as f:
         model = f.read()
-    if pattern is not None and rank_order(description) is None:
+    if pattern is not None and not rank_order(description):
         pattern = None
-    made: list[Aligner] = []
+    told = docs.sparkSession.sparkContext.broadcast((description, model, pattern))
 
     def work(batch: pa.RecordBatch):
-        if not made:
-            made.append(Aligner(description, model, pattern))
-        own, texts = made[0], texts_of(batch, "_text")
-        out = {name: [] for name in ("n_a", "n_b", "n_groups", "groups", "n_pairs", "pairs")}
+        own, texts = _aligner(*told.value), texts_of(batch, "_text")
+        out = {name: [] for name in ("n_a", "n_b", "n_groups", "groups", "pairs")}
         start = 0
         while start < len(texts):
             stop, size = start + 1, len(texts[start])
@@ -246,23 +260,20 @@ def aligned(docs: DataFrame, description_path: str, model_path: str, id_col: str
                 found = own.windows(a, b)
                 codes = b"".join(map(own.codes.__getitem__, found))
                 groups = ";".join(map(own.written.__getitem__, found))
-                n_pairs, packed = _packed(codes) if found else (0, b"")
                 out["n_a"].append(a.size)
                 out["n_b"].append(b.size)
                 out["n_groups"].append(len(codes) // 8)
                 out["groups"].append(hashlib.sha256(groups.encode()).hexdigest() if digest and found else groups)
-                out["n_pairs"].append(n_pairs)
-                out["pairs"].append(packed)
+                out["pairs"].append(_packed(codes) if found else b"")
             start = stop
         yield {"id": batch.column("id"), "n_a": pa.array(out["n_a"], pa.int64()), "n_b": pa.array(out["n_b"], pa.int64()),
                "n_groups": pa.array(out["n_groups"], pa.int64()), "n_links": pa.array(out["n_groups"], pa.int64()),
-               "groups": pa.array(out["groups"], pa.string()), "n_pairs": pa.array(out["n_pairs"], pa.int64()),
-               "pairs": pa.array(out["pairs"], pa.binary())}
+               "groups": pa.array(out["groups"], pa.string()), "pairs": pa.array(out["pairs"], pa.binary())}
 
     id_type = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     return map_batches(narrow, f"id {id_type}, n_a long, n_b long, n_groups long, n_links long, groups string, "
-                               "n_pairs long, pairs binary", work)
+                               "pairs binary", work)
 
 
 def pair_counts(found: DataFrame, n_b_ids: int) -> DataFrame:
@@ -270,14 +281,13 @@ def pair_counts(found: DataFrame, n_b_ids: int) -> DataFrame:
     def run(batches):
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:  # what a task holds is bounded by most_pairs, whatever its rows
-            parts = [_unpacked(*row) for row in zip(batch.column("pairs").to_pylist(), batch.column("n_pairs").to_pylist())]
-            every = np.concatenate([codes, *[p[0] for p in parts]])
-            weight = np.concatenate([counts, *[p[1] for p in parts]])
-            codes, place = np.unique(every, return_inverse=True)
-            counts = np.zeros(codes.size, np.int64)
-            np.add.at(counts, place, weight)
+            for part in slices(batch):
+                rows = zip(part.column("pairs").to_pylist(), part.column("n_links").to_pylist())
+                found, times = np.unique(np.concatenate([_unpacked(*row) for row in rows]), return_counts=True)
+                codes, place = np.unique(np.concatenate([codes, found]), return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate([counts, times]), minlength=codes.size).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "n": pa.array(counts, pa.int64())})
-    return (found.select("pairs", "n_pairs").mapInArrow(run, "code long, n long")
+    return (found.select("pairs", "n_links").mapInArrow(run, "code long, n long")
             .groupBy("code").agg(F.sum("n").alias("n"))
             .selectExpr(f"code div {n_b_ids} AS a_id", f"code % {n_b_ids} AS b_id", "n"))
 
@@ -301,15 +311,14 @@ def with_counts(found: DataFrame, counts: DataFrame, n_b_ids: int, most: int) ->
     def work(batch: pa.RecordBatch):
         code, n, best = shared.value
         n_best, total = [], []
-        for raw, size in zip(batch.column("pairs").to_pylist(), batch.column("n_pairs").to_pylist()):
-            codes, times = _unpacked(raw, size)
-            at = np.searchsorted(code, codes)
-            n_best.append(int((times * best[at]).sum()) if size else 0)
-            total.append(int((times * n[at]).sum()) if size else 0)
-        kept = {c: batch.column(c) for c in batch.schema.names if c not in ("pairs", "n_pairs")}
+        for row in zip(batch.column("pairs").to_pylist(), batch.column("n_links").to_pylist()):
+            at = np.searchsorted(code, _unpacked(*row))
+            n_best.append(int(best[at].sum()) if at.size else 0)
+            total.append(int(n[at].sum()) if at.size else 0)
+        kept = {c: batch.column(c) for c in batch.schema.names if c != "pairs"}
         yield kept | {"n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(total, pa.int64())}
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name not in ("pairs", "n_pairs"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name != "pairs")
     return map_batches(found, schema + ", n_best long, count_sum long", work)
 
 
