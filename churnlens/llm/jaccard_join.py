@@ -1,32 +1,41 @@
 """N-gram Jaccard join: pivots, Voronoi regions with replicated boundaries, exact recursion.
 
-Documents with one shingle set are one class.  Two classes that link (Jaccard distance at most
-1 - t) share one of their first shingles in any common order; the order puts shingles found
-frequent last, so that the classes at such a shingle (a cell) are few.  Each cell names one of its
-classes as pivot, the same for all cells that have it; the classes of all cells of a pivot form its
-region, cut into rings by set size (the distance from the empty set, seen from the pivot's scale)
-with replicated boundaries.  Within a ring, bits of filled hash buckets bound the overlap of two
-sets and drop the members that cannot link there.  A region that is still large takes further
-pivots among its members: each member goes to its nearest pivot's region and to every region that
-the triangle inequality leaves possible (d(x, p) <= d(x, home) + 2(1 - t)), and regions join
-recursively.  A region in which the inequality separates nothing is joined block against block.
-Every pair is verified on whole sets, and exactly one region counts it.
+Documents with one shingle set are one class.  Jaccard distance is a metric, so pivots part it.  Of
+a bounded sample of classes those are pivots that have most others of the sample near them and
+near no pivot before (so they are spread, and lie where classes are dense).  A class belongs to
+the region of its nearest pivot, if that is near enough, else to the region outside; it is
+replicated to every region that the triangle inequality leaves possible: with w the largest
+distance of a link, to pivots no more than 2w further than its own, or, from outside, within w
+of a region's rim.  So two classes that link meet in the region of one of them.
+
+Regions join recursively.  Within a region two classes that link share one of their first
+shingles in any common order (shingles found frequent last): the classes at such a shingle are a
+cell, a region of its own with the least class as its name.  Cells are cut into rings by set size
+with replicated boundaries, and bits of filled hash buckets bound the overlap of two sets and
+drop members that cannot link.  A cell that is still large takes further pivots among its members,
+with their Voronoi regions and triangle windows (d(x, p) <= d(x, home) + 2w); one in which they
+separate nothing is joined block against block.  Every pair is verified on whole sets, and exactly
+one region counts it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import Forest, components
-from .frames import map_batches, stored
+from .frames import fresh, map_batches, slices, stored
 from .shingles import mixed, shingle_set, words
 
 #: Classes that one task compares with each other at once.
 REGION = 400
+#: Pivots of the first level, and the classes of the sample that they are chosen from.
+PIVOTS, SAMPLE = 64, 1024
+#: Bits of the fixed-size sketch of shared cells (16 MB): it only spares work, a join decides.
+CELL_BITS = 1 << 27
 #: Rounds of further pivots before a region that does not shrink is joined block by block.
 ROUNDS = 3
 #: Bits of the fixed-size sketch of wanted ids (2 MB): it only spares work, a join decides.
@@ -71,7 +80,76 @@ def described(docs: DataFrame, id_col: str, text_col: str, width: int, frequent_
     return map_batches(slim, "kind int, id long, c long, n long", work)
 
 
-def _cell_rows(docs, id_col, text_col, width, percent, frequent):
+def spread_pivots(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """Of ``sets`` those that have the most others within reach that no pivot before them has."""
+    if not sets:
+        return []
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    size = np.array([s.size for s in sets])
+    start = np.cumsum(size) - size
+    mark, near = np.zeros(int(ids.max()) + 1, np.int32), np.zeros((size.size, size.size), bool)
+    for k in range(size.size):
+        own = ids[start[k]:start[k] + size[k]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[ids], start)
+        mark[own] = 0
+        near[k] = 1 - both / (size[k] + size - both) <= _reach(percent)
+    pivots, left = [], np.ones(size.size, bool)
+    while len(pivots) < PIVOTS:
+        gain = (near & left).sum(1)
+        best = int(gain.argmax())
+        if gain[best] < 2:
+            break  # a pivot that is near to itself alone parts nothing
+        pivots.append(sets[best])
+        left &= ~near[best]
+    return pivots
+
+
+def _reach(percent: int) -> float:
+    """How near to a pivot the classes of its region lie: three times the distance of a link, less
+    where that would bring every class within a link of a region's rim."""
+    link = 1 - percent / 100
+    return max(0.0, min(3 * link, 0.95 - link))
+
+
+class Regions:
+    """The regions of the first level: which ones a class belongs to, by its distances to all pivots."""
+
+    def __init__(self, pivots: list[np.ndarray], percent: int):
+        self.size = np.array([p.size for p in pivots], np.int64)
+        self.link, self.reach = 1 - percent / 100, _reach(percent)
+        flat = np.concatenate([np.zeros(0, np.uint64), *pivots])
+        self.shingles, place = np.unique(flat, return_inverse=True)
+        bits = np.repeat(np.uint64(1) << np.arange(len(pivots), dtype=np.uint64), self.size)
+        self.holders = np.zeros(self.shingles.size, np.uint64)
+        np.bitwise_or.at(self.holders, place, bits)
+
+    def distances(self, s: np.ndarray) -> np.ndarray | None:
+        """To each pivot; None if all are 1."""
+        if not self.shingles.size:
+            return None
+        at = np.minimum(np.searchsorted(self.shingles, s), self.shingles.size - 1)
+        held = self.holders[at[self.shingles[at] == s]]
+        if not held.size:
+            return None
+        both = np.unpackbits(held.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)[:self.size.size]
+        return 1 - both / (s.size + self.size - both)
+
+    def of(self, s: np.ndarray) -> list[int]:
+        """0 for the region outside, k + 1 for that of pivot k; the class's own region first."""
+        d = self.distances(s)
+        if d is None:
+            return [0]
+        home, slack = int(d.argmin()), 1e-9
+        if d[home] <= self.reach:
+            most = min(d[home] + 2 * self.link, self.reach + self.link) + slack
+            return [home + 1, *(k + 1 for k in np.flatnonzero(d <= most).tolist() if k != home)]
+        return [0, *(np.flatnonzero(d <= self.reach + self.link + slack) + 1).tolist()]
+
+
+def _cell_rows(docs, text_col, width, percent, frequent, regions, shared=None):
+    """(h, c): the cells of each class, a cell being a region and a shingle hashed together; with
+    ``shared`` (bits) only those that may hold another class."""
     def work(batch):
         h, c = [], []
         seen = set()  # of copies in one batch the first stands for all
@@ -79,14 +157,44 @@ def _cell_rows(docs, id_col, text_col, width, percent, frequent):
             s = shingle_set(words(text), width)
             if s.size and (name := _set_id(s)) not in seen:
                 seen.add(name)
-                p = _prefix(s, frequent.value, percent)
-                h.append(p)
-                c.append(np.full(p.size, name, np.int64))
+                first = _prefix(s, frequent.value, percent)
+                for region in regions.value.of(s):
+                    p = mixed(first ^ np.uint64(region * 0x9E3779B97F4A7C15 % 2**64)) if region else first
+                    if shared is not None:
+                        place = (p & np.uint64(CELL_BITS - 1)).astype(np.int64)
+                        p = p[(shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
+                    h.append(p)
+                    c.append(np.full(p.size, name, np.int64))
         if h:
             yield {"h": pa.array(np.concatenate(h).view(np.int64)), "c": pa.array(np.concatenate(c))}
     return map_batches(docs.select(docs[text_col].alias("_text")), "h long, c long", work)
 
 
+def _cell_sketch(cells: DataFrame) -> np.ndarray:
+    """A bit for each cell; fixed size, whatever the number of cells."""
+    place = F.expr(f"h & {CELL_BITS - 1}L")
+    found = (cells.select(place.alias("p")).selectExpr("p DIV 32 AS w", "CAST(1 AS BIGINT) << CAST(p % 32 AS INT) AS b")
+             .groupBy("w").agg(F.bit_or("b").alias("b"))).toArrow()
+    out = np.zeros(CELL_BITS // 32, "<u4")
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().astype("<u4")
+    return out.view(np.uint8)
+
+
+def _members(docs, text_col, width, percent, frequent, regions) -> DataFrame:
+    """(region, c): the classes of each cell that holds two or more, the cell being called after its
+    least class.
+
+    The least and the largest class of a cell are found by an aggregate, which combines in each task
+    before the shuffle, so a shingle that very many classes share costs a row a task; then the texts
+    are read again for the classes at the cells that two classes share."""
+    cells = _cell_rows(docs, text_col, width, percent, frequent, regions)
+    shared = cells.groupBy("h").agg(F.min("c").alias("region"), F.max("c").alias("high")).where("region <> high")
+    shared = stored(shared.select("h", "region"))
+    bits = docs.sparkSession.sparkContext.broadcast(_cell_sketch(shared))
+    again = _cell_rows(docs, text_col, width, percent, frequent, regions, bits)
+    return again.join(shared, "h").select("region", "c").distinct()
+
+
 def _buckets(s: np.ndarray) -> bytes:
     """One bit for each bucket that holds a shingle, of at least two buckets a shingle."""
     bits = np.zeros(max(64, 1 << int(2 * s.size - 1).bit_length()), np.uint8)
@@ -338,12 +446,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     hot = shared.where(f"k >= {2 ** least}").select("c").toPandas()["c"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
 
-    at = Window.partitionBy("h")
-    cells = _cell_rows(docs, id_col, text_col, width, percent, frequent)
-    cells = cells.withColumn("low", F.min("c").over(at)).withColumn("high", F.max("c").over(at)).where("low <> high")
-    member = stored(cells.select(F.col("low").alias("region"), "c").distinct())
     classes = stored(base.where("n > 0").groupBy("c").agg(
         F.count(F.lit(1)).alias("m"), F.min("id").alias("id"), F.first("n").cast("int").alias("n")))
+    chosen = stored(classes.where("id IS NOT NULL").orderBy(F.xxhash64("c", F.lit("pivot")), "c").limit(SAMPLE))
+    sample = _of_wanted(docs, id_col, text_col, width, chosen, np.ndarray.tobytes, "s").orderBy("c").toArrow()
+    pivots = spread_pivots([np.frombuffer(x.as_py(), "<u8") for x in sample.column("s")], percent)
+    regions = spark.sparkContext.broadcast(Regions(pivots, percent))
+    member = stored(_members(docs, text_col, width, percent, frequent, regions))
     ratio = (100 / percent) ** 2
     placed = (member.join(classes.select("c", "n"), "c")
               .withColumn("own_ring", F.expr(f"CAST(floor(ln(n) / ln({ratio}D)) AS INT)"))
@@ -360,10 +469,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     bits = _of_wanted(docs, id_col, text_col, width, wanted(placed), _buckets, "bits")
     live = stored(_survivors(placed, bits, percent))
     placed = stored(placed.join(live.withColumnRenamed("g0", "g"), ["g", "c"], "left_semi"))
-    # a linked pair survives wherever both are, so the regions left to each hold all that they share
-    regions = placed.groupBy("c").agg(F.collect_set("region").alias("regions"))
+    # a linked pair survives wherever both are, so the cells left to each hold all that they share
+    own = placed.groupBy("c").agg(F.collect_set("region").alias("regions"))
     none = F.expr("CAST(array() AS array<bigint>)")
-    placed = placed.join(regions, "c").withColumns({"path": none, "homes": none})
+    placed = placed.join(own, "c").withColumns({"path": none, "homes": none})
     sets = _of_wanted(docs, id_col, text_col, width, wanted(placed), np.ndarray.tobytes, "s")
     found = stored(_joined(_groups(placed, classes, sets, percent), sets, percent))
     return _labelled(base, classes, found)
@@ -375,26 +484,24 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows without a shingle or an id stay.  Of rows that repeat id and shingle set one stays."""
     found = _linked(docs, id_col, text_col, width, percent).where("n > 0 AND id IS NOT NULL")
-    gone = found.where("NOT (id = component_id AND c = first_c)").selectExpr("id AS _gone", "c AS _gone_set").distinct()
-    same_id = docs[id_col].cast("long") == F.col("_gone")
+    gone = found.where("NOT (id = component_id AND c = first_c)").select("id", "c").distinct().alias("g")
+    d = docs.alias("d")
+    same_id = F.col(f"d.{id_col}").cast("long") == F.col("g.id")
     repeated = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("k")).where(F.col(id_col).isNotNull() & (F.col("k") > 1))
     if repeated.isEmpty():  # the id tells the set
-        return docs.join(gone, same_id, "left_anti")
+        return d.join(gone, same_id, "left_anti")
     named, name = _with_set(docs, text_col, width)
-    same_id = named[id_col].cast("long") == F.col("_gone")
-    out = named.join(gone, same_id & (named[name] == F.col("_gone_set")), "left_anti")
+    out = named.alias("d").join(gone, same_id & (F.col(f"d.{name}") == F.col("g.c")), "left_anti")
     whole = F.col(id_col).isNotNull() & F.col(name).isNotNull()
     return out.where(~whole).unionByName(out.where(whole).dropDuplicates([id_col, name])).drop(name)
 
 
 def _with_set(docs: DataFrame, text_col: str, width: int) -> tuple[DataFrame, str]:
     """``docs`` with the set id of each row (null: no shingle) in a further column, and its name."""
-    name, place = "_set", docs.columns.index(text_col)
-    while name in docs.columns:
-        name += "_"
+    name, place = fresh("_set", docs), docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = [shingle_set(words(t), width) for t in batch.column(place).to_pylist()]
             own = pa.array([_set_id(s) if s.size else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, name])

@@ -78,6 +78,49 @@ def test_large_regions_split_and_block(docs_of, monkeypatch):
     assert joined(docs_of(rows)) == brute(rows)
 
 
+def dense_sets(rng, groups=6, size=40):
+    """Sets in groups that share a core, so that pivots find regions, and others far from all."""
+    out = []
+    for _ in range(groups):
+        core = rng.integers(1, 2**63, 200, dtype=np.uint64)
+        for _ in range(size):
+            own = rng.integers(1, 2**63, int(rng.choice([3, 40, 250])), dtype=np.uint64)
+            out.append(np.unique(np.append(core[rng.random(200) < rng.uniform(0.75, 1)], own)))
+    return out + [np.unique(rng.integers(1, 2**63, 300, dtype=np.uint64)) for _ in range(60)]
+
+
+@pytest.mark.parametrize("percent", [80, 60, 90])
+def test_linked_sets_meet_in_a_region(percent):
+    sets = dense_sets(np.random.default_rng(percent))
+    pivots = jaccard_join.spread_pivots(sets[::2], percent)
+    regions = jaccard_join.Regions(pivots, percent)
+    assert 3 <= len(pivots) <= jaccard_join.PIVOTS
+    apart = [jaccard_join._distances(a, [b])[0] for a, b in combinations(pivots, 2)]
+    assert min(apart) > jaccard_join._reach(percent)  # no pivot lies in the region of one before it
+    where = [regions.of(s) for s in sets]
+    met = linked = 0
+    for (a, u), (b, v) in combinations(list(zip(sets, where)), 2):
+        both = np.intersect1d(a, b).size
+        if 100 * both >= percent * (a.size + b.size - both):
+            linked += 1
+            assert u[0] in v or v[0] in u
+        met += bool(set(u) & set(v))
+    # and the regions keep most other pairs apart
+    assert linked > 30 and met < 0.5 * len(sets) * (len(sets) - 1) / 2
+    for s in sets[:50]:
+        d = regions.distances(s)
+        want = jaccard_join._distances(s, pivots)
+        assert np.allclose(d if d is not None else 1.0, want)
+
+
+def test_join_with_pivot_regions(docs_of, monkeypatch):
+    rows = corpus(seed=8, copies=90)
+    used, plain = [], jaccard_join.spread_pivots
+    monkeypatch.setattr(jaccard_join, "spread_pivots", lambda *a: used.append(plain(*a)) or used[-1])
+    assert joined(docs_of(rows)) == brute(rows)
+    assert used[0]  # the near copies gather around pivots
+
+
 def test_join_edge_cases(docs_of):
     rows = [(1, None), (2, ""), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "x " * 20000)]
     got = sorted(jaccard_join.jaccard_join(docs_of(rows)).collect(), key=repr)
@@ -101,6 +144,15 @@ def test_one_of_each_decides_by_id_and_text(docs_of):
     assert len(kept) == 1  # two near copies under one id
 
 
+def test_names_that_the_join_uses(docs_of):
+    rows = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words than those before")])
+    for name in ("_gone", "_set", "g", "d", "region", "high", "s", "kind", "links"):
+        rows = rows.selectExpr("*", f"'own' AS {name}")
+    for docs in (rows, rows.union(rows)):
+        out = jaccard_join.one_of_each(docs)
+        assert out.columns == rows.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(k, k + 1) for k in range(200, 260)] + [(rng.randrange(150), rng.randrange(150)) for _ in range(120)]
