@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_path, shared_dir
+
 
 #: Bytes of texts, binaries and lists that are worked on at once.
 SLICE = 4 << 20
@@ -70,17 +72,14 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+#: Folders that this process has written and not deleted, oldest first.
+_MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a folder of this process is set only
-    where the setting is absent (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share (see :func:`churnlens.session.shared_dir`)."""
+    _MADE.append(f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -91,5 +90,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, kept: DataFrame | None = None) -> int:
+    """Delete the folders written so far, but for those that ``kept`` reads; how many went.  For the
+    end of a job, when its results have been written: a frame that reads a deleted folder fails."""
+    held = kept.inputFiles() if kept is not None else []
+    gone = [path for path in _MADE if not any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in held)]
+    for path in gone:
+        delete_path(spark, path)
+        _MADE.remove(path)
+    return len(gone)
+
+
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
