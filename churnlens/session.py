@@ -2,11 +2,14 @@
 
 Jobs that write (sinks, the scoring stream, the read-through store) put their
 files under the folder the cluster names in ``spark.checkpoint.dir``; a private
-temporary folder is used only when that setting is absent (local tests).
+temporary folder, gone when the process ends, is used only when that setting is
+absent and the master is local (local runs and tests).
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -63,6 +66,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _PRIVATE:
         _PRIVATE[app] = tempfile.mkdtemp(prefix="churnlens-")
+        atexit.register(shutil.rmtree, _PRIVATE[app], ignore_errors=True)
     return _PRIVATE[app]
 
 

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.llm import bpe_replay, jaccard_join, langid_ecoc, mixing, quality_gam
-from churnlens.llm.frames import stored
+from churnlens.llm.frames import release, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``; each result is stored as Parquet and reread."""
+    """All stages applied to ``documents``; each result is stored as Parquet and reread.
+
+    Folders that this process wrote before are deleted on the way, so write the results of other
+    operators first."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        release(spark, kept=docs)  # what the stage wrote for itself, and the stage before
     return STAGES[-1][1](spark, docs, sf_dir)
