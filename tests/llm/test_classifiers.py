@@ -38,6 +38,48 @@ def test_language_small_cases(medium, docs_of):
     assert langid_ecoc.identify(docs_of([]), model).collect() == []
 
 
+def test_ambiguous_texts(medium):
+    docs, _ = medium
+    model = langid_ecoc.train(docs)
+    rows = [r for r in docs.collect() if r.lang is not None]
+    long = {x: next(r.text for r in rows if r.lang == x and len(r.text) > 2500) for x in model.languages}
+    langs, scores, unsure = langid_ecoc.predicted([r.text for r in rows], model)
+    # few texts of the table are in doubt, and what is predicted without doubt is right
+    assert sum(unsure) <= 0.03 * len(rows)
+    assert all(a == r.lang for a, r, u in zip(langs, rows, unsure) if not u)
+    first, second = [long[x] for x in model.languages[:2]]
+    mixed = [first[:1200] + second[:1200], first[:1500] + second[:700], " ".join([first[:600], second[:600]] * 4)]
+    foreign = ["zzz qqq", "xk qj zw vv kk jj ww qq " * 20, "Привет мир как дела сегодня " * 3, "日本語テキスト" * 9, "123 a", "x"]
+    assert all(langid_ecoc.predicted(mixed + foreign, model)[2])
+    assert not any(langid_ecoc.predicted([*long.values(), first[:200], second[:200]], model)[2])
+
+
+def test_decoding_equals_a_plain_one(medium):
+    docs, _ = medium
+    model = langid_ecoc.train(docs)
+    means = np.random.default_rng(2).normal(0, 0.3, (40, model.code.shape[1]))
+    best, share, lead = model.decode(means)
+    for k, row in enumerate(means):
+        loss = [sum(w * np.log1p(np.exp(-c * (x * a + b))) for w, c, x, a, b in zip(model.weight, code, row, model.slope, model.shift))
+                for code in model.code]
+        order = sorted(range(len(loss)), key=loss.__getitem__)
+        assert best[k] == order[0] and np.isclose(lead[k], loss[order[1]] - loss[order[0]])
+        assert np.isclose(share[k], 1 / sum(np.exp(loss[order[0]] - x) for x in loss))
+
+
+def test_parts_add_up_to_the_text(medium, monkeypatch):
+    monkeypatch.setattr(langid_ecoc, "BYTES_AT_ONCE", 1000)
+    columns = np.random.default_rng(1).normal(0, 1, (langid_ecoc.BUCKETS * len(langid_ecoc.GRAMS), 3)).astype(np.float32)
+    texts = ["", None, "a", "ab", "abc def", "The quick brown fox " * 400, "é" * 700]
+    means, size = langid_ecoc.bit_means(texts, columns)
+    for k, text in enumerate(texts):
+        raw = langid_ecoc._LOWER[np.frombuffer(f" {text or ''} ".encode(), np.uint8)]
+        grams = np.concatenate(langid_ecoc.grams_of(raw))
+        if len(raw) < 1000:
+            assert size[k] == grams.size
+        assert np.allclose(means[k], columns[grams].mean(0) if grams.size else 0.0, atol=1e-2)
+
+
 def test_language_without_rows_to_learn_from(docs_of):
     model = langid_ecoc.train(docs_of([]))
     got = langid_ecoc.identify(docs_of([(1, "some words")]), model).collect()
