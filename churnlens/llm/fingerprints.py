@@ -30,16 +30,26 @@ ROWS_A_RANGE = 4000
 #: Quantiles that part the ids.
 MOST_RANGES = 20_000
 #: Terms whose variates are drawn at once.
-TERMS_AT_ONCE = 2048
+TERMS_AT_ONCE = 256
 
 _PLACE = mixed(np.arange(1, 3 * PLACES + 1, dtype=np.uint64)).reshape(3, PLACES)
 
 
 def _uniforms(term: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Two uniform variates of 24 bits, between 0 and 1, for each term and place."""
-    drawn = mixed(term ^ _PLACE[k])
-    parts = ((drawn >> np.uint64(40)).astype(np.float32), ((drawn >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32))
-    return tuple(x * np.float32(2**-24) + np.float32(2**-25) for x in parts)
+    drawn = term ^ _PLACE[k]
+    high = drawn >> np.uint64(33)
+    for odd in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):  # shingles.mixed, in place
+        drawn ^= high
+        drawn *= np.uint64(odd)
+        np.right_shift(drawn, np.uint64(33), out=high)
+    drawn ^= high
+    # two halves of 24 bits each
+    parts = drawn.view(np.uint32).reshape(*drawn.shape, 2) >> np.uint32(8)
+    out = parts.astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2**-24)
+    return out[..., 0], out[..., 1]
 
 
 def _samples(term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +59,16 @@ def _samples(term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for a in range(0, term.size, TERMS_AT_ONCE):
         t = term[a:a + TERMS_AT_ONCE, None]
         (u, v), (x, y), (shift, _) = (_uniforms(t, k) for k in range(3))
-        r, log_c = -np.log(u * v), np.log(-np.log(x * y))
-        q = np.floor(np.log(weight[a:a + TERMS_AT_ONCE, None]).astype(np.float32) / r + shift)
-        value[a:a + TERMS_AT_ONCE] = log_c - r * (q - shift + 1)
+        r = np.log(u * v)
+        np.negative(r, out=r)
+        q = np.log(weight[a:a + TERMS_AT_ONCE, None].astype(np.float32)) / r
+        q += shift
+        np.floor(q, out=q)
         quantum[a:a + TERMS_AT_ONCE] = np.clip(q, 0, 32767)
+        q -= shift
+        q += 1
+        q *= r
+        np.subtract(np.log(-np.log(x * y)), q, out=value[a:a + TERMS_AT_ONCE])
     return value, quantum
 
 
@@ -161,7 +177,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         own = [t for _, t, _ in held]
         cut = [len(t) - len(t) // 3 for t in own]
         edited = [t[:c] + nxt[:len(t) - c] for t, c, nxt in zip(own, cut, own[1:])]
-        prints, after = fingerprints(own), fingerprints(edited)
+        # a text and its edited form beside each other, so that what they share is drawn once
+        both = fingerprints([t for pair in zip(own, [*edited, ""]) for t in pair])
+        prints, after = both[::2], both[1::2]
         keep = [k for k in range(len(edited)) if not held[k][2]]
         return {"_id": pa.array([held[k][0] for k in keep], pa.int64()),
                 "n_chars": pa.array([len(own[k]) for k in keep], pa.int64()),
