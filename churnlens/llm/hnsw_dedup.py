@@ -6,7 +6,7 @@ Every class queries every shard of its label by a beam search that starts at the
 beam that ends full of links is widened; then some queries of every block are held against all
 other vectors of the shard, and while those with few links or those with many found too few of them
 on average, all beams are widened.  Found pairs are
-verified by cosine in double precision, and linked classes are united.
+verified by cosine in double precision, counted, and linked classes are united.
 """
 
 from __future__ import annotations
@@ -154,12 +154,11 @@ class Graph:
         return beam_search(self.vectors, self.links[0], queries, entry, beam)
 
 
-def linked_pairs(graph: Graph, queries: np.ndarray, least: float, own_node: np.ndarray,
-                 ) -> tuple[np.ndarray, np.ndarray, float]:
-    """(query, node) with similarity of at least ``least``, and the recall of the audit that passed: the
-    mean over audited queries that have links, of those with fewer than ``FIRST_BEAM`` links or of the others,
-    whichever is less.  ``own_node[q]`` is the node of the query itself (-1: not in this shard); the
-    audit does not count it."""
+def linked(graph: Graph, queries: np.ndarray, least: float, own_node: np.ndarray) -> tuple[np.ndarray, float]:
+    """Which nodes each query has a similarity of at least ``least`` with (a table of booleans), and the
+    recall of the audit that passed: the mean over audited queries that have links, of those with
+    fewer than ``FIRST_BEAM`` links or of the others, whichever is less.  ``own_node[q]`` is the node of
+    the query itself (-1: not in this shard); the audit does not count it."""
     n, found_from = len(graph.vectors), np.float32(least - 1e-5)
     audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
     # nearer than what counts as found by more than single precision errs
@@ -168,33 +167,106 @@ def linked_pairs(graph: Graph, queries: np.ndarray, least: float, own_node: np.n
     truth[inside, own_node[audited[inside]]] = False
     links = truth.sum(1)
     strata = [x for x in (np.flatnonzero((links > 0) & (links < FIRST_BEAM)), np.flatnonzero(links >= FIRST_BEAM)) if x.size]
-    row = np.full(len(queries), -1)
-    row[audited] = np.arange(audited.size)
     beam = FIRST_BEAM
     while True:
-        q, v = [], []
+        hit = np.zeros((len(queries), n), bool)
         for a in range(0, len(queries), SIDE_BY_SIDE):
             rows, own = np.arange(a, min(a + SIDE_BY_SIDE, len(queries))), min(beam, n)
-            while rows.size:
-                if own >= n:  # the beam holds the whole shard
-                    nodes, sims = None, queries[rows] @ graph.vectors.T
-                else:
-                    nodes, sims = graph.search(queries[rows], own)
-                full = (sims[:, -1] >= found_from) & (nodes is not None)
-                i, j = np.nonzero((sims >= found_from) & ~full[:, None])
-                q.append(rows[i])
-                v.append(j if nodes is None else nodes[i, j])
-                rows, own = rows[full], min(2 * own, n)  # every place of the beam is a link: widen
-        q, v = np.concatenate(q), np.concatenate(v)
-        got, at = np.zeros_like(truth), row[q]
-        got[at[at >= 0], v[at >= 0]] = True
-        share = (got & truth).sum(1) / np.maximum(links, 1)
-        recall = min((share[x].mean() for x in strata), default=1.0)
+            while own < n and rows.size:
+                nodes, sims = graph.search(queries[rows], own)
+                i, j = np.nonzero(sims >= found_from)
+                hit[rows[i], nodes[i, j]] = True
+                # every place of the beam is a link: widen, beyond a few steps to the whole shard
+                rows, own = rows[sims[:, -1] >= found_from], 4 * own if 4 * own <= n // 4 else n
+            if rows.size:  # the beam holds the whole shard
+                hit[rows] = queries[rows] @ graph.vectors.T >= found_from
+        recall = min((((hit[audited] & truth).sum(1) / np.maximum(links, 1))[x].mean() for x in strata), default=1.0)
         if recall >= LEAST_RECALL or beam >= n:
-            return q, v, float(recall)
+            return hit, float(recall)
         beam *= 2
 
 
+def linked_pairs(graph: Graph, queries: np.ndarray, least: float, own_node: np.ndarray,
+                 ) -> tuple[np.ndarray, np.ndarray, float]:
+    """:func:`linked` as pairs (query, node)."""
+    hit, recall = linked(graph, queries, least, own_node)
+    return *np.nonzero(hit), recall
+
+
+class Shard:
+    """The classes of a shard in order, how many rows each has, its vectors and their graph."""
+
+    def __init__(self, c: np.ndarray, m: np.ndarray, vectors: list):
+        order = np.argsort(c, kind="stable")
+        self.c, self.m = c[order], m[order].astype(float)
+        exact = np.array([vectors[k] for k in order.tolist()], np.float64)
+        # the largest component first, so that neither tiny nor huge vectors lose their length
+        exact = exact / np.abs(exact).max(axis=1, keepdims=True)
+        self.exact = exact / np.linalg.norm(exact, axis=1, keepdims=True)
+        self.graph = Graph(self.exact.astype(np.float32))
+
+    def packed(self) -> bytes:
+        vectors, self.graph.vectors = self.graph.vectors, None  # made again from the exact ones
+        raw = pickle.dumps(self, protocol=5)
+        self.graph.vectors = vectors
+        return raw
+
+    @staticmethod
+    def unpacked(raw: bytes) -> Shard:
+        shard = pickle.loads(raw)
+        shard.graph.vectors = shard.exact.astype(np.float32)
+        return shard
+
+
+def meeting(one: Shard, other: Shard, least: float) -> np.ndarray:
+    """Which classes of two shards (or of one with itself) link: those that one finds in the other's graph
+    or the other way, with a cosine of at least ``least`` in double precision."""
+    if one is other:
+        hit = linked(one.graph, one.graph.vectors, least, np.arange(one.c.size))[0]
+        hit |= hit.T.copy()
+        np.fill_diagonal(hit, False)
+    else:
+        none = [np.full(s.c.size, -1) for s in (one, other)]
+        hit = linked(other.graph, one.graph.vectors, least, none[0])[0]
+        hit |= linked(one.graph, other.graph.vectors, least, none[1])[0].T
+    for a in range(0, one.c.size, SIDE_BY_SIDE):
+        part = hit[a:a + SIDE_BY_SIDE]
+        at = np.flatnonzero(part.any(0))
+        part[:, at] &= one.exact[a:a + SIDE_BY_SIDE] @ other.exact[at].T >= least
+    return hit
+
+
+def told(one: Shard, other: Shard, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per class with a link in ``hit``: class, rows linked with, and the least class that the links of
+    this meeting lead to.  The links themselves, which may be as many as the pairs, stay in the task."""
+    back = np.ascontiguousarray(hit.T)
+    sides = [(one, hit, other), (other, back, one)]
+    links = [np.concatenate([table[a:a + SIDE_BY_SIDE].astype(float) @ far.m for a in range(0, len(table), SIDE_BY_SIDE)])
+             for _, table, far in sides]
+    root = [np.zeros(s.c.size, np.int64) for s, _, _ in sides]
+    left = [x > 0 for x in links]
+    while left[0].any():
+        seen = [np.zeros(x.size, bool) for x in left]
+        front = np.flatnonzero(left[0])[:1]
+        side = 0
+        while front.size:
+            seen[side][front] = True
+            left[side][front] = False
+            near = sides[side][1][front].any(0)
+            side = 1 - side
+            front = np.flatnonzero(near & left[side])
+        least = min(s.c[x].min() for (s, _, _), x in zip(sides, seen) if x.any())
+        for r, x in zip(root, seen):
+            r[x] = least
+    if one is other:  # both sides are the same classes
+        both = np.minimum(np.where(links[0] > 0, root[0], one.c), np.where(links[1] > 0, root[1], one.c))
+        at = np.flatnonzero(links[0] > 0)
+        return one.c[at], links[0][at].astype(np.int64), both[at]
+    c, n, r = (np.concatenate(x) for x in ((one.c, other.c), links, root))
+    at = np.flatnonzero(n > 0)
+    return c[at], n[at].astype(np.int64), r[at]
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label") -> DataFrame:
     """One row per vector: id, ``n_links`` (other vectors linked directly), ``component_id`` (least id
@@ -205,8 +277,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     links with nothing, nor do vectors of different lengths.  A null id has a null component and
     is not kept.  Repeated rows count as vectors of their own.  Other columns are ignored.
 
-    A label of s shards costs s * s searches of a shard by a block, each of bounded size: the
-    method queries every shard."""
+    A label of s shards costs s * (s + 1) / 2 meetings, each of bounded size: the method queries
+    every shard.  A meeting gives counts and a forest, not its links."""
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].alias("label"),
                           vectors[vector_col].cast("array<double>").alias("v"))
     usable = ("label IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) "
@@ -217,57 +289,38 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_
     classes = stored(named.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id"),
                                             F.first("label").alias("label"), F.first("v").alias("v")))
     shards = classes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
-    dealt = classes.select("c", "label", "v").join(shards, "label").withColumn(
+    dealt = classes.select("c", "m", "label", "v").join(shards, "label").withColumn(
         "shard", F.expr("CAST(pmod(xxhash64(c, 'shard'), shards) AS INT)"))
-    dealt = stored(dealt.withColumn("g", F.xxhash64("label", "shard")))
-
-    def unit(rows_of: list) -> tuple[np.ndarray, np.ndarray]:
-        exact = np.array(rows_of, np.float64)
-        # the largest component first, so that neither tiny nor huge vectors lose their length
-        exact = exact / np.abs(exact).max(axis=1, keepdims=True)
-        exact = exact / np.linalg.norm(exact, axis=1, keepdims=True)
-        return exact, exact.astype(np.float32)
+    dealt = dealt.withColumn("g", F.xxhash64("label", "shard"))
 
     def build(key, table):
-        c = table.column("c").to_numpy()
-        order = np.argsort(c, kind="stable")
-        exact, vectors_ = unit([table.column("v")[int(k)].as_py() for k in order])
-        blob = pickle.dumps((c[order], exact, Graph(vectors_)), protocol=5)
+        own = Shard(table.column("c").to_numpy(), table.column("m").to_numpy(), table.column("v").to_pylist())
         return pa.table({"label": table.column("label").slice(0, 1), "g": table.column("g").slice(0, 1),
-                         "graph": pa.array([blob], pa.binary())}, schema=None)
+                         "shard": pa.array([own.packed()], pa.binary())}, schema=None)
 
     label_type = dealt.schema["label"].dataType.simpleString()
-    graphs = stored(dealt.groupBy("g").applyInArrow(build, f"label {label_type}, g long, graph binary"))
-    # each block of queries (the classes of a shard) meets each graph of its label
-    meetings = dealt.select("label", F.col("g").alias("block")).distinct().join(
-        graphs.select("label", "g"), "label").withColumn("meet", F.xxhash64("g", "block"))
-    asked = meetings.join(dealt.select(F.col("g").alias("block"), "c", "v"), "block").select(
-        "meet", "c", "v", F.lit(None).cast("binary").alias("graph"))
-    graphs_ = meetings.join(graphs.select("g", "graph"), "g").select(
-        "meet", F.lit(None).cast("long").alias("c"), F.lit(None).cast("array<double>").alias("v"), "graph")
-
-    def query(key, table):
-        at = int(np.flatnonzero(table.column("graph").is_valid().to_numpy())[0])
-        nodes, exact, graph = pickle.loads(table.column("graph")[at].as_py())
-        table = table.filter(table.column("graph").is_null())
-        c = table.column("c").to_numpy()
-        own, queries = unit(table.column("v").to_pylist())
-        place = np.minimum(np.searchsorted(nodes, c), nodes.size - 1)
-        q, v, _ = linked_pairs(graph, queries, least, np.where(nodes[place] == c, place, -1))
-        cosine = np.einsum("ij,ij->i", own[q], exact[v])
-        hit = (cosine >= least) & (c[q] != nodes[v])
-        a, b = c[q[hit]], nodes[v[hit]]
-        return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)})
-
-    pairs = stored(asked.union(graphs_).groupBy("meet").applyInArrow(query, "u long, v long").distinct())
-    return _labelled(rows, classes.drop("v", "label"), pairs, id_col)
-
-
-def _labelled(rows: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
-    both = pairs.union(pairs.selectExpr("v", "u"))
-    linked = (both.join(classes.selectExpr("c AS v", "m"), "v").groupBy("u").agg(F.sum("m").alias("links"))
-              .withColumnRenamed("u", "c"))
-    named = (classes.join(linked, "c", "left").join(components(pairs).withColumnRenamed("node", "c"), "c", "left")
+    graphs = stored(dealt.groupBy("g").applyInArrow(build, f"label {label_type}, g long, shard binary"))
+    # each shard meets itself and each other one of its label, once
+    named_ = graphs.select("label", "g")
+    pairs = named_.join(named_.withColumnRenamed("g", "h"), "label").where("g <= h").withColumn("meet", F.xxhash64("g", "h"))
+    seats = pairs.select("meet", "g").union(pairs.where("g < h").selectExpr("meet", "h AS g"))
+
+    def meet(key, table):
+        met = [Shard.unpacked(x.as_py()) for x in table.column("shard")]
+        one, other = met[0], met[-1]
+        c, links, root = told(one, other, meeting(one, other, least))
+        return pa.table({"c": c, "links": links, "root": root})
+
+    found = seats.join(graphs.select("g", "shard"), "g").select("meet", "shard")
+    found = stored(found.groupBy("meet").applyInArrow(meet, "c long, links long, root long"))
+    return _labelled(rows, classes.drop("v", "label"), found, id_col)
+
+
+def _labelled(rows: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """``found``: per class and meeting the rows it links with, and the least class its links lead to."""
+    linked_ = found.groupBy("c").agg(F.sum("links").alias("links"))
+    forest = components(found.selectExpr("c AS u", "root AS v"))
+    named = (classes.join(linked_, "c", "left").join(forest.withColumnRenamed("node", "c"), "c", "left")
              .withColumn("component", F.coalesce("component", "c")))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(least, "component").select("c", "component_id", F.expr("m - 1 + coalesce(links, 0)").alias("n_links"))

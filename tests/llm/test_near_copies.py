@@ -205,6 +205,31 @@ def test_several_shards(spark, monkeypatch):
     assert [got[k].n_links for k in range(300)] == want.tolist()
 
 
+def test_a_meeting_tells_counts_and_a_forest():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 10))
+    v = base[rng.integers(0, 30, 500)] + rng.normal(size=(500, 10)) * rng.choice([0.03, 0.2], (500, 1))
+    c, m = rng.permutation(10**6)[:500].astype(np.int64), rng.integers(1, 5, 500)
+    for split in (500, 200):
+        shards = [hnsw_dedup.Shard(c[a:b], m[a:b], v[a:b].tolist()) for a, b in ((0, split), (split, 500)) if b > a]
+        shards = [hnsw_dedup.Shard.unpacked(s.packed()) for s in shards]
+        one, other = shards[0], shards[-1]
+        hit = hnsw_dedup.meeting(one, other, 0.93)
+        unit = [s.exact for s in (one, other)]
+        want = unit[0] @ unit[1].T >= 0.93
+        if one is other:
+            np.fill_diagonal(want, False)
+        assert (hit == want).all() and hit.any()
+        pairs = [(int(one.c[i]), int(other.c[j])) for i, j in zip(*np.nonzero(want))]
+        links, rows = {}, dict(zip(c.tolist(), m.tolist()))
+        for a, b in set(map(tuple, map(sorted, pairs))):
+            links[a] = links.get(a, 0) + rows[b]
+            links[b] = links.get(b, 0) + rows[a]
+        root = united(links, pairs)
+        assert {a: (n, r) for a, n, r in zip(*(x.tolist() for x in hnsw_dedup.told(one, other, hit)))} == {
+            a: (links[a], root[a]) for a in links}
+
+
 class Blind:
     """A graph whose search finds ``seen`` links only, until its beam has ``least_beam`` places."""
 
