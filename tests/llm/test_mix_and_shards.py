@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -131,13 +132,49 @@ def test_only_copies_up_to_the_budget_are_sorted(spark):
     assert left(16) == [0, 0, 3, 3] and left(18) == left(10**6) == sorted(r for r, _ in rows)
 
 
-def test_longest_first_is_within_the_known_bound():
-    sizes = [(s, k) for k, s in enumerate([7, 7, 6, 6, 5, 5, 4, 4, 4])]
-    place = sharding.longest_first(sizes, 3)
+def one_by_one(sizes, shards):
+    """Loads and shards of groups that go singly, largest first, to the least loaded shard."""
+    load, given = [0] * shards, []
+    for size, number in sizes:
+        got = Counter()
+        for _ in range(number):
+            k = min(range(shards), key=lambda x: (load[x], x))
+            load[k] += size
+            got[k] += 1
+        given.append(sorted(got.items()))
+    return load, given
+
+
+def test_schedule_equals_one_group_at_a_time():
+    rng = random.Random(6)
+    for case in range(60):
+        shards = rng.choice([1, 2, 3, 7, 40])
+        sizes = sorted({rng.randrange(1, rng.choice([30, 5000])) for _ in range(40)}, reverse=True)
+        sizes = [(s, rng.choice([1, 1, 2, 5, 90])) for s in sizes]
+        if case % 3 == 0:
+            sizes.insert(0, (10**6, 1))  # one group larger than all others together
+        load, given = one_by_one(sizes, shards)
+        assert [sorted(x) for x in sharding.longest_first(sizes, shards)] == given
+    sizes = [(7, 2), (6, 2), (5, 2), (4, 3)]
     load = Counter()
-    for s, k in sizes:
-        load[place[k]] += s
+    for (s, _), given in zip(sizes, sharding.longest_first(sizes, 3)):
+        for k, n in given:
+            load[k] += s * n
     assert sum(load.values()) == 48 and max(load.values()) <= (4 / 3 - 1 / 9) * 16
+    assert sum(sharding.dealt([0, 5, 10**15], 10, 10**12)) == 10**12
+
+
+def test_shards_equal_a_plain_placement(medium, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_TASK", 100)
+    docs, _ = medium
+    load = Counter()
+    for r in sharding.shard(docs).collect():
+        load[r["shard"]] += r["size"]
+    groups = Counter()
+    for r in docs.collect():
+        groups[r["text"] or ""] += len((r["text"] or "").encode()) + 16
+    sizes = sorted(Counter(groups.values()).items(), reverse=True)
+    assert [load[k] for k in range(40)] == one_by_one(sizes, 40)[0]
 
 
 def test_shards_of_a_whole_table(medium):
@@ -187,5 +224,18 @@ def test_every_pipeline_stage(spark):
 def test_pipeline_stages_on_an_empty_table(spark, docs_of):
     import corpus_pipeline
 
-    for _, stage in corpus_pipeline.STAGES[2:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs_of([], clash=False), MEDIUM).collect() == []
+
+
+def test_stages_on_odd_rows(spark, docs_of):
+    """Null ids, texts and sources, empty and long texts, repeated rows, clashing names: each stage gives rows."""
+    import corpus_pipeline
+
+    rows = [(None, "a null id and some words"), (1, None), (2, ""), (3, "word " * 30_000), (3, "word " * 30_000), (4, "a b", None, None),
+            (5, "\x00 odd \u2028 text é", "en", None)]
+    docs = docs_of(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, MEDIUM)
+        assert out.columns == docs.columns and out.count() >= 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, MEDIUM).count() == len(rows)
