@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import map_batches, texts_of
-from .pretokens import Remembered, blocks, looked_up, match_pieces, ragged
+from .pretokens import Remembered, blocks, checked, looked_up, match_pieces, ragged
 from .token_counts import NONE, MergeTable, alternate
 
 
@@ -140,7 +140,7 @@ class _Coder:
     def __init__(self, raw: bytes, pattern: str):
         self.ranks = parse_ranks(raw)
         self.table = merge_table(self.ranks)
-        self.pattern = regex.compile(pattern)
+        self.pattern = regex.compile(checked(pattern))
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.known = Remembered(self.solve)
 
@@ -181,6 +181,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     Null ids and repeated rows are kept; other columns are ignored, whatever their names.  No
     shuffle; each run of texts is replayed as one block and words met before are remembered.
     """
+    checked(pattern)
     with open(ranks_path, "rb") as f:
         told = docs.sparkSession.sparkContext.broadcast(f.read())
 

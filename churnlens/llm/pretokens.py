@@ -19,12 +19,24 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_WHITE}]", chr(c)))
 _PIECE = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
+# Fixed value: the byte-level pattern.  Its letters are one match whatever follows, and no match goes
+# on after white space that follows anything else, which is what cutting texts into pieces needs.
+CUT_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
+
 #: Pieces of one text handled at once, so that a very long text needs no more memory than this.
 PIECES_AT_ONCE = 1 << 18
 #: Distinct pieces a worker remembers; beyond it, it forgets them all and goes on.
 REMEMBERED = 600_000
 
 
+def checked(pattern: str) -> str:
+    """``pattern``, if texts may be cut into pieces before it is applied; others would give wrong
+    tokens at the cuts and are refused."""
+    if pattern not in CUT_PATTERNS:
+        raise ValueError(f"texts cannot be cut for the pattern {pattern!r}")
+    return pattern
+
+
 def pieces(text: str) -> Iterator[list[str]]:
     """The pieces of ``text`` in order, in lists of bounded length."""
     if len(text) <= PIECES_AT_ONCE:

@@ -215,7 +215,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents with a score of at least 0.5, all their columns as they are."""
+    """The documents with a score of at least 0.5, all their columns as they are.
+
+    A null or empty text is scored on features of zero; null ids and repeated rows stay or go by
+    their text; an empty table stays empty.  A model that nothing was learned from scores 0.5, so
+    all documents stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts):

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .frames import map_batches, texts_of
-from .pretokens import Remembered, blocks, looked_up, match_pieces
+from .pretokens import Remembered, blocks, checked, looked_up, match_pieces
 
 NONE = np.int32(2**31 - 1)
 
@@ -122,7 +122,7 @@ class _Counter:
                                 range(len(pairs)), [vocab[a + b] for a, b in pairs], n, byte_ids)
         added = sorted((t["content"] for t in told.get("added_tokens", [])), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.pattern = regex.compile(pattern)
+        self.pattern = regex.compile(checked(pattern))
         self.known = Remembered(self.solve)
 
     def solve(self, new: set[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -172,6 +172,7 @@ def count_tokens(docs: DataFrame, description_path: str, pattern: str, id_col: s
     each, as the description's library does by default.  Null ids and repeated rows are kept
     as they are; other columns are ignored, whatever their names.  No shuffle.
     """
+    checked(pattern)
     with open(description_path, "rb") as f:
         told = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -201,3 +201,40 @@ def test_quality_score_is_a_sum_of_table_entries():
                       np.searchsorted(model.pair_edges[k], row[k], side="right")] for j, k, t in model.pairs)
         assert abs(want - margin) < 1e-9
     assert np.mean((model.score(x) >= 0.5) == y) > 0.85
+
+
+def _losses(margin, y):
+    return np.mean(np.logaddexp(0, np.where(y > 0, -margin, margin)))
+
+
+def test_boosting_learns_features_and_pairs():
+    """A label that one feature tells in stretches, and one that only a pair of features tells."""
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, 4))
+    stretch = ((x[:, 0] > 0.3) & (x[:, 0] < 0.6)).astype(float)
+    either = ((x[:, 1] > 0.5) != (x[:, 2] > 0.5)).astype(float)
+    even = np.ones(len(x))
+    one = quality_gam.fit(x[:2000], stretch[:2000], even[:2000])
+    assert np.mean((one.score(x[2000:]) > 0.5) == stretch[2000:]) > 0.97
+    two = quality_gam.fit(x[:2000], either[:2000], even[:2000])
+    assert np.mean((two.score(x[2000:]) > 0.5) == either[2000:]) > 0.95 and two.pairs[0][:2] == (1, 2)
+    alone = quality_gam.fit(x[:2000], either[:2000], even[:2000], pairs=0)
+    assert np.mean((alone.score(x[2000:]) > 0.5) == either[2000:]) < 0.65
+    # more rounds fit the sample better, and the start is the share of the label
+    losses = [_losses(quality_gam.fit(x, stretch, even, rounds=k, pairs=0).margin(x), stretch) for k in (1, 10, 60)]
+    assert losses[0] > losses[1] > losses[2]
+    assert np.isclose(quality_gam.fit(x, stretch, even, rounds=0, pairs=0).score(x)[0], stretch.mean())
+
+
+def test_a_shallow_tree_equals_trying_all_cuts():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        n, ridge = int(rng.integers(2, 9)), 0.7
+        grad, hess = rng.normal(size=n), rng.random(n)
+        got = quality_gam._shallow_tree(grad, hess, 2, ridge)
+        value = lambda a, b: grad[a:b].sum() ** 2 / (hess[a:b].sum() + ridge)
+        m = max(range(1, n), key=lambda k: value(0, k) + value(k, n))
+        if value(0, m) + value(m, n) - value(0, n) < 1e-6:
+            continue
+        want = [grad[:m].sum() / (hess[:m].sum() + ridge)] * m + [grad[m:].sum() / (hess[m:].sum() + ridge)] * (n - m)
+        assert np.allclose(got, want)

@@ -86,6 +86,14 @@ def test_whole_table_counts(spark, medium):
     assert got == {r.doc_id: n for r, n in zip(rows, want)}
 
 
+def test_other_patterns_are_refused(docs_of):
+    """Cutting texts before white space holds for the given pattern; another would get wrong ids."""
+    for run in (bpe_replay.encode, token_counts.count_tokens):
+        with pytest.raises(ValueError, match="cannot be cut"):
+            run(docs_of([(1, "a  b")]), RANKS if run is bpe_replay.encode else DESCRIPTION, r"\S+\s+|\s+\S+|\S+|\s+")
+    assert pretokens.checked(P.PATTERN) == P.PATTERN
+
+
 @pytest.mark.parametrize("run", [lambda d: bpe_replay.digests(d, RANKS, P.PATTERN),
                                  lambda d: token_counts.count_tokens(d, DESCRIPTION, P.PATTERN)])
 def test_empty_table(docs_of, run):
