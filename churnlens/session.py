@@ -75,14 +75,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/churnlens/{name}-{uuid.uuid4().hex}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through Hadoop's FileSystem, so it works on any cluster store."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
-
-
 def list_path(spark: SparkSession, path: str) -> list[str]:
     """Entries of a folder (none if it does not exist)."""
     jvm = spark.sparkContext._jvm
@@ -99,14 +91,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def input_bytes(spark: SparkSession, paths: list[str]) -> int:
-    """Total size of the files under ``paths`` (one listing per path)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for p in paths:
-        hpath = jvm.org.apache.hadoop.fs.Path(p)
-        total += int(hpath.getFileSystem(conf).getContentSummary(hpath).getLength())
-    return total
+    """Total size of the files under ``paths``; they are listed by a Spark job, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return files.agg({"length": "sum"}).first()[0] or 0
 
 
 def tune_for_input(spark: SparkSession, paths: list[str], target_bytes: int = 128 << 20) -> int:

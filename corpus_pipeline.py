@@ -2,6 +2,12 @@
 
 The stages keep the columns of documents, but for the last: it encodes what is left.  SQL cannot
 express them (trained classifiers, byte-pair merges), so the tests hold them against brute force.
+
+Every stage takes null ids, texts, languages and sources, empty and very long texts, repeated rows
+and further columns of any name: quality and near copies judge a null text as an empty one, which
+quality decides by its features and near copies leaves alone; language drops texts without a
+letter; the mix takes no text without words; a null id is kept as it is.  An empty table stays
+empty at each stage.
 """
 
 from __future__ import annotations
