@@ -35,8 +35,8 @@ PART, APART = 512, 0.25
 PIECES, CLASSES = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048), 24
 #: Pieces of one length class that are too few to read limits off.
 FEW = 30
-#: Share of mistaken pieces at the least lead.
-MISTAKES = 0.01
+#: Share of mistaken pieces that puts a lead in doubt.
+MISTAKES = 0.1
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,8 +119,8 @@ def length_class(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Limits:
-    """By length class: the least lead at which no more than :data:`MISTAKES` of the calibration pieces
-    are mistaken, and the lowest mean log-share of n-grams, against that of the language found,
+    """By length class: the lead below which more than :data:`MISTAKES` of the calibration pieces are
+    mistaken, and the lowest mean log-share of n-grams, against that of the language found,
     that any of them has, with a margin."""
     lead: np.ndarray
     usual: np.ndarray
@@ -134,10 +134,15 @@ class Limits:
                 least[k], usual[k] = least[k - 1], usual[k - 1]
             at = np.flatnonzero(kind == k)
             if at.size >= FEW:
-                order = at[np.argsort(-lead[at])]
-                wrong = np.cumsum(~right[order]) / np.arange(1, order.size + 1)
-                good = np.flatnonzero(wrong <= MISTAKES)
-                least[k] = min(least[k], lead[order[good[-1]]]) if good.size else least[k]
+                order = at[np.argsort(lead[at], kind="stable")]
+                window = max(FEW // 2, order.size // 50)
+                # from the least lead up, windows of pieces until one is mostly right; pieces that
+                # are mistaken with a large lead have a wrong label or hold two languages
+                start = 0
+                while start < order.size and np.mean(~right[order[start:start + window]]) > MISTAKES:
+                    start += window
+                found = lead[order[start]] if 0 < start < order.size else 0.0 if start == 0 else np.inf
+                least[k] = min(least[k], found)
                 low, middle = rarity[at].min(), np.median(rarity[at])
                 usual[k] = low - 0.5 * (middle - low) - 0.05
         return cls(least, usual)
