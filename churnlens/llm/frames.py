@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -34,6 +36,29 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
+#: What modules keep in a worker between tasks.
+_KEPT = {"bpe_replay": ("_CODERS", "_BYTES"), "token_counts": ("_COUNTERS",), "token_align": ("_ALIGNERS",)}
+
+
+def _only(module: str) -> None:
+    """Drop what other operators left in this worker, which serves the tasks of all of them in turn."""
+    package = __name__.rsplit(".", 1)[0]
+    for name, kept in _KEPT.items():
+        loaded = sys.modules.get(f"{package}.{name}")
+        if loaded is not None and loaded.__name__ != module:
+            for cache in kept:
+                getattr(loaded, cache).clear()
+
+
+def _returned() -> None:
+    """Give the memory that a task has freed back, as far as the allocators can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterable[dict | None]],
                 ) -> DataFrame:
     """``df.mapInArrow`` where ``work`` turns one record batch into dicts of columns.
@@ -41,10 +66,12 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Ite
     ``work`` gets slices of :data:`SLICE` bytes, so that a task's Python memory follows that size
     (or one longer row) and neither the partition nor the rows that Spark puts into a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _only(work.__module__)
         for batch in batches:
             for part in slices(batch):
                 for columns in work(part):
                     yield pa.RecordBatch.from_pydict(columns)
+        _returned()
     return df.mapInArrow(run, schema)
 
 
@@ -53,9 +80,11 @@ def rows_where(df: DataFrame, text_col: str, keep: Callable[[list[str | None]],
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _only(keep.__module__)
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array(keep(part.column(place).to_pylist()), pa.bool_()))
+        _returned()
     return df.mapInArrow(run, df.schema)
 
 
