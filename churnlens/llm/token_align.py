@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -96,17 +97,17 @@ def most_pairs(a: list[bytes], b: list[bytes]) -> int:
 
 
 class _Side:
-    """One tokenizer: ``encode`` gives the ids of texts as arrays, the rest is by id."""
+    """One tokenizer: ``encode`` gives the ids of texts as arrays, the rest is by id.  ``faithful``: its
+    tokens are stretches of the text in turn, so that only their length can be wanting."""
 
-    def __init__(self, entries: list[bytes], encode):
-        self.entries, self.encode = entries, encode
+    def __init__(self, entries: list[bytes], encode, faithful: bool = False):
+        self.entries, self.encode, self.faithful = entries, encode, faithful
         self.size = np.fromiter(map(len, entries), np.int64, len(entries))
-        self.sizes, self.decimal = self.size.tolist(), list(map(str, range(len(entries))))
         self.marked = np.fromiter((e[:1] == b" " for e in entries), bool, len(entries))
 
     def gives(self, ids: np.ndarray, whole: bytes) -> bool:
         """Whether the tokens spell ``whole``."""
-        return self.size[ids].sum() == len(whole) and b"".join(map(self.entries.__getitem__, ids.tolist())) == whole
+        return self.size[ids].sum() == len(whole) and (self.faithful or b"".join(map(self.entries.__getitem__, ids.tolist())) == whole)
 
 
 def _ids(found: list[int]) -> np.ndarray:
@@ -129,7 +130,7 @@ def _sides(description: str, model: bytes, pattern: str | None) -> tuple[_Side,
 
         def first(text):
             return ranked.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
-    return (_Side(entry_bytes(description), lambda texts: [first(" " + t) for t in texts]),
+    return (_Side(entry_bytes(description), lambda texts: [first(" " + t) for t in texts], pattern is not None),
             _Side(piece_bytes(second), lambda texts: [_ids(x) for x in second.encode(texts, num_threads=1)]))
 
 
@@ -139,6 +140,10 @@ class Aligner:
 
     def __init__(self, description: str, model: bytes, pattern: str | None = None):
         self.a, self.b = _sides(description, model, pattern)
+        # by id, the second side's following on the first's
+        self.shift, self.wide = len(self.a.entries), len(self.b.entries)
+        self.sizes = [*map(len, self.a.entries), *map(len, self.b.entries)]
+        self.decimal = [*map(str, range(self.shift)), *map(str, range(self.wide))]
         self.forget()
 
     def forget(self) -> None:
@@ -146,32 +151,29 @@ class Aligner:
         self.written: list[str] = []
         self.codes: list[bytes] = []
 
-    def window(self, key: bytes) -> int:
-        """The number of a window, given the ids of the first side and then of the second (which
-        follow on those of the first): its groups as text and the codes of its linked pairs are
-        remembered under it."""
+    def window(self, key: bytes, n: int) -> int:
+        """The number of a window, given the ids of the first side, ``n`` of them, and then of the second
+        (which follow on those of the first): its groups as text and the codes of its linked pairs
+        are remembered under it."""
         found = self.known.get(key)
         if found is None:
-            text_a, text_b, size_a, size_b = self.a.decimal, self.b.decimal, self.a.sizes, self.b.sizes
-            shift, wide = len(size_a), len(size_b)
             ids = array("i", key)
-            rest = iter([x - shift for x in ids if x >= shift])
-            written, codes, ids_a, ids_b, at_a, at_b, b = [], [], [], [], 0, 0, 0
-            for a in ids:
-                if a >= shift:
-                    break
-                at_a += size_a[a]
-                ids_a.append(text_a[a])
-                while at_b < at_a:
-                    b = next(rest)
-                    at_b += size_b[b]
-                    ids_b.append(text_b[b])
-                if at_a == at_b:
-                    written.append(f"{','.join(ids_a)}|{','.join(ids_b)}")
-                    codes.append(a * wide + b)
-                    ids_a, ids_b = [], []
+            text, size = list(map(self.decimal.__getitem__, ids)), list(map(self.sizes.__getitem__, ids))
+            cut = [(n, len(ids))]
+            if 1 < n < len(ids) - 1:  # else one side has one token, and so the window one group
+                ends_a, ends_b = list(accumulate(size[:n])), list(accumulate(size[n:]))
+                both = set(ends_a).intersection(ends_b)
+                if len(both) > 1:
+                    cut = list(zip([k for k, e in enumerate(ends_a, start=1) if e in both],
+                                   [k for k, e in enumerate(ends_b, start=n + 1) if e in both]))
+            codes = [ids[i - 1] * self.wide + ids[j - 1] - self.shift for i, j in cut]
+            if len(cut) == 1:
+                written = f"{','.join(text[:n])}|{','.join(text[n:])}"
+            else:
+                written = ";".join([f"{','.join(text[i:k])}|{','.join(text[j:m])}"
+                                    for (i, j), (k, m) in zip([(0, n), *cut], cut)])
             found = self.known[key] = len(self.written)
-            self.written.append(";".join(written))
+            self.written.append(written)
             self.codes.append(array("q", codes).tobytes())
         return found
 
@@ -199,13 +201,13 @@ class Aligner:
         # the ids of a window side by side
         ids = np.empty(a.size + b.size, np.int32)
         ids[np.arange(a.size) + np.repeat(cut_b[:-1], np.diff(cut_a))] = a
-        ids[np.arange(b.size) + np.repeat(cut_a[1:], np.diff(cut_b))] = b + len(self.a.sizes)
+        ids[np.arange(b.size) + np.repeat(cut_a[1:], np.diff(cut_b))] = b + self.shift
         raw, cut = ids.tobytes(), (4 * (cut_a + cut_b)).tolist()
         if len(self.known) > REMEMBERED:
             self.forget()
         keys = [raw[i:j] for i, j in zip(cut, cut[1:])]
         found = list(map(self.known.get, keys))
-        return [self.window(key) if at is None else at for key, at in zip(keys, found)]
+        return [self.window(key, n) if at is None else at for key, at, n in zip(keys, found, np.diff(cut_a).tolist())]
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}

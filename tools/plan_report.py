@@ -1,4 +1,4 @@
-"""Write docs/PLANS.md: the physical-plan shape of every registered query.
+"""Write docs/PLANS.md: the physical-plan shape of every analytics query.
 
 For each query: number of shuffles (hash / single-partition / range), join
 strategies, windows, generators, and for every scan its ReadSchema and
@@ -14,7 +14,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from churnlens.plans.catalog import QUERIES  # noqa: E402
 from churnlens.session import get_session  # noqa: E402
 
 OPS = ["Exchange hashpartitioning", "Exchange SinglePartition", "Exchange rangepartitioning",
@@ -28,8 +28,8 @@ def main() -> None:
     out = sys.argv[2] if len(sys.argv) > 2 else "docs/PLANS.md"
     spark = get_session("local[8]", shuffle_partitions=16,
                         **{"spark.sql.maxMetadataStringLength": "2000"})
-    qs = E.queries()
-    lines = ["# Physical plans of the registered queries", "",
+    qs = QUERIES
+    lines = ["# Physical plans of the analytics queries", "",
              f"Generated by `tools/plan_report.py` on `{sf_dir}` (AQE on; shapes before AQE's "
              "runtime re-planning).  Counts are occurrences in the executed plan text, subqueries "
              "included; a nested scalar subquery is printed at every reference, so queries built "
