@@ -196,6 +196,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return map_batches(slim, f"_id {kind}, ids array<int>", work).withColumnRenamed("_id", id_col)
 
 
+def _decoded(ids: np.ndarray, cut: np.ndarray, raw: bytes) -> pa.Array:
+    """The bytes of each run of ids; ``cut`` are the ends of the runs, from 0."""
+    flat, starts, sizes = token_bytes(raw)
+    ends = np.append(0, np.cumsum(sizes[ids]))  # bytes up to each id
+    return pa.Array.from_buffers(pa.binary(), cut.size - 1, [
+        None, pa.py_buffer(ends[cut].astype(np.int32)), pa.py_buffer(ragged(flat, starts, sizes, ids))])
+
+
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``encoded`` (id, ids) with ``decoded binary``, the bytes of their ids.  Null
     ids decode to no bytes; an id outside the vocabulary fails."""
@@ -203,16 +211,12 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
         told = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def work(batch):
-        flat, starts, sizes = token_bytes(told.value)
         column = batch.column("ids")
         for a in range(0, len(column), 256):
             part = column.slice(a, 256)
-            ids = part.flatten().to_numpy()
-            ends = np.append(0, np.cumsum(sizes[ids]))  # bytes up to each id
             cut = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy()))
-            texts = pa.Array.from_buffers(pa.binary(), len(part), [
-                None, pa.py_buffer(ends[cut].astype(np.int32)), pa.py_buffer(ragged(flat, starts, sizes, ids))])
-            yield {"_id": batch.column("_id").slice(a, 256), "ids": part, "decoded": texts}
+            yield {"_id": batch.column("_id").slice(a, 256), "ids": part,
+                   "decoded": _decoded(part.flatten().to_numpy(), cut, told.value)}
 
     kind = encoded.schema[id_col].dataType.simpleString()
     slim = encoded.select(encoded[id_col].alias("_id"), encoded["ids"])
@@ -238,8 +242,21 @@ def token_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """Per document: id, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by a space)
-    and ``decoded_sha256`` (of the bytes that the ids decode to)."""
-    done = decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path, id_col)
+    and ``decoded_sha256`` (of the bytes that the ids decode to).  Texts are encoded and their ids
+    decoded in one pass, by one worker a task."""
+    checked(pattern)
+    with open(ranks_path, "rb") as f:
+        told = docs.sparkSession.sparkContext.broadcast(f.read())
+
+    def work(batch):
+        for a, b, ids in coder(told.value, pattern).ids(texts_of(batch, "_text")):
+            cut, flat = np.append(0, np.cumsum([x.size for x in ids])).astype(np.int32), np.concatenate(ids)
+            yield {"_id": batch.column("_id").slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)),
+                   "decoded": _decoded(flat, cut, told.value)}
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    done = map_batches(slim, f"_id {kind}, ids array<int>, decoded binary", work).withColumnRenamed("_id", id_col)
     return done.select(
         done[id_col], F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
