@@ -41,9 +41,9 @@ def exact_median(df: DataFrame, col: str, accuracy: int = 100_000) -> DataFrame:
     most some 6 / ``accuracy`` of the rows, however the values lie, and outliers cost nothing.  Should
     the sketch ever break its promise, the query fails rather than give another value.
 
-    NULL, NaN and values beyond the money range are skipped; no rows -> NULL.
+    The mean of a middle pair is exact for money; NULL and NaN are skipped; no rows -> NULL.
     """
-    values = df.select(money_range(F.col(col).cast("double")).alias("v")).where("v IS NOT NULL")
+    values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     off = 2.0 / accuracy
     bounds = values.agg(F.percentile_approx("v", [max(0.5 - off, 0.0), min(0.5 + off, 1.0)], accuracy).alias("b")).scalar()
     side = F.when(F.col("v") < F.col("b")[0], -1).when(F.col("v") > F.col("b")[1], 1).otherwise(0)
@@ -54,10 +54,12 @@ def exact_median(df: DataFrame, col: str, accuracy: int = 100_000) -> DataFrame:
                             F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
     # 0-based ranks of the middle pair
     hit = [F.expr(f"start <= {k} AND {k} < start + c") for k in ("(n - 1) div 2", "n div 2")]
-    middle = [F.max(F.when(h, F.col("v"))).cast(MONEY) for h in hit]
+    middle = [F.max(F.when(h, F.col("v"))) for h in hit]
+    money = [m.try_cast(MONEY) for m in middle]  # NULL beyond the money range
     missed = F.coalesce(F.max((hit[0] | hit[1]) & (F.col("side") != 0)), F.lit(False))
     return placed.agg(F.when(missed, F.raise_error(F.lit("median outside the sketched bounds")).cast("double"))
-                      .otherwise(((middle[0] + middle[1]) / 2).cast("double")).alias("median"))
+                      .otherwise(F.coalesce(((money[0] + money[1]) / 2).cast("double"), (middle[0] + middle[1]) / 2))
+                      .alias("median"))
 
 
 def clean_subscribers(raw: DataFrame, fill: str = "zero") -> DataFrame:

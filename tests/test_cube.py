@@ -70,9 +70,9 @@ def test_report_reads_subscribers_once(spark):
 def test_median(spark):
     rng = random.Random(7)
     for values in ([], [4.0], [1.0, 2.0], [3.0] * 50 + [9.0] * 50, [1e17, -1e17, 5.0], [rng.uniform(-5, 5) for _ in range(3001)],
-                   [rng.expovariate(1) ** 9 for _ in range(500)] + [1e16]):
+                   [rng.expovariate(1) ** 9 for _ in range(500)] + [1e16], [1.0, 1e300, 2e300, float("inf")]):
         df = spark.createDataFrame([(v,) for v in values], "v double").union(
-            spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (1e300,)], "v double"))
+            spark.createDataFrame([(None,), (float("nan"),)], "v double"))
         got = clean.exact_median(df, "v").first().median
         assert got == (pytest.approx(statistics.median(values), rel=1e-12, abs=1e-9) if values else None)
 

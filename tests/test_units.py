@@ -156,18 +156,18 @@ def test_round_ratio_half_up(spark):
     assert spark.range(1).select(round_ratio(F.lit(1), F.lit(0), 2).alias("r")).first().r is None
 
 
-def test_exact_median_bounded_buckets(spark):
+def test_exact_median_between_sketched_bounds(spark):
     import random
     import statistics
     rnd = random.Random(11)
-    for n, buckets in [(1, 4), (2, 4), (101, 3), (400, 7), (999, 64)]:
+    for n, accuracy in [(1, 4), (2, 4), (101, 5), (400, 60), (999, 1000)]:
         vals = [round(rnd.uniform(-50, 500), 2) for _ in range(n)]
         vals += [123.45] * (n // 3)          # one value holds a third of the rows
         df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
-        got = clean.exact_median(df, "x", buckets=buckets).first().median
+        got = clean.exact_median(df, "x", accuracy=accuracy).first().median
         cents = sorted(round(v * 100) for v in vals)
         want = (cents[(len(cents) - 1) // 2] + cents[len(cents) // 2]) / 200
-        assert got == want, (n, buckets)
+        assert got == want, (n, accuracy)
         assert abs(got - statistics.median(vals)) < 1e-9
     empty = spark.createDataFrame([(None,)], "x double")
     assert clean.exact_median(empty, "x").first().median is None
@@ -259,7 +259,7 @@ def test_median_with_an_outlier(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     want = sorted(values)
     n = len(want)
-    assert clean.exact_median(df, "x", buckets=16).first().median == (want[(n - 1) // 2] + want[n // 2]) / 2
+    assert clean.exact_median(df, "x", accuracy=200).first().median == (want[(n - 1) // 2] + want[n // 2]) / 2
 
 
 def test_constant_column_has_no_density(spark):
