@@ -102,11 +102,13 @@ class _Side:
     def __init__(self, entries: list[bytes], encode, faithful: bool = False):
         self.entries, self.encode, self.faithful = entries, encode, faithful
         self.size = np.fromiter(map(len, entries), np.int64, len(entries))
+        self.sizes, self.decimal = self.size.tolist(), list(map(str, range(len(entries))))
         self.marked = np.fromiter((e[:1] == b" " for e in entries), bool, len(entries))
 
     def gives(self, ids: np.ndarray, whole: bytes) -> bool:
         """Whether the tokens spell ``whole``."""
-        return self.size[ids].sum() == len(whole) and (self.faithful or b"".join(map(self.entries.__getitem__, ids.tolist())) == whole)
+        return self.size[ids].sum() == len(whole) and (
+            self.faithful or b"".join(map(self.entries.__getitem__, ids.tolist())) == whole)
 
 
 def _ids(found: list[int]) -> np.ndarray:
@@ -139,29 +141,40 @@ class Aligner:
 
     def __init__(self, description: str, model: bytes, pattern: str | None = None):
         self.a, self.b = _sides(description, model, pattern)
-        # by id, the second side's following on the first's
-        self.shift, self.wide = len(self.a.entries), len(self.b.entries)
-        self.decimal = [*map(str, range(self.shift)), *map(str, range(self.wide))]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.written: list[str] = []
+        self.codes: list[bytes] = []
 
-    def window(self, key: bytes, n: int, cut: list[tuple[int, int]]) -> int:
-        """The number of a window that was not known, given the ids of the first side, ``n`` of them, and
-        then of the second (which follow on those of the first), and where its groups end: its
-        groups as text are remembered under its ids."""
+    def window(self, key: bytes) -> int:
+        """The number of a window, given the ids of the first side and then of the second (which
+        follow on those of the first): its groups as text and the codes of its linked pairs are
+        remembered under it."""
         found = self.known.get(key)
         if found is None:
-            text = list(map(self.decimal.__getitem__, array("i", key)))
-            if len(cut) == 1:
-                written = f"{','.join(text[:n])}|{','.join(text[n:])}"
-            else:
-                written = ";".join([f"{','.join(text[i:k])}|{','.join(text[n + j:n + m])}"
-                                    for (i, j), (k, m) in zip([(0, 0), *cut], cut)])
+            text_a, text_b, size_a, size_b = self.a.decimal, self.b.decimal, self.a.sizes, self.b.sizes
+            shift, wide = len(size_a), len(size_b)
+            ids = array("i", key)
+            rest = iter([x - shift for x in ids if x >= shift])
+            written, codes, ids_a, ids_b, at_a, at_b, b = [], [], [], [], 0, 0, 0
+            for a in ids:
+                if a >= shift:
+                    break
+                at_a += size_a[a]
+                ids_a.append(text_a[a])
+                while at_b < at_a:
+                    b = next(rest)
+                    at_b += size_b[b]
+                    ids_b.append(text_b[b])
+                if at_a == at_b:
+                    written.append(f"{','.join(ids_a)}|{','.join(ids_b)}")
+                    codes.append(a * wide + b)
+                    ids_a, ids_b = [], []
             found = self.known[key] = len(self.written)
-            self.written.append(written)
+            self.written.append(";".join(written))
+            self.codes.append(array("q", codes).tobytes())
         return found
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -173,49 +186,28 @@ class Aligner:
             out.append((a, b) if kept else (none, none))
         return out
 
-    def block(self, texts: list[str]) -> list[tuple[int, int, np.ndarray, list[int]]]:
-        """Per text: its tokens on each side, the code of each link, and its windows in turn."""
-        found = self.tokens(texts)
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        a, b = (np.concatenate([np.zeros(0, np.int32), *side]) for side in zip(*found))
-        n_a, n_b = (np.array([x.size for x in side]) for side in zip(*found))
-        # the texts end together on both sides, so one after another they are like one text
+    def windows(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """The windows of one text in turn."""
+        if not a.size:
+            return []
         ends_a, ends_b = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
-        both = np.zeros((int(ends_a[-1]) if a.size else 0) + 1, bool)
-        both[ends_b] = True
-        last_a = np.flatnonzero(both[ends_a])  # the last token of each group
-        last_b = np.searchsorted(ends_b, ends_a[last_a])
-        codes = a[last_a].astype(np.int64) * self.wide + b[last_b]
-        # an anchor: the next token carries a space mark on the one side and on the other
-        anchor = np.ones(last_a.size, bool)
-        anchor[:-1] = self.a.marked[a[last_a[:-1] + 1]] & self.b.marked[b[last_b[:-1] + 1]]
-        groups = np.searchsorted(last_a, np.cumsum(n_a) - 1, side="right")  # up to the end of each text
-        anchor[groups[n_a > 0] - 1] = True
-        at = np.flatnonzero(anchor)
-        cut_a, cut_b = np.append(0, last_a[at] + 1), np.append(0, last_b[at] + 1)
+        both = np.zeros(ends_a[-1] + 1, bool)
+        # a token ends here and the next one carries a space mark, on the one side and on the other
+        both[ends_b[:-1][self.b.marked[b[1:]]]] = True
+        at_a = np.flatnonzero(self.a.marked[a[1:]])
+        at_a = at_a[both[ends_a[at_a]]]
+        cut_a = np.concatenate([[0], at_a + 1, [a.size]])
+        cut_b = np.concatenate([[0], np.searchsorted(ends_b, ends_a[at_a]) + 1, [b.size]])
         # the ids of a window side by side
         ids = np.empty(a.size + b.size, np.int32)
         ids[np.arange(a.size) + np.repeat(cut_b[:-1], np.diff(cut_a))] = a
-        ids[np.arange(b.size) + np.repeat(cut_a[1:], np.diff(cut_b))] = b + self.shift
+        ids[np.arange(b.size) + np.repeat(cut_a[1:], np.diff(cut_b))] = b + len(self.a.sizes)
         raw, cut = ids.tobytes(), (4 * (cut_a + cut_b)).tolist()
+        if len(self.known) > REMEMBERED:
+            self.forget()
         keys = [raw[i:j] for i, j in zip(cut, cut[1:])]
-        number = list(map(self.known.get, keys))
-        last_a, last_b, from_a, from_b, upto = last_a.tolist(), last_b.tolist(), cut_a.tolist(), cut_b.tolist(), (at + 1).tolist()
-        for w, known in enumerate(number):
-            if known is None:
-                i, j, first = from_a[w], from_b[w], upto[w - 1] if w else 0
-                ends = [(last_a[g] + 1 - i, last_b[g] + 1 - j) for g in range(first, upto[w])]
-                number[w] = self.window(keys[w], from_a[w + 1] - i, ends)
-        out, g, w = [], 0, 0
-        for x, y, to in zip(n_a.tolist(), n_b.tolist(), groups.tolist()):
-            if not x:
-                out.append((0, 0, codes[:0], []))
-                continue
-            v = int(np.searchsorted(at, to - 1)) + 1
-            out.append((x, y, codes[g:to], number[w:v]))
-            g, w = to, v
-        return out
+        found = list(map(self.known.get, keys))
+        return [self.window(key) if at is None else at for key, at in zip(keys, found)]
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}
@@ -230,9 +222,9 @@ def _aligner(description: str, model: bytes, pattern: str | None) -> Aligner:
     return _ALIGNERS[key]
 
 
-def _packed(codes: np.ndarray) -> bytes:
+def _packed(codes: bytes) -> bytes:
     """Codes in order, compressed."""
-    return pa.compress(np.sort(codes).astype("<i8").tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.sort(np.frombuffer(codes, "<i8")).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(raw: bytes, n: int) -> np.ndarray:
@@ -266,11 +258,13 @@ def aligned(docs: DataFrame, description_path: str, model_path: str, id_col: str
             while stop < len(texts) and size + len(texts[stop]) <= AT_ONCE:
                 size += len(texts[stop])
                 stop += 1
-            for n_a, n_b, codes, found in own.block(texts[start:stop]):
+            for a, b in own.tokens(texts[start:stop]):
+                found = own.windows(a, b)
+                codes = b"".join(map(own.codes.__getitem__, found))
                 groups = ";".join(map(own.written.__getitem__, found))
-                out["n_a"].append(n_a)
-                out["n_b"].append(n_b)
-                out["n_groups"].append(codes.size)
+                out["n_a"].append(a.size)
+                out["n_b"].append(b.size)
+                out["n_groups"].append(len(codes) // 8)
                 out["groups"].append(hashlib.sha256(groups.encode()).hexdigest() if digest and found else groups)
                 out["pairs"].append(_packed(codes) if found else b"")
             start = stop
